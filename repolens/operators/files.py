@@ -49,6 +49,16 @@ def corpus_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_facts(repo_files(spark, sf_dir))
 
 
+def listing(files: DataFrame) -> DataFrame:
+    """Unpruned listing with the path flags the marker probes need, plus content."""
+    return files.select("repo_id", "path", "size", "content",
+                        P.is_css_module_candidate(F.col("path")).alias("css_module"))
+
+
+def corpus_facts_with_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing(repo_files(spark, sf_dir))
+
+
 def repo_stats(facts: DataFrame) -> DataFrame:
     """Per repository file, component, route, line, test and config counts.
 

@@ -81,3 +81,29 @@ def repo_stats_cte() -> str:
          CAST(count(*) FILTER (WHERE kept AND is_test) AS BIGINT) AS test_file_count,
          CAST(count(*) FILTER (WHERE kept AND is_config) AS BIGINT) AS config_file_count
   FROM file_facts GROUP BY repo_id)"""
+
+
+def complexity_cte() -> str:
+    return """cx_base AS (
+  SELECT repo_id,
+         CAST(count(*) FILTER (WHERE readable AND NOT is_test_cx) AS BIGINT) AS n,
+         sum(CASE WHEN readable AND NOT is_test_cx THEN complexity END) AS total_complexity,
+         max(CASE WHEN readable AND NOT is_test_cx THEN complexity END) AS max_c,
+         sum(CASE WHEN readable AND NOT is_test_cx THEN functions END) AS total_f,
+         sum(CASE WHEN readable AND NOT is_test_cx THEN lines END) AS total_lines,
+         CAST(count(*) FILTER (WHERE readable AND is_test_cx) AS BIGINT) AS test_files_excluded
+  FROM file_facts GROUP BY repo_id),
+cx_dup AS (
+  SELECT repo_id, max(c) AS max_bucket FROM (
+    SELECT repo_id, CAST(floor(lines / 50.0 + 0.5) * 50 AS BIGINT) AS bucket, count(*) AS c
+    FROM file_facts WHERE readable AND NOT is_test_cx GROUP BY 1, 2) GROUP BY repo_id),
+repo_complexity AS (
+  SELECT b.repo_id,
+    CASE WHEN n > 0 THEN floor(CAST(total_complexity AS DOUBLE) / n * 10 + 0.5) / 10 ELSE 0.0 END AS average_complexity,
+    CAST(coalesce(max_c, 0) AS BIGINT) AS max_complexity,
+    CAST(coalesce(total_f, 0) AS BIGINT) AS total_functions,
+    CAST(CASE WHEN total_f > 0 THEN floor(CAST(total_lines AS DOUBLE) / total_f + 0.5) ELSE 0 END AS BIGINT) AS lines_per_function,
+    CASE WHEN n = 0 THEN 'low' WHEN CAST(max_bucket AS DOUBLE) / n > 0.3 THEN 'high'
+         WHEN CAST(max_bucket AS DOUBLE) / n > 0.15 THEN 'medium' ELSE 'low' END AS duplication_risk,
+    test_files_excluded
+  FROM cx_base b LEFT JOIN cx_dup d ON b.repo_id = d.repo_id)"""

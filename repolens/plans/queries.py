@@ -28,3 +28,36 @@ def q_repo_stats(spark, sf_dir):
 SELECT repo_id, ext, CAST(count(*) AS BIGINT) AS file_count FROM file_facts WHERE kept GROUP BY repo_id, ext""")
 def q_files_by_extension(spark, sf_dir):
     return FF.files_by_extension(FF.corpus_facts(spark, sf_dir))
+
+# --------------------------------------------------------------------------- complexity
+from repolens.operators import complexity as CX  # noqa: E402
+
+
+@register("repo_complexity", lambda: f"""WITH {O.file_facts_cte()}, {O.complexity_cte()}
+SELECT * FROM repo_complexity""")
+def q_repo_complexity(spark, sf_dir):
+    return CX.repo_complexity(FF.corpus_facts(spark, sf_dir))
+
+
+@register("high_complexity_files", lambda: f"""WITH {O.file_facts_cte()}
+SELECT repo_id, rank, path, complexity, functions FROM (
+  SELECT repo_id, path, complexity, functions,
+         CAST(row_number() OVER (PARTITION BY repo_id ORDER BY complexity DESC, path) AS BIGINT) AS rank
+  FROM file_facts WHERE readable AND NOT is_test_cx AND complexity > 15) WHERE rank <= 10""")
+def q_high_complexity_files(spark, sf_dir):
+    return CX.high_complexity_files(FF.corpus_facts(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- stack
+from repolens.operators import stack as ST  # noqa: E402
+from repolens.oracle import stack_sql as OS  # noqa: E402
+
+
+def stack_profile(spark, sf_dir):
+    return ST.stack_profile(ST.repo_markers(FF.corpus_facts_with_content(spark, sf_dir)))
+
+
+@register("stack_profile", lambda: f"""WITH {O.file_facts_cte()}, {OS.markers_cte()}, {OS.stack_cte()}
+{OS.flat_stack_select()}""")
+def q_stack_profile(spark, sf_dir):
+    return ST.flatten_profile(stack_profile(spark, sf_dir))
