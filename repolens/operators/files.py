@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from repolens.functions import paths as P
 from repolens.functions import text as X
+from repolens.operators.stack import MANIFESTS
 from repolens.sources.corpus import repo_files
 
 
@@ -21,6 +22,7 @@ def file_facts(files: DataFrame) -> DataFrame:
     ext = P.extension(path)
     df = files.select(
         "repo_id", "path", "size",
+        F.when(path.isin(*MANIFESTS), content).alias("manifest_text"),
         P.is_kept(path).alias("kept"),
         ext.alias("ext"),
         P.is_test_walk(path).alias("is_test"),
@@ -32,7 +34,7 @@ def file_facts(files: DataFrame) -> DataFrame:
     readable = (F.col("kept") & P.is_code_ext(ext) & content.isNotNull()
                 & (F.col("size") <= P.MAX_FILE_SIZE))
     return df.select(
-        "repo_id", "path", "size", "kept", "ext", "is_test", "is_test_cx", "css_module",
+        "repo_id", "path", "size", "kept", "ext", "is_test", "is_test_cx", "css_module", "manifest_text",
         P.is_config_ext(ext).alias("is_config"),
         P.is_code_ext(ext).alias("is_code"),
         readable.alias("readable"),
@@ -49,16 +51,6 @@ def corpus_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_facts(repo_files(spark, sf_dir))
 
 
-def listing(files: DataFrame) -> DataFrame:
-    """Unpruned listing with the path flags the marker probes need, plus content."""
-    return files.select("repo_id", "path", "size", "content",
-                        P.is_css_module_candidate(F.col("path")).alias("css_module"))
-
-
-def corpus_facts_with_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing(repo_files(spark, sf_dir))
-
-
 def repo_stats(facts: DataFrame) -> DataFrame:
     """Per repository file, component, route, line, test and config counts.
 

@@ -102,18 +102,32 @@ def manifest_col(name: str) -> str:
     return "t_" + "".join(c if c.isalnum() else "_" for c in name)
 
 
+def marker_aggregates() -> list:
+    """Aggregate expressions of the marker probes (usable inside a larger ``agg``)."""
+    path = F.col("path")
+    aggs = [F.max(path == m).alias(marker_col(m)) for m in MARKER_FILES]
+    aggs += [F.max(path.startswith(d + "/")).alias(dir_col(d)) for d in MARKER_DIRS]
+    # at most one root manifest of each name per repository; collect_list keeps the
+    # aggregation hash-based (a string max() would force a sort-based aggregate)
+    aggs += [F.collect_list(F.when(path == m, F.col("manifest_text"))).alias(manifest_col(m)) for m in MANIFESTS]
+    aggs.append(F.max("css_module").alias("has_css_modules"))
+    return aggs
+
+
+def first_manifest(df: DataFrame) -> DataFrame:
+    """Turn the collected manifest lists into single (nullable) strings."""
+    return df.select(*[F.get(F.flatten(F.col(c)) if dict(df.dtypes)[c].startswith("array<array")
+                             else F.col(c), 0).alias(c)
+                       if c in {manifest_col(m) for m in MANIFESTS} else F.col(c) for c in df.columns])
+
+
 def repo_markers(files: DataFrame) -> DataFrame:
     """Root-marker existence and root manifest texts, one row per repository.
 
     Only manifest rows contribute a non-null string, so file bodies other than
     root manifests never cross the shuffle.
     """
-    path = F.col("path")
-    aggs = [F.max(path == m).alias(marker_col(m)) for m in MARKER_FILES]
-    aggs += [F.max(path.startswith(d + "/")).alias(dir_col(d)) for d in MARKER_DIRS]
-    aggs += [F.max(F.when(path == m, F.col("content"))).alias(manifest_col(m)) for m in MANIFESTS]
-    aggs.append(F.max("css_module").alias("has_css_modules"))
-    return files.groupBy("repo_id").agg(*aggs)
+    return first_manifest(files.groupBy("repo_id").agg(*marker_aggregates()))
 
 
 def _exists(name: str) -> Column:
@@ -161,8 +175,11 @@ def _json_keys(doc: Column, field: str) -> Column:
     return F.coalesce(F.json_object_keys(F.get_json_object(doc, f"$.{field}")), F.array().cast("array<string>"))
 
 
-def stack_profile(markers: DataFrame) -> DataFrame:
-    """The detected-stack record per repository (arrays keep push order)."""
+def stack_profile(markers: DataFrame, passthrough=()) -> DataFrame:
+    """The detected-stack record per repository (arrays keep push order).
+
+    ``passthrough`` names columns of ``markers`` carried to the output unchanged.
+    """
     pkg = F.col(manifest_col("package.json"))
     v = F.try_parse_json(pkg)
     node_parsed = pkg.isNotNull() & v.isNotNull()
@@ -269,6 +286,7 @@ def stack_profile(markers: DataFrame) -> DataFrame:
         has_docker.alias("has_docker"), has_ci.alias("has_ci"), has_ts.alias("has_typescript"),
         monorepo.alias("has_monorepo_setup"), serverless.alias("has_serverless_config"),
         (F.col(dir_col("src")) & F.col(dir_col("src/modules"))).alias("has_src_modules"),
+        *passthrough,
     )
 
 

@@ -15,7 +15,7 @@ from repolens.plans.registry import register
 SELECT repo_id, path, size, kept, ext, is_test, is_test_cx, css_module, is_config, is_code, readable,
        lines, components, routes, complexity, functions FROM file_facts""")
 def q_file_facts(spark, sf_dir):
-    return FF.corpus_facts(spark, sf_dir)
+    return FF.corpus_facts(spark, sf_dir).drop("manifest_text")
 
 
 @register("repo_stats", lambda: f"""WITH {O.file_facts_cte()}, {O.repo_stats_cte()}
@@ -54,10 +54,82 @@ from repolens.oracle import stack_sql as OS  # noqa: E402
 
 
 def stack_profile(spark, sf_dir):
-    return ST.stack_profile(ST.repo_markers(FF.corpus_facts_with_content(spark, sf_dir)))
+    return ST.stack_profile(ST.repo_markers(FF.corpus_facts(spark, sf_dir)))
 
 
 @register("stack_profile", lambda: f"""WITH {O.file_facts_cte()}, {OS.markers_cte()}, {OS.stack_cte()}
 {OS.flat_stack_select()}""")
 def q_stack_profile(spark, sf_dir):
     return ST.flatten_profile(stack_profile(spark, sf_dir))
+
+# --------------------------------------------------------------------------- profile, architecture, rules
+from repolens.operators import architecture as AR  # noqa: E402
+from repolens.operators import profile as PR  # noqa: E402
+from repolens.operators import rules as RU  # noqa: E402
+from repolens.oracle import profile_sql as OP  # noqa: E402
+
+
+def repo_profile(spark, sf_dir):
+    return PR.repo_profile(FF.corpus_facts(spark, sf_dir))
+
+
+@register("architecture", lambda: f"""WITH {OP.profile_ctes()}, {OP.architecture_cte()}
+SELECT * FROM architecture_flat""")
+def q_architecture(spark, sf_dir):
+    return AR.flatten_architecture(AR.architecture(repo_profile(spark, sf_dir)))
+
+
+@register("rule_findings", lambda: f"""WITH {OP.profile_ctes()}, {OP.findings_cte()}
+SELECT repo_id, rank, CAST(rule_ord AS INTEGER) AS rule_ord, rule_id, category, severity, current, suggested,
+       reason, benefit, effort, priority, tags, evidence FROM findings""")
+def q_rule_findings(spark, sf_dir):
+    f = RU.rule_findings(RU.rule_results(repo_profile(spark, sf_dir)))
+    return f.select(*[c for c in f.columns if c not in ("tags", "evidence")],
+                    F.array_join("tags", ",").alias("tags"), F.array_join("evidence", "; ").alias("evidence"))
+
+
+@register("rule_counts", lambda: f"""WITH {OP.profile_ctes()}, {OP.findings_cte()}
+SELECT p.repo_id, CAST(count(f.rule_id) AS BIGINT) AS total_findings,
+       CAST(count(*) FILTER (WHERE f.severity = 'critical') AS BIGINT) AS critical_count,
+       CAST(count(*) FILTER (WHERE f.severity = 'warning') AS BIGINT) AS warning_count,
+       CAST(count(*) FILTER (WHERE f.severity = 'info') AS BIGINT) AS info_count
+FROM profile p LEFT JOIN findings f ON p.repo_id = f.repo_id GROUP BY p.repo_id""")
+def q_rule_counts(spark, sf_dir):
+    return RU.rule_results(repo_profile(spark, sf_dir)).drop("findings")
+
+
+@register("rule_findings_text", lambda: f"""WITH {OP.profile_ctes()}, {OP.findings_cte()}
+SELECT p.repo_id, coalesce(string_agg('[' || upper(f.severity) || '] ' || f.category || ': ' || f.current || ' -> '
+         || f.suggested || chr(10) || 'Evidence: ' || f.evidence || chr(10) || 'Reason: ' || f.reason || chr(10)
+         || 'Benefit: ' || f.benefit, chr(10) || chr(10) ORDER BY f.rank), '{RU.NO_FINDINGS_TEXT}') AS rule_text
+FROM profile p LEFT JOIN findings f ON p.repo_id = f.repo_id GROUP BY p.repo_id""")
+def q_rule_findings_text(spark, sf_dir):
+    return RU.findings_text(RU.rule_results(repo_profile(spark, sf_dir)))
+
+
+def repo_health(profile):
+    """Flagship: per repository size, complexity, architecture and rule counts.
+
+    Architecture and rule counts are column expressions over the same profile
+    row: one scan, one projection, no join.
+    """
+    patterns = AR.architecture_columns()["patterns"]
+    df = profile.select("repo_id", "language", "project_type", "file_count", "line_count",
+                        "average_complexity", "max_complexity", "duplication_risk",
+                        F.array_join(patterns, ", ").alias("patterns"), RU.findings_array().alias("findings"))
+    return RU.with_counts(df).drop("findings")
+
+
+@register("repo_health", lambda: f"""WITH {OP.profile_ctes()}, {OP.architecture_cte()}, {OP.findings_cte()},
+counts AS (
+  SELECT p.repo_id, CAST(count(f.rule_id) AS BIGINT) AS total_findings,
+         CAST(count(*) FILTER (WHERE f.severity = 'critical') AS BIGINT) AS critical_count,
+         CAST(count(*) FILTER (WHERE f.severity = 'warning') AS BIGINT) AS warning_count,
+         CAST(count(*) FILTER (WHERE f.severity = 'info') AS BIGINT) AS info_count
+  FROM profile p LEFT JOIN findings f ON p.repo_id = f.repo_id GROUP BY p.repo_id)
+SELECT p.repo_id, p.language, p.project_type, p.file_count, p.line_count, p.average_complexity,
+       p.max_complexity, p.duplication_risk, a.patterns, c.total_findings, c.critical_count, c.warning_count,
+       c.info_count
+FROM profile p JOIN architecture_flat a ON p.repo_id = a.repo_id JOIN counts c ON p.repo_id = c.repo_id""")
+def q_repo_health(spark, sf_dir):
+    return repo_health(repo_profile(spark, sf_dir))
