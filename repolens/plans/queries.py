@@ -133,3 +133,65 @@ SELECT p.repo_id, p.language, p.project_type, p.file_count, p.line_count, p.aver
 FROM profile p JOIN architecture_flat a ON p.repo_id = a.repo_id JOIN counts c ON p.repo_id = c.repo_id""")
 def q_repo_health(spark, sf_dir):
     return repo_health(repo_profile(spark, sf_dir))
+
+# --------------------------------------------------------------------------- security text
+from repolens.functions import text as TX  # noqa: E402
+from repolens.operators import secrets as SC  # noqa: E402
+from repolens.oracle import security_sql as OSEC  # noqa: E402
+from repolens.sources.corpus import repo_files  # noqa: E402
+from repolens.sources.tables import read_table  # noqa: E402
+
+
+@register("scan_secrets", lambda: f"""WITH {O.file_facts_cte()}, {OSEC.secrets_cte()}
+SELECT repo_id, path, line, type, severity, match FROM secret_findings""")
+def q_scan_secrets(spark, sf_dir):
+    return SC.scan_secrets(repo_files(spark, sf_dir)).drop("pattern_ord")
+
+
+@register("scan_pages", lambda: f"""WITH page_lines AS (
+  SELECT page_id, CAST(generate_subscripts(string_split(html, chr(10)), 1) AS INTEGER) AS line,
+         unnest(string_split(html, chr(10))) AS text FROM pages),
+hits AS ({OSEC.line_hits('page_lines', 'page_id, line')})
+SELECT page_id, line, type, severity, match FROM hits""")
+def q_scan_pages(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "html"])
+    lines = pages.select("page_id", F.posexplode(F.split("html", "\n")).alias("pos", "line")) \
+        .select("page_id", (F.col("pos") + 1).cast("int").alias("line_no"), "line")
+    return SC.line_findings(lines).withColumnRenamed("line_no", "line").drop("pattern_ord")
+
+
+@register("scrub_conversations", lambda: f"""SELECT conv_id, turn, {TX.sql_scrub('text')} AS scrubbed,
+  {TX.sql_scrub('text')} <> text AS changed FROM conversations""")
+def q_scrub_conversations(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    scrubbed = TX.scrub_secrets(F.col("text"))
+    return conv.select("conv_id", "turn", scrubbed.alias("scrubbed"), (scrubbed != F.col("text")).alias("changed"))
+
+
+TOKEN_VALUE = r'token = "([0-9a-f]{40})"'
+
+
+@register("mask_tokens", lambda: f"""SELECT doc_id, CAST(generate_subscripts(regexp_extract_all(text, {TX.sql_str(TOKEN_VALUE)}, 1), 1) AS INTEGER) AS ord,
+  {TX.sql_mask('unnest(regexp_extract_all(text, ' + TX.sql_str(TOKEN_VALUE) + ', 1))')} AS masked
+FROM documents WHERE regexp_matches(text, {TX.sql_str(TOKEN_VALUE)})""")
+def q_mask_tokens(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = docs.where(F.col("text").rlike(TOKEN_VALUE)).select(
+        "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_VALUE), 1)).alias("pos", "tok"))
+    return found.select("doc_id", (F.col("pos") + 1).cast("int").alias("ord"), TX.mask_secret(F.col("tok")).alias("masked"))
+
+
+@register("validate_targets", lambda: f"""SELECT page_id, url, {OSEC.target_verdict_sql('url')} AS reason,
+  ({OSEC.target_verdict_sql('url')}) IS NULL AS valid FROM pages""")
+def q_validate_targets(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    verdict = SC.target_verdict(F.col("url"))
+    return pages.select("page_id", "url", verdict.alias("reason"), verdict.isNull().alias("valid"))
+
+
+@register("non_http_projects", lambda: f"""WITH {OP.profile_ctes()}
+SELECT repo_id, project_type, (project_type IN ({', '.join(TX.sql_str(t) for t in SC.NON_HTTP_TYPES)})
+  OR regexp_matches(project_type, {TX.sql_str(SC.NON_HTTP_RE)})) AS non_http FROM stack""")
+def q_non_http_projects(spark, sf_dir):
+    prof = stack_profile(spark, sf_dir)
+    return prof.select("repo_id", "project_type", SC.is_non_http(F.col("project_type")).alias("non_http"))
