@@ -195,3 +195,36 @@ SELECT repo_id, project_type, (project_type IN ({', '.join(TX.sql_str(t) for t i
 def q_non_http_projects(spark, sf_dir):
     prof = stack_profile(spark, sf_dir)
     return prof.select("repo_id", "project_type", SC.is_non_http(F.col("project_type")).alias("non_http"))
+
+# --------------------------------------------------------------------------- dependency audit
+from repolens.operators import audit as AU  # noqa: E402
+
+_AUDIT_BASE = """audit_base AS (
+  SELECT l_orderkey AS repo_id, l_linenumber, l_returnflag, l_partkey, p_name,
+         CASE l_linenumber % 6 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'moderate'
+              WHEN 3 THEN 'low' WHEN 4 THEN 'info' END AS sev,
+         CASE WHEN l_orderkey % 7 <> 0 AND l_orderkey % 5 = 0 THEN 'v6' ELSE 'v7' END AS format,
+         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS INTEGER) AS pos
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 11 <> 0)"""
+
+
+@register("audit_rollup", lambda: f"""WITH {_AUDIT_BASE}
+SELECT repo_id, CAST(count(*) FILTER (WHERE sev = 'critical') AS BIGINT) AS critical,
+  CAST(count(*) FILTER (WHERE sev = 'high') AS BIGINT) AS high,
+  CAST(count(*) FILTER (WHERE sev = 'moderate') AS BIGINT) AS moderate,
+  CAST(count(*) FILTER (WHERE sev IS NULL OR sev NOT IN ('critical', 'high', 'moderate')) AS BIGINT) AS low,
+  CAST(count(*) AS BIGINT) AS total
+FROM audit_base GROUP BY repo_id""")
+def q_audit_rollup(spark, sf_dir):
+    return AU.audit_rollup(AU.parse_audit(AU.derive_audit_reports(spark, sf_dir)))
+
+
+@register("audit_advisories", lambda: f"""WITH {_AUDIT_BASE}
+SELECT repo_id, pos,
+  CASE WHEN format = 'v6' THEN p_name ELSE p_name || '#' || pos END AS name,
+  coalesce(sev, 'low') AS severity,
+  CASE WHEN format = 'v6' OR l_returnflag = 'R' THEN 'Advisory for ' || p_name ELSE p_name || '#' || pos END AS title,
+  CASE WHEN format = 'v6' OR l_returnflag = 'R' THEN '{AU.ADVISORY_URL}' || l_partkey ELSE '' END AS url
+FROM audit_base WHERE format = 'v6' OR l_returnflag IN ('R', 'N')""")
+def q_audit_advisories(spark, sf_dir):
+    return AU.audit_advisories(AU.parse_audit(AU.derive_audit_reports(spark, sf_dir)))
