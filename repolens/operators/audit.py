@@ -121,7 +121,10 @@ def audit_rollup(parsed: DataFrame) -> DataFrame:
 
     def n(pred):
         return F.size(F.filter("sev", pred)).cast("bigint")
-    return df.select("repo_id", *[n(lambda x, b=b: x == b).alias(b) for b in BUCKETS],
+
+    def is_(b):
+        return lambda x: x == b
+    return df.select("repo_id", *[n(is_(b)).alias(b) for b in BUCKETS],
                      n(lambda x: ~x.isin(*BUCKETS)).alias("low"), F.size("sev").cast("bigint").alias("total"))
 
 
