@@ -228,3 +228,35 @@ SELECT repo_id, pos,
 FROM audit_base WHERE format = 'v6' OR l_returnflag IN ('R', 'N')""")
 def q_audit_advisories(spark, sf_dir):
     return AU.audit_advisories(AU.parse_audit(AU.derive_audit_reports(spark, sf_dir)))
+
+# --------------------------------------------------------------------------- request log replay
+from repolens.operators import quota as QU  # noqa: E402
+from repolens.oracle import quota_sql as OQ  # noqa: E402
+from repolens.sources import request_log as RLOG  # noqa: E402
+
+# Test limits: the driver's request rates never reach the production limits
+# (at most 10 requests per user-day), so the registered replays use tight ones.
+GATE_WINDOW_S, GATE_LIMIT, GATE_DAILY = 21_600, 2, 3
+FW_RPM, FW_RPD = 1, 20
+
+
+@register("request_gate", lambda: "WITH RECURSIVE " + OQ.gate_ctes(GATE_WINDOW_S, GATE_LIMIT, GATE_DAILY)
+          + "\nSELECT event_id, status, reason, retry_after FROM gate")
+def q_request_gate(spark, sf_dir):
+    return QU.request_gate(RLOG.request_log(spark, sf_dir), RLOG.token_states(spark, sf_dir),
+                           window_s=GATE_WINDOW_S, limit=GATE_LIMIT, daily=GATE_DAILY)
+
+
+def _tight_limits(spark):
+    return RLOG.model_limits(spark, [(m, lbl, FW_RPM, FW_RPD) for m, lbl, _, _ in RLOG.MODEL_LIMITS])
+
+
+@register("fixed_window_quota", lambda: "WITH " + OQ.fixed_window_sql(FW_RPM, FW_RPD)
+          + "\nSELECT event_id, model, allowed, reason, retry_after_ms FROM fixed_window")
+def q_fixed_window_quota(spark, sf_dir):
+    return QU.fixed_window_quota(RLOG.request_log(spark, sf_dir), _tight_limits(spark), (None, FW_RPM, FW_RPD))
+
+
+@register("ttl_cache_replay", lambda: "WITH RECURSIVE " + OQ.cache_sql() + "\nSELECT event_id, key, hit FROM cache_replay")
+def q_ttl_cache_replay(spark, sf_dir):
+    return QU.ttl_cache_replay(RLOG.cache_lookups(RLOG.request_log(spark, sf_dir)))
