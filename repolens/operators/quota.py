@@ -219,16 +219,10 @@ def sliding_and_daily(reqs: DataFrame, window_s: int = SLIDING_WINDOW_SECONDS,
 
 # ---- J6 + J7: token binding and the request gate -------------------------------
 
-def request_gate(log: DataFrame, tokens: DataFrame, *, min_version: str = MIN_VERSION,
-                 window_s: int = SLIDING_WINDOW_SECONDS, limit: int = SLIDING_MAX_REQUESTS,
-                 daily: int = DAILY_TOKEN_LIMIT, max_body: int = MAX_BODY_BYTES,
-                 allowed: list[str] | None = None, configured_providers=("groq",)) -> DataFrame:
-    """Status of every request; the first failing gate decides.
-
-    Quotas are consumed by requests that pass the route/agent/bearer/version/
-    signature/auth gates, before the body-size, JSON and model checks.
-    """
-    allowed = allowed or allowed_models()
+def gate_stages(log: DataFrame, tokens: DataFrame, *, min_version: str = MIN_VERSION,
+                window_s: int = SLIDING_WINDOW_SECONDS, limit: int = SLIDING_MAX_REQUESTS,
+                daily: int = DAILY_TOKEN_LIMIT) -> DataFrame:
+    """Per request: pre-auth status, auth verdict (J6) and quota verdicts."""
     bearer = F.col("auth_header").startswith("Bearer ")
     token = F.when(bearer, F.substring("auth_header", 8, 1 << 20))
     sig_reason = clock_skew_reason(F.col("client_ts"), F.col("signature"), F.col("sec"), F.col("sig_ok"))
@@ -259,7 +253,20 @@ def request_gate(log: DataFrame, tokens: DataFrame, *, min_version: str = MIN_VE
     limited = base.where(F.col("pre_status").isNull() & F.col("auth_reason").isNull()) \
         .select("event_id", F.col("bearer_token").alias("token"), "sec", "ts", "ts_ms")
     quota = sliding_and_daily(limited, window_s, limit, daily)
-    g = base.join(quota, "event_id", "left")
+    return base.join(quota, "event_id", "left")
+
+
+def request_gate(log: DataFrame, tokens: DataFrame, *, min_version: str = MIN_VERSION,
+                 window_s: int = SLIDING_WINDOW_SECONDS, limit: int = SLIDING_MAX_REQUESTS,
+                 daily: int = DAILY_TOKEN_LIMIT, max_body: int = MAX_BODY_BYTES,
+                 allowed: list[str] | None = None, configured_providers=("groq",)) -> DataFrame:
+    """Status of every request; the first failing gate decides.
+
+    Quotas are consumed by requests that pass the route/agent/bearer/version/
+    signature/auth gates, before the body-size, JSON and model checks.
+    """
+    allowed = allowed or allowed_models()
+    g = gate_stages(log, tokens, min_version=min_version, window_s=window_s, limit=limit, daily=daily)
     model_ok = (F.col("model") != "") & F.col("model").isin(*allowed)
     provider_known = F.col("provider").isin(*SUPPORTED_PROVIDERS)
     status = (F.when(F.col("pre_status").isNotNull(), F.col("pre_status"))

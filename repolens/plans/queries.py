@@ -260,3 +260,88 @@ def q_fixed_window_quota(spark, sf_dir):
 @register("ttl_cache_replay", lambda: "WITH RECURSIVE " + OQ.cache_sql() + "\nSELECT event_id, key, hit FROM cache_replay")
 def q_ttl_cache_replay(spark, sf_dir):
     return QU.ttl_cache_replay(RLOG.cache_lookups(RLOG.request_log(spark, sf_dir)))
+
+
+def _gate(spark, sf_dir):
+    return QU.gate_stages(RLOG.request_log(spark, sf_dir), RLOG.token_states(spark, sf_dir),
+                          window_s=GATE_WINDOW_S, limit=GATE_LIMIT, daily=GATE_DAILY)
+
+
+@register("sliding_window_limit", lambda: "WITH RECURSIVE " + OQ.gate_ctes(GATE_WINDOW_S, GATE_LIMIT, GATE_DAILY)
+          + "\nSELECT event_id, slide_ok, CAST(slide_retry AS BIGINT) AS slide_retry FROM quota")
+def q_sliding_window_limit(spark, sf_dir):
+    return _gate(spark, sf_dir).where(F.col("slide_ok").isNotNull()).select(
+        "event_id", "slide_ok", F.col("slide_retry").cast("bigint").alias("slide_retry"))
+
+
+@register("daily_token_quota", lambda: "WITH RECURSIVE " + OQ.gate_ctes(GATE_WINDOW_S, GATE_LIMIT, GATE_DAILY)
+          + "\nSELECT event_id, daily_ok, CAST(daily_retry AS BIGINT) AS daily_retry FROM quota WHERE slide_ok")
+def q_daily_token_quota(spark, sf_dir):
+    return _gate(spark, sf_dir).where(F.col("slide_ok")).select("event_id", "daily_ok", "daily_retry")
+
+
+@register("token_binding", lambda: "WITH " + OQ.gate_ctes(GATE_WINDOW_S, GATE_LIMIT, GATE_DAILY).split(",\nlimited AS")[0]
+          + "\nSELECT event_id, bearer_token AS token, auth_reason IS NULL AS auth_ok, auth_reason FROM g4 WHERE pre_status IS NULL")
+def q_token_binding(spark, sf_dir):
+    return _gate(spark, sf_dir).where(F.col("pre_status").isNull()).select(
+        "event_id", F.col("bearer_token").alias("token"), F.col("auth_reason").isNull().alias("auth_ok"), "auth_reason")
+
+
+@register("version_gate", lambda: f"""WITH {RLOG.request_log_cte()}
+SELECT event_id, version, {OQ.version_ok_sql('version')} AS version_ok FROM request_log""")
+def q_version_gate(spark, sf_dir):
+    log = RLOG.request_log(spark, sf_dir)
+    return log.select("event_id", "version", QU.version_at_least(F.col("version")).alias("version_ok"))
+
+
+@register("clock_skew_filter", lambda: "WITH " + OQ.gate_ctes(GATE_WINDOW_S, GATE_LIMIT, GATE_DAILY).split(",\ng2 AS")[0]
+          + "\nSELECT event_id, client_ts, parsed_ts, sig_reason FROM g1")
+def q_clock_skew_filter(spark, sf_dir):
+    log = RLOG.request_log(spark, sf_dir)
+    return log.select("event_id", "client_ts", QU.parse_client_ts(F.col("client_ts")).alias("parsed_ts"),
+                      QU.clock_skew_reason(F.col("client_ts"), F.col("signature"), F.col("sec"), F.col("sig_ok"))
+                      .alias("sig_reason"))
+
+
+@register("allowed_model_filter", lambda: f"""WITH {RLOG.request_log_cte()}
+SELECT event_id, model, model <> '' AND model IN ({', '.join(TX.sql_str(m) for m in QU.allowed_models())}) AS allowed
+FROM request_log""")
+def q_allowed_model_filter(spark, sf_dir):
+    log = RLOG.request_log(spark, sf_dir)
+    allowed = QU.allowed_models()
+    return log.select("event_id", "model", ((F.col("model") != "") & F.col("model").isin(*allowed)).alias("allowed"))
+
+
+def _limits_values():
+    return ", ".join(f"({TX.sql_str(m)}, {TX.sql_str(lbl)}, {rpm}, {rpd})" for m, lbl, rpm, rpd in RLOG.MODEL_LIMITS)
+
+
+@register("quota_usage", lambda: f"""WITH {RLOG.request_log_cte()},
+limits(model, label, rpm, rpd) AS (VALUES {_limits_values()}),
+fw AS (SELECT r.event_id, r.ts, r.ts_ms, r.model, r.ts_ms - r.ts_ms % 60000 AS minute, r.ts_ms - r.ts_ms % 86400000 AS day,
+              coalesce(l.rpm, {RLOG.DEFAULT_LIMITS[1]}) AS rpm, coalesce(l.rpd, {RLOG.DEFAULT_LIMITS[2]}) AS rpd
+       FROM request_log r LEFT JOIN limits l ON l.model = r.model),
+per_min AS (SELECT model, day, minute, any_value(rpm) AS rpm, any_value(rpd) AS rpd, count(*) AS n FROM fw GROUP BY model, day, minute),
+caps AS (SELECT model, minute, greatest(0, least(rpm, rpd - least(rpd, coalesce(sum(least(n, rpm)) OVER (
+    PARTITION BY model, day ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))) AS cap FROM per_min),
+allowed AS (SELECT f.event_id, f.model, f.ts_ms FROM (
+    SELECT *, row_number() OVER (PARTITION BY model, minute ORDER BY ts, event_id) AS r FROM fw) f
+  JOIN caps c ON c.model = f.model AND c.minute = f.minute WHERE r <= cap),
+nowt AS (SELECT max(ts_ms) AS now, max(ts_ms) - max(ts_ms) % 60000 AS m0, max(ts_ms) - max(ts_ms) % 86400000 AS d0 FROM request_log),
+usage AS (SELECT a.model, count(*) FILTER (WHERE ts_ms >= m0 AND ts_ms <= now) AS minute_used,
+                 count(*) FILTER (WHERE ts_ms >= d0 AND ts_ms <= now) AS day_used FROM allowed a, nowt GROUP BY a.model)
+SELECT l.model, l.label, CAST(coalesce(minute_used, 0) AS BIGINT) AS minute_used, CAST(l.rpm AS BIGINT) AS minute_limit,
+  CAST(coalesce(day_used, 0) AS BIGINT) AS day_used, CAST(l.rpd AS BIGINT) AS day_limit,
+  CASE WHEN coalesce(minute_used, 0) / l.rpm >= 1 THEN 'limit' WHEN coalesce(minute_used, 0) / l.rpm >= 0.8 THEN 'warning' ELSE 'ok' END AS minute_status,
+  CASE WHEN coalesce(day_used, 0) / l.rpd >= 1 THEN 'limit' WHEN coalesce(day_used, 0) / l.rpd >= 0.8 THEN 'warning' ELSE 'ok' END AS day_status
+FROM limits l LEFT JOIN usage u ON u.model = l.model""")
+def q_quota_usage(spark, sf_dir):
+    log = RLOG.request_log(spark, sf_dir)
+    limits = RLOG.model_limits(spark)
+    return QU.quota_usage(log, QU.fixed_window_quota(log, limits), limits)
+
+
+@register("registration_limit")
+def q_registration_limit(spark, sf_dir):
+    log = RLOG.request_log(spark, sf_dir)
+    return QU.registration_limit(log.where(F.col("event_type") == "signup"))
