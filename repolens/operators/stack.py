@@ -190,8 +190,8 @@ def stack_profile(markers: DataFrame, passthrough=()) -> DataFrame:
     all_deps = F.concat(deps, dev)
     df = markers.select("*", node_parsed.alias("node_parsed"), node.alias("node"),
                         deps.alias("dependencies"), dev.alias("dev_dependencies"), v.alias("_pkg_v"))
-    node, all_deps, dev = F.col("node"), F.concat(F.col("dependencies"), F.col("dev_dependencies")), \
-        F.col("dev_dependencies")
+    df = df.select("*", F.concat(F.col("dependencies"), F.col("dev_dependencies")).alias("_all_deps"))
+    node, all_deps, dev = F.col("node"), F.col("_all_deps"), F.col("dev_dependencies")
 
     req_exists, py_exists = _exists("requirements.txt"), _exists("requirements.txt") | _exists("pyproject.toml")
     go, rust, java = _exists("go.mod"), _exists("Cargo.toml"), _exists("pom.xml")
@@ -204,9 +204,11 @@ def stack_profile(markers: DataFrame, passthrough=()) -> DataFrame:
     def branch(cond, arr):
         return F.when(cond, arr).otherwise(empty)
 
+    # Node-branch labels per facet, materialised once (reused by facets and type inference)
+    df = df.select("*", *[branch(node, _catalog_labels(f, all_deps, dev)).alias(f"_node_{f}") for f in FACETS])
     facet_cols = {}
     for facet in FACETS:
-        parts = [branch(node, _catalog_labels(facet, all_deps, dev))]
+        parts = [F.col(f"_node_{facet}")]
         parts.append(branch(py_exists & req_exists, _needle_labels("requirements.txt", facet, req_text)))
         parts.append(branch(go, _needle_labels("go.mod", facet, go_text)))
         parts.append(branch(rust, _needle_labels("Cargo.toml", facet, cargo_text)))
@@ -246,7 +248,7 @@ def stack_profile(markers: DataFrame, passthrough=()) -> DataFrame:
         .when(F.coalesce(browser_ext, F.lit(False)), F.lit("Browser Extension"))
         .when(F.coalesce(bin_truthy, F.lit(False)) & ~_contains_any(all_deps, CLI_EXCLUDED_FRONTEND)
               & ~_contains_any(all_deps, CLI_EXCLUDED_BACKEND), F.lit("CLI Tool")))
-    node_front, node_back = _catalog_labels("frontend", all_deps, dev), _catalog_labels("backend", all_deps, dev)
+    node_front, node_back = F.col("_node_frontend"), F.col("_node_backend")
     inferred = (F.when(F.array_contains(node_front, "Next.js"), F.lit("Full-Stack Web App (Next.js)"))
                 .when((F.size(node_front) > 0) & (F.size(node_back) > 0), F.lit("Full-Stack Web App"))
                 .when(F.size(node_front) > 0, F.lit("Frontend Web App"))

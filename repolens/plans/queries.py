@@ -197,7 +197,7 @@ def q_non_http_projects(spark, sf_dir):
     return prof.select("repo_id", "project_type", SC.is_non_http(F.col("project_type")).alias("non_http"))
 
 # --------------------------------------------------------------------------- dependency audit
-from repolens.operators import audit as AU  # noqa: E402
+from repolens.operators import audit as AU  # noqa: E402,F811
 
 _AUDIT_BASE = """audit_base AS (
   SELECT l_orderkey AS repo_id, l_linenumber, l_returnflag, l_partkey, p_name,
@@ -345,3 +345,167 @@ def q_quota_usage(spark, sf_dir):
 def q_registration_limit(spark, sf_dir):
     log = RLOG.request_log(spark, sf_dir)
     return QU.registration_limit(log.where(F.col("event_type") == "signup"))
+
+# --------------------------------------------------------------------------- AI batch tables
+from repolens.operators import ai as AI  # noqa: E402
+
+
+def _summary_sql() -> str:
+    def listed(c):
+        return f"CASE WHEN len({c}) > 0 THEN array_to_string({c}, ', ') ELSE '{AI.NONE_DETECTED}' END"
+    parts = ["'PROJECT TYPE: ' || project_type", "''", "'FRONTEND'", listed("frontend"), "''",
+             "'BACKEND'", listed("backend"), "''", "'DATABASE'", listed("databases"), "''",
+             "'STYLING'", listed("styling"), "''", "'LANGUAGE'", "language", "''",
+             "'PACKAGE MANAGER'", "coalesce(nullif(package_manager, ''), 'Unknown')", "''",
+             "'API ROUTES'", "CAST(api_route_count AS VARCHAR)", "''",
+             "'COMPONENT COUNT'", "CAST(component_count AS VARCHAR)", "''",
+             "'FILE COUNT'", "CAST(file_count AS VARCHAR)", "''",
+             "'DEPENDENCIES'", f"array_to_string(list_slice(dependencies, 1, {AI.SUMMARY_DEPS}), ' ')", "''",
+             "'DEV DEPENDENCIES'", f"array_to_string(list_slice(dev_dependencies, 1, {AI.SUMMARY_DEV_DEPS}), ' ')"]
+    return f"summaries AS (SELECT repo_id, concat_ws(chr(10), {', '.join(parts)}) AS summary FROM profile)"
+
+
+def _summaries(spark, sf_dir):
+    prof = repo_profile(spark, sf_dir)
+    return prof, AI.project_summary(prof)
+
+
+@register("project_summary", lambda: f"""WITH {OP.profile_ctes()}, {_summary_sql()}
+SELECT repo_id, summary FROM summaries""")
+def q_project_summary(spark, sf_dir):
+    return _summaries(spark, sf_dir)[1]
+
+
+@register("summary_cache_key", lambda: f"""WITH {OP.profile_ctes()}, {_summary_sql()},
+k AS (SELECT repo_id, substr(sha256(summary), 1, 16) AS summary_hash,
+             'analysis:{AI.ANALYSIS_MODEL}:' || substr(sha256(summary), 1, 16) AS cache_key FROM summaries)
+SELECT repo_id, summary_hash, cache_key, substr(sha256(cache_key), 1, 16) AS cache_file FROM k""")
+def q_summary_cache_key(spark, sf_dir):
+    s = _summaries(spark, sf_dir)[1]
+    key = AI.cache_key("analysis", AI.ANALYSIS_MODEL, F.col("summary"))
+    return s.select("repo_id", AI.summary_hash(F.col("summary")).alias("summary_hash"), key.alias("cache_key"),
+                    AI.cache_file_key(key).alias("cache_file"))
+
+
+@register("analysis_requests", lambda: f"""WITH {OP.profile_ctes()}, {_summary_sql()}, {OP.architecture_cte()}
+SELECT p.repo_id, 'analysis' AS kind, '{AI.ANALYSIS_MODEL}' AS model,
+  'analysis:{AI.ANALYSIS_MODEL}:' || substr(sha256(s.summary), 1, 16) AS cache_key,
+  concat_ws(chr(10), 'PROJECT CONTEXT (pre-detected):', '- Project Type: ' || p.project_type,
+    '- TypeScript Detected: ' || CASE WHEN p.has_typescript THEN 'YES' ELSE 'NO' END,
+    '- Test Files Found: ' || p.test_file_count,
+    '- Architecture Patterns: ' || coalesce(nullif(a.patterns, ''), 'unknown'))
+  || chr(10) || chr(10) || 'Analyse this project summary and answer with JSON only:' || chr(10) || chr(10) || s.summary AS prompt
+FROM profile p JOIN summaries s ON s.repo_id = p.repo_id LEFT JOIN architecture_flat a ON a.repo_id = p.repo_id""")
+def q_analysis_requests(spark, sf_dir):
+    prof, summ = _summaries(spark, sf_dir)
+    pats = AR.architecture(prof).select("repo_id", F.array_join("patterns", ", ").alias("patterns"))
+    return AI.analysis_requests(prof, summ, pats)
+
+
+def _responses(spark, sf_dir):
+    return AI.derive_ai_responses(spark, sf_dir)
+
+
+@register("reasoning_requests")
+def q_reasoning_requests(spark, sf_dir):
+    prof, summ = _summaries(spark, sf_dir)
+    analysis = AI.accepted(_responses(spark, sf_dir), "analysis").select(
+        "repo_id", F.to_json(AI.normalize_analysis(F.col("content"))).alias("analysis_json"))
+    text = RU.findings_text(RU.rule_results(prof))
+    return AI.reasoning_requests(prof, summ, analysis, text)
+
+
+@register("security_requests")
+def q_security_requests(spark, sf_dir):
+    files = repo_files(spark, sf_dir)
+    prof, summ = _summaries(spark, sf_dir)
+    lock = prof.select("repo_id")  # audit runs only where a root package-lock.json exists (A2)
+    with_lock = ST.repo_markers(FF.corpus_facts(spark, sf_dir)).where(F.col(ST.marker_col("package-lock.json"))) \
+        .select("repo_id")
+    audit = AU.audit_rollup(AU.parse_audit(AU.derive_audit_reports(spark, sf_dir))).join(with_lock, "repo_id", "left_semi")
+    secrets = SC.scan_secrets(files).groupBy("repo_id").agg(F.count(F.lit(1)).alias("secret_findings"))
+    top = CX.high_complexity_files(FF.file_facts(files), 5).groupBy("repo_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("top_files"))
+    del lock
+    return AI.security_requests(prof, summ, audit, secrets, top, SC.is_non_http(F.col("project_type")))
+
+
+@register("deployment_requests", lambda: f"""WITH {OP.profile_ctes()}, {_summary_sql()}
+SELECT p.repo_id, 'deployment' AS kind, '{AI.REASONING_MODEL}' AS model,
+  'deployment:{AI.REASONING_MODEL}:' || substr(sha256(s.summary), 1, 16) AS cache_key,
+  concat_ws(chr(10), '- Project Type: ' || p.project_type,
+    '- Docker: ' || CASE WHEN p.has_docker THEN 'YES' ELSE 'NO' END,
+    '- CI/CD: ' || CASE WHEN p.has_ci THEN 'YES' ELSE 'NO' END,
+    '- Files: ' || p.file_count, '- Test Files Found: ' || p.test_file_count,
+    CASE WHEN p.project_type IN ({', '.join(TX.sql_str(t) for t in SC.NON_HTTP_TYPES)})
+          OR regexp_matches(p.project_type, {TX.sql_str(SC.NON_HTTP_RE)}) THEN 'THIS PROJECT IS NOT A SERVER.' END,
+    '', s.summary) AS prompt
+FROM profile p JOIN summaries s ON s.repo_id = p.repo_id""")
+def q_deployment_requests(spark, sf_dir):
+    prof, summ = _summaries(spark, sf_dir)
+    return AI.deployment_requests(prof, summ, SC.is_non_http(F.col("project_type")))
+
+
+@register("scan_ai_responses")
+def q_scan_ai_responses(spark, sf_dir):
+    return AI.scan_ai_responses(_responses(spark, sf_dir))
+
+
+@register("normalize_analysis")
+def q_normalize_analysis(spark, sf_dir):
+    a = AI.accepted(_responses(spark, sf_dir), "analysis").select("repo_id", AI.normalize_analysis(F.col("content")).alias("a"))
+    return a.select("repo_id", F.array_join("a.frameworks", ", ").alias("frameworks"),
+                    F.array_join("a.patterns", ", ").alias("patterns"), F.array_join("a.concerns", ", ").alias("concerns"),
+                    F.col("a.projectType").alias("project_type"), F.col("a.summary").alias("summary"))
+
+
+@register("normalize_suggestions")
+def q_normalize_suggestions(spark, sf_dir):
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
+    return r.select("repo_id", F.posexplode("r.suggestions").alias("pos", "s")).select("repo_id", "pos", "s.*")
+
+
+@register("normalize_scores")
+def q_normalize_scores(spark, sf_dir):
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
+    return r.select("repo_id", *[F.col(f"r.scores.{side}.{d}").alias(f"{side}_{d}")
+                                 for side in ("current", "optimized") for d in AI.SCORE_DIMENSIONS])
+
+
+@register("normalize_security")
+def q_normalize_security(spark, sf_dir):
+    r = AI.accepted(_responses(spark, sf_dir), "security").select("repo_id", AI.normalize_security(F.col("content")).alias("s"))
+    return r.select("repo_id", F.col("s.score").alias("score"), F.size("s.findings").alias("n_findings"),
+                    F.array_join("s.strengths", ", ").alias("strengths"), F.col("s.summary").alias("summary"))
+
+
+@register("normalize_deployment")
+def q_normalize_deployment(spark, sf_dir):
+    r = AI.accepted(_responses(spark, sf_dir), "deployment").select("repo_id", AI.normalize_deployment(F.col("content")).alias("d"))
+    return r.select("repo_id", F.col("d.score").alias("score"), F.size("d.recommendations").alias("n_recommendations"),
+                    F.array_join("d.strengths", ", ").alias("strengths"), F.col("d.summary").alias("summary"))
+
+
+@register("ai_severity_counts")
+def q_ai_severity_counts(spark, sf_dir):
+    resp = _responses(spark, sf_dir)
+    sec = AI.accepted(resp, "security").select("repo_id", AI.normalize_security(F.col("content")).alias("s"))
+    dep = AI.accepted(resp, "deployment").select("repo_id", AI.normalize_deployment(F.col("content")).alias("d"))
+    return (sec.select("repo_id", *AI.severity_counts(F.col("s.findings"), "severity", AI.SECURITY_SEVERITIES))
+            .join(dep.select("repo_id", *AI.severity_counts(F.col("d.recommendations"), "priority", AI.DEPLOY_PRIORITIES)),
+                  "repo_id", "full"))
+
+
+@register("merge_suggestions")
+def q_merge_suggestions(spark, sf_dir):
+    res = RU.rule_results(repo_profile(spark, sf_dir))
+    m = AI.merged_suggestions(res, _responses(spark, sf_dir))
+    return m.select("repo_id", F.posexplode("merged").alias("pos", "m")).select(
+        "repo_id", (F.col("pos") + 1).alias("rank"), "m.id", "m.source", "m.category", "m.current", "m.suggested",
+        "m.priority", "m.effort")
+
+
+@register("score_delta")
+def q_score_delta(spark, sf_dir):
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
+    return r.select("repo_id", F.explode(AI.score_delta(F.col("r"))).alias("d")).select("repo_id", "d.*")
