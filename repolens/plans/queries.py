@@ -509,3 +509,91 @@ def q_merge_suggestions(spark, sf_dir):
 def q_score_delta(spark, sf_dir):
     r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
     return r.select("repo_id", F.explode(AI.score_delta(F.col("r"))).alias("d")).select("repo_id", "d.*")
+
+# --------------------------------------------------------------------------- reports
+from repolens.operators import report as RP  # noqa: E402
+
+
+def _compare_sql() -> str:
+    def listed(c):
+        return f"CASE WHEN len({c}) > 0 THEN array_to_string({c}, ', ') ELSE 'None' END"
+
+    def yes(c):
+        return f"CASE WHEN {c} THEN 'Yes' ELSE 'No' END"
+    vals = [("Language", "language"), ("Project Type", "project_type"), ("Frontend", listed("frontend")),
+            ("Backend", listed("backend")), ("Database", listed("databases")), ("Styling", listed("styling")),
+            ("TypeScript", yes("has_typescript")), ("Docker", yes("has_docker")), ("CI/CD", yes("has_ci")),
+            ("Files", "CAST(file_count AS VARCHAR)"), ("Lines of Code", "format('{:,}', line_count)"),
+            ("Components", "CAST(component_count AS VARCHAR)"), ("API Routes", "CAST(api_route_count AS VARCHAR)"),
+            ("Test Files", "CAST(test_file_count AS VARCHAR)")]
+    unions = " UNION ALL ".join(f"SELECT repo_id, {i} AS ord, '{a}' AS attribute, {v} AS value FROM profile"
+                                for i, (a, v) in enumerate(vals))
+    return f"""vals AS ({unions}),
+pairs AS (SELECT p.repo_id AS repo_a, p.repo_id + 1 AS repo_b FROM profile p
+          WHERE p.repo_id % 2 = 0 AND EXISTS (SELECT 1 FROM profile q WHERE q.repo_id = p.repo_id + 1))"""
+
+
+@register("compare_repos", lambda: f"""WITH {OP.profile_ctes()}, {_compare_sql()}
+SELECT repo_a, repo_b, a.ord, a.attribute, a.value AS value_a, b.value AS value_b, a.value <> b.value AS differs
+FROM pairs JOIN vals a ON a.repo_id = repo_a JOIN vals b ON b.repo_id = repo_b AND b.ord = a.ord""")
+def q_compare_repos(spark, sf_dir):
+    prof = repo_profile(spark, sf_dir)
+    return RP.compare_repos(prof, RP.adjacent_pairs(prof.select("repo_id")))
+
+
+@register("report_top_n", lambda: f"""WITH {O.file_facts_cte()}, {OSEC.secrets_cte()}, {_AUDIT_BASE},
+s AS (SELECT repo_id, printf('%s (%s) %s:%d %s', type, severity, path, line, match) AS item,
+             row_number() OVER (PARTITION BY repo_id ORDER BY path, line, pattern_ord) AS rank,
+             count(*) OVER (PARTITION BY repo_id) AS n FROM secret_findings),
+c AS (SELECT repo_id, printf('%s complexity: %d', path, complexity) AS item,
+             row_number() OVER (PARTITION BY repo_id ORDER BY complexity DESC, path) AS rank,
+             count(*) OVER (PARTITION BY repo_id) AS n
+      FROM file_facts WHERE readable AND NOT is_test_cx AND complexity > 15),
+adv AS (SELECT repo_id, pos, CASE WHEN format = 'v6' THEN p_name ELSE p_name || '#' || pos END AS name,
+               coalesce(sev, 'low') AS severity,
+               CASE WHEN format = 'v6' OR l_returnflag = 'R' THEN 'Advisory for ' || p_name ELSE p_name || '#' || pos END AS title
+        FROM audit_base WHERE format = 'v6' OR l_returnflag IN ('R', 'N')),
+a AS (SELECT repo_id, printf('%s (%s): %s', name, severity, title) AS item,
+             row_number() OVER (PARTITION BY repo_id ORDER BY pos) AS rank, count(*) OVER (PARTITION BY repo_id) AS n FROM adv)
+SELECT 'secrets' AS section, CAST(repo_id AS BIGINT) AS repo_id, CAST(rank AS BIGINT) AS rank, item,
+       CAST(greatest(n - 20, 0) AS BIGINT) AS overflow FROM s WHERE rank <= 20
+UNION ALL SELECT 'complex_files', repo_id, rank, item, greatest(n - 10, 0) FROM c WHERE rank <= 10
+UNION ALL SELECT 'advisories', repo_id, rank, item, greatest(n - 10, 0) FROM a WHERE rank <= 10""")
+def q_report_top_n(spark, sf_dir):
+    files = repo_files(spark, sf_dir)
+    secrets = SC.scan_secrets(files)
+    facts = FF.file_facts(files)
+    cx = CX.analysed(facts).where(~F.col("is_test_cx") & (F.col("complexity") > CX.HIGH_COMPLEXITY))
+    adv = AU.audit_advisories(AU.parse_audit(AU.derive_audit_reports(spark, sf_dir)))
+    return RP.report_top_n(secrets, cx, adv)
+
+
+def _report_inputs(spark, sf_dir):
+    prof = repo_profile(spark, sf_dir)
+    res = RU.rule_results(prof)
+    merged = AI.merged_suggestions(res, _responses(spark, sf_dir))
+    return prof, res, merged
+
+
+@register("repo_report")
+def q_repo_report(spark, sf_dir):
+    prof, res, merged = _report_inputs(spark, sf_dir)
+    return RP.report_json(RP.repo_report(prof, res, merged, "codebase"))
+
+
+@register("mode_projection")
+def q_mode_projection(spark, sf_dir):
+    prof, res, merged = _report_inputs(spark, sf_dir)
+    out = None
+    for mode in RP.MODES:
+        rep = RP.repo_report(prof, res, merged, mode)
+        part = rep.select("repo_id", "mode", F.lit(", ".join(c for c in rep.columns if c not in ("repo_id", "mode")))
+                          .alias("sections"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("report_markdown")
+def q_report_markdown(spark, sf_dir):
+    prof, res, merged = _report_inputs(spark, sf_dir)
+    return RP.report_markdown(prof, merged)
