@@ -12,7 +12,7 @@ types of ``via`` elements (``VARIANT``), so "first object element" is exact.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repolens.sources.tables import read_table
@@ -38,39 +38,38 @@ def _json_str(c):
 def derive_audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON report per order; entry ``k`` is the k-th line item by (line number, part, flag).
 
-    The per-order list is bounded by the line items of one order.
+    Each entry's JSON is built per line item with plain column expressions;
+    the per-order list that is then concatenated is bounded by one order's
+    line items.
     """
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
     j = li.join(part, li.l_partkey == part.p_partkey)
-    per_order = j.groupBy(F.col("l_orderkey").alias("repo_id")).agg(F.array_sort(F.collect_list(
-        F.struct("l_linenumber", "l_partkey", "l_returnflag", "p_name"))).alias("items"))
-
-    def entries(x, i):
-        pos = (i + 1).cast("string")
-        sev = F.element_at(F.array(*[F.lit(s) for s in SEVERITY_BY_LINE]), (x["l_linenumber"] % 6 + 1).cast("int"))
-        key = F.concat(x["p_name"], F.lit("#"), pos)
-        title = F.concat(F.lit("Advisory for "), x["p_name"])
-        url = F.concat(F.lit(ADVISORY_URL), x["l_partkey"].cast("string"))
-        adv_obj = F.to_json(F.struct(title.alias("title"), url.alias("url")))
-        via = (F.when(x["l_returnflag"] == "R", F.concat(F.lit("["), adv_obj, F.lit("]")))
-               .when(x["l_returnflag"] == "A",
-                     F.concat(F.lit("["), _json_str(F.concat(F.lit("dep-"), x["l_partkey"].cast("string"))), F.lit("]")))
-               .otherwise(F.lit('["dep", {"severity": "low"}]')))
-        sev_part = F.when(sev.isNull(), F.lit("")).otherwise(F.concat(F.lit('"severity": '), _json_str(sev), F.lit(", ")))
-        v7 = F.concat(_json_str(key), F.lit(": {"), sev_part, F.lit('"via": '), via, F.lit("}"))
-        v6 = F.concat(_json_str(pos), F.lit(": "), F.to_json(F.struct(
-            x["p_name"].alias("module_name"), sev.alias("severity"), title.alias("title"), url.alias("url"))))
-        return F.struct(v7.alias("v7"), v6.alias("v6"))
-
-    e = F.transform("items", entries)
-    v7 = F.concat(F.lit('"vulnerabilities": {'), F.array_join(F.transform(e, lambda x: x["v7"]), ", "), F.lit("}"))
-    v6 = F.concat(F.lit('"advisories": {'), F.array_join(F.transform(e, lambda x: x["v6"]), ", "), F.lit("}"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
+    j = j.select("*", F.row_number().over(w).alias("k"))
+    pos = F.col("k").cast("string")
+    sev = F.element_at(F.array(*[F.lit(s) for s in SEVERITY_BY_LINE]), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    title = F.concat(F.lit("Advisory for "), F.col("p_name"))
+    url = F.concat(F.lit(ADVISORY_URL), F.col("l_partkey").cast("string"))
+    via = (F.when(F.col("l_returnflag") == "R",
+                  F.concat(F.lit("["), F.to_json(F.struct(title.alias("title"), url.alias("url"))), F.lit("]")))
+           .when(F.col("l_returnflag") == "A",
+                 F.concat(F.lit("["), _json_str(F.concat(F.lit("dep-"), F.col("l_partkey").cast("string"))), F.lit("]")))
+           .otherwise(F.lit('["dep", {"severity": "low"}]')))
+    sev_part = F.when(sev.isNull(), F.lit("")).otherwise(F.concat(F.lit('"severity": '), _json_str(sev), F.lit(", ")))
+    v7 = F.concat(_json_str(F.concat(F.col("p_name"), F.lit("#"), pos)), F.lit(": {"), sev_part, F.lit('"via": '),
+                  via, F.lit("}"))
+    v6 = F.concat(_json_str(pos), F.lit(": "), F.to_json(F.struct(
+        F.col("p_name").alias("module_name"), sev.alias("severity"), title.alias("title"), url.alias("url"))))
+    per_order = j.groupBy(F.col("l_orderkey").alias("repo_id")).agg(
+        F.array_sort(F.collect_list(F.struct("k", v7.alias("v7"), v6.alias("v6")))).alias("e"))
+    v7_doc = F.concat(F.lit('"vulnerabilities": {'), F.array_join(F.col("e.v7"), ", "), F.lit("}"))
+    v6_doc = F.concat(F.lit('"advisories": {'), F.array_join(F.col("e.v6"), ", "), F.lit("}"))
     rid = F.col("repo_id")
     doc = (F.when(rid % BROKEN_EVERY == 0, F.lit("npm ERR! audit endpoint returned an error"))
-           .when(rid % BOTH_EVERY == 0, F.concat(F.lit("{"), v6, F.lit(", "), v7, F.lit("}")))
-           .when(rid % V6_EVERY == 0, F.concat(F.lit("{"), v6, F.lit("}")))
-           .otherwise(F.concat(F.lit("{"), v7, F.lit("}"))))
+           .when(rid % BOTH_EVERY == 0, F.concat(F.lit("{"), v6_doc, F.lit(", "), v7_doc, F.lit("}")))
+           .when(rid % V6_EVERY == 0, F.concat(F.lit("{"), v6_doc, F.lit("}")))
+           .otherwise(F.concat(F.lit("{"), v7_doc, F.lit("}"))))
     return per_order.select("repo_id", doc.alias("audit_json"))
 
 
@@ -80,29 +79,34 @@ def parse_audit(reports: DataFrame) -> DataFrame:
     return ok.select("repo_id", F.from_json("audit_json", AUDIT_SCHEMA).alias("a"))
 
 
+ENTRY_TYPE = "array<struct<name:string,severity:string,has_advisory:boolean,title:string,url:string>>"
+
+
 def _entries(parsed: DataFrame) -> DataFrame:
-    """One row per package entry of whichever format wins (v7 over v6)."""
-    v7 = parsed.where(F.col("a.vulnerabilities").isNotNull()).select(
-        "repo_id", F.lit("v7").alias("format"),
-        F.posexplode(F.map_entries("a.vulnerabilities")).alias("pos", "e"))
-    v7 = v7.select(
-        "repo_id", "format", "pos", F.col("e.key").alias("name"),
-        F.coalesce(F.nullif(F.col("e.value.severity"), F.lit("")), F.lit(DEFAULT_SEVERITY)).alias("severity"),
-        F.get(F.filter(F.coalesce(F.col("e.value.via"), F.array().cast("array<variant>")),
-                       lambda x: F.schema_of_variant(x).startswith("OBJECT")), 0).alias("adv"))
-    v7 = v7.select(
-        "repo_id", "format", "pos", "name", "severity", F.col("adv").isNotNull().alias("has_advisory"),
-        F.coalesce(F.nullif(F.try_variant_get("adv", "$.title", "string"), F.lit("")), F.col("name")).alias("title"),
-        F.coalesce(F.nullif(F.try_variant_get("adv", "$.url", "string"), F.lit("")), F.lit("")).alias("url"))
-    v6 = parsed.where(F.col("a.vulnerabilities").isNull() & F.col("a.advisories").isNotNull()).select(
-        "repo_id", F.lit("v6").alias("format"), F.posexplode(F.map_values("a.advisories")).alias("pos", "e"))
-    v6 = v6.select(
-        "repo_id", "format", "pos", F.coalesce(F.nullif("e.module_name", F.lit("")), F.lit("")).alias("name"),
-        F.coalesce(F.nullif("e.severity", F.lit("")), F.lit(DEFAULT_SEVERITY)).alias("severity"),
-        F.lit(True).alias("has_advisory"),
-        F.coalesce(F.nullif("e.title", F.lit("")), F.lit("")).alias("title"),
-        F.coalesce(F.nullif("e.url", F.lit("")), F.lit("")).alias("url"))
-    return v7.unionByName(v6)
+    """One row per package entry of whichever format wins (v7 over v6), exploded once."""
+    def sev_of(v):
+        return F.coalesce(F.nullif(v, F.lit("")), F.lit(DEFAULT_SEVERITY))
+
+    def v7_entry(e):
+        adv = F.get(F.filter(F.coalesce(e["value"]["via"], F.array().cast("array<variant>")),
+                             lambda x: F.schema_of_variant(x).startswith("OBJECT")), 0)
+        return F.struct(e["key"].alias("name"), sev_of(e["value"]["severity"]).alias("severity"),
+                        adv.isNotNull().alias("has_advisory"),
+                        F.coalesce(F.nullif(F.try_variant_get(adv, "$.title", "string"), F.lit("")), e["key"]).alias("title"),
+                        F.coalesce(F.nullif(F.try_variant_get(adv, "$.url", "string"), F.lit("")), F.lit("")).alias("url"))
+
+    def v6_entry(a):
+        return F.struct(F.coalesce(F.nullif(a["module_name"], F.lit("")), F.lit("")).alias("name"),
+                        sev_of(a["severity"]).alias("severity"), F.lit(True).alias("has_advisory"),
+                        F.coalesce(F.nullif(a["title"], F.lit("")), F.lit("")).alias("title"),
+                        F.coalesce(F.nullif(a["url"], F.lit("")), F.lit("")).alias("url"))
+    v7, v6 = F.col("a.vulnerabilities"), F.col("a.advisories")
+    entries = (F.when(v7.isNotNull(), F.transform(F.map_entries(v7), v7_entry))
+               .when(v6.isNotNull(), F.transform(F.map_values(v6), v6_entry))
+               .otherwise(F.array().cast(ENTRY_TYPE)))
+    fmt = F.when(v7.isNotNull(), F.lit("v7")).when(v6.isNotNull(), F.lit("v6"))
+    return parsed.select("repo_id", fmt.alias("format"), F.posexplode(entries).alias("pos", "e")) \
+        .select("repo_id", "format", "pos", "e.*")
 
 
 def audit_rollup(parsed: DataFrame) -> DataFrame:

@@ -29,11 +29,11 @@ class Rule:
     effort: str
     priority: str
     tags: list[str]
-    when: Callable[[], Column]
+    when: str | Callable[[], Column]  # Spark SQL predicate (built-ins) or a Column builder
     reason: str                      # printf-style template
     benefit: str
     reason_arg: str | None = None    # profile column filling the template's %d
-    evidence: Callable[[], Column] | None = field(default=None)
+    evidence: list[str] | None = field(default=None)  # SQL expressions; default by category
 
     def reason_col(self) -> Column:
         if self.reason_arg is None:
@@ -41,51 +41,36 @@ class Rule:
         return F.format_string(self.reason, F.col(self.reason_arg))
 
 
-def _has(arr: str, label: str) -> Column:
-    return F.array_contains(F.col(arr), label)
-
-
-def _lst(arr: str) -> Column:
+def _lst(arr: str) -> str:
     """Join labels with ', ' or say 'none detected'."""
-    return F.when(F.size(arr) > 0, F.array_join(arr, ", ")).otherwise(F.lit("none detected"))
-
-
-def _yes(c: str) -> Column:
-    return F.when(F.col(c), F.lit("yes")).otherwise(F.lit("no"))
-
-
-def _s(c: str) -> Column:
-    return F.col(c).cast("string")
-
-
-# Evidence lines per category (fixed output formats).
-EVIDENCE: dict[str, Callable[[], list[Column]]] = {
-    "Testing": lambda: [F.concat(F.lit("Test files detected: "), _s("test_file_count")),
-                        F.concat(F.lit("Testing frameworks detected: "), _lst("testing"))],
-    "CI/CD": lambda: [F.concat(F.lit("CI/CD configuration detected: "), _yes("has_ci"))],
-    "Infrastructure": lambda: [F.concat(F.lit("Docker configuration detected: "), _yes("has_docker")),
-                               F.concat(F.lit("Backend frameworks detected: "), _lst("backend"))],
-    "Backend Framework": lambda: [F.concat(F.lit("Backend frameworks detected: "), _lst("backend")),
-                                  F.concat(F.lit("API routes detected: "), _s("api_route_count")),
-                                  F.concat(F.lit("TypeScript detected: "), _yes("has_typescript"))],
-    "Database Access": lambda: [F.concat(F.lit("Database and ORM libraries detected: "), _lst("databases"))],
-    "Styling System": lambda: [F.concat(F.lit("Styling systems detected: "), _lst("styling")),
-                               F.concat(F.lit("Components detected: "), _s("component_count"))],
-    "Build Tool": lambda: [F.concat(F.lit("Build tools detected: "), _lst("build_tools"))],
-    "Package Manager": lambda: [
-        F.concat(F.lit("Package manager detected: "), F.coalesce("package_manager", F.lit("none detected"))),
-        F.concat(F.lit("Development dependencies detected: "), F.size("dev_dependencies").cast("string"))],
-    "Frontend Framework": lambda: [F.concat(F.lit("Frontend frameworks detected: "), _lst("frontend")),
-                                   F.concat(F.lit("Dependencies detected: "), _lst("dependencies"))],
-    "Language": lambda: [F.concat(F.lit("Primary language detected: "), F.col("language")),
-                         F.concat(F.lit("TypeScript detected: "), _yes("has_typescript")),
-                         F.concat(F.lit("Files detected: "), _s("file_count"))],
+    return f"CASE WHEN size({arr}) > 0 THEN array_join({arr}, ', ') ELSE 'none detected' END"
+
+
+def _yes(c: str) -> str:
+    return f"CASE WHEN {c} THEN 'yes' ELSE 'no' END"
+
+
+# Evidence lines per category (fixed output formats), as Spark SQL expressions.
+EVIDENCE: dict[str, list[str]] = {
+    "Testing": ["'Test files detected: ' || test_file_count", f"'Testing frameworks detected: ' || {_lst('testing')}"],
+    "CI/CD": [f"'CI/CD configuration detected: ' || {_yes('has_ci')}"],
+    "Infrastructure": [f"'Docker configuration detected: ' || {_yes('has_docker')}",
+                       f"'Backend frameworks detected: ' || {_lst('backend')}"],
+    "Backend Framework": [f"'Backend frameworks detected: ' || {_lst('backend')}",
+                          "'API routes detected: ' || api_route_count",
+                          f"'TypeScript detected: ' || {_yes('has_typescript')}"],
+    "Database Access": [f"'Database and ORM libraries detected: ' || {_lst('databases')}"],
+    "Styling System": [f"'Styling systems detected: ' || {_lst('styling')}",
+                       "'Components detected: ' || component_count"],
+    "Build Tool": [f"'Build tools detected: ' || {_lst('build_tools')}"],
+    "Package Manager": ["'Package manager detected: ' || coalesce(package_manager, 'none detected')",
+                        "'Development dependencies detected: ' || size(dev_dependencies)"],
+    "Frontend Framework": [f"'Frontend frameworks detected: ' || {_lst('frontend')}",
+                           f"'Dependencies detected: ' || {_lst('dependencies')}"],
+    "Language": ["'Primary language detected: ' || language", f"'TypeScript detected: ' || {_yes('has_typescript')}",
+                 "'Files detected: ' || file_count"],
 }
-
-
-def default_evidence() -> list[Column]:
-    return [F.concat(F.lit("Project type: "), F.col("project_type")),
-            F.concat(F.lit("Primary language: "), F.col("language"))]
+DEFAULT_EVIDENCE = ["'Project type: ' || project_type", "'Primary language: ' || language"]
 
 
 ORM_LABELS = ["Prisma ORM", "Drizzle ORM", "TypeORM", "Sequelize", "GORM", "SQLAlchemy", "Hibernate ORM"]
@@ -95,76 +80,74 @@ ORM_LABELS = ["Prisma ORM", "Drizzle ORM", "TypeORM", "Sequelize", "GORM", "SQLA
 RULES: list[Rule] = [
     Rule("BACKEND_001", "Backend Framework", "warning", "Express", "Fastify", "medium", "high",
          ["performance", "scalability"],
-         lambda: _has("backend", "Express") & (F.col("api_route_count") > 150),
+         "array_contains(backend, 'Express') AND api_route_count > 150",
          "%d API routes run on Express; a schema-driven framework serves them with less "
          "per-request overhead.",
          "Higher request throughput and validated payloads.", reason_arg="api_route_count"),
     Rule("BACKEND_002", "Backend Framework", "info", "Express", "Hono or Fastify", "medium", "medium",
          ["developer-experience", "typescript"],
-         lambda: _has("backend", "Express") & F.col("has_typescript"),
+         "array_contains(backend, 'Express') AND has_typescript",
          "The project is typed, but Express ships no first-class types for handlers.",
          "Typed routes and fewer runtime surprises."),
     Rule("DATABASE_001", "Database Access", "warning", "Raw SQL queries", "Prisma or Drizzle ORM", "medium", "high",
          ["security", "maintainability", "developer-experience"],
-         lambda: (_has("databases", "PostgreSQL") | _has("databases", "MySQL"))
-         & ~F.arrays_overlap(F.col("databases"), F.array(*[F.lit(x) for x in ORM_LABELS])),
+         "(array_contains(databases, 'PostgreSQL') OR array_contains(databases, 'MySQL')) AND NOT arrays_overlap("
+         "databases, array(" + ", ".join(f"'{x}'" for x in ORM_LABELS) + "))",
          "A relational database is used without any ORM or query builder.",
          "Typed queries, managed migrations and parameterised SQL."),
     Rule("STYLING_001", "Styling System", "warning", "CSS Modules", "Tailwind CSS", "high", "medium",
          ["developer-experience", "performance", "maintainability"],
-         lambda: _has("styling", "CSS Modules") & (F.col("component_count") > 100),
+         "array_contains(styling, 'CSS Modules') AND component_count > 100",
          "%d components each carry their own CSS module.",
          "Shared design tokens and a smaller stylesheet.", reason_arg="component_count"),
     Rule("STYLING_002", "Styling System", "warning", "Plain CSS", "Tailwind CSS or CSS Modules", "medium", "medium",
          ["maintainability", "scalability"],
-         lambda: _has("styling", "Plain CSS") & (F.col("component_count") > 50),
+         "array_contains(styling, 'Plain CSS') AND component_count > 50",
          "%d components share global stylesheets.",
          "Scoped styles without selector clashes.", reason_arg="component_count"),
     Rule("TESTING_001", "Testing", "critical", "No test framework detected", "Vitest (frontend) + Supertest (backend)",
          "medium", "high", ["quality", "reliability"],
-         lambda: (F.size("testing") == 0) & (F.col("test_file_count") == 0),
+         "size(testing) = 0 AND test_file_count = 0",
          "Neither a test framework nor any test file was found.",
          "Regressions are caught before release."),
     Rule("TESTING_002", "Testing", "info", "Jest", "Vitest", "low", "medium",
          ["developer-experience", "performance"],
-         lambda: _has("testing", "Jest") & (_has("frontend", "Next.js") | _has("build_tools", "Vite")),
+         "array_contains(testing, 'Jest') AND (array_contains(frontend, 'Next.js') OR array_contains(build_tools, 'Vite'))",
          "Jest runs beside a Vite/Next.js toolchain that has a native runner.",
          "Faster test start-up with the same API."),
     Rule("BUILD_001", "Build Tool", "warning", "Webpack", "Vite", "medium", "medium",
          ["developer-experience", "performance"],
-         lambda: _has("build_tools", "Webpack") & ~_has("build_tools", "Vite"),
+         "array_contains(build_tools, 'Webpack') AND NOT array_contains(build_tools, 'Vite')",
          "Webpack bundles on every change during development.",
          "Quicker dev server start and hot reload."),
     Rule("PKG_001", "Package Manager", "info", "npm", "pnpm", "low", "low",
          ["developer-experience", "performance"],
-         lambda: (F.col("package_manager") == "npm") & (F.size("dev_dependencies") > 20),
+         "package_manager = 'npm' AND size(dev_dependencies) > 20",
          "Many development dependencies are installed with npm.",
          "Shared package store and faster installs."),
     Rule("INFRA_001", "Infrastructure", "warning", "No Docker configuration", "Docker + Docker Compose", "low",
          "medium", ["devops", "reliability"],
-         lambda: ~F.col("has_docker") & ((F.size("backend") > 0) | (F.size("databases") > 0)),
+         "NOT has_docker AND (size(backend) > 0 OR size(databases) > 0)",
          "Services run without a container definition.",
          "Reproducible environments from laptop to production."),
     Rule("INFRA_002", "CI/CD", "critical", "No CI/CD pipeline detected", "GitHub Actions or GitLab CI", "low", "high",
          ["devops", "quality", "reliability"],
-         lambda: ~F.col("has_ci"),
+         "NOT has_ci",
          "No continuous-integration configuration was found.",
          "Every change is built and tested automatically."),
     Rule("FRONTEND_001", "Frontend Framework", "critical", "Create React App (CRA)", "Vite + React or Next.js",
          "medium", "high", ["maintainability", "performance", "developer-experience"],
-         lambda: _has("frontend", "React") & ~_has("frontend", "Next.js")
-         & (F.array_contains("dev_dependencies", "react-scripts") | F.array_contains("dependencies", "react-scripts")),
+         "array_contains(frontend, 'React') AND NOT array_contains(frontend, 'Next.js') AND (array_contains(dev_dependencies, 'react-scripts') OR array_contains(dependencies, 'react-scripts'))",
          "react-scripts is unmaintained and slow to build.",
          "Maintained tooling and faster builds."),
     Rule("PYTHON_001", "Backend Framework", "info", "Flask", "FastAPI", "medium", "medium",
          ["performance", "developer-experience", "scalability"],
-         lambda: _has("backend", "Flask") & (F.col("language") == "Python"),
+         "array_contains(backend, 'Flask') AND language = 'Python'",
          "Flask lacks built-in async handling and request validation.",
          "Async endpoints with generated API documentation."),
     Rule("LANG_001", "Language", "warning", "JavaScript", "TypeScript", "high", "high",
          ["quality", "maintainability", "developer-experience"],
-         lambda: (F.col("language") == "JavaScript/TypeScript") & ~F.col("has_typescript")
-         & (F.col("file_count") > 50),
+         "language = 'JavaScript/TypeScript' AND NOT has_typescript AND file_count > 50",
          "%d files of untyped JavaScript.",
          "Type errors surface at compile time.", reason_arg="file_count"),
 ]
@@ -175,23 +158,38 @@ def register_rule(rule: Rule) -> None:
     RULES.append(rule)
 
 
-def _finding(ordinal: int, rule: Rule) -> Column:
-    evidence = rule.evidence() if rule.evidence else F.array(*EVIDENCE.get(rule.category, default_evidence)())
-    return F.struct(
-        F.lit(SEVERITY_ORDER[rule.severity]).alias("sev_ord"), F.lit(ordinal).alias("rule_ord"),
-        F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.category).alias("category"),
-        F.lit(rule.severity).alias("severity"), F.lit(rule.current).alias("current"),
-        F.lit(rule.suggested).alias("suggested"), rule.reason_col().alias("reason"),
-        F.lit(rule.benefit).alias("benefit"), F.lit(rule.effort).alias("effort"),
-        F.lit(rule.priority).alias("priority"), F.array(*[F.lit(t) for t in rule.tags]).alias("tags"),
-        evidence.alias("evidence"))
+def _q(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _finding_sql(ordinal: int, rule: Rule) -> str:
+    evidence = "array(" + ", ".join(rule.evidence or EVIDENCE.get(rule.category, DEFAULT_EVIDENCE)) + ")"
+    reason = _q(rule.reason) if rule.reason_arg is None else f"format_string({_q(rule.reason)}, {rule.reason_arg})"
+    tags = "array(" + ", ".join(_q(t) for t in rule.tags) + ")"
+    return (f"named_struct('sev_ord', {SEVERITY_ORDER[rule.severity]}, 'rule_ord', {ordinal}, "
+            f"'rule_id', {_q(rule.rule_id)}, 'category', {_q(rule.category)}, 'severity', {_q(rule.severity)}, "
+            f"'current', {_q(rule.current)}, 'suggested', {_q(rule.suggested)}, 'reason', {reason}, "
+            f"'benefit', {_q(rule.benefit)}, 'effort', {_q(rule.effort)}, 'priority', {_q(rule.priority)}, "
+            f"'tags', {tags}, 'evidence', {evidence})")
 
 
 def findings_array(rules: list[Rule] | None = None) -> Column:
-    """Fired findings of one repository, sorted by severity then rule order."""
+    """Fired findings of one repository, sorted by severity then rule order.
+
+    Built-in rules are one SQL expression (parsed once in the JVM); a rule
+    registered with a Column predicate contributes a ``CASE`` over that Column.
+    """
     rules = RULES if rules is None else rules
-    fired = F.array_compact(F.array(*[F.when(r.when(), _finding(i + 1, r)) for i, r in enumerate(rules)]))
-    return F.array_sort(fired)
+    parts = []
+    for i, r in enumerate(rules):
+        if isinstance(r.when, str):
+            parts.append(F.expr(f"CASE WHEN {r.when} THEN {_finding_sql(i + 1, r)} END"))
+        else:
+            parts.append(F.when(r.when(), F.expr(_finding_sql(i + 1, r))))
+    if all(isinstance(r.when, str) for r in rules):
+        sql = ", ".join(f"CASE WHEN {r.when} THEN {_finding_sql(i + 1, r)} END" for i, r in enumerate(rules))
+        return F.expr(f"array_sort(array_compact(array({sql})))")
+    return F.array_sort(F.array_compact(F.array(*parts)))
 
 
 def with_counts(df: DataFrame) -> DataFrame:

@@ -104,12 +104,12 @@ def manifest_col(name: str) -> str:
 
 def marker_aggregates() -> list:
     """Aggregate expressions of the marker probes (usable inside a larger ``agg``)."""
-    path = F.col("path")
-    aggs = [F.max(path == m).alias(marker_col(m)) for m in MARKER_FILES]
-    aggs += [F.max(path.startswith(d + "/")).alias(dir_col(d)) for d in MARKER_DIRS]
+    aggs = [F.expr(f"max(path = {sq(m)})").alias(marker_col(m)) for m in MARKER_FILES]
+    aggs += [F.expr(f"max(startswith(path, {sq(d + '/')}))").alias(dir_col(d)) for d in MARKER_DIRS]
     # at most one root manifest of each name per repository; collect_list keeps the
     # aggregation hash-based (a string max() would force a sort-based aggregate)
-    aggs += [F.collect_list(F.when(path == m, F.col("manifest_text"))).alias(manifest_col(m)) for m in MANIFESTS]
+    aggs += [F.expr(f"collect_list(CASE WHEN path = {sq(m)} THEN manifest_text END)").alias(manifest_col(m))
+             for m in MANIFESTS]
     aggs.append(F.max("css_module").alias("has_css_modules"))
     return aggs
 
@@ -142,33 +142,40 @@ def _contains_any(arr: Column, values) -> Column:
     return F.arrays_overlap(arr, _lit_array(values))
 
 
-def _catalog_labels(facet: str, all_deps: Column, dev_deps: Column) -> Column:
-    """Node labels of one facet in catalog order (each label at most once)."""
-    entries = []
+def sq(v: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _arr_sql(values) -> str:
+    return "array(" + ", ".join(sq(v) for v in values) + ")"
+
+
+def catalog_labels_sql(facet: str, all_deps: str = "_all_deps", dev_deps: str = "dev_dependencies") -> str:
+    """Node labels of one facet in catalog order, as one SQL expression (parsed once in the JVM)."""
+    items = []
     for label, any_scope, dev_scope in NODE_CATALOG[facet]:
-        cond = F.lit(False)
+        conds = []
         if any_scope:
-            cond = cond | _contains_any(all_deps, any_scope)
+            conds.append(f"arrays_overlap({all_deps}, {_arr_sql(any_scope)})")
         if dev_scope:
-            cond = cond | _contains_any(dev_deps, dev_scope)
+            conds.append(f"arrays_overlap({dev_deps}, {_arr_sql(dev_scope)})")
+        cond = "(" + " OR ".join(conds) + ")"
         if label == "React":
-            cond = cond & ~F.array_contains(all_deps, REACT_SUPPRESSED_BY)
-        entries.append(F.when(cond, F.lit(label)))
-    return F.array_compact(F.array(*entries))
+            cond = f"({cond} AND NOT array_contains({all_deps}, {sq(REACT_SUPPRESSED_BY)}))"
+        items.append(f"CASE WHEN {cond} THEN {sq(label)} END")
+    return "array_compact(array(" + ", ".join(items) + "))"
 
 
-def _needle_labels(manifest: str, facet: str, text: Column) -> Column:
-    entries = []
+def needle_labels_sql(manifest: str, facet: str, text_sql: str) -> str:
+    items = []
     for m, f, label, needles in NEEDLES:
-        if m != manifest or f != facet:
-            continue
-        cond = F.lit(False)
-        for n in needles:
-            cond = cond | text.contains(n)
-        entries.append(F.when(cond, F.lit(label)))
-    if not entries:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*entries))
+        if m == manifest and f == facet:
+            cond = " OR ".join(f"contains({text_sql}, {sq(n)})" for n in needles)
+            items.append(f"CASE WHEN {cond} THEN {sq(label)} END")
+    if not items:
+        return "CAST(array() AS array<string>)"
+    return "array_compact(array(" + ", ".join(items) + "))"
 
 
 def _json_keys(doc: Column, field: str) -> Column:
@@ -193,27 +200,25 @@ def stack_profile(markers: DataFrame, passthrough=()) -> DataFrame:
     df = df.select("*", F.concat(F.col("dependencies"), F.col("dev_dependencies")).alias("_all_deps"))
     node, all_deps, dev = F.col("node"), F.col("_all_deps"), F.col("dev_dependencies")
 
-    req_exists, py_exists = _exists("requirements.txt"), _exists("requirements.txt") | _exists("pyproject.toml")
+    py_exists = _exists("requirements.txt") | _exists("pyproject.toml")
     go, rust, java = _exists("go.mod"), _exists("Cargo.toml"), _exists("pom.xml")
-    req_text = F.lower(F.coalesce(F.col(manifest_col("requirements.txt")), F.lit("")))
-    go_text = F.coalesce(F.col(manifest_col("go.mod")), F.lit(""))
-    cargo_text = F.coalesce(F.col(manifest_col("Cargo.toml")), F.lit(""))
-    pom_text = F.coalesce(F.col(manifest_col("pom.xml")), F.lit(""))
-    empty = F.array().cast("array<string>")
-
-    def branch(cond, arr):
-        return F.when(cond, arr).otherwise(empty)
 
     # Node-branch labels per facet, materialised once (reused by facets and type inference)
-    df = df.select("*", *[branch(node, _catalog_labels(f, all_deps, dev)).alias(f"_node_{f}") for f in FACETS])
+    empty_sql = "CAST(array() AS array<string>)"
+    df = df.select("*", *[F.expr(f"CASE WHEN node THEN {catalog_labels_sql(f)} ELSE {empty_sql} END").alias(f"_node_{f}")
+                          for f in FACETS])
+    texts = {"requirements.txt": f"lower(coalesce({manifest_col('requirements.txt')}, ''))",
+             "go.mod": f"coalesce({manifest_col('go.mod')}, '')",
+             "Cargo.toml": f"coalesce({manifest_col('Cargo.toml')}, '')",
+             "pom.xml": f"coalesce({manifest_col('pom.xml')}, '')"}
+    guards = {"requirements.txt": marker_col("requirements.txt"), "go.mod": marker_col("go.mod"),
+              "Cargo.toml": marker_col("Cargo.toml"), "pom.xml": marker_col("pom.xml")}
     facet_cols = {}
     for facet in FACETS:
-        parts = [F.col(f"_node_{facet}")]
-        parts.append(branch(py_exists & req_exists, _needle_labels("requirements.txt", facet, req_text)))
-        parts.append(branch(go, _needle_labels("go.mod", facet, go_text)))
-        parts.append(branch(rust, _needle_labels("Cargo.toml", facet, cargo_text)))
-        parts.append(branch(java, _needle_labels("pom.xml", facet, pom_text)))
-        facet_cols[facet] = F.concat(*parts)
+        parts = [f"_node_{facet}"] + [
+            f"CASE WHEN {guards[m]} THEN {needle_labels_sql(m, facet, texts[m])} ELSE {empty_sql} END"
+            for m in ("requirements.txt", "go.mod", "Cargo.toml", "pom.xml")]
+        facet_cols[facet] = F.expr("concat(" + ", ".join(parts) + ")")
     # styling default (Node branch only): CSS Modules probe, else Plain CSS
     node_styling = facet_cols["styling"]
     facet_cols["styling"] = F.when(node & (F.size(node_styling) == 0),
@@ -255,8 +260,9 @@ def stack_profile(markers: DataFrame, passthrough=()) -> DataFrame:
                 .when(F.size(node_back) > 0, F.lit("Backend API"))
                 .otherwise(F.lit("Node.js Application")))
     # backend marks present when the Python branch runs: Node + Python ones
-    py_backend = F.concat(branch(node, node_back),
-                          branch(req_exists, _needle_labels("requirements.txt", "backend", req_text)))
+    py_backend = F.expr(f"concat(_node_backend, CASE WHEN {guards['requirements.txt']} THEN "
+                        f"{needle_labels_sql('requirements.txt', 'backend', texts['requirements.txt'])} "
+                        f"ELSE {empty_sql} END)")
     project_type = (F.when(java, F.lit("Java Application"))
                     .when(rust, F.lit("Rust Application"))
                     .when(go, F.lit("Go Application"))
