@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolens.operators.audit import _json_str as json_str
 from repolens.sources.tables import read_table
 
 # ---------------------------------------------------------------------------
@@ -378,7 +379,7 @@ PRIORITIES = ["high", "medium", "low", "urgent"]
 
 
 def _js(c: Column) -> Column:
-    return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+    return json_str(c)
 
 
 def _pick(values, idx: Column) -> Column:

@@ -31,8 +31,11 @@ ADVISORY_URL = "https://advisories.example/"
 
 
 def _json_str(c):
-    """JSON string literal of ``c`` (escaped by Spark)."""
-    return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+    """JSON string literal of ``c``: backslash and quote escaped; control characters via ``to_json``."""
+    cheap = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')),
+                     F.lit('"'))
+    full = F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+    return F.when(c.rlike("[\\x00-\\x1f]"), full).otherwise(cheap)
 
 
 def derive_audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ order with the same decisions:
   span, not by the number of requests);
 * J3 sliding window, J9 TTL cache and J5 registrations are sequential per
   key. Requests are first pre-aggregated per (key, second) - map-side, so a
-  hot key is flattened before the shuffle - and only those per-second counts
-  are folded in order per key (``applyInPandas``). A key's fold therefore
-  holds at most one row per second of the replayed span, however many
-  requests the key has.
+  hot key is flattened before the shuffle - and only those per-second rows
+  are folded in order: hash-partitioned by key, sorted within partitions
+  (external, spillable sort) and streamed through ``mapInPandas`` with only
+  the current key's small state in memory. J5 folds per IP over
+  (day, machine) first attempts with ``applyInPandas``.
 """
 
 from __future__ import annotations
@@ -165,35 +166,48 @@ SLIDE_SCHEMA = T.StructType([
     T.StructField("day_before", T.LongType())])
 
 
-def _slide_fold(window_s: int, limit: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sec", kind="stable")
-        secs, ns = pdf["sec"].to_numpy(), pdf["n"].to_numpy()
-        win_s, win_c, head, total = [], [], 0, 0
-        adm_out, retry_out, day_out = [], [], []
-        day, day_total = None, 0
-        for s, n in zip(secs.tolist(), ns.tolist()):
-            while head < len(win_s) and win_s[head] <= s - window_s:
-                total -= win_c[head]
-                head += 1
-            adm = max(0, min(n, limit - total))
-            if adm:
-                win_s.append(s)
-                win_c.append(adm)
-                total += adm
-            retry = None
-            if n > adm and head < len(win_s):
-                retry = max(1, win_s[head] + window_s - s)
-            d = s // 86400
-            if d != day:
-                day, day_total = d, 0
-            adm_out.append(adm)
-            retry_out.append(retry)
-            day_out.append(day_total)
-            day_total += adm
-        return pd.DataFrame({"token": pdf["token"].to_numpy(), "sec": secs, "admitted": adm_out,
-                             "retry_after": pd.array(retry_out, dtype="Int64"), "day_before": day_out})
-    return fold
+def _slide_stream(window_s: int, limit: int):
+    """Fold over (token, sec, n) rows sorted by (token, sec), streamed batch by batch.
+
+    State is only the current token's admitted seconds inside the window and
+    its count for the current UTC day, so memory does not grow with a key's
+    number of rows.
+    """
+    def run(batches):
+        tok, win_s, win_c, head, total, day, day_total = None, [], [], 0, 0, None, 0
+        for pdf in batches:
+            toks, secs, ns = pdf["token"].tolist(), pdf["sec"].tolist(), pdf["n"].tolist()
+            adm_out, retry_out, day_out = [], [], []
+            for t, s, n in zip(toks, secs, ns):
+                if t != tok:
+                    tok, win_s, win_c, head, total, day, day_total = t, [], [], 0, 0, None, 0
+                while head < len(win_s) and win_s[head] <= s - window_s:
+                    total -= win_c[head]
+                    head += 1
+                if head > 4096:                      # drop expired entries now and then
+                    win_s, win_c, head = win_s[head:], win_c[head:], 0
+                adm = max(0, min(n, limit - total))
+                if adm:
+                    win_s.append(s)
+                    win_c.append(adm)
+                    total += adm
+                retry = max(1, win_s[head] + window_s - s) if n > adm and head < len(win_s) else None
+                d = s // 86400
+                if d != day:
+                    day, day_total = d, 0
+                adm_out.append(adm)
+                retry_out.append(retry)
+                day_out.append(day_total)
+                day_total += adm
+            yield pd.DataFrame({"token": toks, "sec": secs, "admitted": adm_out,
+                                "retry_after": pd.array(retry_out, dtype="Int64"), "day_before": day_out})
+    return run
+
+
+def ordered_fold(df: DataFrame, key: str, order: list[str], fn, schema: T.StructType) -> DataFrame:
+    """Run a per-key sequential fold: hash-partition by key, sort by (key, order), stream the partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key, *order).mapInPandas(fn, schema)
 
 
 def sliding_and_daily(reqs: DataFrame, window_s: int = SLIDING_WINDOW_SECONDS,
@@ -203,7 +217,7 @@ def sliding_and_daily(reqs: DataFrame, window_s: int = SLIDING_WINDOW_SECONDS,
     Returns per request: ``slide_ok``, ``slide_retry``, ``daily_ok``, ``daily_retry``.
     """
     per_sec = reqs.groupBy("token", "sec").agg(F.count(F.lit(1)).alias("n"))
-    folded = per_sec.groupBy("token").applyInPandas(_slide_fold(window_s, limit), SLIDE_SCHEMA)
+    folded = ordered_fold(per_sec, "token", ["sec"], _slide_stream(window_s, limit), SLIDE_SCHEMA)
     rank = F.row_number().over(Window.partitionBy("token", "sec").orderBy("ts", "event_id"))
     j = reqs.select("event_id", "token", "sec", "ts_ms", rank.alias("r")).join(folded, ["token", "sec"])
     slide_ok = F.col("r") <= F.col("admitted")
@@ -301,17 +315,21 @@ CACHE_SCHEMA = T.StructType([
     T.StructField("first_hit", T.BooleanType())])
 
 
-def _cache_fold(ttl_ms: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sec", kind="stable")
-        created, ver, out = None, None, []
-        for s, v in zip(pdf["sec"].tolist(), pdf["version"].tolist()):
-            hit = created is not None and v == ver and (s - created) * 1000 <= ttl_ms
-            if not hit:
-                created, ver = s, v
-            out.append(hit)
-        return pd.DataFrame({"key": pdf["key"].to_numpy(), "sec": pdf["sec"].to_numpy(), "first_hit": out})
-    return fold
+def _cache_stream(ttl_ms: int):
+    def run(batches):
+        key, created, ver = None, None, None
+        for pdf in batches:
+            keys, secs, vers = pdf["key"].tolist(), pdf["sec"].tolist(), pdf["version"].tolist()
+            out = []
+            for k, s, v in zip(keys, secs, vers):
+                if k != key:
+                    key, created, ver = k, None, None
+                hit = created is not None and v == ver and (s - created) * 1000 <= ttl_ms
+                if not hit:
+                    created, ver = s, v
+                out.append(hit)
+            yield pd.DataFrame({"key": keys, "sec": secs, "first_hit": out})
+    return run
 
 
 def ttl_cache_replay(lookups: DataFrame, ttl_ms: int = CACHE_TTL_MS) -> DataFrame:
@@ -322,7 +340,7 @@ def ttl_cache_replay(lookups: DataFrame, ttl_ms: int = CACHE_TTL_MS) -> DataFram
     can miss. The fold runs over those per-second rows.
     """
     per_sec = lookups.groupBy("key", "sec").agg(F.first("version").alias("version"))
-    folded = per_sec.groupBy("key").applyInPandas(_cache_fold(ttl_ms), CACHE_SCHEMA)
+    folded = ordered_fold(per_sec, "key", ["sec"], _cache_stream(ttl_ms), CACHE_SCHEMA)
     rank = F.row_number().over(Window.partitionBy("key", "sec").orderBy("ts", "event_id"))
     j = lookups.select("event_id", "key", "sec", rank.alias("r")).join(folded, ["key", "sec"])
     return j.select("event_id", "key", F.when(F.col("r") == 1, F.col("first_hit")).otherwise(F.lit(True)).alias("hit"))
