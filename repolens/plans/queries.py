@@ -597,3 +597,38 @@ def q_mode_projection(spark, sf_dir):
 def q_report_markdown(spark, sf_dir):
     prof, res, merged = _report_inputs(spark, sf_dir)
     return RP.report_markdown(prof, merged)
+
+# --------------------------------------------------------------------------- streaming twins
+from repolens.streaming import replay as STR  # noqa: E402
+
+
+@register("sliding_window_stream")
+def q_sliding_window_stream(spark, sf_dir):
+    """J3 as a stateful stream over all requests (availableNow replay of the events file)."""
+    return STR.run_available_now(STR.sliding_window_stream(STR.request_stream(spark, sf_dir), GATE_WINDOW_S, GATE_LIMIT))
+
+
+@register("ttl_cache_stream")
+def q_ttl_cache_stream(spark, sf_dir):
+    return STR.run_available_now(STR.ttl_cache_stream(RLOG.cache_lookups(STR.request_stream(spark, sf_dir))))
+
+
+@register("fixed_window_stream")
+def q_fixed_window_stream(spark, sf_dir):
+    limits = {m: (FW_RPM, FW_RPD) for m, _, _, _ in RLOG.MODEL_LIMITS}
+    return STR.run_available_now(STR.fixed_window_stream(STR.request_stream(spark, sf_dir), limits, (None, FW_RPM, FW_RPD)))
+
+
+@register("minute_usage_stream")
+def q_minute_usage_stream(spark, sf_dir):
+    got = STR.run_available_now(STR.minute_usage_stream(STR.request_stream(spark, sf_dir, "1 minute")))
+    return got.select(F.col("window.start").alias("minute"), "model", "requests")
+
+
+@register("append_audit_events")
+def q_append_audit_events(spark, sf_dir):
+    """Gate decisions as audit records (the streaming sink is ``STR.append_audit_events``)."""
+    log = RLOG.request_log(spark, sf_dir)
+    gate = QU.request_gate(log, RLOG.token_states(spark, sf_dir), window_s=GATE_WINDOW_S, limit=GATE_LIMIT,
+                           daily=GATE_DAILY)
+    return STR.audit_events(gate.join(log.select("event_id", "ts", "token", "model"), "event_id"))

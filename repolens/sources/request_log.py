@@ -64,7 +64,11 @@ def _case(col, mapping: dict, default=None):
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
+    return derive_request_log(read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"]))
+
+
+def derive_request_log(ev: DataFrame) -> DataFrame:
+    """Header fields of each request, derived from an ``events`` batch or stream."""
     e, u = F.col("event_id"), F.col("user_id")
     ts = F.col("ts").cast("timestamp")
     ts_ms = F.unix_millis(ts)
