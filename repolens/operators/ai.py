@@ -156,130 +156,137 @@ def deployment_requests(profile: DataFrame, summaries: DataFrame, non_http: Colu
                      cache_key("deployment", REASONING_MODEL, F.col("summary")).alias("cache_key"), prompt.alias("prompt"))
 
 
-# ---- A3: recorded responses ---------------------------------------------------------
+# ---- SQL-text builders (one JVM call per expression) ---------------------------------
 
-def _vtype(v: Column, path: str) -> Column:
-    return F.schema_of_variant(F.variant_get(v, path, "variant"))
+def _q(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def scan_ai_responses(responses: DataFrame) -> DataFrame:
-    """A3: take ``choices[0].message.content``; reject no choices, blank, non-JSON, JSON null.
+def _vtype(v: str, path: str) -> str:
+    return f"schema_of_variant(variant_get({v}, {_q(path)}, 'variant'))"
 
-    Returns every response with ``content`` and ``reject_reason`` (NULL when accepted).
-    """
-    env = F.try_parse_json("response")
-    choices_ok = _vtype(env, "$.choices").startswith("ARRAY") & \
-        (F.coalesce(F.size(F.try_variant_get(env, "$.choices", "array<variant>")), F.lit(0)) > 0)
-    content_t = _vtype(env, "$.choices[0].message.content")
-    content = F.when(content_t == "STRING", F.try_variant_get(env, "$.choices[0].message.content", "string"))
-    parsed = F.try_parse_json(content)
-    reason = (F.when(env.isNull() | ~choices_ok, F.lit("no_choices"))
-              .when(content_t.isNotNull() & (content_t != "STRING") & (content_t != "VOID"), F.lit("bad_content"))
-              .when(F.trim(F.coalesce(content, F.lit(""))) == "", F.lit("empty_content"))
-              .when(parsed.isNull(), F.lit("non_json"))
-              .when(F.schema_of_variant(parsed) == "VOID", F.lit("null_json")))
-    return responses.select("repo_id", "kind", content.alias("content"), reason.alias("reject_reason"))
 
+def _str_or(v: str, path: str, default: str) -> str:
+    return f"CASE WHEN {_vtype(v, path)} = 'STRING' THEN variant_get({v}, {_q(path)}, 'string') ELSE {_q(default)} END"
 
-# ---- H7-H11: normalisers ------------------------------------------------------------
 
-def _str_or(v: Column, path: str, default: str) -> Column:
-    return F.when(_vtype(v, path) == "STRING", F.variant_get(v, path, "string")).otherwise(F.lit(default))
+def _enum_or(v: str, path: str, allowed, default: str) -> str:
+    val = f"variant_get({v}, {_q(path)}, 'string')"
+    options = ", ".join(_q(a) for a in allowed)
+    return f"CASE WHEN {_vtype(v, path)} = 'STRING' AND {val} IN ({options}) THEN {val} ELSE {_q(default)} END"
+
 
+def _strings(v: str, path: str, x: str = "x") -> str:
+    arr = f"coalesce(try_variant_get({v}, {_q(path)}, 'array<variant>'), CAST(array() AS array<variant>))"
+    return (f"transform(filter({arr}, {x} -> schema_of_variant({x}) = 'STRING'), "
+            f"{x} -> variant_get({x}, '$', 'string'))")
 
-def _enum_or(v: Column, path: str, allowed, default: str) -> Column:
-    s = F.when(_vtype(v, path) == "STRING", F.variant_get(v, path, "string"))
-    return F.when(s.isin(*allowed), s).otherwise(F.lit(default))
 
+def _objects(v: str, path: str, x: str = "x") -> str:
+    arr = f"coalesce(try_variant_get({v}, {_q(path)}, 'array<variant>'), CAST(array() AS array<variant>))"
+    return f"filter({arr}, {x} -> startswith(schema_of_variant({x}), 'OBJECT'))"
 
-def _strings(v: Column, path: str) -> Column:
-    arr = F.try_variant_get(v, path, "array<variant>")
-    only = F.filter(F.coalesce(arr, F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x) == "STRING")
-    return F.transform(only, lambda x: F.variant_get(x, "$", "string"))
 
+def js_number_sql(v: str, path: str) -> str:
+    """``Number(x)`` for a JSON value: missing -> NaN, null -> 0, bool -> 0/1, strings parsed."""
+    t = _vtype(v, path)
+    sv = f"trim(try_variant_get({v}, {_q(path)}, 'string'))"
+    return (f"CASE WHEN {t} IS NULL THEN CAST('NaN' AS DOUBLE) WHEN {t} = 'VOID' THEN 0.0D "
+            f"WHEN {t} = 'BOOLEAN' THEN CAST(try_variant_get({v}, {_q(path)}, 'boolean') AS DOUBLE) "
+            f"WHEN {t} = 'STRING' THEN CASE WHEN {sv} = '' THEN 0.0D "
+            f"ELSE coalesce(try_cast({sv} AS DOUBLE), CAST('NaN' AS DOUBLE)) END "
+            f"WHEN startswith({t}, 'OBJECT') OR startswith({t}, 'ARRAY') THEN CAST('NaN' AS DOUBLE) "
+            f"ELSE try_variant_get({v}, {_q(path)}, 'double') END")
 
-def _objects(v: Column, path: str) -> Column:
-    arr = F.try_variant_get(v, path, "array<variant>")
-    return F.filter(F.coalesce(arr, F.array().cast("array<variant>")),
-                    lambda x: F.schema_of_variant(x).startswith("OBJECT"))
 
+def clamp_sql(n: str) -> str:
+    return (f"CASE WHEN isnan({n}) OR ({n}) IS NULL THEN {SCORE_DEFAULT}D "
+            f"ELSE greatest({SCORE_MIN}D, least({SCORE_MAX}D, {n})) END")
 
-def js_number(v: Column, path: str) -> Column:
-    """``Number(x)`` for a JSON value: missing -> NaN, null -> 0, bool -> 0/1, string parsed."""
-    t = _vtype(v, path)
-    s = F.trim(F.try_variant_get(v, path, "string"))
-    return (F.when(t.isNull(), F.lit(float("nan")))
-            .when(t == "VOID", F.lit(0.0))
-            .when(t == "BOOLEAN", F.try_variant_get(v, path, "boolean").cast("double"))
-            .when(t == "STRING", F.when(s == "", F.lit(0.0)).otherwise(F.coalesce(s.try_cast("double"), F.lit(float("nan")))))
-            .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.lit(float("nan")))
-            .otherwise(F.try_variant_get(v, path, "double")))
 
+# ---- A3: recorded responses ---------------------------------------------------------
 
-def clamp_score(n: Column) -> Column:
-    return F.when(F.isnan(n) | n.isNull(), F.lit(SCORE_DEFAULT)).otherwise(
-        F.greatest(F.lit(SCORE_MIN), F.least(F.lit(SCORE_MAX), n)))
+def scan_ai_responses(responses: DataFrame) -> DataFrame:
+    """A3: take ``choices[0].message.content``; reject no choices, blank, non-JSON, JSON null.
 
+    Returns every response with ``content`` and ``reject_reason`` (NULL when accepted).
+    """
+    env = "try_parse_json(response)"
+    choices_ok = (f"(startswith({_vtype(env, '$.choices')}, 'ARRAY') AND "
+                  f"coalesce(size(try_variant_get({env}, '$.choices', 'array<variant>')), 0) > 0)")
+    ct = _vtype(env, "$.choices[0].message.content")
+    content = f"CASE WHEN {ct} = 'STRING' THEN try_variant_get({env}, '$.choices[0].message.content', 'string') END"
+    df = responses.selectExpr("repo_id", "kind", f"{content} AS content", f"{ct} AS ct", f"{choices_ok} AS choices_ok",
+                              f"{env} IS NULL AS bad_env")
+    reason = ("CASE WHEN bad_env OR NOT coalesce(choices_ok, FALSE) THEN 'no_choices' "
+              "WHEN ct IS NOT NULL AND ct <> 'STRING' AND ct <> 'VOID' THEN 'bad_content' "
+              "WHEN trim(coalesce(content, '')) = '' THEN 'empty_content' "
+              "WHEN try_parse_json(content) IS NULL THEN 'non_json' "
+              "WHEN schema_of_variant(try_parse_json(content)) = 'VOID' THEN 'null_json' END")
+    return df.selectExpr("repo_id", "kind", "content", f"{reason} AS reject_reason")
 
-def normalize_analysis(content: Column) -> Column:
+
+# ---- H7-H11: normalisers ------------------------------------------------------------
+
+def normalize_analysis(v: str = "v") -> Column:
     """H7: string arrays keep strings only; strings default."""
-    v = F.try_parse_json(content)
-    return F.struct(
-        *[_strings(v, f"$.{k}").alias(k) for k in ["dependencies", "devDependencies", "frameworks", "patterns", "concerns"]],
-        _str_or(v, "$.projectType", "Unknown").alias("projectType"),
-        *[_str_or(v, f"$.{k}", "").alias(k) for k in ["projectContext", "scalabilityNotes", "testingNotes", "summary"]])
+    fields = [f"'{k}', {_strings(v, '$.' + k)}" for k in
+              ["dependencies", "devDependencies", "frameworks", "patterns", "concerns"]]
+    fields.append(f"'projectType', {_str_or(v, '$.projectType', 'Unknown')}")
+    fields += [f"'{k}', {_str_or(v, '$.' + k, '')}" for k in ["projectContext", "scalabilityNotes", "testingNotes", "summary"]]
+    return F.expr("named_struct(" + ", ".join(fields) + ")")
 
 
-def _score_set(v: Column, path: str) -> Column:
-    obj = _vtype(v, path).startswith("OBJECT") | _vtype(v, path).startswith("ARRAY")
-    return F.struct(*[F.when(obj, clamp_score(js_number(v, f"{path}.{d}"))).otherwise(F.lit(SCORE_DEFAULT)).alias(d)
-                      for d in SCORE_DIMENSIONS])
+def _score_set_sql(v: str, path: str) -> str:
+    t = _vtype(v, path)
+    obj = f"(startswith({t}, 'OBJECT') OR startswith({t}, 'ARRAY'))"
+    dims = ", ".join(f"'{d}', CASE WHEN {obj} THEN {clamp_sql(js_number_sql(v, path + '.' + d))} "
+                     f"ELSE {SCORE_DEFAULT}D END" for d in SCORE_DIMENSIONS)
+    return f"named_struct({dims})"
 
 
-def normalize_reasoning(content: Column) -> Column:
+def normalize_reasoning(v: str = "v") -> Column:
     """H8 + H9: suggestions with per-field defaults, clamped score sets, strengths, summary."""
-    v = F.try_parse_json(content)
-    sugg = F.transform(_objects(v, "$.suggestions"), lambda x: F.struct(
-        _str_or(x, "$.category", "General").alias("category"),
-        _str_or(x, "$.current", "Unknown").alias("current"),
-        _str_or(x, "$.suggested", "Unknown").alias("suggested"),
-        *[_str_or(x, f"$.{k}", "").alias(k) for k in ["reason", "benefit", "tradeoffs", "alternatives", "migrationNotes"]],
-        _enum_or(x, "$.priority", LEVELS, "medium").alias("priority"),
-        _enum_or(x, "$.effort", LEVELS, "medium").alias("effort")))
-    return F.struct(sugg.alias("suggestions"),
-                    F.struct(_score_set(v, "$.scores.current").alias("current"),
-                             _score_set(v, "$.scores.optimized").alias("optimized")).alias("scores"),
-                    _strings(v, "$.strengths").alias("strengths"), _str_or(v, "$.summary", "").alias("summary"))
-
-
-def normalize_security(content: Column) -> Column:
+    y = "y"
+    sug = ("named_struct(" + ", ".join(
+        [f"'category', {_str_or(y, '$.category', 'General')}", f"'current', {_str_or(y, '$.current', 'Unknown')}",
+         f"'suggested', {_str_or(y, '$.suggested', 'Unknown')}"]
+        + [f"'{k}', {_str_or(y, '$.' + k, '')}" for k in
+           ["reason", "benefit", "tradeoffs", "alternatives", "migrationNotes"]]
+        + [f"'priority', {_enum_or(y, '$.priority', LEVELS, 'medium')}",
+           f"'effort', {_enum_or(y, '$.effort', LEVELS, 'medium')}"]) + ")")
+    sql = (f"named_struct('suggestions', transform({_objects(v, '$.suggestions', 'y')}, y -> {sug}), "
+           f"'scores', named_struct('current', {_score_set_sql(v, '$.scores.current')}, "
+           f"'optimized', {_score_set_sql(v, '$.scores.optimized')}), "
+           f"'strengths', {_strings(v, '$.strengths')}, 'summary', {_str_or(v, '$.summary', '')})")
+    return F.expr(sql)
+
+
+def normalize_security(v: str = "v") -> Column:
     """H10."""
-    v = F.try_parse_json(content)
-    items = F.transform(_objects(v, "$.findings"), lambda x: F.struct(
-        _enum_or(x, "$.severity", SECURITY_SEVERITIES, "medium").alias("severity"),
-        _str_or(x, "$.category", "General").alias("category"),
-        _str_or(x, "$.title", "Security Issue").alias("title"),
-        _str_or(x, "$.description", "").alias("description"),
-        _str_or(x, "$.recommendation", "").alias("recommendation"),
-        _enum_or(x, "$.effort", LEVELS, "medium").alias("effort"),
-        _str_or(x, "$.references", "").alias("references")))
-    return F.struct(items.alias("findings"), clamp_score(js_number(v, "$.score")).alias("score"),
-                    _str_or(v, "$.summary", "").alias("summary"), _strings(v, "$.strengths").alias("strengths"))
-
-
-def normalize_deployment(content: Column) -> Column:
+    item = ("named_struct(" + ", ".join([
+        f"'severity', {_enum_or('y', '$.severity', SECURITY_SEVERITIES, 'medium')}",
+        f"'category', {_str_or('y', '$.category', 'General')}", f"'title', {_str_or('y', '$.title', 'Security Issue')}",
+        f"'description', {_str_or('y', '$.description', '')}", f"'recommendation', {_str_or('y', '$.recommendation', '')}",
+        f"'effort', {_enum_or('y', '$.effort', LEVELS, 'medium')}", f"'references', {_str_or('y', '$.references', '')}"]) + ")")
+    sql = (f"named_struct('findings', transform({_objects(v, '$.findings', 'y')}, y -> {item}), "
+           f"'score', {clamp_sql(js_number_sql(v, '$.score'))}, 'summary', {_str_or(v, '$.summary', '')}, "
+           f"'strengths', {_strings(v, '$.strengths')})")
+    return F.expr(sql)
+
+
+def normalize_deployment(v: str = "v") -> Column:
     """H11."""
-    v = F.try_parse_json(content)
-    items = F.transform(_objects(v, "$.recommendations"), lambda x: F.struct(
-        _enum_or(x, "$.priority", DEPLOY_PRIORITIES, "medium").alias("priority"),
-        _str_or(x, "$.category", "General").alias("category"),
-        _str_or(x, "$.title", "Deployment Recommendation").alias("title"),
-        _str_or(x, "$.description", "").alias("description"),
-        _str_or(x, "$.implementation", "").alias("implementation"),
-        _enum_or(x, "$.effort", LEVELS, "medium").alias("effort"),
-        _str_or(x, "$.impact", "").alias("impact")))
-    return F.struct(items.alias("recommendations"), clamp_score(js_number(v, "$.score")).alias("score"),
-                    _str_or(v, "$.summary", "").alias("summary"), _strings(v, "$.strengths").alias("strengths"))
+    item = ("named_struct(" + ", ".join([
+        f"'priority', {_enum_or('y', '$.priority', DEPLOY_PRIORITIES, 'medium')}",
+        f"'category', {_str_or('y', '$.category', 'General')}",
+        f"'title', {_str_or('y', '$.title', 'Deployment Recommendation')}",
+        f"'description', {_str_or('y', '$.description', '')}", f"'implementation', {_str_or('y', '$.implementation', '')}",
+        f"'effort', {_enum_or('y', '$.effort', LEVELS, 'medium')}", f"'impact', {_str_or('y', '$.impact', '')}"]) + ")")
+    sql = (f"named_struct('recommendations', transform({_objects(v, '$.recommendations', 'y')}, y -> {item}), "
+           f"'score', {clamp_sql(js_number_sql(v, '$.score'))}, 'summary', {_str_or(v, '$.summary', '')}, "
+           f"'strengths', {_strings(v, '$.strengths')})")
+    return F.expr(sql)
 
 
 def severity_counts(items: Column, field: str, levels) -> list[Column]:
@@ -391,69 +398,76 @@ def derive_ai_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Field values come from the turn text; types vary on purpose (strings where
     numbers are expected, nulls, non-object list items) and some envelopes
-    carry no choices, blank or non-JSON content.
+    carry no choices, blank or non-JSON content. The text-derived pieces are
+    computed once per row in a first projection; the documents are then
+    assembled from those columns.
     """
     conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     turns = conv.where(F.col("turn").isin(*KIND_BY_TURN) & (F.col("role") == "assistant"))
-    c, t = F.col("conv_id"), F.col("text")
-    words = F.split(F.regexp_replace(t, r"[^\p{L} ]", ""), " +")
-    w = lambda k: F.coalesce(F.get(words, k), F.lit(""))
-    n = F.length(t)
+    words = F.split(F.regexp_replace("text", r"[^\p{L} ]", ""), " +")
+    base = turns.select(F.col("conv_id").alias("c"), "turn", "text", F.length("text").alias("n"), words.alias("w"))
+    pieces = {f"w{k}": _js(F.coalesce(F.get("w", k), F.lit(""))) for k in range(7)}
+    pieces.update({f"s{a}_{b}": _js(F.substring("text", a, b)) for a, b in
+                   [(1, 30), (1, 40), (1, 60), (1, 80), (1, 120), (41, 40), (81, 40), (161, 40), (201, 40), (241, 40)]})
+    base = base.select("c", "turn", "n", *[v.alias(k) for k, v in pieces.items()])
+    c, n, P = F.col("c"), F.col("n"), F.col
     analysis = F.concat(
-        F.lit('{"frameworks": ['), _js(w(0)), F.lit(", "), _js(w(1)), F.lit('], "patterns": ['), _js(w(2)),
-        F.lit(', 5, null], "concerns": '), F.when(c % 2 == 0, F.concat(F.lit("["), _js(w(3)), F.lit("]")))
-        .otherwise(F.lit('"none"')), F.lit(', "projectType": '), F.when(c % 3 == 0, F.lit("7")).otherwise(_js(w(4))),
-        F.lit(', "summary": '), _js(F.substring(t, 1, 80)), F.lit("}"))
+        F.lit('{"frameworks": ['), P("w0"), F.lit(", "), P("w1"), F.lit('], "patterns": ['), P("w2"),
+        F.lit(', 5, null], "concerns": '), F.when(c % 2 == 0, F.concat(F.lit("["), P("w3"), F.lit("]")))
+        .otherwise(F.lit('"none"')), F.lit(', "projectType": '), F.when(c % 3 == 0, F.lit("7")).otherwise(P("w4")),
+        F.lit(', "summary": '), P("s1_80"), F.lit("}"))
 
     def sugg(k, cur, sug):
+        reason = [P("s1_40"), P("s41_40"), P("s81_40")][k]
+        benefit = [P("s161_40"), P("s201_40"), P("s241_40")][k]
         return F.concat(F.lit('{"category": '), _js(_pick(CATEGORIES, c + k)), F.lit(', "current": '), cur,
-                        F.lit(', "suggested": '), sug, F.lit(', "reason": '), _js(F.substring(t, 1 + 40 * k, 40)),
-                        F.lit(', "benefit": '), _js(F.substring(t, 161 + 40 * k, 40)),
+                        F.lit(', "suggested": '), sug, F.lit(', "reason": '), reason, F.lit(', "benefit": '), benefit,
                         F.when((c + k) % 4 == 3, F.lit("")).otherwise(
                             F.concat(F.lit(', "priority": '), _js(_pick(PRIORITIES, c + k)))),
                         F.lit(', "effort": '), _js(_pick(LEVELS, c + 2 * k)), F.lit("}"))
-    scores_cur = F.concat(F.lit('{"overall": '), (n % 13).cast("string"), F.lit(', "performance": '),
-                          _js((n % 9).cast("string")), F.lit(', "developerExperience": null, "scalability": "abc"}'))
+    scores_cur = F.concat(F.lit('{"overall": '), (n % 13).cast("string"), F.lit(', "performance": "'),
+                          (n % 9).cast("string"), F.lit('", "developerExperience": null, "scalability": "abc"}'))
     scores_opt = F.when(c % 4 == 0, F.lit("7")).otherwise(
         F.concat(F.lit('{"overall": '), (n % 11).cast("string"), F.lit(', "performance": 8.5, '
                                                                        '"developerExperience": 9, "maintainability": -2, '
                                                                        '"scalability": true}')))
     reasoning = F.concat(
-        F.lit('{"suggestions": ['), sugg(0, _js(w(0)), _js(w(1))), F.lit(", "), sugg(1, _js(w(2)), _js(w(3))),
+        F.lit('{"suggestions": ['), sugg(0, P("w0"), P("w1")), F.lit(", "), sugg(1, P("w2"), P("w3")),
         F.lit(', 42, '), sugg(2, F.lit('"Express"'), F.lit('"Fastify"')),
         F.lit('], "scores": {"current": '), scores_cur, F.lit(', "optimized": '), scores_opt,
-        F.lit('}, "strengths": ['), _js(w(5)), F.lit(", 3, "), _js(w(6)), F.lit('], "summary": '),
-        _js(F.substring(t, 1, 120)), F.lit("}"))
+        F.lit('}, "strengths": ['), P("w5"), F.lit(", 3, "), P("w6"), F.lit('], "summary": '), P("s1_120"), F.lit("}"))
     security = F.concat(
         F.lit('{"findings": [{"severity": '), _js(_pick(SECURITY_SEVERITIES + ["severe"], c)),
-        F.lit(', "category": '), _js(w(0)), F.lit(', "title": '), _js(F.substring(t, 1, 30)),
+        F.lit(', "category": '), P("w0"), F.lit(', "title": '), P("s1_30"),
         F.lit(', "effort": "low"}, {"severity": "high"}, "loose"], "score": '),
         F.when(c % 5 == 0, F.lit("null")).when(c % 5 == 1, F.lit('"8.5"')).when(c % 5 == 2, F.lit("12"))
         .when(c % 5 == 3, F.lit('"abc"')).otherwise(F.lit("6")),
-        F.lit(', "strengths": ['), _js(w(1)), F.lit(', false], "summary": '), _js(F.substring(t, 1, 60)), F.lit("}"))
+        F.lit(', "strengths": ['), P("w1"), F.lit(', false], "summary": '), P("s1_60"), F.lit("}"))
     deployment = F.concat(
         F.lit('{"recommendations": [{"priority": '), _js(_pick(DEPLOY_PRIORITIES + ["asap"], c)),
-        F.lit(', "title": '), _js(F.substring(t, 1, 30)), F.lit(', "impact": '), _js(w(2)),
+        F.lit(', "title": '), P("s1_30"), F.lit(', "impact": '), P("w2"),
         F.lit('}, null], "score": '), (n % 12).cast("string"), F.lit(', "strengths": [], "summary": 5}'))
     content = (F.when(F.col("turn") == 1, analysis).when(F.col("turn") == 3, reasoning)
                .when(F.col("turn") == 5, security).otherwise(deployment))
     key = c + F.col("turn")
-    content = (F.when(key % 13 == 0, F.lit("   ")).when(key % 17 == 0, F.substring(t, 1, 40))
+    content = (F.when(key % 13 == 0, F.lit("   ")).when(key % 17 == 0, F.get(F.split(P("s1_40"), '"'), 1))
                .when(key % 23 == 0, F.lit("null")).otherwise(content))
-    envelope = F.when(key % 19 == 0, F.lit('{"choices": []}')).otherwise(
-        F.concat(F.lit('{"choices": [{"message": {"content": '), _js(content), F.lit("}}]}")))
     kind = F.create_map(*[x for k, v in KIND_BY_TURN.items() for x in (F.lit(k), F.lit(v))])[F.col("turn")]
-    return turns.select(c.alias("repo_id"), kind.alias("kind"), envelope.alias("response"))
+    docs = base.select(c.alias("repo_id"), kind.alias("kind"), key.alias("key"), content.alias("content"))
+    envelope = F.when(F.col("key") % 19 == 0, F.lit('{"choices": []}')).otherwise(
+        F.concat(F.lit('{"choices": [{"message": {"content": '), _js(F.col("content")), F.lit("}}]}")))
+    return docs.select("repo_id", "kind", envelope.alias("response"))
 
 
 def accepted(responses: DataFrame, kind: str) -> DataFrame:
+    """Accepted responses of one kind with the content parsed once into the VARIANT column ``v``."""
     scanned = scan_ai_responses(responses.where(F.col("kind") == kind))
-    return scanned.where(F.col("reject_reason").isNull()).select("repo_id", "content")
+    return scanned.where(F.col("reject_reason").isNull()).selectExpr("repo_id", "content", "try_parse_json(content) AS v")
 
 
 def merged_suggestions(rule_results: DataFrame, responses: DataFrame) -> DataFrame:
     """H12 per repository: rule findings joined with the normalised reasoning response."""
-    ai = accepted(responses, "reasoning").select("repo_id", normalize_reasoning(F.col("content")).alias("r"))
+    ai = accepted(responses, "reasoning").select("repo_id", normalize_reasoning("v").alias("r"))
     j = rule_results.select("repo_id", "findings").join(ai, "repo_id", "left")
     return j.select("repo_id", merge_suggestions(F.col("findings"), F.col("r.suggestions")).alias("merged"))
 

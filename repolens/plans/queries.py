@@ -410,7 +410,7 @@ def _responses(spark, sf_dir):
 def q_reasoning_requests(spark, sf_dir):
     prof, summ = _summaries(spark, sf_dir)
     analysis = AI.accepted(_responses(spark, sf_dir), "analysis").select(
-        "repo_id", F.to_json(AI.normalize_analysis(F.col("content"))).alias("analysis_json"))
+        "repo_id", F.to_json(AI.normalize_analysis("v")).alias("analysis_json"))
     text = RU.findings_text(RU.rule_results(prof))
     return AI.reasoning_requests(prof, summ, analysis, text)
 
@@ -453,7 +453,7 @@ def q_scan_ai_responses(spark, sf_dir):
 
 @register("normalize_analysis")
 def q_normalize_analysis(spark, sf_dir):
-    a = AI.accepted(_responses(spark, sf_dir), "analysis").select("repo_id", AI.normalize_analysis(F.col("content")).alias("a"))
+    a = AI.accepted(_responses(spark, sf_dir), "analysis").select("repo_id", AI.normalize_analysis("v").alias("a"))
     return a.select("repo_id", F.array_join("a.frameworks", ", ").alias("frameworks"),
                     F.array_join("a.patterns", ", ").alias("patterns"), F.array_join("a.concerns", ", ").alias("concerns"),
                     F.col("a.projectType").alias("project_type"), F.col("a.summary").alias("summary"))
@@ -461,27 +461,27 @@ def q_normalize_analysis(spark, sf_dir):
 
 @register("normalize_suggestions")
 def q_normalize_suggestions(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning("v").alias("r"))
     return r.select("repo_id", F.posexplode("r.suggestions").alias("pos", "s")).select("repo_id", "pos", "s.*")
 
 
 @register("normalize_scores")
 def q_normalize_scores(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning("v").alias("r"))
     return r.select("repo_id", *[F.col(f"r.scores.{side}.{d}").alias(f"{side}_{d}")
                                  for side in ("current", "optimized") for d in AI.SCORE_DIMENSIONS])
 
 
 @register("normalize_security")
 def q_normalize_security(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "security").select("repo_id", AI.normalize_security(F.col("content")).alias("s"))
+    r = AI.accepted(_responses(spark, sf_dir), "security").select("repo_id", AI.normalize_security("v").alias("s"))
     return r.select("repo_id", F.col("s.score").alias("score"), F.size("s.findings").alias("n_findings"),
                     F.array_join("s.strengths", ", ").alias("strengths"), F.col("s.summary").alias("summary"))
 
 
 @register("normalize_deployment")
 def q_normalize_deployment(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "deployment").select("repo_id", AI.normalize_deployment(F.col("content")).alias("d"))
+    r = AI.accepted(_responses(spark, sf_dir), "deployment").select("repo_id", AI.normalize_deployment("v").alias("d"))
     return r.select("repo_id", F.col("d.score").alias("score"), F.size("d.recommendations").alias("n_recommendations"),
                     F.array_join("d.strengths", ", ").alias("strengths"), F.col("d.summary").alias("summary"))
 
@@ -489,8 +489,8 @@ def q_normalize_deployment(spark, sf_dir):
 @register("ai_severity_counts")
 def q_ai_severity_counts(spark, sf_dir):
     resp = _responses(spark, sf_dir)
-    sec = AI.accepted(resp, "security").select("repo_id", AI.normalize_security(F.col("content")).alias("s"))
-    dep = AI.accepted(resp, "deployment").select("repo_id", AI.normalize_deployment(F.col("content")).alias("d"))
+    sec = AI.accepted(resp, "security").select("repo_id", AI.normalize_security("v").alias("s"))
+    dep = AI.accepted(resp, "deployment").select("repo_id", AI.normalize_deployment("v").alias("d"))
     return (sec.select("repo_id", *AI.severity_counts(F.col("s.findings"), "severity", AI.SECURITY_SEVERITIES))
             .join(dep.select("repo_id", *AI.severity_counts(F.col("d.recommendations"), "priority", AI.DEPLOY_PRIORITIES)),
                   "repo_id", "full"))
@@ -507,7 +507,7 @@ def q_merge_suggestions(spark, sf_dir):
 
 @register("score_delta")
 def q_score_delta(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning("v").alias("r"))
     return r.select("repo_id", F.explode(AI.score_delta(F.col("r"))).alias("d")).select("repo_id", "d.*")
 
 # --------------------------------------------------------------------------- reports

@@ -193,7 +193,8 @@ def test_audit_rollup_and_advisories(spark):
 def test_score_normalisation(spark):
     content = json.dumps({"scores": {"current": {"overall": None, "performance": "7", "scalability": 15},
                                      "optimized": 3}, "suggestions": [{"priority": "urgent"}, 5]})
-    df = spark.createDataFrame([(content,)], "c string").select(AI.normalize_reasoning(F.col("c")).alias("r"))
+    df = spark.createDataFrame([(content,)], "c string").selectExpr("try_parse_json(c) AS v") \
+        .select(AI.normalize_reasoning("v").alias("r"))
     r = df.first()["r"]
     cur = r["scores"]["current"]
     assert cur["overall"] == 0.0 and cur["performance"] == 7.0 and cur["scalability"] == 10.0
@@ -213,7 +214,7 @@ def test_merge_suggestions(spark):
             {"category": "Other", "current": "c", "suggested": "d", "priority": "low"}]
     content = json.dumps({"suggestions": sugg})
     ai = spark.createDataFrame([(1, content)], "repo_id long, c string") \
-        .select("repo_id", AI.normalize_reasoning(F.col("c")).alias("r"))
+        .selectExpr("repo_id", "try_parse_json(c) AS v").select("repo_id", AI.normalize_reasoning("v").alias("r"))
     out = res.join(ai, "repo_id").select(AI.merge_suggestions(F.col("findings"), F.col("r.suggestions")).alias("m")) \
         .first()["m"]
     ids = [(m["id"], m["source"]) for m in out]
