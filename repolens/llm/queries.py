@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, pii, quality, sharding
+from . import chat, decontamination, jaccard, mixing, pii, quality, sharding
 from .common import read, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(rows, 8).withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that link at a Jaccard similarity of 0.85 or more of four-word shingles."""
+    found = jaccard.join(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learnt from labels of rows whose crc32(doc_id) mod 3 is not 1."""
