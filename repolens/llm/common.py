@@ -36,3 +36,28 @@ def saved(df: DataFrame) -> DataFrame:
 def ascii_words(text: bytes | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased; bytes of UTF-8, so other letters stay."""
     return text.lower().split() if text else []
+
+
+def word_counts(texts: DataFrame, limit: int = 300_000) -> DataFrame:
+    """(word, c) over all texts (one binary column): counted per task in tables of ``limit`` words, then summed."""
+    from collections import Counter
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def counted(batches):
+        counts: Counter = Counter()
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(ascii_words(text.as_py()))
+                if len(counts) >= limit:
+                    yield rows()
+                    counts.clear()
+        if counts:
+            yield rows()
+
+    return texts.mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))

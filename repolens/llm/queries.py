@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, mixing, mtree, pii, quality, sharding
+from . import chat, decontamination, jaccard, lm, mixing, mtree, pii, quality, sharding
 from .common import read, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def query(f):
     return f
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents, learnt from those whose crc32(doc_id) mod 10 is not 0."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return lm.score(read(spark, sf_dir, "documents", "doc_id", "text"), held_out)
+
+
 @query
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, whose texts hold control strings, formatted, encoded, masked and read back."""
