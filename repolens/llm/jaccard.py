@@ -28,6 +28,7 @@ gives an empty result. Further columns are kept by ``representatives``, ignored
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -90,8 +91,12 @@ class Bands:
             return 1, 1, 0, 0
         if k == 1:
             return 1, 4, 1, 0
-        n1 = (k + 2) // 2 + (k >= 16)
-        return n1, 2, 1, 2 * n1 - k - 1
+        first, least = (k + 2) // 2, self.starts[j]
+        for n1 in range(first, first + first // 4):  # room for the empty cells of the smallest sets, with four deviations
+            empty = 2 * n1 * math.exp(-least / (2 * n1))
+            if 2 * n1 - k - 1 >= empty + 4 * math.sqrt(empty):
+                return n1, 2, 1, 2 * n1 - k - 1
+        return first, 2, 1, 2 * first - k - 1
 
 
 def signatures(shingles: np.ndarray, bands: Bands, plans: dict) -> list[np.ndarray]:
