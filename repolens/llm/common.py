@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from repolens.sources.tables import table_path
 
@@ -15,14 +18,9 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder of the session.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a scratch folder; a cluster without
-    it is an error, since executors could not read each other's files.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir", None)
         if folder is None:
@@ -30,6 +28,17 @@ def saved(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="repolens-llm-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder of the session.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
+    local session without that setting gets a scratch folder; a cluster without
+    it is an error, since executors could not read each other's files.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -40,11 +49,6 @@ def ascii_words(text: bytes | None) -> list[bytes]:
 
 def word_counts(texts: DataFrame, limit: int = 300_000) -> DataFrame:
     """(word, c) over all texts (one binary column): counted per task in tables of ``limit`` words, then summed."""
-    from collections import Counter
-
-    import pyarrow as pa
-    from pyspark.sql import functions as F
-
     def counted(batches):
         counts: Counter = Counter()
 
@@ -61,3 +65,17 @@ def word_counts(texts: DataFrame, limit: int = 300_000) -> DataFrame:
             yield rows()
 
     return texts.mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words whose count is in the upper classes (eight to a doubling) that hold ``most`` words at most, commonest first."""
+    size = F.floor(F.log2("c") * 8)
+    classes = sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True)
+    least, held = None, 0
+    for r in classes:
+        held += r["count"]
+        if held > most:
+            break
+        least = r["size"]
+    rows = counts.where(size >= least).collect() if least is not None else []
+    return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))

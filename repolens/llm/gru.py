@@ -16,6 +16,7 @@ WORDS, CLASS, HIDDEN = 2048, 64, 32
 CLASSES = WORDS // CLASS + 1  # the last one holds all other words
 END, OTHER = WORDS - 1, WORDS
 WINDOW, LANES, SCORE_LANES = 24, 64, 256
+PIECE = 1024  # longer documents are trained on in pieces of so many words, which keeps lanes even; they are scored whole
 SHAPES = {"embed": (WORDS + 1, HIDDEN), "w": (HIDDEN, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
           "class_w": (HIDDEN, CLASSES), "class_b": (CLASSES,), "word_w": (WORDS, HIDDEN), "word_b": (WORDS,)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -202,11 +203,14 @@ class Trainer:
         """One pass; mean loss of a token."""
         if not documents:
             return 0.0
-        inputs, targets, reset, lengths = (x.T if x.ndim == 2 else x for x in streams(documents, lanes(documents, LANES)))
+        pieces = [d[a:a + PIECE] for d in documents for a in range(0, len(d), PIECE)]
+        inputs, targets, reset, lengths = (x.T if x.ndim == 2 else x for x in streams(pieces, lanes(pieces, LANES)))
         h, lost = np.zeros((inputs.shape[1], HIDDEN), np.float32), 0.0
         for t in range(0, len(inputs), WINDOW):
-            weight = np.arange(t, min(t + WINDOW, len(inputs)))[:, None] < lengths[None]
-            g, h, loss = gradients(self.p, inputs[t:t + WINDOW], targets[t:t + WINDOW], reset[t:t + WINDOW], weight, h)
+            n = int(np.searchsorted(-lengths, -t, "left"))  # lanes that go on; longest first
+            weight = np.arange(t, min(t + WINDOW, len(inputs)))[:, None] < lengths[None, :n]
+            at = np.s_[t:t + WINDOW, :n]
+            g, h, loss = gradients(self.p, inputs[at], targets[at], reset[at], weight, h[:n])
             lost += loss
             self.apply(g, max(1, weight.sum()))
         self.tokens += int(lengths.sum())

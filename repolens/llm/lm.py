@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import ascii_words, saved, word_counts
+from .common import ascii_words, commonest, saved, word_counts
 
 ADDED = 0.1
 LOCAL_WORDS = 200_000
 SAMPLE_DOCS, SAMPLE_TOKENS, EPOCHS, RATE = 1500, 500_000, 3, 0.01
-SHARE, SHARE_RATE, GROUP = 1 / 16, 0.002, 200
+SHARE, SHARE_RATE, GROUP = 1 / 16, 0.002, 500
 CHUNKS = 64
 SCORED = ("n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>")
 
@@ -122,7 +122,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     train = rows.where(~F.col("held_out")).select("d", "t")
     counts = saved(word_counts(train.select("t")))
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(w), c) for w, c in counts.orderBy(F.desc("c"), "word").limit(LOCAL_WORDS).collect()]
+    top = commonest(counts, LOCAL_WORDS)
     vocabulary = Vocabulary(top, tokens, types, train.count())
     weights = trained(train, vocabulary, F.col("d"))
     shared, model = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(gru.packed(weights))
