@@ -1,7 +1,67 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: quality, near duplicates, benchmark passages, source mixing, sharding.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
+last return the columns of ``docs``. ``run`` writes each result as Parquet in the
+shared checkpoint folder and reads it again as the next stage's input.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from repolens.llm import decontamination, jaccard, mixing, quality, sharding
+from repolens.llm.common import read, saved, shared_folder
+
+SHARDS = 8
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score 0.5 or more), learnt from all labels of the documents."""
+    stats = saved(docs.select("doc_id", quality.stats_column("text").alias("stats")))
+    model = quality.fit(stats, quality.labelled_stats(stats, read(spark, sf_dir, "labels", "doc_id", "quality")))
+    return docs.where(quality.score_column(model, quality.stats_column("text")) >= 0.5)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: five-word shingles, Jaccard 0.8 or more."""
+    return jaccard.representatives(docs, shingle=5, num=80, den=100)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside a benchmark window."""
+    hit = decontamination.flagged(docs, read(spark, sf_dir, "benchmark"), added="benchmark_hit")
+    return hit.where("size(benchmark_hit.hits) = 0").drop("benchmark_hit")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated by a Poisson count towards equal bytes of every source, in shuffled order."""
+    return mixing.mix(docs).drop(*mixing.ADDED)
+
+
+def shard_assignment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and slot."""
+    return sharding.shard(docs, SHARDS)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources", source_mixing),
+    ("sharding", shard_assignment),
+]
+
+#: SQL expresses neither the classifier nor the hashes of the permutation; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to the documents."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, lm, mixing, mtree, pii, quality, sharding
+from . import chat, decontamination, jaccard, lm, mixing, mtree, pii, quality, secret_scan, sharding
 from .common import read, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,9 @@ FROM copied
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans of personal data in all documents, and the spans that the trained field adds."""
     return pii.find(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents that the forest keeps; a document's source stands for its path."""
+    return secret_scan.scan(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
