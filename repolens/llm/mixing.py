@@ -74,9 +74,9 @@ def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str
         table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn("__t", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(
             table, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__t") == F.col("__salt"))).drop("__t", "__salt")
-    u = uniform_sql(f"'{seed}'", "__id", "cast(j as string)")
+    u = uniform_sql(f"'{seed}'", "__id", "cast(j as string)")  # hashed once a part, then compared with all terms
     counted = rows.withColumn("mix_copies", F.expr(
-        f"aggregate(sequence(1, __m), 0L, (k, j) -> k + size(filter(__cdf, c -> c <= {u})))")).drop("__m", "__cdf", "__s")
+        f"aggregate(transform(sequence(1, __m), j -> {u}), 0L, (k, u) -> k + size(filter(__cdf, c -> c <= u)))")).drop("__m", "__cdf", "__s")
     copies = counted.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_copies)")))
     keyed = copies.withColumn("mix_key", F.expr(f"md5(concat_ws(':', '{seed}', 'order', __id, cast(mix_copy as string)))"))
     return keyed.drop("__id").orderBy("mix_key", doc_id, "mix_copy")
