@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from repolens.llm import decontamination, jaccard, mixing, quality, sharding
 from repolens.llm.common import read, saved, shared_folder
@@ -31,13 +32,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a benchmark window."""
-    hit = decontamination.flagged(docs, read(spark, sf_dir, "benchmark"), added="benchmark_hit")
-    return hit.where("size(benchmark_hit.hits) = 0").drop("benchmark_hit")
+    added = max(docs.columns, key=len) + "_hit"  # longer than any name there is
+    hit = decontamination.flagged(docs, read(spark, sf_dir, "benchmark"), added=added)
+    return hit.where(F.size(F.col(f"{added}.hits")) == 0).drop(added)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by a Poisson count towards equal bytes of every source, in shuffled order."""
-    return mixing.mix(docs).drop(*mixing.ADDED)
+    return mixing.mix(docs, added=False)
 
 
 def shard_assignment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,15 @@ def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
         least = r["size"]
     rows = counts.where(size >= least).collect() if least is not None else []
     return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... and the new name of each: no column of the caller can clash with an operator's own."""
+    new = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), dict(zip(df.columns, new))
+
+
+def restored(df: DataFrame, names: dict[str, str], *added: str) -> DataFrame:
+    """The caller's columns under their names, and the added ones; a caller's column named like an added one gets ``_input`` behind it."""
+    taken = {a.lower() for a in added}
+    return df.select(*[F.col(c).alias(f"{n}_input" if n.lower() in taken else n) for n, c in names.items()], *added)

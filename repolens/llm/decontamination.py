@@ -15,7 +15,8 @@ shuffle. With more than one block each gets a pass and their hits are merged by
 Null and empty texts have no words and no hits; very long texts are hashed in
 segments; repeated documents get a row each, repeated items count once; items
 without words are left out; an empty table gives an empty result, an empty
-benchmark no hits. Further columns are kept by ``flagged`` and ignored by ``report``.
+benchmark no hits. Further columns are kept by ``flagged`` (one named like the
+added one as ``<name>_input``) and ignored by ``report``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import hashing
-from .common import saved
+from .common import positional, restored, saved
 
 SPAN, K = 10, 5
 BLOCK_ROWS = 200_000
@@ -159,13 +160,13 @@ def flagged(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "
     One block is held by the tasks of the one pass. With more, each block gets a pass that keeps the
     hits of distinct texts in the checkpoint folder, and the last pass joins them by the text's digest.
     """
-    if added in docs.columns:
-        raise ValueError(f"column {added} is named like the added one")
+    docs, names = positional(docs)
+    text = names[text]
     share = docs.sparkSession.sparkContext.broadcast
     rows = saved(windows(bench, item, item_text, span))
     n = max(1, -(-rows.count() // block_rows))
     if n == 1:
-        return docs.withColumn(added, scan_column(F.col(text), share([tuple(r) for r in rows.collect()]), span))
+        return restored(docs.withColumn(added, scan_column(F.col(text), share([tuple(r) for r in rows.collect()]), span)), names, added)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("item", "window"), F.lit(n)))
     parts = []
     for i in range(n):
@@ -176,18 +177,16 @@ def flagged(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "
     merged = reduce(DataFrame.unionByName, parts).groupBy("digest").agg(
         F.array_distinct(F.flatten(F.collect_list("h.hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("items"))  # at most n rows of a digest
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    wide = docs.select(*[F.col(c).alias(x) for c, x in zip(docs.columns, names)],
-                       scan_column(F.col(text), share([]), span).alias("h"), F.md5(text).alias("d"))
+    wide = docs.withColumn("h", scan_column(F.col(text), share([]), span)).withColumn("d", F.md5(text))
     joined = wide.join(merged, F.col("d") == F.col("digest"), "left")
-    return joined.select(*[F.col(x).alias(c) for c, x in zip(docs.columns, names)], F.struct(
-        F.col("h.n_words").alias("n_words"), F.coalesce("hits", "h.hits").alias("hits"), F.coalesce("items", "h.items").alias("items")).alias(added))
+    return restored(joined.withColumn(added, F.struct(
+        F.col("h.n_words").alias("n_words"), F.coalesce("hits", "h.hits").alias("hits"), F.coalesce("items", "h.items").alias("items"))), names, added)
 
 
 def report(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each document."""
-    hit = flagged(docs.select(F.col(doc_id), F.col(text)), bench, text, **options)
+    hit = flagged(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")), bench, "t", added="hit", **options)
     return hit.select(
-        doc_id, F.col("hit.n_words").alias("n_words"), F.size("hit.hits").cast("bigint").alias("n_hit"),
+        F.col("d").alias(doc_id), F.col("hit.n_words").alias("n_words"), F.size("hit.hits").cast("bigint").alias("n_hit"),
         F.size("hit.items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "hit.items"), 256).alias("items_sha256"), (F.size("hit.hits") > 0).alias("contaminated"))

@@ -13,7 +13,8 @@ on (source, salt) beyond it, so a hot source is never one task.
 A null source is a source of its own; null and empty texts count one byte, as
 the size of every text is its bytes plus one. Equal rows get equal counts.
 Sources without a target weight get rate 0; without any weights all sources
-weigh the same. An empty table gives an empty result.
+weigh the same. An empty table gives an empty result. Columns of the caller
+named like the added ones come back as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import positional, restored, saved
 
 #: A Poisson mean above this is split into equal independent parts of at most this mean.
 PART_MEAN = 16
@@ -57,26 +58,25 @@ def uniform_sql(*parts: str) -> str:
 
 
 def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text",
-        weights: dict | None = None, total: float = 1.0, seed: int = 7) -> DataFrame:
+        weights: dict | None = None, total: float = 1.0, seed: int = 7, added: bool = True) -> DataFrame:
     """Rows of ``df`` repeated by their count, in the order of ``mix_key``.
 
-    Adds ``mix_rate``, ``mix_copies`` (the document's count), ``mix_copy`` (from 1) and ``mix_key``.
+    Adds ``mix_rate``, ``mix_copies`` (the document's count), ``mix_copy`` (from 1) and ``mix_key``, unless ``added`` is false.
     """
-    if clash := set(df.columns) & set(ADDED):
-        raise ValueError(f"columns {sorted(clash)} are named like the added ones")
-    table = saved(rates(df, source, text, weights, total)).select(
-        F.col("source").alias("__s"), F.col("rate").alias("mix_rate"), F.col("parts").alias("__m"), F.col("cdf").alias("__cdf"))
-    rows = df.withColumn("__id", F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")),
-                                             F.md5(F.coalesce(F.col(text), F.lit("")))))
+    table = saved(rates(df, source, text, weights, total)).select("source", F.col("rate").alias("mix_rate"), "parts", "cdf")
+    rows, names = positional(df)
+    s, d, t = names[source], names[doc_id], names[text]
+    rows = rows.withColumn("id", F.concat_ws(":", F.coalesce(F.col(d).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(t), F.lit("")))))
+    same = F.col(s).eqNullSafe(F.col("source"))
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rows = rows.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("__s")))
+        rows = rows.join(F.broadcast(table), same)
     else:
-        table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__t", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(
-            table, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__t") == F.col("__salt"))).drop("__t", "__salt")
-    u = uniform_sql(f"'{seed}'", "__id", "cast(j as string)")  # hashed once a part, then compared with all terms
+        table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("of", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(table, same & (F.col("of") == F.col("salt")))
+    u = uniform_sql(f"'{seed}'", "id", "cast(j as string)")  # hashed once a part, then compared with all terms
     counted = rows.withColumn("mix_copies", F.expr(
-        f"aggregate(transform(sequence(1, __m), j -> {u}), 0L, (k, u) -> k + size(filter(__cdf, c -> c <= u)))")).drop("__m", "__cdf", "__s")
+        f"aggregate(transform(sequence(1, parts), j -> {u}), 0L, (k, u) -> k + size(filter(cdf, c -> c <= u)))"))
     copies = counted.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_copies)")))
-    keyed = copies.withColumn("mix_key", F.expr(f"md5(concat_ws(':', '{seed}', 'order', __id, cast(mix_copy as string)))"))
-    return keyed.drop("__id").orderBy("mix_key", doc_id, "mix_copy")
+    keyed = copies.withColumn("mix_key", F.expr(f"md5(concat_ws(':', '{seed}', 'order', id, cast(mix_copy as string)))"))
+    keyed = keyed.select(*names.values(), *ADDED).orderBy("mix_key", d, "mix_copy")
+    return restored(keyed, names, *(ADDED if added else ()))

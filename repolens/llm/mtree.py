@@ -212,7 +212,8 @@ def top_k(df: DataFrame, queries, vec_id: str = "vec_id", vector: str = "embeddi
     schema = "query_id long, qh long, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    exact = max(1, width) * largest * largest < 2**53
+    width = max(1, width)
+    exact = width * largest * largest < 2**53
     trees = grown(vectors, width, top, n)
     asked = saved(vectors.where(queries(F.col("id"))).distinct().withColumn("qh", F.xxhash64("v")))
     blocks = max(1, -(-asked.count() // query_block))

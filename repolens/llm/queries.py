@@ -120,7 +120,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learnt from labels of rows whose crc32(doc_id) mod 3 is not 1."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     rows = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", quality.stats_column("text").alias("stats"))
     stats = saved(rows)
     labels = read(spark, sf_dir, "labels", "doc_id", "quality")

@@ -13,7 +13,7 @@ partition of all rows.
 
 Null columns take part in the row hash as nulls, empty and very long texts are
 ordinary values, repeated rows get one position each, an empty table gives an
-empty result, and columns of the caller named like ours raise an error.
+empty result, and columns of the caller named like ours come back as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import positional, restored
+
 #: Hash ranges in which ranks are taken; bounds the table of offsets.
 RANGES_BITS = 12
 #: Feistel rounds; odd rounds move the left half, even rounds the right one.
@@ -55,11 +57,9 @@ def permuted_sql(x: str, n: str, seed: int) -> str:
 
 def shard(df: DataFrame, shards: int, seed: int = 20240501) -> DataFrame:
     """All rows of ``df`` with ``row_no``, ``position``, ``shard`` and ``slot``."""
-    if clash := set(df.columns) & set(ADDED):
-        raise ValueError(f"columns {sorted(clash)} are named like the added ones")
-    names = df.columns
-    as_c = [f"c{i}" for i in range(len(names))]  # names of the caller can't clash with ours
-    rows = df.toDF(*as_c).groupBy(*as_c).agg(F.count("*").alias("copies"))
+    rows, names = positional(df)
+    as_c = list(names.values())
+    rows = rows.groupBy(*as_c).agg(F.count("*").alias("copies"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), *as_c))
     rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - RANGES_BITS))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,6 +75,5 @@ def shard(df: DataFrame, shards: int, seed: int = 20240501) -> DataFrame:
         .withColumn("row_no", F.expr("explode(sequence(start + upto - copies, start + upto - 1))"))
     )
     placed = numbered.withColumn("position", F.expr(permuted_sql("row_no", "n", seed)))
-    return placed.select(
-        *[F.col(c).alias(name) for c, name in zip(as_c, names)], "row_no", "position",
-        (F.col("position") % shards).cast("int").alias("shard"), F.expr(f"position div {shards}").alias("slot"))
+    placed = placed.withColumn("shard", (F.col("position") % shards).cast("int")).withColumn("slot", F.expr(f"position div {shards}"))
+    return restored(placed, names, *ADDED)
