@@ -91,3 +91,10 @@ def restored(df: DataFrame, names: dict[str, str], *added: str) -> DataFrame:
     """The caller's columns under their names, and the added ones; a caller's column named like an added one gets ``_input`` behind it."""
     taken = {a.lower() for a in added}
     return df.select(*[F.col(c).alias(f"{n}_input" if n.lower() in taken else n) for n, c in names.items()], *added)
+
+
+def hash_sample(df: DataFrame, h: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows in the order of a 64-bit hash column; a first cut by the count keeps what is sorted small."""
+    share = min(1.0, 2 * limit / max(1, df.count()))
+    cut = min(2**63 - 1, int(-2**63 + share * 2**64))
+    return df.where(F.col(h) <= cut).orderBy(h).limit(limit)

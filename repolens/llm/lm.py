@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import ascii_words, commonest, saved, word_counts
+from .common import ascii_words, commonest, hash_sample, saved, word_counts
 
 ADDED = 0.1
 LOCAL_WORDS = 200_000
@@ -79,7 +79,7 @@ def trained(train: DataFrame, vocabulary: Vocabulary, key: Column) -> dict[str,
             trainer.rate /= 2
         yield pa.RecordBatch.from_arrays([pa.array([gru.packed(trainer.p).tobytes()], pa.binary())], ["weights"])
 
-    sample = train.orderBy(F.xxhash64(key, "t")).limit(SAMPLE_DOCS).coalesce(1)
+    sample = hash_sample(train.withColumn("h", F.xxhash64(key, "t")), "h", SAMPLE_DOCS).coalesce(1)
     rows = sample.mapInArrow(first, "weights binary").collect()
     start = np.frombuffer(rows[0].weights, np.float32) if rows else gru.packed(gru.started(vocabulary.starts))
     begin = spark.sparkContext.broadcast(start)

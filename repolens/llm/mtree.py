@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import hash_sample, saved
 
 SCALE, TOP = 1024, 10
 PIVOTS, PIVOT_ROWS = 256, 2048
@@ -162,7 +162,7 @@ def quantised(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
 def grown(vectors: DataFrame, width: int, top: float, rows: int) -> DataFrame:
     """(tree): pickled M-trees over all vectors."""
     wanted = int(min(PIVOTS, max(1, rows // PIVOT_ROWS)))
-    sample = vectors.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(wanted).collect()
+    sample = hash_sample(vectors.select("v", F.xxhash64("v").alias("h")).distinct(), "h", wanted).collect()
     pivots = lifted(matrix(pa.array([r.v for r in sample], pa.list_(pa.int64())), width), top)
     half = (pivots * pivots).sum(1) / 2
 

@@ -8,7 +8,7 @@ check digit, octets, marks, neighbours) score a segment for its type, and a
 dynamic program over token positions chooses boundaries and types jointly;
 text outside segments scores zero. It is trained here, by gradient steps on the
 conditional likelihood, on a bounded sample of stretches whose labels are the base
-patterns (``SAMPLE`` stretches in hash order). Spans that it adds never
+patterns, also in other spellings (``SAMPLE`` stretches in hash order). Spans that it adds never
 replace a base span.
 
 Null texts are empty; very long texts are scanned whole, in time linear in
@@ -18,6 +18,7 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import re
 
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import hash_sample, saved
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -37,7 +40,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SAMPLE = 1500
 SAMPLE_SEGMENTS = 60
 MAX_TOKENS = 16
-STEPS = 60
+STEPS = 120
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
 #: A chain of digit groups with short separators; and an address with its mark, plain or spelled out.
 NUMBERS = re.compile(r"(?:\(\s?)?[0-9](?:[\x20().\-/]{0,2}[0-9])+")
@@ -236,7 +239,24 @@ def gold(stretch, base) -> list[bool]:
     return [(c[2], c[0], c[1]) in wanted for c in stretch]
 
 
-def train(sample: list[tuple[list, list[bool]]]) -> np.ndarray:
+def rewritten(text: str, base) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Base spans in other spellings with the text around them: phones without a country code, addresses with words for marks."""
+    out = []
+    for kind, a, b in base:
+        s = text[a:b]
+        other = s
+        if kind == "phone":
+            other = re.sub(r"^\+[0-9]{1,3}[ -]?(?=[(0-9])", "", s)
+        elif kind == "email":
+            local, domain = s.split("@")
+            other = f"{local} [at] {domain.replace('.', ' [dot] ')}"
+        if other != s:
+            before = re.sub("[0-9@+(]", " ", text[max(0, a - 20):a])
+            out.append((before + other + re.sub("[0-9@+(]", " ", text[b:b + 20]), [(kind, len(before), len(before) + len(other))]))
+    return out
+
+
+def train(sample: list[tuple[list, list[bool], int]]) -> np.ndarray:
     """Weights by gradient ascent on the conditional likelihood, with a quadratic penalty."""
     weights, squares = np.zeros((len(KINDS), N_FEATURES)), np.full((len(KINDS), N_FEATURES), 1e-6)
     weights[:, 0] = -2.0
@@ -244,34 +264,32 @@ def train(sample: list[tuple[list, list[bool]]]) -> np.ndarray:
         return weights
     for _ in range(STEPS):
         g = -0.02 * weights
-        for stretch, labels in sample:
+        for stretch, labels, times in sample:
             for c, p, y in zip(stretch, marginals(stretch, weights), labels):
-                g[c[2], c[3]] += y - p
+                g[c[2], c[3]] += np.sqrt(times) * (y - p)
         squares += g * g
         weights += 0.5 * g / np.sqrt(squares)
     return weights
 
 
-def sampled(df: DataFrame, text: str = "text", size: int = SAMPLE) -> list[tuple[list, list[bool]]]:
-    """At most ``size`` distinct stretches of all texts, by hash, with labels from the base patterns."""
+def sampled(df: DataFrame, text: str = "text", size: int = SAMPLE) -> list[tuple[list, list[bool], int]]:
+    """At most ``size`` distinct stretches of all texts, by hash, with labels from the base patterns and their number."""
 
     @arrow_udf("array<string>")
     def found(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
             base, rows = base_spans(t or ""), []
-            for s in stretches(t or ""):
-                if len(s) <= SAMPLE_SEGMENTS:
-                    labels, at = gold(s, base), s[0][0]
-                    rows.append(repr(([(a - at, b - at, k, f) for a, b, k, f in s], labels)))
+            for shown, spans in [(t or "", base), *rewritten(t or "", base)]:
+                for s in stretches(shown):
+                    if len(s) <= SAMPLE_SEGMENTS:
+                        labels, at = gold(s, spans), s[0][0]
+                        rows.append(repr(([(a - at, b - at, k, f) for a, b, k, f in s], labels)))
             out.append(rows)
         return pa.array(out, pa.list_(pa.string()))
 
-    rows = df.select(F.explode(found(text)).alias("s")).select("s", F.xxhash64("s").alias("h"))
-    taken = rows.groupBy("h").agg(F.min("s").alias("s")).orderBy("h").limit(size).collect()
-    import ast
-
-    return [ast.literal_eval(r.s) for r in taken]
+    rows = saved(df.select(F.explode(found(text)).alias("s")).groupBy("s").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("s")))
+    return [(*ast.literal_eval(r.s), r.n) for r in hash_sample(rows, "h", size).collect()]
 
 
 def method_spans(text: str, base, weights: np.ndarray) -> list[tuple[str, int, int]]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import hashing
-from .common import commonest, saved, word_counts
+from .common import commonest, hash_sample, saved, word_counts
 
 MIN_LENGTH, MAX_SEEN = 14, 200
 RUN = re.compile(r"[A-Za-z0-9_+/=\-]{%d,}" % MIN_LENGTH)
@@ -231,7 +231,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     if findings is None:
         findings = described(docs, "t", "p", shared, True).select(F.explode("found").alias("f")).select("f.x", "f.label")
     rows = saved(findings.select("x", "label", F.xxhash64("x").alias("h")).groupBy("h", "label").agg(F.first("x").alias("x")))
-    sample = [r for y in (0, 1) for r in rows.where(F.col("label") == y).orderBy("h").limit(TRAIN_ROWS).collect()]
+    sample = [r for y in (0, 1) for r in hash_sample(rows.where(F.col("label") == y), "h", TRAIN_ROWS).collect()]
     x, y = np.array([r.x for r in sample], float).reshape(-1, N_FEATURES), np.array([r.label for r in sample], float)
     forest = spark.sparkContext.broadcast(train(x, y, spark) if 0 < y.sum() < len(y) else None)
 
