@@ -34,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -43,6 +43,7 @@ from .common import saved
 
 SHINGLE, NUM, DEN = 5, 80, 100
 SPLITS = 10
+CELLS = 2  # cells of a partition, one of which may differ
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 4_000_000
 BROADCAST_IDS = 1_000_000
 
@@ -64,6 +65,15 @@ def node_of(shingles: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63 if len(shingles) else None
 
 
+def node_column(text: str, n: int) -> Column:
+    """The node of a text column."""
+    @arrow_udf("long")
+    def node(texts: pa.Array) -> pa.Array:
+        return pa.array([node_of(s) for s in sets(texts.to_pylist(), n)], pa.int64())
+
+    return node(F.col(text).cast("binary"))
+
+
 class Bands:
     """Size bands and the PartEnum parameters of each key."""
 
@@ -73,7 +83,7 @@ class Bands:
     def upto(self, size: int) -> None:
         while self.starts[-1] <= size * self.den // self.num + 1 or len(self.starts) < 3:
             last = self.starts[-1]
-            self.starts.append(last * self.den * self.den // (self.num * self.num) + 1)
+            self.starts.append(last * self.den // self.num + 1)
 
     def keys(self, size: int) -> list[int]:
         """The keys that a set takes part in: its own band, and the one below if a set there can be similar."""
@@ -91,12 +101,16 @@ class Bands:
             return 1, 1, 0, 0
         if k == 1:
             return 1, 4, 1, 0
-        first, least = (k + 2) // 2, self.starts[j]
-        for n1 in range(first, first + first // 4):  # room for the empty cells of the smallest sets, with four deviations
-            empty = 2 * n1 * math.exp(-least / (2 * n1))
-            if 2 * n1 - k - 1 >= empty + 4 * math.sqrt(empty):
-                return n1, 2, 1, 2 * n1 - k - 1
-        return first, 2, 1, 2 * first - k - 1
+        first, typical = (k + 2) // 2, math.sqrt(self.starts[j] * self.starts[j + 1])
+
+        def cost(n1: int) -> float:
+            """Expected signatures of a set of typical size: splits go on when more are empty than spare."""
+            spare, empty = CELLS * n1 - (CELLS - 1) * k - 1, CELLS * n1 * math.exp(-typical * (CELLS - 1) / (CELLS * n1))
+            within = sum(math.exp(i * math.log(empty) - empty - math.lgamma(i + 1)) for i in range(int(spare) + 1))
+            return CELLS * n1 / max(within, 1e-3)
+
+        n1 = min(range(first, 2 * first + 1), key=cost)
+        return n1, CELLS, 1, CELLS * n1 - (CELLS - 1) * k - 1
 
 
 def signatures(shingles: np.ndarray, bands: Bands, plans: dict) -> list[np.ndarray]:
@@ -249,15 +263,7 @@ def links(docs: DataFrame, table: DataFrame, pairs: DataFrame, doc_id: str, text
     chosen = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("binary").alias("t")).join(
         ids, F.col("d").eqNullSafe(F.col("doc_id")), "left_semi").select("t")
 
-    def held(batches):
-        for batch in batches:
-            seen = {}
-            for s in sets(batch.column(0).to_pylist(), n):
-                if len(s):
-                    seen[node_of(s)] = s.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.list_(pa.int64()))], ["node", "shingles"])
-
-    held_sets = chosen.mapInArrow(held, "node long, shingles array<long>").dropDuplicates(["node"])
+    held = chosen.withColumn("node", node_column("t", n)).dropDuplicates(["node"])  # texts take less room than hashes
     sized = pairs.join(first.select("node", "size"), "node")
     split = sized.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     members = pairs.join(split, "leader").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn(
@@ -265,7 +271,7 @@ def links(docs: DataFrame, table: DataFrame, pairs: DataFrame, doc_id: str, text
         "leader", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).alias("side"), "node", F.lit(1).alias("m"))
     heads = split.withColumn("i", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("j", F.explode(F.expr("sequence(i, nb - 1)"))).select(
         "leader", "i", "j", F.lit(False).alias("side"), F.col("leader").alias("node"), F.lit(0).alias("m"))
-    rows = members.unionByName(heads).join(held_sets, "node").select("leader", "i", "j", "m", "side", "node", "shingles")
+    rows = members.unionByName(heads).join(held, "node").select("leader", "i", "j", "m", "side", "node", "t")
     rows = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "m")
 
     def verified(batches):
@@ -277,10 +283,8 @@ def links(docs: DataFrame, table: DataFrame, pairs: DataFrame, doc_id: str, text
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            lists = batch.column("shingles")
-            values, at = np.asarray(lists.flatten()).view(np.uint64), np.cumsum([0, *map(len, lists)])
-            for r, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j", "m", "side", "node")))):
-                shingles = values[at[r]:at[r + 1]].copy()
+            found = sets(batch.column("t").to_pylist(), n)
+            for shingles, row in zip(found, zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j", "m", "side", "node")))):
                 if row[:3] != key:
                     if key:
                         yield done()
@@ -328,13 +332,9 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept = saved(joined.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k")).select(
         F.col("k.doc_id").alias("kept_id"), F.col("k.node").alias("kept_node")))
 
-    @arrow_udf("long")
-    def node(texts: pa.Array) -> pa.Array:
-        return pa.array([node_of(s) for s in sets(texts.to_pylist(), n)], pa.int64())
-
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index(doc_id)]
-    rows = docs.toDF(*names).withColumn("n", node(F.col(names[docs.columns.index(text)]).cast("binary")))
+    rows = docs.toDF(*names).withColumn("n", node_column(names[docs.columns.index(text)], n))
     one = rows.where("n is not null").join(kept, F.col(at).eqNullSafe(F.col("kept_id")) & (F.col("n") == F.col("kept_node")), "left_semi")
     # ids are unique in most tables: only ids that repeat need to be counted down to one row
     again = one.groupBy(at).agg(F.count("*").alias("k")).where("k > 1").select(F.col(at).alias("again"))
