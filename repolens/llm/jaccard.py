@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import hashing
-from .common import saved
+from .common import positional, restored, saved
 
 SHINGLE, NUM, DEN = 5, 80, 100
 SPLITS = 10
@@ -258,8 +258,7 @@ def links(docs: DataFrame, table: DataFrame, pairs: DataFrame, doc_id: str, text
     first = saved(table.where("n_shingles > 0").join(nodes, "node").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")))
     ids = first.select("doc_id").distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = bounded(ids, ids.limit(BROADCAST_IDS + 1).count())
     chosen = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("binary").alias("t")).join(
         ids, F.col("d").eqNullSafe(F.col("doc_id")), "left_semi").select("t")
 
@@ -326,18 +325,30 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without near duplicates: of every component the row of the smallest id (and node) stays, one of equal rows."""
-    joined = join(docs, doc_id, text, **options)
-    n = options.get("shingle", SHINGLE)
-    kept = saved(joined.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k")).select(
-        F.col("k.doc_id").alias("kept_id"), F.col("k.node").alias("kept_node")))
-
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    at = names[docs.columns.index(doc_id)]
-    rows = docs.toDF(*names).withColumn("n", node_column(names[docs.columns.index(text)], n))
-    one = rows.where("n is not null").join(kept, F.col(at).eqNullSafe(F.col("kept_id")) & (F.col("n") == F.col("kept_node")), "left_semi")
-    # ids are unique in most tables: only ids that repeat need to be counted down to one row
-    again = one.groupBy(at).agg(F.count("*").alias("k")).where("k > 1").select(F.col(at).alias("again"))
-    single = one.join(again, F.col(at).eqNullSafe(F.col("again")), "left_anti")
-    repeated = one.join(again, F.col(at).eqNullSafe(F.col("again")), "left_semi").dropDuplicates([at, "n"])
-    return single.unionByName(repeated).unionByName(rows.where("n is null")).select(*[F.col(x).alias(c) for x, c in zip(names, docs.columns)])
+    """``docs`` without near duplicates: of every component the row of the smallest id (and node) stays, one of equal rows.
+
+    Rows leave by their ids, which most tables have once; rows of repeated ids are told apart by their nodes.
+    """
+    table = saved(join(docs, doc_id, text, **options).select("doc_id", "node", "group"))
+    rows, names = positional(docs)
+    d, t = names[doc_id], names[text]
+    again = saved(table.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
+    kept = table.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k"))
+    kept = saved(kept.select("group", F.col("k.doc_id").alias("kept_id"), F.col("k.node").alias("kept_node")))
+    gone = table.join(kept, "group").where(~F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(F.col("doc_id").alias("gone"))
+    gone = saved(gone.join(again, F.col("gone").eqNullSafe(F.col("doc_id")), "left_anti"))
+    same_id = F.col(d).eqNullSafe(F.col("doc_id"))
+    repeats = again.limit(BROADCAST_IDS + 1).count()
+    single = rows.join(bounded(again, repeats), same_id, "left_anti") if repeats else rows
+    single = single.join(bounded(gone, gone.limit(BROADCAST_IDS + 1).count()), F.col(d).eqNullSafe(F.col("gone")), "left_anti")
+    if not repeats:
+        return restored(single, names)
+    told = rows.join(bounded(again, repeats), same_id, "left_semi").withColumn("n", node_column(t, options.get("shingle", SHINGLE)))
+    one = told.where("n is not null").join(kept, F.col(d).eqNullSafe(F.col("kept_id")) & (F.col("n") == F.col("kept_node")), "left_semi")
+    one = one.dropDuplicates([d, "n"]).unionByName(told.where("n is null"))
+    return restored(single.unionByName(one.drop("n")), names)
+
+
+def bounded(ids: DataFrame, n: int) -> DataFrame:
+    """``ids`` to be broadcast when ``n`` of them are few enough."""
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
