@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolens.functions.text import js_number_text, js_trim
 from repolens.operators.audit import _json_str as json_str
 from repolens.sources.tables import read_table
 
@@ -22,7 +23,7 @@ from repolens.sources.tables import read_table
 # ---------------------------------------------------------------------------
 SUMMARY_DEPS, SUMMARY_DEV_DEPS = 30, 20
 NONE_DETECTED = "None detected"
-ANALYSIS_MODEL, REASONING_MODEL = "qwen/qwen3-32b", "openai/gpt-oss-120b"
+ANALYSIS_MODEL, REASONING_MODEL = "moonshotai/kimi-k2-instruct", "openai/gpt-oss-120b"
 LEVELS = ["low", "medium", "high"]
 SECURITY_SEVERITIES = ["critical", "high", "medium", "low", "info"]
 DEPLOY_PRIORITIES = ["critical", "high", "medium", "low"]
@@ -136,8 +137,8 @@ def security_requests(profile: DataFrame, summaries: DataFrame, audit: DataFrame
                          F.concat(F.lit("- Secrets/credentials found: "),
                                   F.coalesce("secret_findings", F.lit(0)).cast("string"), F.lit(" findings")),
                          files, F.lit(""), F.col("summary"))
-    return df.select("repo_id", F.lit("security").alias("kind"), F.lit(REASONING_MODEL).alias("model"),
-                     cache_key("security", REASONING_MODEL, F.col("summary")).alias("cache_key"), prompt.alias("prompt"))
+    return df.select("repo_id", F.lit("security").alias("kind"), F.lit(ANALYSIS_MODEL).alias("model"),
+                     cache_key("security", ANALYSIS_MODEL, F.col("summary")).alias("cache_key"), prompt.alias("prompt"))
 
 
 def deployment_requests(profile: DataFrame, summaries: DataFrame, non_http: Column) -> DataFrame:
@@ -152,8 +153,8 @@ def deployment_requests(profile: DataFrame, summaries: DataFrame, non_http: Colu
                          F.concat(F.lit("- Test Files Found: "), F.col("test_file_count").cast("string")),
                          F.when(F.col("non_http"), F.lit("THIS PROJECT IS NOT A SERVER.")),
                          F.lit(""), F.col("summary"))
-    return df.select("repo_id", F.lit("deployment").alias("kind"), F.lit(REASONING_MODEL).alias("model"),
-                     cache_key("deployment", REASONING_MODEL, F.col("summary")).alias("cache_key"), prompt.alias("prompt"))
+    return df.select("repo_id", F.lit("deployment").alias("kind"), F.lit(ANALYSIS_MODEL).alias("model"),
+                     cache_key("deployment", ANALYSIS_MODEL, F.col("summary")).alias("cache_key"), prompt.alias("prompt"))
 
 
 # ---- A3: recorded responses ---------------------------------------------------------
@@ -175,7 +176,7 @@ def scan_ai_responses(responses: DataFrame) -> DataFrame:
     parsed = F.try_parse_json(content)
     reason = (F.when(env.isNull() | ~choices_ok, F.lit("no_choices"))
               .when(content_t.isNotNull() & (content_t != "STRING") & (content_t != "VOID"), F.lit("bad_content"))
-              .when(F.trim(F.coalesce(content, F.lit(""))) == "", F.lit("empty_content"))
+              .when(js_trim(F.coalesce(content, F.lit(""))) == "", F.lit("empty_content"))
               .when(parsed.isNull(), F.lit("non_json"))
               .when(F.schema_of_variant(parsed) == "VOID", F.lit("null_json")))
     return responses.select("repo_id", "kind", content.alias("content"), reason.alias("reject_reason"))
@@ -200,19 +201,26 @@ def _strings(v: Column, path: str) -> Column:
 
 def _objects(v: Column, path: str) -> Column:
     arr = F.try_variant_get(v, path, "array<variant>")
-    return F.filter(F.coalesce(arr, F.array().cast("array<variant>")),
-                    lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    return F.filter(F.coalesce(arr, F.array().cast("array<variant>")),  # arrays are objects, too, without the fields
+                    lambda x: F.schema_of_variant(x).startswith("OBJECT") | F.schema_of_variant(x).startswith("ARRAY"))
 
 
 def js_number(v: Column, path: str) -> Column:
-    """``Number(x)`` for a JSON value: missing -> NaN, null -> 0, bool -> 0/1, string parsed."""
+    """``Number(x)`` for a JSON value: missing -> NaN, null -> 0, bool -> 0/1, string parsed, array by its text."""
     t = _vtype(v, path)
-    s = F.trim(F.try_variant_get(v, path, "string"))
+    s = F.try_variant_get(v, path, "string")
+    items = F.try_variant_get(v, path, "array<variant>")
+    one = _vtype(v, f"{path}[0]")
+    alone = (F.when(one == "VOID", F.lit(0.0)).when(one == "BOOLEAN", F.lit(float("nan")))
+             .when(one.startswith("OBJECT"), F.lit(float("nan")))
+             .when(one.startswith("ARRAY"), F.when(F.size(F.try_variant_get(v, f"{path}[0]", "array<variant>")) == 0, F.lit(0.0)).otherwise(F.lit(float("nan"))))
+             .otherwise(js_number_text(F.try_variant_get(v, f"{path}[0]", "string"))))
     return (F.when(t.isNull(), F.lit(float("nan")))
             .when(t == "VOID", F.lit(0.0))
             .when(t == "BOOLEAN", F.try_variant_get(v, path, "boolean").cast("double"))
-            .when(t == "STRING", F.when(s == "", F.lit(0.0)).otherwise(F.coalesce(s.try_cast("double"), F.lit(float("nan")))))
-            .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.lit(float("nan")))
+            .when(t == "STRING", js_number_text(s))
+            .when(t.startswith("ARRAY"), F.when(F.size(items) == 0, F.lit(0.0)).when(F.size(items) == 1, alone).otherwise(F.lit(float("nan"))))
+            .when(t.startswith("OBJECT"), F.lit(float("nan")))
             .otherwise(F.try_variant_get(v, path, "double")))
 
 
@@ -221,9 +229,8 @@ def clamp_score(n: Column) -> Column:
         F.greatest(F.lit(SCORE_MIN), F.least(F.lit(SCORE_MAX), n)))
 
 
-def normalize_analysis(content: Column) -> Column:
-    """H7: string arrays keep strings only; strings default."""
-    v = F.try_parse_json(content)
+def normalize_analysis(v: Column) -> Column:
+    """H7: string arrays keep strings only; strings default. ``v`` is the parsed response."""
     return F.struct(
         *[_strings(v, f"$.{k}").alias(k) for k in ["dependencies", "devDependencies", "frameworks", "patterns", "concerns"]],
         _str_or(v, "$.projectType", "Unknown").alias("projectType"),
@@ -236,9 +243,8 @@ def _score_set(v: Column, path: str) -> Column:
                       for d in SCORE_DIMENSIONS])
 
 
-def normalize_reasoning(content: Column) -> Column:
+def normalize_reasoning(v: Column) -> Column:
     """H8 + H9: suggestions with per-field defaults, clamped score sets, strengths, summary."""
-    v = F.try_parse_json(content)
     sugg = F.transform(_objects(v, "$.suggestions"), lambda x: F.struct(
         _str_or(x, "$.category", "General").alias("category"),
         _str_or(x, "$.current", "Unknown").alias("current"),
@@ -252,9 +258,8 @@ def normalize_reasoning(content: Column) -> Column:
                     _strings(v, "$.strengths").alias("strengths"), _str_or(v, "$.summary", "").alias("summary"))
 
 
-def normalize_security(content: Column) -> Column:
+def normalize_security(v: Column) -> Column:
     """H10."""
-    v = F.try_parse_json(content)
     items = F.transform(_objects(v, "$.findings"), lambda x: F.struct(
         _enum_or(x, "$.severity", SECURITY_SEVERITIES, "medium").alias("severity"),
         _str_or(x, "$.category", "General").alias("category"),
@@ -267,9 +272,8 @@ def normalize_security(content: Column) -> Column:
                     _str_or(v, "$.summary", "").alias("summary"), _strings(v, "$.strengths").alias("strengths"))
 
 
-def normalize_deployment(content: Column) -> Column:
+def normalize_deployment(v: Column) -> Column:
     """H11."""
-    v = F.try_parse_json(content)
     items = F.transform(_objects(v, "$.recommendations"), lambda x: F.struct(
         _enum_or(x, "$.priority", DEPLOY_PRIORITIES, "medium").alias("priority"),
         _str_or(x, "$.category", "General").alias("category"),
@@ -372,7 +376,8 @@ def score_delta(reasoning: Column) -> Column:
 
 # ---- recorded responses derived from the driver's conversations -----------------------
 
-KIND_BY_TURN = {1: "analysis", 3: "reasoning", 5: "security", 7: "deployment"}
+KINDS = ("analysis", "reasoning", "security", "deployment")
+SCAN_STEP = 1_000_000_000
 CATEGORIES = ["Testing", "CI/CD", "Performance", " backend framework ", "Observability", "Security", "Build Tool",
               "Developer Experience"]
 PRIORITIES = ["high", "medium", "low", "urgent"]
@@ -387,15 +392,16 @@ def _pick(values, idx: Column) -> Column:
 
 
 def derive_ai_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded responses ``(repo_id, kind, response)``: assistant turns 1/3/5/7 of conversation ``repo_id``.
+    """Recorded responses ``(repo_id, kind, response)``: every assistant turn of conversation ``repo_id``.
 
-    Field values come from the turn text; types vary on purpose (strings where
-    numbers are expected, nulls, non-object list items) and some envelopes
-    carry no choices, blank or non-JSON content.
+    The four kinds follow each other; turns beyond the first eight are responses of a further
+    scan, of repository ``conv_id + SCAN_STEP * (turn div 8)``. Field values are whole turn
+    texts and their words; types vary on purpose (strings where numbers are
+    expected, nulls, non-object list items) and some envelopes carry no choices, blank or non-JSON content.
     """
     conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    turns = conv.where(F.col("turn").isin(*KIND_BY_TURN) & (F.col("role") == "assistant"))
-    c, t = F.col("conv_id"), F.col("text")
+    turns = conv.where(F.col("role") == "assistant")
+    c, t, k4 = F.col("conv_id"), F.col("text"), F.expr("(turn div 2) % 4")
     words = F.split(F.regexp_replace(t, r"[^\p{L} ]", ""), " +")
     w = lambda k: F.coalesce(F.get(words, k), F.lit(""))
     n = F.length(t)
@@ -403,12 +409,12 @@ def derive_ai_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"frameworks": ['), _js(w(0)), F.lit(", "), _js(w(1)), F.lit('], "patterns": ['), _js(w(2)),
         F.lit(', 5, null], "concerns": '), F.when(c % 2 == 0, F.concat(F.lit("["), _js(w(3)), F.lit("]")))
         .otherwise(F.lit('"none"')), F.lit(', "projectType": '), F.when(c % 3 == 0, F.lit("7")).otherwise(_js(w(4))),
-        F.lit(', "summary": '), _js(F.substring(t, 1, 80)), F.lit("}"))
+        F.lit(', "summary": '), _js(t), F.lit("}"))
 
     def sugg(k, cur, sug):
         return F.concat(F.lit('{"category": '), _js(_pick(CATEGORIES, c + k)), F.lit(', "current": '), cur,
-                        F.lit(', "suggested": '), sug, F.lit(', "reason": '), _js(F.substring(t, 1 + 40 * k, 40)),
-                        F.lit(', "benefit": '), _js(F.substring(t, 161 + 40 * k, 40)),
+                        F.lit(', "suggested": '), sug, F.lit(', "reason": '), _js(t),
+                        F.lit(', "benefit": '), _js(F.reverse(t)),
                         F.when((c + k) % 4 == 3, F.lit("")).otherwise(
                             F.concat(F.lit(', "priority": '), _js(_pick(PRIORITIES, c + k)))),
                         F.lit(', "effort": '), _js(_pick(LEVELS, c + 2 * k)), F.lit("}"))
@@ -423,37 +429,41 @@ def derive_ai_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', 42, '), sugg(2, F.lit('"Express"'), F.lit('"Fastify"')),
         F.lit('], "scores": {"current": '), scores_cur, F.lit(', "optimized": '), scores_opt,
         F.lit('}, "strengths": ['), _js(w(5)), F.lit(", 3, "), _js(w(6)), F.lit('], "summary": '),
-        _js(F.substring(t, 1, 120)), F.lit("}"))
+        _js(t), F.lit("}"))
     security = F.concat(
         F.lit('{"findings": [{"severity": '), _js(_pick(SECURITY_SEVERITIES + ["severe"], c)),
-        F.lit(', "category": '), _js(w(0)), F.lit(', "title": '), _js(F.substring(t, 1, 30)),
+        F.lit(', "category": '), _js(w(0)), F.lit(', "title": '), _js(t),
         F.lit(', "effort": "low"}, {"severity": "high"}, "loose"], "score": '),
         F.when(c % 5 == 0, F.lit("null")).when(c % 5 == 1, F.lit('"8.5"')).when(c % 5 == 2, F.lit("12"))
         .when(c % 5 == 3, F.lit('"abc"')).otherwise(F.lit("6")),
-        F.lit(', "strengths": ['), _js(w(1)), F.lit(', false], "summary": '), _js(F.substring(t, 1, 60)), F.lit("}"))
+        F.lit(', "strengths": ['), _js(w(1)), F.lit(', false], "summary": '), _js(t), F.lit("}"))
     deployment = F.concat(
         F.lit('{"recommendations": [{"priority": '), _js(_pick(DEPLOY_PRIORITIES + ["asap"], c)),
-        F.lit(', "title": '), _js(F.substring(t, 1, 30)), F.lit(', "impact": '), _js(w(2)),
+        F.lit(', "title": '), _js(t), F.lit(', "impact": '), _js(w(2)),
         F.lit('}, null], "score": '), (n % 12).cast("string"), F.lit(', "strengths": [], "summary": 5}'))
-    content = (F.when(F.col("turn") == 1, analysis).when(F.col("turn") == 3, reasoning)
-               .when(F.col("turn") == 5, security).otherwise(deployment))
+    content = F.when(k4 == 0, analysis).when(k4 == 1, reasoning).when(k4 == 2, security).otherwise(deployment)
     key = c + F.col("turn")
-    content = (F.when(key % 13 == 0, F.lit("   ")).when(key % 17 == 0, F.substring(t, 1, 40))
+    content = (F.when(key % 13 == 0, F.lit("   ")).when(key % 17 == 0, t)
                .when(key % 23 == 0, F.lit("null")).otherwise(content))
     envelope = F.when(key % 19 == 0, F.lit('{"choices": []}')).otherwise(
         F.concat(F.lit('{"choices": [{"message": {"content": '), _js(content), F.lit("}}]}")))
-    kind = F.create_map(*[x for k, v in KIND_BY_TURN.items() for x in (F.lit(k), F.lit(v))])[F.col("turn")]
-    return turns.select(c.alias("repo_id"), kind.alias("kind"), envelope.alias("response"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (k4 + 1).cast("int"))
+    return turns.select((c + SCAN_STEP * F.expr("turn div 8")).alias("repo_id"), kind.alias("kind"), envelope.alias("response"))
 
 
 def accepted(responses: DataFrame, kind: str) -> DataFrame:
-    scanned = scan_ai_responses(responses.where(F.col("kind") == kind))
-    return scanned.where(F.col("reject_reason").isNull()).select("repo_id", "content")
+    """(repo_id, v): accepted responses of a kind, parsed once.
+
+    The exchange on ``repo_id``, which every join below needs, ends the stage that
+    makes and scans the responses; later expressions read the parsed column.
+    """
+    scanned = scan_ai_responses(responses.where(F.col("kind") == kind)).where(F.col("reject_reason").isNull())
+    return scanned.select("repo_id", "content").repartition("repo_id").select("repo_id", F.try_parse_json("content").alias("v"))
 
 
 def merged_suggestions(rule_results: DataFrame, responses: DataFrame) -> DataFrame:
     """H12 per repository: rule findings joined with the normalised reasoning response."""
-    ai = accepted(responses, "reasoning").select("repo_id", normalize_reasoning(F.col("content")).alias("r"))
+    ai = accepted(responses, "reasoning").select("repo_id", normalize_reasoning(F.col("v")).alias("r"))
     j = rule_results.select("repo_id", "findings").join(ai, "repo_id", "left")
     return j.select("repo_id", merge_suggestions(F.col("findings"), F.col("r.suggestions")).alias("merged"))
 

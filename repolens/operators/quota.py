@@ -12,8 +12,8 @@ order with the same decisions:
   hot key is flattened before the shuffle - and only those per-second rows
   are folded in order: hash-partitioned by key, sorted within partitions
   (external, spillable sort) and streamed through ``mapInPandas`` with only
-  the current key's small state in memory. J5 folds per IP over
-  (day, machine) first attempts with ``applyInPandas``.
+  the current key's small state in memory (J9 by millisecond; J5 per IP over
+  (day, machine) first attempts).
 """
 
 from __future__ import annotations
@@ -50,9 +50,10 @@ def version_at_least(version: Column, minimum: str = MIN_VERSION) -> Column:
     """Numeric major.minor.patch comparison; a non-numeric patch fails on equal major.minor."""
     mma, mmi, mpa = [float(x) for x in minimum.split(".")[:3]]
     parts = F.split(version, r"\.")
-    ma = F.get(parts, 0).try_cast("double")
-    mi = F.get(parts, 1).try_cast("double")
-    pa = F.get(parts, 2).try_cast("double")
+    ma, mi = (F.get(parts, i).try_cast("double") for i in range(2))  # digits alone, by the pattern below
+    last = F.get(parts, 2)
+    pa = F.when(last.rlike(r"^[0-9]+([eE][+-]?[0-9]+)?\s*\z"), last.try_cast("double")) \
+        .when(last.rlike(r"^0[xX][0-9a-fA-F]+\s*\z"), F.conv(F.substr(last, F.lit(3)), 16, 10).try_cast("double"))
     ok = (F.when(ma != mma, ma > mma)
           .when(mi != mmi, mi > mmi)
           .otherwise(F.coalesce(pa >= mpa, F.lit(False))))
@@ -92,12 +93,12 @@ def token_format_ok(token: Column) -> Column:
 
 
 def machine_format_ok(machine: Column) -> Column:
-    return (F.length(machine) == 64) & machine.rlike("^[0-9a-f]+$")
+    return (F.length(machine) == 64) & machine.rlike(r"^[0-9a-f]+\z")
 
 
 # ---- J1 / J2: client-side fixed windows per model ----------------------------
 
-def fixed_window_quota(log: DataFrame, limits: DataFrame, default=RL.DEFAULT_LIMITS) -> DataFrame:
+def fixed_window_quota(log: DataFrame, limits: DataFrame, default=RL.DEFAULT_LIMITS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per model, allow while the minute count < rpm and then the day count < rpd.
 
     Denied requests are not counted, minutes nest in days, so within a
@@ -105,7 +106,7 @@ def fixed_window_quota(log: DataFrame, limits: DataFrame, default=RL.DEFAULT_LIM
     ``min(n_m, rpm, max(0, rpd - sum of earlier minutes' min(n, rpm)))``.
     The running sum runs over per-minute counts (at most 1,440 per model-day).
     """
-    lim = F.broadcast(limits.select("model", "rpm", "rpd"))   # a fixed, small dimension
+    lim = limits.select("model", "rpm", "rpd")  # broadcast by Spark's own size check
     req = (log.select("event_id", "ts", "ts_ms", "model").join(lim, "model", "left")
            .select("event_id", "ts", "ts_ms", "model",
                    F.coalesce("rpm", F.lit(default[1])).alias("rpm"),
@@ -127,26 +128,22 @@ def fixed_window_quota(log: DataFrame, limits: DataFrame, default=RL.DEFAULT_LIM
     retry = (F.when(reason == "rpm", F.col("minute") + MINUTE_MS - F.col("ts_ms"))
              .when(reason == "rpd", F.col("day") + DAY_MS - F.col("ts_ms")))
     return j.select("event_id", "model", allowed.alias("allowed"), reason.cast("string").alias("reason"),
-                    retry.cast("bigint").alias("retry_after_ms"))
+                    retry.cast("bigint").alias("retry_after_ms"), *keep)
 
 
-def quota_usage(log: DataFrame, decisions: DataFrame, limits: DataFrame, now_ms: Column | None = None) -> DataFrame:
+def quota_usage(log: DataFrame, limits: DataFrame, now_ms: int | None = None, default=RL.DEFAULT_LIMITS) -> DataFrame:
     """Per listed model, used / limit in the minute and day containing ``now``.
 
-    ``now`` defaults to the last request time of the log (one global max; the
-    single-row result is broadcast).
+    ``now`` defaults to the last request time of the log (one aggregate). Windows
+    nest in days, so only the day of ``now`` is replayed.
     """
-    counted = log.select("event_id", "ts_ms").join(decisions.where("allowed").select("event_id", "model"), "event_id")
     if now_ms is None:
-        now = log.agg(F.max("ts_ms").alias("now"))
-    else:
-        now = log.sparkSession.range(1).select(now_ms.alias("now"))
-    now = now.select("now", (F.col("now") - F.col("now") % MINUTE_MS).alias("m0"),
-                     (F.col("now") - F.col("now") % DAY_MS).alias("d0"))
-    usage = counted.crossJoin(F.broadcast(now)).groupBy("model").agg(
-        F.count_if((F.col("ts_ms") >= F.col("m0")) & (F.col("ts_ms") <= F.col("now"))).alias("minute_used"),
-        F.count_if((F.col("ts_ms") >= F.col("d0")) & (F.col("ts_ms") <= F.col("now"))).alias("day_used"))
-    out = F.broadcast(limits).join(usage, "model", "left").select(
+        now_ms = log.agg(F.max("ts_ms")).first()[0] or 0
+    m0, d0 = now_ms - now_ms % MINUTE_MS, now_ms - now_ms % DAY_MS
+    day = log.where((F.col("ts_ms") >= d0) & (F.col("ts_ms") < d0 + DAY_MS))
+    counted = fixed_window_quota(day, limits, default, keep=("ts_ms",)).where(F.col("allowed") & (F.col("ts_ms") <= now_ms))
+    usage = counted.groupBy("model").agg(F.count_if(F.col("ts_ms") >= m0).alias("minute_used"), F.count("*").alias("day_used"))
+    out = limits.join(usage, "model", "left").select(
         "model", "label", F.coalesce("minute_used", F.lit(0)).cast("bigint").alias("minute_used"),
         F.col("rpm").alias("minute_limit"), F.coalesce("day_used", F.lit(0)).cast("bigint").alias("day_used"),
         F.col("rpd").alias("day_limit"))
@@ -238,7 +235,7 @@ def gate_stages(log: DataFrame, tokens: DataFrame, *, min_version: str = MIN_VER
                 daily: int = DAILY_TOKEN_LIMIT) -> DataFrame:
     """Per request: pre-auth status, auth verdict (J6) and quota verdicts."""
     bearer = F.col("auth_header").startswith("Bearer ")
-    token = F.when(bearer, F.substring("auth_header", 8, 1 << 20))
+    token = F.when(bearer, F.substr(F.col("auth_header"), F.lit(8)))
     sig_reason = clock_skew_reason(F.col("client_ts"), F.col("signature"), F.col("sec"), F.col("sig_ok"))
     pre = (F.when((F.col("method") != "POST") | (F.col("route") != "/v1/compute"), F.lit(404))
            .when(is_browser(F.col("user_agent")), F.lit(403))
@@ -311,7 +308,7 @@ def request_gate(log: DataFrame, tokens: DataFrame, *, min_version: str = MIN_VE
 # ---- J9: TTL cache replay -----------------------------------------------------------
 
 CACHE_SCHEMA = T.StructType([
-    T.StructField("key", T.StringType()), T.StructField("sec", T.LongType()),
+    T.StructField("key", T.StringType()), T.StructField("ts_ms", T.LongType()),
     T.StructField("first_hit", T.BooleanType())])
 
 
@@ -319,30 +316,30 @@ def _cache_stream(ttl_ms: int):
     def run(batches):
         key, created, ver = None, None, None
         for pdf in batches:
-            keys, secs, vers = pdf["key"].tolist(), pdf["sec"].tolist(), pdf["version"].tolist()
+            keys, times, vers = pdf["key"].tolist(), pdf["ts_ms"].tolist(), pdf["version"].tolist()
             out = []
-            for k, s, v in zip(keys, secs, vers):
+            for k, t, v in zip(keys, times, vers):
                 if k != key:
                     key, created, ver = k, None, None
-                hit = created is not None and v == ver and (s - created) * 1000 <= ttl_ms
+                hit = created is not None and v == ver and t - created <= ttl_ms
                 if not hit:
-                    created, ver = s, v
+                    created, ver = t, v
                 out.append(hit)
-            yield pd.DataFrame({"key": keys, "sec": secs, "first_hit": out})
+            yield pd.DataFrame({"key": keys, "ts_ms": times, "first_hit": out})
     return run
 
 
 def ttl_cache_replay(lookups: DataFrame, ttl_ms: int = CACHE_TTL_MS) -> DataFrame:
-    """Hit iff ``now - created <= ttl`` and versions match; a miss (re)creates; hits do not refresh.
+    """Hit iff ``now - created <= ttl`` (milliseconds) and versions match; a miss (re)creates; hits do not refresh.
 
-    All lookups of one key in one second share a version; after the first one
-    the entry exists with age 0, so only the first lookup per (key, second)
-    can miss. The fold runs over those per-second rows.
+    Lookups of one key in one millisecond share the first one's version; after
+    it the entry exists with age 0, so only that first lookup can miss. The
+    fold runs over those per-millisecond rows.
     """
-    per_sec = lookups.groupBy("key", "sec").agg(F.first("version").alias("version"))
-    folded = ordered_fold(per_sec, "key", ["sec"], _cache_stream(ttl_ms), CACHE_SCHEMA)
-    rank = F.row_number().over(Window.partitionBy("key", "sec").orderBy("ts", "event_id"))
-    j = lookups.select("event_id", "key", "sec", rank.alias("r")).join(folded, ["key", "sec"])
+    per_ms = lookups.groupBy("key", "ts_ms").agg(F.min_by("version", F.struct("ts", "event_id")).alias("version"))
+    folded = ordered_fold(per_ms, "key", ["ts_ms"], _cache_stream(ttl_ms), CACHE_SCHEMA)
+    rank = F.row_number().over(Window.partitionBy("key", "ts_ms").orderBy("ts", "event_id"))
+    j = lookups.select("event_id", "key", "ts_ms", rank.alias("r")).join(folded, ["key", "ts_ms"])
     return j.select("event_id", "key", F.when(F.col("r") == 1, F.col("first_hit")).otherwise(F.lit(True)).alias("hit"))
 
 
@@ -350,27 +347,31 @@ def ttl_cache_replay(lookups: DataFrame, ttl_ms: int = CACHE_TTL_MS) -> DataFram
 
 REG_SCHEMA = T.StructType([
     T.StructField("ip", T.StringType()), T.StructField("day", T.LongType()),
-    T.StructField("machine_id", T.StringType()), T.StructField("outcome", T.StringType())])
+    T.StructField("machine_id", T.StringType()), T.StructField("outcome", T.StringType()),
+    T.StructField("first_event", T.LongType())])
 
 
-def _registration_fold(per_day: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", "first_ts", "machine_id"], kind="stable")
-        known, outcome = set(), []
-        for day, grp in pdf.groupby("day", sort=True):
-            granted = 0
-            for m in grp["machine_id"].tolist():
+def _registration_stream(per_day: int):
+    """Fold over first attempts sorted by (ip, time, event); state is one IP's machines and the day's grants."""
+    def run(batches):
+        ip, known, day, granted = None, set(), None, 0
+        for pdf in batches:
+            out = []
+            for i, d, m in zip(pdf["ip"].tolist(), pdf["day"].tolist(), pdf["machine_id"].tolist()):
+                if i != ip:
+                    ip, known, day = i, set(), None
+                if d != day:
+                    day, granted = d, 0
                 if m in known:
-                    outcome.append("known")
+                    out.append("known")
                 elif granted < per_day:
                     granted += 1
                     known.add(m)
-                    outcome.append("granted")
+                    out.append("granted")
                 else:
-                    outcome.append("denied")
-        return pd.DataFrame({"ip": pdf["ip"].to_numpy(), "day": pdf["day"].to_numpy(),
-                             "machine_id": pdf["machine_id"].to_numpy(), "outcome": outcome})
-    return fold
+                    out.append("denied")
+            yield pdf[["ip", "day", "machine_id"]].assign(outcome=out, first_event=pdf["first_event"])
+    return run
 
 
 def registration_limit(attempts: DataFrame, per_day: int = REGISTRATIONS_PER_IP_DAY) -> DataFrame:
@@ -384,8 +385,7 @@ def registration_limit(attempts: DataFrame, per_day: int = REGISTRATIONS_PER_IP_
     valid = a.where(~is_browser(F.col("user_agent")) & machine_format_ok(F.col("machine_id")))
     firsts = valid.groupBy("ip", "day", "machine_id").agg(F.min(F.struct("ts", "event_id")).alias("f")) \
         .select("ip", "day", "machine_id", F.col("f.ts").alias("first_ts"), F.col("f.event_id").alias("first_event"))
-    folded = firsts.groupBy("ip").applyInPandas(_registration_fold(per_day), REG_SCHEMA)
-    folded = folded.join(firsts.select("ip", "day", "machine_id", "first_event"), ["ip", "day", "machine_id"])
+    folded = ordered_fold(firsts, "ip", ["first_ts", "first_event"], _registration_stream(per_day), REG_SCHEMA)
     j = a.join(folded, ["ip", "day", "machine_id"], "left")
     status = (F.when(is_browser(F.col("user_agent")), F.lit(403))
               .when(~machine_format_ok(F.col("machine_id")), F.lit(400))

@@ -82,8 +82,8 @@ def files_scanned(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Validators (B10-B12). Fixed values of the reference.
 # ---------------------------------------------------------------------------
-SAFE_GIT_URL = (r"^https://[a-zA-Z0-9._\-/]+(?:\.git)?$|^git@[a-zA-Z0-9._\-]+:[a-zA-Z0-9._\-/]+(?:\.git)?$")
-SAFE_MODEL_ID = r"^[a-zA-Z0-9._\-/]{3,80}$"
+SAFE_GIT_URL = (r"^https://[a-zA-Z0-9._\-/]+(?:\.git)?\z|^git@[a-zA-Z0-9._\-]+:[a-zA-Z0-9._\-/]+(?:\.git)?\z")
+SAFE_MODEL_ID = r"^[a-zA-Z0-9._\-/]{3,80}\z"
 SHELL_METACHARS = r"[;&|`$<>(){}'" + '"' + r"\\\n\r]"
 BLOCKED_PREFIXES = ["/etc", "/usr", "/bin", "/sbin", "/boot", "/proc", "/sys",
                     "C:\\Windows", "C:\\System32", "C:\\Program Files"]
@@ -96,17 +96,18 @@ NON_HTTP_RE = r"(?i)cli tool|plugin|extension|library|package|github action"
 def target_verdict(target: Column, base_dir: str = "/work") -> Column:
     """NULL when valid, else the first failing reason.
 
-    Relative local paths are resolved against ``base_dir`` before the
-    blocked-prefix test (a plain prefix test, as in the reference).
+    Local paths are resolved (against ``base_dir`` when relative; repeated
+    slashes and ``.`` parts go) before the blocked-prefix test.
     """
     norm = F.regexp_replace(target, r"\\", "/")
     traversal = F.exists(F.split(norm, "/"), lambda s: s == "..")
     resolved = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit(base_dir.rstrip("/") + "/"), target))
+    resolved = F.regexp_replace(resolved, r"/+(?:\.(?:/+|\z))*", "/")
     blocked = F.lit(False)
     for p in BLOCKED_PREFIXES:
         blocked = blocked | resolved.startswith(p)
     remote = target.startswith("https://") | target.startswith("git@") | target.startswith("git://")
-    return (F.when(target.isNull() | (F.trim(target) == ""), F.lit("empty"))
+    return (F.when(target.isNull() | (X.js_trim(target) == ""), F.lit("empty"))
             .when(target.contains("\u0000"), F.lit("null_byte"))
             .when(target.startswith("http://"), F.lit("insecure_http"))
             .when(remote, F.when(~target.rlike(SAFE_GIT_URL), F.lit("invalid_url")))

@@ -178,8 +178,11 @@ def needle_labels_sql(manifest: str, facet: str, text_sql: str) -> str:
     return "array_compact(array(" + ", ".join(items) + "))"
 
 
-def _json_keys(doc: Column, field: str) -> Column:
-    return F.coalesce(F.json_object_keys(F.get_json_object(doc, f"$.{field}")), F.array().cast("array<string>"))
+def _json_keys(doc: Column, field: str, v: Column) -> Column:
+    """Keys in the order of the text; of a repeated field the last one's, which the parsed document ``v`` holds."""
+    text = F.json_object_keys(F.get_json_object(doc, f"$.{field}"))
+    last = F.map_keys(F.try_variant_get(v, f"$.{field}", "map<string,variant>"))
+    return F.coalesce(F.when(F.size(F.array_except(last, text)) == 0, F.array_intersect(text, last)), last, F.array().cast("array<string>"))
 
 
 def stack_profile(markers: DataFrame, passthrough=()) -> DataFrame:
@@ -192,8 +195,8 @@ def stack_profile(markers: DataFrame, passthrough=()) -> DataFrame:
     node_parsed = pkg.isNotNull() & v.isNotNull()
     json_null = F.schema_of_variant(v) == F.lit("VOID")
     node = node_parsed & ~json_null           # the Node branch ran to completion
-    deps = F.when(node, _json_keys(pkg, "dependencies")).otherwise(F.array().cast("array<string>"))
-    dev = F.when(node, _json_keys(pkg, "devDependencies")).otherwise(F.array().cast("array<string>"))
+    deps = F.when(node, _json_keys(pkg, "dependencies", v)).otherwise(F.array().cast("array<string>"))
+    dev = F.when(node, _json_keys(pkg, "devDependencies", v)).otherwise(F.array().cast("array<string>"))
     all_deps = F.concat(deps, dev)
     df = markers.select("*", node_parsed.alias("node_parsed"), node.alias("node"),
                         deps.alias("dependencies"), dev.alias("dev_dependencies"), v.alias("_pkg_v"))

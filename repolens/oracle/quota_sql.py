@@ -21,6 +21,28 @@ def version_ok_sql(v: str, minimum: str = Q.MIN_VERSION) -> str:
             f"WHEN {mi} <> {mmi} THEN {mi} > {mmi} ELSE coalesce({pa} >= {mpa}, FALSE) END), FALSE)")
 
 
+def slide_ctes(window_s: int, limit: int) -> str:
+    """Sliding windows over ``limited (token, sec)`` as a recursion over seconds."""
+    return f"""lim_secs AS (
+  SELECT token, sec, count(*) AS n, row_number() OVER (PARTITION BY token ORDER BY sec) AS rn
+  FROM limited GROUP BY token, sec),
+slide AS (
+  SELECT token, rn, sec, n, adm,
+    CASE WHEN adm > 0 THEN [{{'s': sec, 'c': adm}}] ELSE [] END AS win,
+    CASE WHEN n > adm AND adm > 0 THEN greatest(1, {window_s}) END AS retry
+  FROM (SELECT token, rn, sec, n, greatest(0, least(n, {limit})) AS adm FROM lim_secs WHERE rn = 1)
+  UNION ALL
+  SELECT token, rn, sec, n, adm,
+    CASE WHEN adm > 0 THEN list_append(pw, {{'s': sec, 'c': adm}}) ELSE pw END AS win,
+    CASE WHEN n > adm AND (len(pw) > 0 OR adm > 0)
+         THEN greatest(1, (CASE WHEN len(pw) > 0 THEN pw[1].s ELSE sec END) + {window_s} - sec) END AS retry
+  FROM (
+    SELECT s.token, s.rn, s.sec, s.n, list_filter(r.win, lambda x: x.s > s.sec - {window_s}) AS pw,
+      greatest(0, least(s.n, {limit} - coalesce(list_sum(list_transform(
+        list_filter(r.win, lambda x: x.s > s.sec - {window_s}), lambda x: x.c)), 0))) AS adm
+    FROM slide r JOIN lim_secs s ON s.token = r.token AND s.rn = r.rn + 1))"""
+
+
 def gate_ctes(window_s: int, limit: int, daily: int, max_body: int = Q.MAX_BODY_BYTES,
               allowed=None, configured=("groq",)) -> str:
     allowed = allowed or Q.allowed_models()
@@ -60,24 +82,7 @@ g4 AS (
     END AS auth_reason
   FROM g3 LEFT JOIN binding b ON b.bearer_token = g3.bearer_token),
 limited AS (SELECT event_id, bearer_token AS token, sec, ts, ts_ms FROM g4 WHERE pre_status IS NULL AND auth_reason IS NULL),
-lim_secs AS (
-  SELECT token, sec, count(*) AS n, row_number() OVER (PARTITION BY token ORDER BY sec) AS rn
-  FROM limited GROUP BY token, sec),
-slide AS (
-  SELECT token, rn, sec, n, adm,
-    CASE WHEN adm > 0 THEN [{{'s': sec, 'c': adm}}] ELSE [] END AS win,
-    CASE WHEN n > adm AND adm > 0 THEN greatest(1, {window_s}) END AS retry
-  FROM (SELECT token, rn, sec, n, greatest(0, least(n, {limit})) AS adm FROM lim_secs WHERE rn = 1)
-  UNION ALL
-  SELECT token, rn, sec, n, adm,
-    CASE WHEN adm > 0 THEN list_append(pw, {{'s': sec, 'c': adm}}) ELSE pw END AS win,
-    CASE WHEN n > adm AND (len(pw) > 0 OR adm > 0)
-         THEN greatest(1, (CASE WHEN len(pw) > 0 THEN pw[1].s ELSE sec END) + {window_s} - sec) END AS retry
-  FROM (
-    SELECT s.token, s.rn, s.sec, s.n, list_filter(r.win, lambda x: x.s > s.sec - {window_s}) AS pw,
-      greatest(0, least(s.n, {limit} - coalesce(list_sum(list_transform(
-        list_filter(r.win, lambda x: x.s > s.sec - {window_s}), lambda x: x.c)), 0))) AS adm
-    FROM slide r JOIN lim_secs s ON s.token = r.token AND s.rn = r.rn + 1)),
+{slide_ctes(window_s, limit)},
 slide_day AS (
   SELECT token, sec, adm, retry,
     coalesce(sum(adm) OVER (PARTITION BY token, sec // 86400 ORDER BY sec
@@ -134,18 +139,18 @@ fixed_window AS (
 def cache_sql(ttl_ms: int = Q.CACHE_TTL_MS) -> str:
     return f"""{RL.request_log_cte()},
 lookups AS (
-  SELECT event_id, ts, 'analysis:' || event_type || ':' || CAST(user_id % {RL.CACHE_KEY_BUCKETS} AS VARCHAR) AS key, sec,
+  SELECT event_id, ts, 'analysis:' || event_type || ':' || CAST(user_id % {RL.CACHE_KEY_BUCKETS} AS VARCHAR) AS key, ts_ms AS sec,
     CASE WHEN ts >= TIMESTAMP '{RL.CACHE_UPGRADE_AT}' THEN '2' ELSE '1' END AS version
   FROM request_log),
 cache_secs AS (
-  SELECT key, sec, any_value(version) AS version, row_number() OVER (PARTITION BY key ORDER BY sec) AS rn
+  SELECT key, sec, first(version ORDER BY ts, event_id) AS version, row_number() OVER (PARTITION BY key ORDER BY sec) AS rn
   FROM lookups GROUP BY key, sec),
 cache AS (
   SELECT key, rn, sec, FALSE AS first_hit, sec AS created, version AS ver FROM cache_secs WHERE rn = 1
   UNION ALL
   SELECT key, rn, sec, hit, CASE WHEN hit THEN created ELSE sec END, CASE WHEN hit THEN ver ELSE version END
   FROM (SELECT s.key, s.rn, s.sec, s.version, c.created, c.ver,
-               (s.version = c.ver AND (s.sec - c.created) * 1000 <= {ttl_ms}) AS hit
+               (s.version = c.ver AND s.sec - c.created <= {ttl_ms}) AS hit
         FROM cache c JOIN cache_secs s ON s.key = c.key AND s.rn = c.rn + 1)),
 cache_replay AS (
   SELECT l.event_id, l.key, CASE WHEN r = 1 THEN c.first_hit ELSE TRUE END AS hit

@@ -34,10 +34,11 @@ secret_findings AS (
 
 def target_verdict_sql(t: str, base_dir: str = "/work") -> str:
     resolved = f"CASE WHEN starts_with({t}, '/') THEN {t} ELSE {sql_str(base_dir.rstrip('/') + '/')} || {t} END"
+    resolved = f"regexp_replace({resolved}, '/+(?:[.](?:/+|$))*', '/', 'g')"
     blocked = " OR ".join(f"starts_with({resolved}, {sql_str(p)})" for p in SC.BLOCKED_PREFIXES)
     traversal = f"list_contains(string_split(replace({t}, chr(92), '/'), '/'), '..')"
     remote = f"(starts_with({t}, 'https://') OR starts_with({t}, 'git@') OR starts_with({t}, 'git://'))"
-    return (f"CASE WHEN {t} IS NULL OR trim({t}) = '' THEN 'empty' "
+    return (f"CASE WHEN {t} IS NULL OR regexp_replace({t}, '\\s+', '', 'g') = '' THEN 'empty' "
             f"WHEN contains({t}, chr(0)) THEN 'null_byte' "
             f"WHEN starts_with({t}, 'http://') THEN 'insecure_http' "
             f"WHEN {remote} THEN CASE WHEN NOT regexp_matches({t}, {sql_str(SC.SAFE_GIT_URL)}) THEN 'invalid_url' END "

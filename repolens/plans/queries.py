@@ -338,13 +338,32 @@ FROM limits l LEFT JOIN usage u ON u.model = l.model""")
 def q_quota_usage(spark, sf_dir):
     log = RLOG.request_log(spark, sf_dir)
     limits = RLOG.model_limits(spark)
-    return QU.quota_usage(log, QU.fixed_window_quota(log, limits), limits)
-
-
-@register("registration_limit")
+    return QU.quota_usage(log, limits)
+
+
+@register("registration_limit", lambda: f"""WITH RECURSIVE {RLOG.request_log_cte()},
+a AS (SELECT event_id, ts, ip, machine_id, ts_ms // 86400000 AS day,
+             user_agent LIKE '%Mozilla/%' OR user_agent LIKE '%Chrome/%' OR user_agent LIKE '%Safari/%' OR user_agent LIKE '%Firefox/%' AS browser,
+             regexp_full_match(machine_id, '[0-9a-f]{{64}}') AS fine FROM request_log),
+firsts AS (SELECT ip, day, machine_id, arg_min(event_id, {{'t': ts, 'e': event_id}}) AS first_event, min({{'t': ts, 'e': event_id}}) AS f
+           FROM a WHERE fine AND NOT browser GROUP BY ip, day, machine_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY f) AS rn FROM firsts),
+fold AS (
+  SELECT ip, rn, day, machine_id, first_event, 'granted' AS outcome, [machine_id] AS known, 1 AS grants FROM o WHERE rn = 1
+  UNION ALL
+  SELECT ip, rn, day, machine_id, first_event,
+         CASE WHEN old THEN 'known' WHEN used < 3 THEN 'granted' ELSE 'denied' END,
+         CASE WHEN NOT old AND used < 3 THEN list_append(known, machine_id) ELSE known END,
+         CASE WHEN NOT old AND used < 3 THEN used + 1 ELSE used END
+  FROM (SELECT o.ip, o.rn, o.day, o.machine_id, o.first_event, p.known, list_contains(p.known, o.machine_id) AS old,
+               CASE WHEN o.day = p.day THEN p.grants ELSE 0 END AS used
+        FROM fold p JOIN o ON o.ip = p.ip AND o.rn = p.rn + 1))
+SELECT a.event_id, a.ip, a.machine_id, CAST(CASE WHEN browser THEN 403 WHEN NOT fine THEN 400 WHEN outcome = 'known' THEN 200
+  WHEN outcome = 'granted' THEN CASE WHEN a.event_id = first_event THEN 201 ELSE 200 END ELSE 429 END AS INTEGER) AS status
+FROM a LEFT JOIN fold d ON d.ip = a.ip AND d.day = a.day AND d.machine_id = a.machine_id""")
 def q_registration_limit(spark, sf_dir):
-    log = RLOG.request_log(spark, sf_dir)
-    return QU.registration_limit(log.where(F.col("event_type") == "signup"))
+    """Every request of the log as a registration attempt of its machine."""
+    return QU.registration_limit(RLOG.request_log(spark, sf_dir))
 
 # --------------------------------------------------------------------------- AI batch tables
 from repolens.operators import ai as AI  # noqa: E402
@@ -378,7 +397,7 @@ def q_project_summary(spark, sf_dir):
 
 @register("summary_cache_key", lambda: f"""WITH {OP.profile_ctes()}, {_summary_sql()},
 k AS (SELECT repo_id, substr(sha256(summary), 1, 16) AS summary_hash,
-             'analysis:{AI.ANALYSIS_MODEL}:' || substr(sha256(summary), 1, 16) AS cache_key FROM summaries)
+             'analysis:moonshotai/kimi-k2-instruct:' || substr(sha256(summary), 1, 16) AS cache_key FROM summaries)
 SELECT repo_id, summary_hash, cache_key, substr(sha256(cache_key), 1, 16) AS cache_file FROM k""")
 def q_summary_cache_key(spark, sf_dir):
     s = _summaries(spark, sf_dir)[1]
@@ -388,8 +407,8 @@ def q_summary_cache_key(spark, sf_dir):
 
 
 @register("analysis_requests", lambda: f"""WITH {OP.profile_ctes()}, {_summary_sql()}, {OP.architecture_cte()}
-SELECT p.repo_id, 'analysis' AS kind, '{AI.ANALYSIS_MODEL}' AS model,
-  'analysis:{AI.ANALYSIS_MODEL}:' || substr(sha256(s.summary), 1, 16) AS cache_key,
+SELECT p.repo_id, 'analysis' AS kind, 'moonshotai/kimi-k2-instruct' AS model,
+  'analysis:moonshotai/kimi-k2-instruct:' || substr(sha256(s.summary), 1, 16) AS cache_key,
   concat_ws(chr(10), 'PROJECT CONTEXT (pre-detected):', '- Project Type: ' || p.project_type,
     '- TypeScript Detected: ' || CASE WHEN p.has_typescript THEN 'YES' ELSE 'NO' END,
     '- Test Files Found: ' || p.test_file_count,
@@ -410,7 +429,7 @@ def _responses(spark, sf_dir):
 def q_reasoning_requests(spark, sf_dir):
     prof, summ = _summaries(spark, sf_dir)
     analysis = AI.accepted(_responses(spark, sf_dir), "analysis").select(
-        "repo_id", F.to_json(AI.normalize_analysis(F.col("content"))).alias("analysis_json"))
+        "repo_id", F.to_json(AI.normalize_analysis(F.col("v"))).alias("analysis_json"))
     text = RU.findings_text(RU.rule_results(prof))
     return AI.reasoning_requests(prof, summ, analysis, text)
 
@@ -419,20 +438,19 @@ def q_reasoning_requests(spark, sf_dir):
 def q_security_requests(spark, sf_dir):
     files = repo_files(spark, sf_dir)
     prof, summ = _summaries(spark, sf_dir)
-    lock = prof.select("repo_id")  # audit runs only where a root package-lock.json exists (A2)
+    # the audit runs only where a root package-lock.json exists (A2)
     with_lock = ST.repo_markers(FF.corpus_facts(spark, sf_dir)).where(F.col(ST.marker_col("package-lock.json"))) \
         .select("repo_id")
     audit = AU.audit_rollup(AU.parse_audit(AU.derive_audit_reports(spark, sf_dir))).join(with_lock, "repo_id", "left_semi")
     secrets = SC.scan_secrets(files).groupBy("repo_id").agg(F.count(F.lit(1)).alias("secret_findings"))
     top = CX.high_complexity_files(FF.file_facts(files), 5).groupBy("repo_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("top_files"))
-    del lock
     return AI.security_requests(prof, summ, audit, secrets, top, SC.is_non_http(F.col("project_type")))
 
 
 @register("deployment_requests", lambda: f"""WITH {OP.profile_ctes()}, {_summary_sql()}
-SELECT p.repo_id, 'deployment' AS kind, '{AI.REASONING_MODEL}' AS model,
-  'deployment:{AI.REASONING_MODEL}:' || substr(sha256(s.summary), 1, 16) AS cache_key,
+SELECT p.repo_id, 'deployment' AS kind, 'moonshotai/kimi-k2-instruct' AS model,
+  'deployment:moonshotai/kimi-k2-instruct:' || substr(sha256(s.summary), 1, 16) AS cache_key,
   concat_ws(chr(10), '- Project Type: ' || p.project_type,
     '- Docker: ' || CASE WHEN p.has_docker THEN 'YES' ELSE 'NO' END,
     '- CI/CD: ' || CASE WHEN p.has_ci THEN 'YES' ELSE 'NO' END,
@@ -453,7 +471,7 @@ def q_scan_ai_responses(spark, sf_dir):
 
 @register("normalize_analysis")
 def q_normalize_analysis(spark, sf_dir):
-    a = AI.accepted(_responses(spark, sf_dir), "analysis").select("repo_id", AI.normalize_analysis(F.col("content")).alias("a"))
+    a = AI.accepted(_responses(spark, sf_dir), "analysis").select("repo_id", AI.normalize_analysis(F.col("v")).alias("a"))
     return a.select("repo_id", F.array_join("a.frameworks", ", ").alias("frameworks"),
                     F.array_join("a.patterns", ", ").alias("patterns"), F.array_join("a.concerns", ", ").alias("concerns"),
                     F.col("a.projectType").alias("project_type"), F.col("a.summary").alias("summary"))
@@ -461,27 +479,27 @@ def q_normalize_analysis(spark, sf_dir):
 
 @register("normalize_suggestions")
 def q_normalize_suggestions(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("v")).alias("r"))
     return r.select("repo_id", F.posexplode("r.suggestions").alias("pos", "s")).select("repo_id", "pos", "s.*")
 
 
 @register("normalize_scores")
 def q_normalize_scores(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("v")).alias("r"))
     return r.select("repo_id", *[F.col(f"r.scores.{side}.{d}").alias(f"{side}_{d}")
                                  for side in ("current", "optimized") for d in AI.SCORE_DIMENSIONS])
 
 
 @register("normalize_security")
 def q_normalize_security(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "security").select("repo_id", AI.normalize_security(F.col("content")).alias("s"))
+    r = AI.accepted(_responses(spark, sf_dir), "security").select("repo_id", AI.normalize_security(F.col("v")).alias("s"))
     return r.select("repo_id", F.col("s.score").alias("score"), F.size("s.findings").alias("n_findings"),
                     F.array_join("s.strengths", ", ").alias("strengths"), F.col("s.summary").alias("summary"))
 
 
 @register("normalize_deployment")
 def q_normalize_deployment(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "deployment").select("repo_id", AI.normalize_deployment(F.col("content")).alias("d"))
+    r = AI.accepted(_responses(spark, sf_dir), "deployment").select("repo_id", AI.normalize_deployment(F.col("v")).alias("d"))
     return r.select("repo_id", F.col("d.score").alias("score"), F.size("d.recommendations").alias("n_recommendations"),
                     F.array_join("d.strengths", ", ").alias("strengths"), F.col("d.summary").alias("summary"))
 
@@ -489,8 +507,8 @@ def q_normalize_deployment(spark, sf_dir):
 @register("ai_severity_counts")
 def q_ai_severity_counts(spark, sf_dir):
     resp = _responses(spark, sf_dir)
-    sec = AI.accepted(resp, "security").select("repo_id", AI.normalize_security(F.col("content")).alias("s"))
-    dep = AI.accepted(resp, "deployment").select("repo_id", AI.normalize_deployment(F.col("content")).alias("d"))
+    sec = AI.accepted(resp, "security").select("repo_id", AI.normalize_security(F.col("v")).alias("s"))
+    dep = AI.accepted(resp, "deployment").select("repo_id", AI.normalize_deployment(F.col("v")).alias("d"))
     return (sec.select("repo_id", *AI.severity_counts(F.col("s.findings"), "severity", AI.SECURITY_SEVERITIES))
             .join(dep.select("repo_id", *AI.severity_counts(F.col("d.recommendations"), "priority", AI.DEPLOY_PRIORITIES)),
                   "repo_id", "full"))
@@ -507,7 +525,7 @@ def q_merge_suggestions(spark, sf_dir):
 
 @register("score_delta")
 def q_score_delta(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("v")).alias("r"))
     return r.select("repo_id", F.explode(AI.score_delta(F.col("r"))).alias("d")).select("repo_id", "d.*")
 
 # --------------------------------------------------------------------------- reports
@@ -602,25 +620,34 @@ def q_report_markdown(spark, sf_dir):
 from repolens.streaming import replay as STR  # noqa: E402
 
 
-@register("sliding_window_stream")
+@register("sliding_window_stream", lambda: f"""WITH RECURSIVE {RLOG.request_log_cte()},
+limited AS (SELECT event_id, token, sec, ts, ts_ms FROM request_log),
+{OQ.slide_ctes(GATE_WINDOW_S, GATE_LIMIT)}
+SELECT l.event_id, l.token, r <= adm AS slide_ok, CAST(CASE WHEN r > adm THEN retry END AS BIGINT) AS slide_retry
+FROM (SELECT *, row_number() OVER (PARTITION BY token, sec ORDER BY ts, event_id) AS r FROM limited) l
+JOIN slide d ON d.token = l.token AND d.sec = l.sec""")
 def q_sliding_window_stream(spark, sf_dir):
     """J3 as a stateful stream over all requests (availableNow replay of the events file)."""
     return STR.run_available_now(STR.sliding_window_stream(STR.request_stream(spark, sf_dir), GATE_WINDOW_S, GATE_LIMIT))
 
 
-@register("ttl_cache_stream")
+@register("ttl_cache_stream", lambda: "WITH RECURSIVE " + OQ.cache_sql() + "\nSELECT event_id, key, hit FROM cache_replay")
 def q_ttl_cache_stream(spark, sf_dir):
     return STR.run_available_now(STR.ttl_cache_stream(RLOG.cache_lookups(STR.request_stream(spark, sf_dir))))
 
 
-@register("fixed_window_stream")
+@register("fixed_window_stream", lambda: "WITH " + OQ.fixed_window_sql(FW_RPM, FW_RPD)
+          + "\nSELECT event_id, model, allowed, reason, retry_after_ms FROM fixed_window")
 def q_fixed_window_stream(spark, sf_dir):
     limits = {m: (FW_RPM, FW_RPD) for m, _, _, _ in RLOG.MODEL_LIMITS}
     return STR.run_available_now(STR.fixed_window_stream(STR.request_stream(spark, sf_dir), limits, (None, FW_RPM, FW_RPD)))
 
 
-@register("minute_usage_stream")
+@register("minute_usage_stream", lambda: f"""WITH {RLOG.request_log_cte()}
+SELECT date_trunc('minute', ts) AS minute, model, count(*) AS requests FROM request_log
+GROUP BY ALL HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM request_log)""")
 def q_minute_usage_stream(spark, sf_dir):
+    """Windows that the watermark, one minute behind the last request, has closed."""
     got = STR.run_available_now(STR.minute_usage_stream(STR.request_stream(spark, sf_dir, "1 minute")))
     return got.select(F.col("window.start").alias("minute"), "model", "requests")
 

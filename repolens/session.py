@@ -2,7 +2,8 @@
 
 Every job runs with a UTC session clock (all quota windows are UTC-aligned),
 adaptive query execution on, and the web UI off. On a cluster the session is
-created by the platform; ``get_session`` only fills in settings that are unset.
+created by the platform and ``get_session`` is not used; ``configure`` sets what
+results depend on, the session clock and JSON rules, on any session.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("REPOLENS_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("REPOLENS_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
@@ -42,22 +43,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply session settings the operators rely on (safe on an existing session)."""
+    """Apply session settings the results rely on (safe on an existing session)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of repeated JSON keys counts
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used as is. Only when the
-    setting is absent (local tests) a scratch folder is created for it.
+    A cluster names a shared folder there; it is used as is. Without it a local
+    session (tests) gets a scratch folder; a cluster gets an error, since a
+    folder of the driver's machine is not shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        # unset, as in local tests: take a fresh scratch folder of our own
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="repolens-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)

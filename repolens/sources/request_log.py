@@ -117,11 +117,11 @@ def token_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_lookups(log: DataFrame) -> DataFrame:
-    """Cache lookups: key ``analysis:<model>:<bucket>``, whole-second times, version per era."""
+    """Cache lookups: key ``analysis:<model>:<bucket>``, millisecond times, version per era."""
     key = F.concat(F.lit("analysis:"), F.col("event_type"), F.lit(":"),
                    (F.col("user_id") % CACHE_KEY_BUCKETS).cast("string"))
     version = F.when(F.col("ts") >= F.lit(CACHE_UPGRADE_AT).cast("timestamp"), F.lit("2")).otherwise(F.lit("1"))
-    return log.select("event_id", "ts", key.alias("key"), "sec", version.alias("version"))
+    return log.select("event_id", "ts", "ts_ms", key.alias("key"), version.alias("version"))
 
 
 # ---- DuckDB spelling ----------------------------------------------------------

@@ -16,21 +16,7 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
-               spread: bool = True) -> DataFrame:
-    """Scan one driver table, pruned to ``columns``.
-
-    With ``spread``, a scan that yields fewer input splits than the session's
-    parallelism (a small table in one row group) is redistributed round-robin
-    over the available cores, so CPU-heavy per-row work (regex over text, JSON)
-    is not serialised in one task. A large input already has at least that
-    many splits, so no shuffle is added at scale.
-    """
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """Scan one driver table, pruned to ``columns``; its splits are what the files give, whatever their size."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    if columns:
-        df = df.select(*columns)
-    if spread:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
-    return df
+    return df.select(*columns) if columns else df

@@ -1,23 +1,28 @@
 """Structured Streaming twins of the request-log operators.
 
-The request log arrives as a file stream; the derivation of header fields is
-the same function as in batch. Per-key sequential decisions keep their state
-in Spark's state store through ``applyInPandasWithState``: each micro-batch
-hands a key's new rows (sorted inside the function by ``ts, event_id``)
-together with the key's state, so results equal a sequential replay as long
-as events arrive in time order; rows older than the watermark are dropped.
-
-* J3: state = admitted seconds still inside the window + today's count;
-* J9: state = (created second, version) of the cache entry;
-* J1: state = (minute start, count, day start, count) per model;
+The request log arrives as a file stream over the table's folder of part files;
+the derivation of header fields is the same function as in batch. Per-key
+sequential decisions keep their state in Spark's state store through
+``applyInPandasWithState`` with an event-time timeout: Spark drops rows older than
+the watermark, each micro-batch hands a key's new rows (sorted inside the
+function by ``ts, event_id``) together with the key's state, and a key
+without rows for longer than its state can matter is forgotten. Results equal a
+sequential replay of the rows that are not late.
+
+* J3: state = admitted seconds still inside the window, kept for one window;
+* J9: state = (created, version) of the cache entry, kept for its time to live;
+* J1: state = (minute start, count, day start, count) per model, kept to the day's end;
 * J2: tumbling one-minute windows per model with a watermark;
 * A7: gate decisions appended as audit events, partitioned by date.
+
+``max_files`` bounds a micro-batch. J1 has one key a model, which is the operator's
+own meaning: a model's requests are decided one after the other.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,20 +33,36 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from repolens.operators import quota as QU
 from repolens.session import ensure_checkpoint_dir
 from repolens.sources import request_log as RL
-from repolens.sources.tables import read_table
+from repolens.sources.tables import read_table, table_path
+
+MAX_FILES = 64
+
+
+def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_files: int = MAX_FILES) -> DataFrame:
+    """A file stream over one table: a folder of part files, or a single file."""
+    schema = read_table(spark, sf_dir, name).schema
+    path = table_path(sf_dir, name)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    jvm = spark._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    if file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).isFile():  # streams read folders
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(path)
+
 
+def request_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 hour", max_files: int = MAX_FILES) -> DataFrame:
+    return RL.derive_request_log(event_stream(spark, sf_dir, max_files=max_files)).withWatermark("ts", watermark)
 
-def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_files: int | None = None) -> DataFrame:
-    """A file stream over one driver table (the folder, filtered to the table's file)."""
-    schema = read_table(spark, sf_dir, name, spread=False).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(sf_dir)
 
+def _ordered(pdfs) -> pd.DataFrame | None:
+    """A key's rows of one micro-batch in the order of decision."""
+    frames = list(pdfs)
+    return pd.concat(frames).sort_values(["ts", "event_id"], kind="stable") if frames else None
 
-def request_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") -> DataFrame:
-    return RL.derive_request_log(event_stream(spark, sf_dir)).withWatermark("ts", watermark)
+
+def _keep_until(state, ms: int) -> None:
+    """Forget the key once the watermark has passed ``ms``."""
+    state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs() + 1))
 
 
 # ---- J3: sliding window per token -------------------------------------------------------
@@ -54,32 +75,29 @@ SLIDE_STATE = T.StructType([T.StructField("secs", T.ArrayType(T.LongType())),
 
 def _slide_state_fn(window_s: int, limit: int):
     def fn(key, pdfs, state):
-        secs, counts = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        out = []
-        for pdf in pdfs:
-            out.append(pdf)
-        if not out:
+        if state.hasTimedOut:
+            state.remove()
             return
-        rows = pd.concat(out).sort_values(["ts", "event_id"], kind="stable")
-        ids, oks, retries = [], [], []
-        for eid, s in zip(rows["event_id"].tolist(), rows["sec"].tolist()):
-            while secs and secs[0] <= s - window_s:
-                secs.pop(0)
-                counts.pop(0)
-            if sum(counts) >= limit:
-                ids.append(eid)
-                oks.append(False)
-                retries.append(max(1, secs[0] + window_s - s))
-                continue
-            if secs and secs[-1] == s:
-                counts[-1] += 1
-            else:
-                secs.append(s)
-                counts.append(1)
-            ids.append(eid)
-            oks.append(True)
-            retries.append(None)
-        state.update((secs, counts))
+        window = deque(zip(*state.get)) if state.exists else deque()
+        total = sum(c for _, c in window)
+        rows = _ordered(pdfs)
+        if rows is None:
+            return
+        ids, oks, retries = rows["event_id"].tolist(), [], []
+        for s in rows["sec"].tolist():
+            while window and window[0][0] <= s - window_s:
+                total -= window.popleft()[1]
+            ok = total < limit
+            oks.append(ok)
+            retries.append(None if ok else max(1, window[0][0] + window_s - s))
+            if ok:
+                total += 1
+                if window and window[-1][0] == s:
+                    window[-1] = (s, window[-1][1] + 1)
+                else:
+                    window.append((s, 1))
+        state.update(([s for s, _ in window], [c for _, c in window]))
+        _keep_until(state, (s + window_s) * 1000)
         yield pd.DataFrame({"event_id": ids, "token": key[0], "slide_ok": oks,
                             "slide_retry": pd.array(retries, dtype="Int64")})
     return fn
@@ -89,7 +107,7 @@ def sliding_window_stream(requests: DataFrame, window_s: int = QU.SLIDING_WINDOW
                           limit: int = QU.SLIDING_MAX_REQUESTS) -> DataFrame:
     """J3 over a stream of requests that reached the limiter (token, sec, ts, event_id)."""
     return requests.select("token", "event_id", "sec", "ts").groupBy("token").applyInPandasWithState(
-        _slide_state_fn(window_s, limit), SLIDE_OUT, SLIDE_STATE, "append", GroupStateTimeout.NoTimeout)
+        _slide_state_fn(window_s, limit), SLIDE_OUT, SLIDE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- J9: TTL cache ---------------------------------------------------------------------
@@ -101,26 +119,28 @@ CACHE_STATE = T.StructType([T.StructField("created", T.LongType()), T.StructFiel
 
 def _cache_state_fn(ttl_ms: int):
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         created, ver = state.get if state.exists else (None, None)
-        frames = list(pdfs)
-        if not frames:
+        rows = _ordered(pdfs)
+        if rows is None:
             return
-        rows = pd.concat(frames).sort_values(["ts", "event_id"], kind="stable")
-        ids, hits = [], []
-        for eid, s, v in zip(rows["event_id"].tolist(), rows["sec"].tolist(), rows["version"].tolist()):
-            hit = created is not None and v == ver and (s - created) * 1000 <= ttl_ms
+        hits = []
+        for t, v in zip(rows["ts_ms"].tolist(), rows["version"].tolist()):
+            hit = created is not None and v == ver and t - created <= ttl_ms
             if not hit:
-                created, ver = s, v
-            ids.append(eid)
+                created, ver = t, v
             hits.append(hit)
         state.update((created, ver))
-        yield pd.DataFrame({"event_id": ids, "key": key[0], "hit": hits})
+        _keep_until(state, created + ttl_ms + 1)
+        yield pd.DataFrame({"event_id": rows["event_id"].tolist(), "key": key[0], "hit": hits})
     return fn
 
 
 def ttl_cache_stream(lookups: DataFrame, ttl_ms: int = QU.CACHE_TTL_MS) -> DataFrame:
-    return lookups.select("key", "event_id", "sec", "ts", "version").groupBy("key").applyInPandasWithState(
-        _cache_state_fn(ttl_ms), CACHE_OUT, CACHE_STATE, "append", GroupStateTimeout.NoTimeout)
+    return lookups.select("key", "event_id", "ts_ms", "ts", "version").groupBy("key").applyInPandasWithState(
+        _cache_state_fn(ttl_ms), CACHE_OUT, CACHE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- J1: fixed windows per model ---------------------------------------------------------
@@ -134,19 +154,20 @@ FW_STATE = T.StructType([T.StructField("m0", T.LongType()), T.StructField("mc",
 
 def _fixed_state_fn(limits: dict, default: tuple):
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         m0, mc, d0, dc = state.get if state.exists else (None, 0, None, 0)
-        frames = list(pdfs)
-        if not frames:
+        rows = _ordered(pdfs)
+        if rows is None:
             return
         rpm, rpd = limits.get(key[0], default[1:])
-        rows = pd.concat(frames).sort_values(["ts", "event_id"], kind="stable")
-        ids, oks, reasons, retries = [], [], [], []
-        for eid, ms in zip(rows["event_id"].tolist(), rows["ts_ms"].tolist()):
+        oks, reasons, retries = [], [], []
+        for ms in rows["ts_ms"].tolist():
             if m0 != ms - ms % QU.MINUTE_MS:
                 m0, mc = ms - ms % QU.MINUTE_MS, 0
             if d0 != ms - ms % QU.DAY_MS:
                 d0, dc = ms - ms % QU.DAY_MS, 0
-            ids.append(eid)
             if mc >= rpm:
                 oks.append(False), reasons.append("rpm"), retries.append(m0 + QU.MINUTE_MS - ms)
             elif dc >= rpd:
@@ -155,7 +176,8 @@ def _fixed_state_fn(limits: dict, default: tuple):
                 mc, dc = mc + 1, dc + 1
                 oks.append(True), reasons.append(None), retries.append(None)
         state.update((m0, mc, d0, dc))
-        yield pd.DataFrame({"event_id": ids, "model": key[0], "allowed": oks, "reason": reasons,
+        _keep_until(state, d0 + QU.DAY_MS)
+        yield pd.DataFrame({"event_id": rows["event_id"].tolist(), "model": key[0], "allowed": oks, "reason": reasons,
                             "retry_after_ms": pd.array(retries, dtype="Int64")})
     return fn
 
@@ -165,7 +187,7 @@ def fixed_window_stream(requests: DataFrame, limits: dict[str, tuple[int, int]]
     """J1 streaming: ``limits`` maps model -> (rpm, rpd); unlisted models use ``default``."""
     limits = limits if limits is not None else {m: (rpm, rpd) for m, _, rpm, rpd in RL.MODEL_LIMITS}
     return requests.select("model", "event_id", "ts", "ts_ms").groupBy("model").applyInPandasWithState(
-        _fixed_state_fn(limits, default), FW_OUT, FW_STATE, "append", GroupStateTimeout.NoTimeout)
+        _fixed_state_fn(limits, default), FW_OUT, FW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- J2 + A7 --------------------------------------------------------------------------------
@@ -193,12 +215,12 @@ def append_audit_events(events: DataFrame, path: str, checkpoint: str):
             .option("path", path).option("checkpointLocation", checkpoint))
 
 
-def run_available_now(df: DataFrame, name: str | None = None) -> DataFrame:
-    """Drive a streaming query to completion (``availableNow``) into a memory table; return it."""
+def run_available_now(df: DataFrame) -> DataFrame:
+    """Drive a streaming query to its end (``availableNow``) into Parquet in the shared checkpoint folder; read it back."""
     spark = df.sparkSession
-    name = name or f"stream_{uuid.uuid4().hex[:8]}"
-    ckpt = os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), "streams", name)
-    q = (df.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = df.schema
+    query = (df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
+             .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/rows")

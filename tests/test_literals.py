@@ -156,7 +156,8 @@ def test_mask_and_scrub(spark):
     ("http://github.com/user/repo", "insecure_http"), ("../../etc/passwd", "path_traversal"),
     ("repo; rm -rf /", "shell_metachar"), ("repo\u0000", "null_byte"), ("", "empty"),
     ("https://github.com/user/repo?x=<y>", "invalid_url"), ("git://host/repo", "invalid_url"),
-    ("/etc/passwd", "restricted_dir"),
+    ("/etc/passwd", "restricted_dir"), ("//etc/passwd", "restricted_dir"), ("/./etc/passwd", "restricted_dir"), ("/././/usr", "restricted_dir"),
+    ("https://github.com/u/r\n", "invalid_url"), ("\t", "empty"), (" \n", "empty"), ("./etc", None),
 ])
 def test_validate_targets(spark, target, reason):
     df = spark.createDataFrame([(target,)], "t string")
@@ -164,8 +165,13 @@ def test_validate_targets(spark, target, reason):
 
 
 def test_model_ids(spark):
-    df = spark.createDataFrame([("qwen/qwen3-32b",), ("llama-3.3-70b-versatile",), ("ab",), ("bad model!",)], "m string")
-    assert [r[0] for r in df.select(SC.model_id_ok(F.col("m"))).collect()] == [True, True, False, False]
+    df = spark.createDataFrame([("qwen/qwen3-32b",), ("llama-3.3-70b-versatile",), ("ab",), ("bad model!",), ("abc\n",)], "m string")
+    assert [r[0] for r in df.select(SC.model_id_ok(F.col("m"))).collect()] == [True, True, False, False, False]
+
+
+def test_machine_format(spark):
+    df = spark.createDataFrame([("a" * 64,), ("a" * 63 + "\n",), ("A" * 64,)], "m string")
+    assert [r[0] for r in df.select(QU.machine_format_ok(F.col("m"))).collect()] == [True, False, False]
 
 
 def test_version_gate(spark):
@@ -173,6 +179,8 @@ def test_version_gate(spark):
     got = [r[0] for r in df.select(QU.version_at_least(F.col("v"), "1.2.0")).collect()]
     assert got == [False, True, False, False, False]
     assert df.select(QU.version_at_least(F.col("v"), "1.1.0")).first()[0] is True
+    df = spark.createDataFrame([("1.0.0d",), ("1.0.0f",), ("1.0.0x",), ("1.0.0",), ("1.0.0x1",), ("1.0.0e1",)], "v string")
+    assert [r[0] for r in df.select(QU.version_at_least(F.col("v"), "1.0.0")).collect()] == [False, False, False, True, True, True]  # 0x1 is a number
 
 
 def test_audit_rollup_and_advisories(spark):
@@ -193,7 +201,7 @@ def test_audit_rollup_and_advisories(spark):
 def test_score_normalisation(spark):
     content = json.dumps({"scores": {"current": {"overall": None, "performance": "7", "scalability": 15},
                                      "optimized": 3}, "suggestions": [{"priority": "urgent"}, 5]})
-    df = spark.createDataFrame([(content,)], "c string").select(AI.normalize_reasoning(F.col("c")).alias("r"))
+    df = spark.createDataFrame([(content,)], "c string").select(AI.normalize_reasoning(F.try_parse_json("c")).alias("r"))
     r = df.first()["r"]
     cur = r["scores"]["current"]
     assert cur["overall"] == 0.0 and cur["performance"] == 7.0 and cur["scalability"] == 10.0
@@ -203,6 +211,63 @@ def test_score_normalisation(spark):
     assert r["suggestions"][0]["category"] == "General"
 
 
+@pytest.mark.parametrize("value,score", [
+    ('"8d"', 5.0), ('"0x10"', 10.0), ('"0x3"', 3.0), ("[]", 0.0), ("[7]", 7.0), ('["6"]', 6.0), ("[1, 2]", 5.0), ("[null]", 0.0), ("{}", 5.0),
+    ('" 4 "', 4.0), ('""', 0.0), ("true", 1.0), ("null", 0.0), ('"abc"', 5.0), ("-3", 0.0), ('"1e1"', 10.0), ("[[]]", 0.0), ("[true]", 5.0)])
+def test_scores_as_javascript_numbers(spark, value, score):
+    df = spark.createDataFrame([(f'{{"score": {value}, "findings": [[], 3, null, {{"title": "t"}}]}}',)], "c string")
+    r = df.select(AI.normalize_security(F.try_parse_json("c")).alias("s")).first().s
+    assert r.score == score
+    assert [f.title for f in r.findings] == ["Security Issue", "t"]  # an array counts as an object without fields
+
+
+def test_blank_and_repeated_keys(spark):
+    from repolens.session import configure
+
+    configure(spark)
+    env = lambda content: json.dumps({"choices": [{"message": {"content": content}}]})
+    rows = [(1, "analysis", env("\n\n")), (2, "analysis", env('{"summary": "a", "summary": "b"}')), (3, "analysis", env(" \t")), (4, "analysis", env("x"))]
+    out = AI.scan_ai_responses(spark.createDataFrame(rows, "repo_id long, kind string, response string"))
+    assert [r.reject_reason for r in out.orderBy("repo_id").collect()] == ["empty_content", None, "empty_content", "non_json"]
+    parsed = out.where("repo_id = 2").select(AI.normalize_analysis(F.try_parse_json("content")).alias("a")).first().a
+    assert parsed.summary == "b"
+    twice = '{"dependencies": {"react": "1"}, "dependencies": {"express": "1"}}'
+    prof = PR.repo_profile(FF.file_facts(files_df(spark, {1: {"package.json": twice}})))
+    assert prof.select("backend").first().backend == ["Express"]
+
+
+def test_cache_ages_by_the_millisecond(spark):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(milliseconds=ms), "k", "1") for i, ms in enumerate((0, 3_600_000, 3_600_001, 3_600_900))]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, key string, version string").withColumn("ts_ms", F.unix_millis("ts"))
+    got = {r.event_id: r.hit for r in QU.ttl_cache_replay(df).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: True}
+
+
+def test_registrations_at_one_instant_go_by_event(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, t, "ip", "f" * 64, "cli"), (2, t, "ip", "a" * 64, "cli")]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, ip string, machine_id string, user_agent string")
+    assert {r.event_id: r.status for r in QU.registration_limit(df, 1).collect()} == {1: 201, 2: 429}
+
+
+def test_ai_models(spark):
+    prof = PR.repo_profile(FF.file_facts(files_df(spark, {1: {"package.json": pkg({"express": "1"})}})))
+    summ = AI.project_summary(prof)
+    row = AI.deployment_requests(prof, summ, F.lit(False)).first()
+    assert row.model == "moonshotai/kimi-k2-instruct" and row.cache_key.startswith("deployment:moonshotai/kimi-k2-instruct:")
+
+
+def test_register_rule(spark):
+    import inspect
+
+    assert callable(RU.register_rule) and inspect.signature(RU.register_rule).parameters
+
+
 def test_merge_suggestions(spark):
 
     prof = PR.repo_profile(FF.file_facts(files_df(spark, {1: {"package.json": pkg()}})))
@@ -213,7 +278,7 @@ def test_merge_suggestions(spark):
             {"category": "Other", "current": "c", "suggested": "d", "priority": "low"}]
     content = json.dumps({"suggestions": sugg})
     ai = spark.createDataFrame([(1, content)], "repo_id long, c string") \
-        .select("repo_id", AI.normalize_reasoning(F.col("c")).alias("r"))
+        .select("repo_id", AI.normalize_reasoning(F.try_parse_json("c")).alias("r"))
     out = res.join(ai, "repo_id").select(AI.merge_suggestions(F.col("findings"), F.col("r.suggestions")).alias("m")) \
         .first()["m"]
     ids = [(m["id"], m["source"]) for m in out]

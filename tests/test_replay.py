@@ -48,12 +48,12 @@ def test_ttl_cache_matches_sequential_replay(spark, log):
     lookups = RL.cache_lookups(log)
     got = {r["event_id"]: r["hit"] for r in QU.ttl_cache_replay(lookups, 3_600_000).collect()}
     state, expect = {}, {}
-    for ts, eid, key, sec, ver in sorted((r["ts"], r["event_id"], r["key"], r["sec"], r["version"])
+    for ts, eid, key, ms, ver in sorted((r["ts"], r["event_id"], r["key"], r["ts_ms"], r["version"])
                                          for r in lookups.collect()):
         entry = state.get(key)
-        hit = entry is not None and entry[1] == ver and (sec - entry[0]) * 1000 <= 3_600_000
+        hit = entry is not None and entry[1] == ver and ms - entry[0] <= 3_600_000
         if not hit:
-            state[key] = (sec, ver)
+            state[key] = (ms, ver)
         expect[eid] = hit
     assert got == expect
 

@@ -36,7 +36,64 @@ def test_fixed_window_stream_equals_batch(spark):
     assert got == want
 
 
+def parts(folder, late):
+    """The events table as a folder of four part files in order of time, the last with a late row."""
+    import datetime as dt
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{SMALL}/events.parquet").sort_by("ts")
+    n = table.num_rows // 4
+    cuts = [table.slice(i * n, n if i < 3 else None) for i in range(4)]
+    if late:
+        row = cuts[3].slice(5, 1).to_pylist()[0]
+        row |= {"event_id": 10**9, "ts": cuts[0].column("ts")[0].as_py() + dt.timedelta(seconds=1)}
+        cuts[3] = pa.concat_tables([cuts[3], pa.Table.from_pylist([row], table.schema)])
+    target = folder / "events.parquet"
+    target.mkdir()
+    for i, part in enumerate(cuts):
+        pq.write_table(part, target / f"part-{i}.parquet")
+        os.utime(target / f"part-{i}.parquet", (1_700_000_000 + 100 * i,) * 2)
+    return str(folder)
+
+
+def test_streams_of_many_batches_equal_batch_without_late_rows(spark, tmp_path):
+    folder = parts(tmp_path, late=True)
+    log = RL.request_log(spark, SMALL)
+    stream = lambda: ST.request_stream(spark, folder, max_files=1)
+    assert RL.request_log(spark, folder).count() == log.count() + 1
+
+    got = {r.event_id: (r.slide_ok, r.slide_retry) for r in ST.run_available_now(ST.sliding_window_stream(stream(), 21600, 2)).collect()}
+    want = QU.sliding_and_daily(log.select("event_id", "token", "sec", "ts", "ts_ms"), 21600, 2, 10**9)
+    assert got == {r.event_id: (r.slide_ok, r.slide_retry) for r in want.collect()}
+
+    got = {r.event_id: r.hit for r in ST.run_available_now(ST.ttl_cache_stream(RL.cache_lookups(stream()))).collect()}
+    assert got == {r.event_id: r.hit for r in QU.ttl_cache_replay(RL.cache_lookups(log)).collect()}
+
+    limits = {m: (1, 5) for m, _, _, _ in RL.MODEL_LIMITS}
+    got = {r.event_id: (r.allowed, r.reason, r.retry_after_ms) for r in ST.run_available_now(ST.fixed_window_stream(stream(), limits, (None, 1, 5))).collect()}
+    lim = RL.model_limits(spark, [(m, lbl, 1, 5) for m, lbl, _, _ in RL.MODEL_LIMITS])
+    want = QU.fixed_window_quota(log, lim, (None, 1, 5))
+    assert got == {r.event_id: (r.allowed, r.reason, r.retry_after_ms) for r in want.collect()}
+
+
+def test_audit_sink_appends_by_date(spark, tmp_path):
+    stream = ST.request_stream(spark, parts(tmp_path, late=False), max_files=2)
+    decided = stream.select("ts", "token", "model", F.when(F.col("sig_ok"), 200).otherwise(401).alias("status"),
+                            F.when(F.col("sig_ok"), "forwarded").otherwise("invalid_signature").alias("reason"))
+    query = ST.append_audit_events(ST.audit_events(decided), str(tmp_path / "audit"), str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.json(str(tmp_path / "audit"))
+    log = RL.request_log(spark, SMALL)
+    assert out.count() == log.count() and out.where("action = 'api_call'").count() == log.where("sig_ok").count()
+    assert out.select("date").distinct().count() == log.select(F.to_date("ts")).distinct().count()
+
+
 def test_minute_usage_stream_counts_closed_windows(spark):
     got = ST.run_available_now(ST.minute_usage_stream(ST.request_stream(spark, SMALL, "1 minute")))
-    total = got.agg(F.sum("requests")).first()[0] or 0
-    assert 0 < total <= RL.request_log(spark, SMALL).count()
+    log = RL.request_log(spark, SMALL)
+    last = log.agg(F.max("ts_ms")).first()[0] - 60_000
+    closed = log.where((F.col("ts_ms") - F.col("ts_ms") % 60_000 + 60_000) <= last)
+    assert got.agg(F.sum("requests")).first()[0] == closed.count() > 0
