@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.llm import decontamination, jaccard, mixing, quality, sharding
-from repolens.llm.common import read, saved, shared_folder
+from repolens.llm.common import read, saved, shared_folder, short_batches
 
 SHARDS = 8
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score 0.5 or more), learnt from all labels of the documents."""
+    short_batches(spark)
     stats = saved(docs.select("doc_id", quality.stats_column("text").alias("stats")))
     model = quality.fit(stats, quality.labelled_stats(stats, read(spark, sf_dir, "labels", "doc_id", "quality")))
     return docs.where(quality.score_column(model, quality.stats_column("text")) >= 0.5)
@@ -27,11 +28,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: five-word shingles, Jaccard 0.8 or more."""
+    short_batches(spark)
     return jaccard.representatives(docs, shingle=5, num=80, den=100)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a benchmark window."""
+    short_batches(spark)
     added = max(docs.columns, key=len) + "_hit"  # longer than any name there is
     hit = decontamination.flagged(docs, read(spark, sf_dir, "benchmark"), added=added)
     return hit.where(F.size(F.col(f"{added}.hits")) == 0).drop(added)

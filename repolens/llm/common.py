@@ -42,6 +42,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches hold ``rows`` rows at most: batches of the default 10,000 long texts take a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def ascii_words(text: bytes | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased; bytes of UTF-8, so other letters stay."""
     return text.lower().split() if text else []

@@ -15,7 +15,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLANK_TABLE = bytes(32 if c == 32 or 9 <= c <= 13 else _LOWER[c] for c in range(256))
 #: Words of ASCII letters, digits and everything beyond ASCII.
 WORD_TABLE = bytes(_LOWER[c] if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-SEGMENT = 2_000_000
+SEGMENT = 500_000  # a byte takes about 50 bytes of arrays while it is hashed
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PLACE = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, np.uint64)
