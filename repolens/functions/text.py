@@ -111,17 +111,6 @@ def js_trim(col: Column) -> Column:
     return F.regexp_replace(col, r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+\z", "")
 
 
-def js_number_text(col: Column) -> Column:
-    """JavaScript ``Number(text)``; NaN where the text is no number."""
-    t = js_trim(col)
-    out = F.when(t == "", F.lit(0.0))
-    for prefix, digits, base in (("x", "0-9a-f", 16), ("o", "0-7", 8), ("b", "01", 2)):
-        out = out.when(t.rlike(rf"(?i)^0{prefix}[{digits}]+\z"), F.conv(F.substr(t, F.lit(3)), base, 10).try_cast("double"))
-    return (out.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), t.try_cast("double"))
-            .when(t.rlike(r"^[+]?Infinity\z"), F.lit(float("inf"))).when(t == "-Infinity", F.lit(float("-inf")))
-            .otherwise(F.lit(float("nan"))))
-
-
 # ---- DuckDB (oracle) spellings of the same measures -------------------------
 
 def sql_str(s: str) -> str:

@@ -3,19 +3,22 @@
 No network call is made. Request rows (prompt text, model, cache key) are
 built per repository from the profile; recorded responses are a table that
 is validated (A3), normalised with typed defaults (H7-H11), merged with the
-rule findings (H12) and compared (H13). Every step is a column expression over
+rule findings (H12) and compared (H13). Every step works on
 one repository's row - the per-repository arrays are bounded by the response
-size - so there is no Python per row and no shuffle beyond the joins on
-``repo_id``.
+size - so there is no shuffle beyond the joins on ``repo_id``. Normalising is an
+Arrow function that parses each response once; as column expressions it took
+10 to 30 s of code generation a query and ran interpreted.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from repolens.functions.text import js_number_text, js_trim
-from repolens.operators.audit import _json_str as json_str
+from repolens.functions.text import js_trim
+from repolens.operators import normalise as NO
 from repolens.sources.tables import read_table
 
 # ---------------------------------------------------------------------------
@@ -24,11 +27,8 @@ from repolens.sources.tables import read_table
 SUMMARY_DEPS, SUMMARY_DEV_DEPS = 30, 20
 NONE_DETECTED = "None detected"
 ANALYSIS_MODEL, REASONING_MODEL = "moonshotai/kimi-k2-instruct", "openai/gpt-oss-120b"
-LEVELS = ["low", "medium", "high"]
-SECURITY_SEVERITIES = ["critical", "high", "medium", "low", "info"]
-DEPLOY_PRIORITIES = ["critical", "high", "medium", "low"]
-SCORE_DIMENSIONS = ["overall", "performance", "developerExperience", "maintainability", "scalability"]
-SCORE_DEFAULT, SCORE_MIN, SCORE_MAX = 5.0, 0.0, 10.0
+LEVELS, SCORE_DIMENSIONS = NO.LEVELS, NO.SCORE_DIMENSIONS
+SECURITY_SEVERITIES, DEPLOY_PRIORITIES = NO.SECURITY_SEVERITIES, NO.DEPLOY_PRIORITIES
 PRIORITY_ORDER = {"high": 0, "medium": 1, "low": 2}
 NO_ANALYSIS = "No analysis available."
 # ---------------------------------------------------------------------------
@@ -184,106 +184,23 @@ def scan_ai_responses(responses: DataFrame) -> DataFrame:
 
 # ---- H7-H11: normalisers ------------------------------------------------------------
 
-def _str_or(v: Column, path: str, default: str) -> Column:
-    return F.when(_vtype(v, path) == "STRING", F.variant_get(v, path, "string")).otherwise(F.lit(default))
-
-
-def _enum_or(v: Column, path: str, allowed, default: str) -> Column:
-    s = F.when(_vtype(v, path) == "STRING", F.variant_get(v, path, "string"))
-    return F.when(s.isin(*allowed), s).otherwise(F.lit(default))
-
-
-def _strings(v: Column, path: str) -> Column:
-    arr = F.try_variant_get(v, path, "array<variant>")
-    only = F.filter(F.coalesce(arr, F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x) == "STRING")
-    return F.transform(only, lambda x: F.variant_get(x, "$", "string"))
-
-
-def _objects(v: Column, path: str) -> Column:
-    arr = F.try_variant_get(v, path, "array<variant>")
-    return F.filter(F.coalesce(arr, F.array().cast("array<variant>")),  # arrays are objects, too, without the fields
-                    lambda x: F.schema_of_variant(x).startswith("OBJECT") | F.schema_of_variant(x).startswith("ARRAY"))
-
-
-def js_number(v: Column, path: str) -> Column:
-    """``Number(x)`` for a JSON value: missing -> NaN, null -> 0, bool -> 0/1, string parsed, array by its text."""
-    t = _vtype(v, path)
-    s = F.try_variant_get(v, path, "string")
-    items = F.try_variant_get(v, path, "array<variant>")
-    one = _vtype(v, f"{path}[0]")
-    alone = (F.when(one == "VOID", F.lit(0.0)).when(one == "BOOLEAN", F.lit(float("nan")))
-             .when(one.startswith("OBJECT"), F.lit(float("nan")))
-             .when(one.startswith("ARRAY"), F.when(F.size(F.try_variant_get(v, f"{path}[0]", "array<variant>")) == 0, F.lit(0.0)).otherwise(F.lit(float("nan"))))
-             .otherwise(js_number_text(F.try_variant_get(v, f"{path}[0]", "string"))))
-    return (F.when(t.isNull(), F.lit(float("nan")))
-            .when(t == "VOID", F.lit(0.0))
-            .when(t == "BOOLEAN", F.try_variant_get(v, path, "boolean").cast("double"))
-            .when(t == "STRING", js_number_text(s))
-            .when(t.startswith("ARRAY"), F.when(F.size(items) == 0, F.lit(0.0)).when(F.size(items) == 1, alone).otherwise(F.lit(float("nan"))))
-            .when(t.startswith("OBJECT"), F.lit(float("nan")))
-            .otherwise(F.try_variant_get(v, path, "double")))
-
-
-def clamp_score(n: Column) -> Column:
-    return F.when(F.isnan(n) | n.isNull(), F.lit(SCORE_DEFAULT)).otherwise(
-        F.greatest(F.lit(SCORE_MIN), F.least(F.lit(SCORE_MAX), n)))
-
-
-def normalize_analysis(v: Column) -> Column:
-    """H7: string arrays keep strings only; strings default. ``v`` is the parsed response."""
-    return F.struct(
-        *[_strings(v, f"$.{k}").alias(k) for k in ["dependencies", "devDependencies", "frameworks", "patterns", "concerns"]],
-        _str_or(v, "$.projectType", "Unknown").alias("projectType"),
-        *[_str_or(v, f"$.{k}", "").alias(k) for k in ["projectContext", "scalabilityNotes", "testingNotes", "summary"]])
-
-
-def _score_set(v: Column, path: str) -> Column:
-    obj = _vtype(v, path).startswith("OBJECT") | _vtype(v, path).startswith("ARRAY")
-    return F.struct(*[F.when(obj, clamp_score(js_number(v, f"{path}.{d}"))).otherwise(F.lit(SCORE_DEFAULT)).alias(d)
-                      for d in SCORE_DIMENSIONS])
-
-
-def normalize_reasoning(v: Column) -> Column:
-    """H8 + H9: suggestions with per-field defaults, clamped score sets, strengths, summary."""
-    sugg = F.transform(_objects(v, "$.suggestions"), lambda x: F.struct(
-        _str_or(x, "$.category", "General").alias("category"),
-        _str_or(x, "$.current", "Unknown").alias("current"),
-        _str_or(x, "$.suggested", "Unknown").alias("suggested"),
-        *[_str_or(x, f"$.{k}", "").alias(k) for k in ["reason", "benefit", "tradeoffs", "alternatives", "migrationNotes"]],
-        _enum_or(x, "$.priority", LEVELS, "medium").alias("priority"),
-        _enum_or(x, "$.effort", LEVELS, "medium").alias("effort")))
-    return F.struct(sugg.alias("suggestions"),
-                    F.struct(_score_set(v, "$.scores.current").alias("current"),
-                             _score_set(v, "$.scores.optimized").alias("optimized")).alias("scores"),
-                    _strings(v, "$.strengths").alias("strengths"), _str_or(v, "$.summary", "").alias("summary"))
-
-
-def normalize_security(v: Column) -> Column:
-    """H10."""
-    items = F.transform(_objects(v, "$.findings"), lambda x: F.struct(
-        _enum_or(x, "$.severity", SECURITY_SEVERITIES, "medium").alias("severity"),
-        _str_or(x, "$.category", "General").alias("category"),
-        _str_or(x, "$.title", "Security Issue").alias("title"),
-        _str_or(x, "$.description", "").alias("description"),
-        _str_or(x, "$.recommendation", "").alias("recommendation"),
-        _enum_or(x, "$.effort", LEVELS, "medium").alias("effort"),
-        _str_or(x, "$.references", "").alias("references")))
-    return F.struct(items.alias("findings"), clamp_score(js_number(v, "$.score")).alias("score"),
-                    _str_or(v, "$.summary", "").alias("summary"), _strings(v, "$.strengths").alias("strengths"))
-
-
-def normalize_deployment(v: Column) -> Column:
-    """H11."""
-    items = F.transform(_objects(v, "$.recommendations"), lambda x: F.struct(
-        _enum_or(x, "$.priority", DEPLOY_PRIORITIES, "medium").alias("priority"),
-        _str_or(x, "$.category", "General").alias("category"),
-        _str_or(x, "$.title", "Deployment Recommendation").alias("title"),
-        _str_or(x, "$.description", "").alias("description"),
-        _str_or(x, "$.implementation", "").alias("implementation"),
-        _enum_or(x, "$.effort", LEVELS, "medium").alias("effort"),
-        _str_or(x, "$.impact", "").alias("impact")))
-    return F.struct(items.alias("recommendations"), clamp_score(js_number(v, "$.score")).alias("score"),
-                    _str_or(v, "$.summary", "").alias("summary"), _strings(v, "$.strengths").alias("strengths"))
+def _normaliser(kind: str):
+    """A column function from a response's JSON text to its record: one parse, Arrow batches (``operators/normalise.py``)."""
+    def normalised(content: Column) -> Column:
+        record, arrow = NO.KINDS[kind]
+
+        @arrow_udf(NO.ddl(arrow))
+        def parsed(contents: pa.Array) -> pa.Array:
+            return pa.array([None if c is None else record(NO.paired(c)) for c in contents.to_pylist()], arrow)
+
+        return parsed(content)
+    return normalised
+
+
+normalize_analysis = _normaliser("analysis")        # H7
+normalize_reasoning = _normaliser("reasoning")      # H8 + H9
+normalize_security = _normaliser("security")        # H10
+normalize_deployment = _normaliser("deployment")    # H11
 
 
 def severity_counts(items: Column, field: str, levels) -> list[Column]:
@@ -336,32 +253,35 @@ def merge_suggestions(findings: Column, suggestions: Column) -> Column:
                                 F.concat(acc["pairs"], F.array(x["pair"])).alias("pairs"),
                                 F.concat(acc["kept"], F.array(x["idx"])).alias("kept"), acc["marked"].alias("marked")))
 
-    state = F.aggregate(indexed, init, step)
-    null_s, null_arr = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-
-    def source(cat, own):
-        return F.when(F.array_contains(state["marked"], _norm(cat)), F.lit("both")).otherwise(F.lit(own))
-
-    rules = F.transform(findings, lambda f: F.struct(
-        f["rule_id"].alias("id"), source(f["category"], "rule").alias("source"), f["category"].alias("category"),
-        f["current"].alias("current"), f["suggested"].alias("suggested"), f["reason"].alias("reason"),
-        f["benefit"].alias("benefit"), null_s.alias("tradeoffs"), null_s.alias("alternatives"),
-        null_s.alias("migrationNotes"), f["priority"].alias("priority"), f["effort"].alias("effort"),
-        f["severity"].alias("severity"), f["tags"].alias("tags"), f["evidence"].alias("evidence")))
-    with_idx = F.transform(sug, lambda s, i: F.struct((i + 1).alias("idx"), s.alias("s")))
-    kept = F.filter(with_idx, lambda x: F.array_contains(state["kept"], x["idx"]))
-    ai = F.transform(kept, lambda x: F.struct(
-        F.concat(F.lit("AI_"), F.lpad(x["idx"].cast("string"), 3, "0")).alias("id"),
-        source(x["s"]["category"], "ai").alias("source"), x["s"]["category"].alias("category"),
-        x["s"]["current"].alias("current"), x["s"]["suggested"].alias("suggested"), x["s"]["reason"].alias("reason"),
-        x["s"]["benefit"].alias("benefit"), x["s"]["tradeoffs"].alias("tradeoffs"),
-        x["s"]["alternatives"].alias("alternatives"), x["s"]["migrationNotes"].alias("migrationNotes"),
-        x["s"]["priority"].alias("priority"), x["s"]["effort"].alias("effort"), null_s.alias("severity"),
-        null_arr.alias("tags"), null_arr.alias("evidence")))
-    merged = F.concat(rules, ai)
-    prio = F.create_map(*[x for k, v in PRIORITY_ORDER.items() for x in (F.lit(k), F.lit(v))])
-    keyed = F.transform(merged, lambda m, i: F.struct(prio[m["priority"]].alias("p"), i.alias("seq"), m.alias("m")))
-    return F.transform(F.array_sort(keyed), lambda k: k["m"])
+    def merged(state):
+        null_s, null_arr = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+
+        def source(cat, own):
+            return F.when(F.array_contains(state["marked"], _norm(cat)), F.lit("both")).otherwise(F.lit(own))
+
+        rules = F.transform(findings, lambda f: F.struct(
+            f["rule_id"].alias("id"), source(f["category"], "rule").alias("source"), f["category"].alias("category"),
+            f["current"].alias("current"), f["suggested"].alias("suggested"), f["reason"].alias("reason"),
+            f["benefit"].alias("benefit"), null_s.alias("tradeoffs"), null_s.alias("alternatives"),
+            null_s.alias("migrationNotes"), f["priority"].alias("priority"), f["effort"].alias("effort"),
+            f["severity"].alias("severity"), f["tags"].alias("tags"), f["evidence"].alias("evidence")))
+        with_idx = F.transform(sug, lambda s, i: F.struct((i + 1).alias("idx"), s.alias("s")))
+        kept = F.filter(with_idx, lambda x: F.array_contains(state["kept"], x["idx"]))
+        ai = F.transform(kept, lambda x: F.struct(
+            F.concat(F.lit("AI_"), F.lpad(x["idx"].cast("string"), 3, "0")).alias("id"),
+            source(x["s"]["category"], "ai").alias("source"), x["s"]["category"].alias("category"),
+            x["s"]["current"].alias("current"), x["s"]["suggested"].alias("suggested"), x["s"]["reason"].alias("reason"),
+            x["s"]["benefit"].alias("benefit"), x["s"]["tradeoffs"].alias("tradeoffs"),
+            x["s"]["alternatives"].alias("alternatives"), x["s"]["migrationNotes"].alias("migrationNotes"),
+            x["s"]["priority"].alias("priority"), x["s"]["effort"].alias("effort"), null_s.alias("severity"),
+            null_arr.alias("tags"), null_arr.alias("evidence")))
+        both = F.concat(rules, ai)
+        prio = F.create_map(*[x for k, v in PRIORITY_ORDER.items() for x in (F.lit(k), F.lit(v))])
+        keyed = F.transform(both, lambda m, i: F.struct(prio[m["priority"]].alias("p"), i.alias("seq"), m.alias("m")))
+        return F.transform(F.array_sort(keyed), lambda k: k["m"])
+
+    # the fold's state is bound once, as the variable of an outer transform
+    return F.element_at(F.transform(F.array(F.aggregate(indexed, init, step)), merged), 1)
 
 
 def score_delta(reasoning: Column) -> Column:
@@ -384,7 +304,8 @@ PRIORITIES = ["high", "medium", "low", "urgent"]
 
 
 def _js(c: Column) -> Column:
-    return json_str(c)
+    """The text as a JSON string."""
+    return F.btrim(F.to_json(F.array(c)), F.lit("[]"))
 
 
 def _pick(values, idx: Column) -> Column:
@@ -452,18 +373,14 @@ def derive_ai_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(responses: DataFrame, kind: str) -> DataFrame:
-    """(repo_id, v): accepted responses of a kind, parsed once.
-
-    The exchange on ``repo_id``, which every join below needs, ends the stage that
-    makes and scans the responses; later expressions read the parsed column.
-    """
-    scanned = scan_ai_responses(responses.where(F.col("kind") == kind)).where(F.col("reject_reason").isNull())
-    return scanned.select("repo_id", "content").repartition("repo_id").select("repo_id", F.try_parse_json("content").alias("v"))
+    """(repo_id, content): accepted responses of a kind."""
+    scanned = scan_ai_responses(responses.where(F.col("kind") == kind))
+    return scanned.where(F.col("reject_reason").isNull()).select("repo_id", "content")
 
 
 def merged_suggestions(rule_results: DataFrame, responses: DataFrame) -> DataFrame:
     """H12 per repository: rule findings joined with the normalised reasoning response."""
-    ai = accepted(responses, "reasoning").select("repo_id", normalize_reasoning(F.col("v")).alias("r"))
+    ai = accepted(responses, "reasoning").select("repo_id", normalize_reasoning(F.col("content")).alias("r"))
     j = rule_results.select("repo_id", "findings").join(ai, "repo_id", "left")
     return j.select("repo_id", merge_suggestions(F.col("findings"), F.col("r.suggestions")).alias("merged"))
 

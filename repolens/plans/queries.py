@@ -367,6 +367,7 @@ def q_registration_limit(spark, sf_dir):
 
 # --------------------------------------------------------------------------- AI batch tables
 from repolens.operators import ai as AI  # noqa: E402
+from repolens.operators import normalise as NO  # noqa: E402
 
 
 def _summary_sql() -> str:
@@ -429,7 +430,7 @@ def _responses(spark, sf_dir):
 def q_reasoning_requests(spark, sf_dir):
     prof, summ = _summaries(spark, sf_dir)
     analysis = AI.accepted(_responses(spark, sf_dir), "analysis").select(
-        "repo_id", F.to_json(AI.normalize_analysis(F.col("v"))).alias("analysis_json"))
+        "repo_id", F.to_json(AI.normalize_analysis(F.col("content"))).alias("analysis_json"))
     text = RU.findings_text(RU.rule_results(prof))
     return AI.reasoning_requests(prof, summ, analysis, text)
 
@@ -471,44 +472,45 @@ def q_scan_ai_responses(spark, sf_dir):
 
 @register("normalize_analysis")
 def q_normalize_analysis(spark, sf_dir):
-    a = AI.accepted(_responses(spark, sf_dir), "analysis").select("repo_id", AI.normalize_analysis(F.col("v")).alias("a"))
-    return a.select("repo_id", F.array_join("a.frameworks", ", ").alias("frameworks"),
-                    F.array_join("a.patterns", ", ").alias("patterns"), F.array_join("a.concerns", ", ").alias("concerns"),
-                    F.col("a.projectType").alias("project_type"), F.col("a.summary").alias("summary"))
+    a = AI.accepted(_responses(spark, sf_dir), "analysis").select("repo_id", AI.normalize_analysis(F.col("content")).alias("a"))
+    lists = [F.array_join(f"a.{k}", ", ").alias(k) for k in NO.ANALYSIS_LISTS]
+    return a.select("repo_id", *lists, *[F.col(f"a.{k}").alias(k) for k in NO.ANALYSIS_TEXTS])
 
 
 @register("normalize_suggestions")
 def q_normalize_suggestions(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("v")).alias("r"))
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
     return r.select("repo_id", F.posexplode("r.suggestions").alias("pos", "s")).select("repo_id", "pos", "s.*")
 
 
 @register("normalize_scores")
 def q_normalize_scores(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("v")).alias("r"))
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
     return r.select("repo_id", *[F.col(f"r.scores.{side}.{d}").alias(f"{side}_{d}")
                                  for side in ("current", "optimized") for d in AI.SCORE_DIMENSIONS])
 
 
 @register("normalize_security")
 def q_normalize_security(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "security").select("repo_id", AI.normalize_security(F.col("v")).alias("s"))
-    return r.select("repo_id", F.col("s.score").alias("score"), F.size("s.findings").alias("n_findings"),
-                    F.array_join("s.strengths", ", ").alias("strengths"), F.col("s.summary").alias("summary"))
+    r = AI.accepted(_responses(spark, sf_dir), "security").select("repo_id", AI.normalize_security(F.col("content")).alias("s"))
+    return r.select("repo_id", F.col("s.score").alias("score"), F.array_join("s.strengths", ", ").alias("strengths"),
+                    F.col("s.summary").alias("summary"), F.posexplode_outer("s.findings").alias("pos", "f")) \
+        .select("repo_id", "score", "strengths", "summary", "pos", "f.*")
 
 
 @register("normalize_deployment")
 def q_normalize_deployment(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "deployment").select("repo_id", AI.normalize_deployment(F.col("v")).alias("d"))
-    return r.select("repo_id", F.col("d.score").alias("score"), F.size("d.recommendations").alias("n_recommendations"),
-                    F.array_join("d.strengths", ", ").alias("strengths"), F.col("d.summary").alias("summary"))
+    r = AI.accepted(_responses(spark, sf_dir), "deployment").select("repo_id", AI.normalize_deployment(F.col("content")).alias("d"))
+    return r.select("repo_id", F.col("d.score").alias("score"), F.array_join("d.strengths", ", ").alias("strengths"),
+                    F.col("d.summary").alias("summary"), F.posexplode_outer("d.recommendations").alias("pos", "f")) \
+        .select("repo_id", "score", "strengths", "summary", "pos", "f.*")
 
 
 @register("ai_severity_counts")
 def q_ai_severity_counts(spark, sf_dir):
     resp = _responses(spark, sf_dir)
-    sec = AI.accepted(resp, "security").select("repo_id", AI.normalize_security(F.col("v")).alias("s"))
-    dep = AI.accepted(resp, "deployment").select("repo_id", AI.normalize_deployment(F.col("v")).alias("d"))
+    sec = AI.accepted(resp, "security").select("repo_id", AI.normalize_security(F.col("content")).alias("s"))
+    dep = AI.accepted(resp, "deployment").select("repo_id", AI.normalize_deployment(F.col("content")).alias("d"))
     return (sec.select("repo_id", *AI.severity_counts(F.col("s.findings"), "severity", AI.SECURITY_SEVERITIES))
             .join(dep.select("repo_id", *AI.severity_counts(F.col("d.recommendations"), "priority", AI.DEPLOY_PRIORITIES)),
                   "repo_id", "full"))
@@ -525,7 +527,7 @@ def q_merge_suggestions(spark, sf_dir):
 
 @register("score_delta")
 def q_score_delta(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("v")).alias("r"))
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
     return r.select("repo_id", F.explode(AI.score_delta(F.col("r"))).alias("d")).select("repo_id", "d.*")
 
 # --------------------------------------------------------------------------- reports
@@ -643,9 +645,10 @@ def q_fixed_window_stream(spark, sf_dir):
     return STR.run_available_now(STR.fixed_window_stream(STR.request_stream(spark, sf_dir), limits, (None, FW_RPM, FW_RPD)))
 
 
-@register("minute_usage_stream", lambda: f"""WITH {RLOG.request_log_cte()}
-SELECT date_trunc('minute', ts) AS minute, model, count(*) AS requests FROM request_log
-GROUP BY ALL HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM request_log)""")
+@register("minute_usage_stream", lambda: f"""WITH {RLOG.request_log_cte()},
+m AS (SELECT date_trunc('minute', ts) AS minute, model FROM request_log)
+SELECT minute, model, count(*) AS requests FROM m
+WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM request_log) GROUP BY minute, model""")
 def q_minute_usage_stream(spark, sf_dir):
     """Windows that the watermark, one minute behind the last request, has closed."""
     got = STR.run_available_now(STR.minute_usage_stream(STR.request_stream(spark, sf_dir, "1 minute")))

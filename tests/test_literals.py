@@ -201,7 +201,7 @@ def test_audit_rollup_and_advisories(spark):
 def test_score_normalisation(spark):
     content = json.dumps({"scores": {"current": {"overall": None, "performance": "7", "scalability": 15},
                                      "optimized": 3}, "suggestions": [{"priority": "urgent"}, 5]})
-    df = spark.createDataFrame([(content,)], "c string").select(AI.normalize_reasoning(F.try_parse_json("c")).alias("r"))
+    df = spark.createDataFrame([(content,)], "c string").select(AI.normalize_reasoning(F.col("c")).alias("r"))
     r = df.first()["r"]
     cur = r["scores"]["current"]
     assert cur["overall"] == 0.0 and cur["performance"] == 7.0 and cur["scalability"] == 10.0
@@ -216,7 +216,7 @@ def test_score_normalisation(spark):
     ('" 4 "', 4.0), ('""', 0.0), ("true", 1.0), ("null", 0.0), ('"abc"', 5.0), ("-3", 0.0), ('"1e1"', 10.0), ("[[]]", 0.0), ("[true]", 5.0)])
 def test_scores_as_javascript_numbers(spark, value, score):
     df = spark.createDataFrame([(f'{{"score": {value}, "findings": [[], 3, null, {{"title": "t"}}]}}',)], "c string")
-    r = df.select(AI.normalize_security(F.try_parse_json("c")).alias("s")).first().s
+    r = df.select(AI.normalize_security(F.col("c")).alias("s")).first().s
     assert r.score == score
     assert [f.title for f in r.findings] == ["Security Issue", "t"]  # an array counts as an object without fields
 
@@ -229,7 +229,7 @@ def test_blank_and_repeated_keys(spark):
     rows = [(1, "analysis", env("\n\n")), (2, "analysis", env('{"summary": "a", "summary": "b"}')), (3, "analysis", env(" \t")), (4, "analysis", env("x"))]
     out = AI.scan_ai_responses(spark.createDataFrame(rows, "repo_id long, kind string, response string"))
     assert [r.reject_reason for r in out.orderBy("repo_id").collect()] == ["empty_content", None, "empty_content", "non_json"]
-    parsed = out.where("repo_id = 2").select(AI.normalize_analysis(F.try_parse_json("content")).alias("a")).first().a
+    parsed = out.where("repo_id = 2").select(AI.normalize_analysis(F.col("content")).alias("a")).first().a
     assert parsed.summary == "b"
     twice = '{"dependencies": {"react": "1"}, "dependencies": {"express": "1"}}'
     prof = PR.repo_profile(FF.file_facts(files_df(spark, {1: {"package.json": twice}})))
@@ -278,7 +278,7 @@ def test_merge_suggestions(spark):
             {"category": "Other", "current": "c", "suggested": "d", "priority": "low"}]
     content = json.dumps({"suggestions": sugg})
     ai = spark.createDataFrame([(1, content)], "repo_id long, c string") \
-        .select("repo_id", AI.normalize_reasoning(F.try_parse_json("c")).alias("r"))
+        .select("repo_id", AI.normalize_reasoning(F.col("c")).alias("r"))
     out = res.join(ai, "repo_id").select(AI.merge_suggestions(F.col("findings"), F.col("r.suggestions")).alias("m")) \
         .first()["m"]
     ids = [(m["id"], m["source"]) for m in out]
