@@ -70,7 +70,8 @@ from repolens.oracle import profile_sql as OP  # noqa: E402
 
 
 def repo_profile(spark, sf_dir):
-    return PR.repo_profile(FF.corpus_facts(spark, sf_dir))
+    """The profile, dealt by repository: what reads it (rules, reports, joins) is a stage with code of its own."""
+    return PR.repo_profile(FF.corpus_facts(spark, sf_dir)).repartition("repo_id")
 
 
 @register("architecture", lambda: f"""WITH {OP.profile_ctes()}, {OP.architecture_cte()}
@@ -588,35 +589,40 @@ def q_report_top_n(spark, sf_dir):
     return RP.report_top_n(secrets, cx, adv)
 
 
-def _report_inputs(spark, sf_dir):
+REPORT_TIME = "2024-01-31T00:00:00.000Z"  # after the last event of the tables
+
+
+def _report(spark, sf_dir):
+    """The whole report of every repository, before its mode is applied."""
+    files = repo_files(spark, sf_dir)
+    facts, responses = FF.file_facts(files), _responses(spark, sf_dir)
     prof = repo_profile(spark, sf_dir)
+    with_lock = ST.repo_markers(facts).where(F.col(ST.marker_col("package-lock.json"))).select("repo_id")
+    audit = AU.parse_audit(AU.derive_audit_reports(spark, sf_dir)).join(with_lock, "repo_id", "left_semi")
+    parts = RP.report_parts(FF.files_by_extension_map(facts), AU.audit_rollup(audit), AU.audit_advisories(audit), SC.scan_secrets(files),
+                            SC.files_scanned(files), CX.high_complexity_files(facts, 10))
     res = RU.rule_results(prof)
-    merged = AI.merged_suggestions(res, _responses(spark, sf_dir))
-    return prof, res, merged
+    ai = {k: AI.accepted(responses, k).select("repo_id", f(F.col("content")).alias(k)) for k, f in (
+        ("reasoning", AI.normalize_reasoning), ("security", AI.normalize_security), ("deployment", AI.normalize_deployment))}
+    merged = res.select("repo_id", "findings").join(ai["reasoning"], "repo_id", "left").select(
+        "repo_id", AI.merge_suggestions(F.col("findings"), F.col("reasoning.suggestions")).alias("merged"))
+    return RP.repo_report(prof, parts, res, merged, ai, REPORT_TIME)
 
 
 @register("repo_report")
 def q_repo_report(spark, sf_dir):
-    prof, res, merged = _report_inputs(spark, sf_dir)
-    return RP.report_json(RP.repo_report(prof, res, merged, "codebase"))
+    return RP.report_json(RP.for_mode(_report(spark, sf_dir), "codebase")).drop("mode")
 
 
 @register("mode_projection")
 def q_mode_projection(spark, sf_dir):
-    prof, res, merged = _report_inputs(spark, sf_dir)
-    out = None
-    for mode in RP.MODES:
-        rep = RP.repo_report(prof, res, merged, mode)
-        part = rep.select("repo_id", "mode", F.lit(", ".join(c for c in rep.columns if c not in ("repo_id", "mode")))
-                          .alias("sections"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every report in every mode, contents and all."""
+    return RP.report_json(RP.all_modes(_report(spark, sf_dir)))
 
 
 @register("report_markdown")
 def q_report_markdown(spark, sf_dir):
-    prof, res, merged = _report_inputs(spark, sf_dir)
-    return RP.report_markdown(prof, merged)
+    return RP.report_markdown(RP.for_mode(_report(spark, sf_dir), "codebase"))
 
 # --------------------------------------------------------------------------- streaming twins
 from repolens.streaming import replay as STR  # noqa: E402
