@@ -76,11 +76,10 @@ def adjacent_pairs(repo_ids: DataFrame) -> DataFrame:
 
 def top_n(items: DataFrame, key: str, order: list, n: int, section: str, label: Column) -> DataFrame:
     """First ``n`` items per key and the overflow count ("... and k more")."""
-    w = Window.partitionBy(key).orderBy(*order)
-    # the rank filter lets Catalyst cut each group to n rows before the shuffle
-    ranked = items.select(key, label.alias("item"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= n)
-    totals = items.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return ranked.join(totals, key).select(
+    whole = Window.partitionBy(key)
+    ranked = items.select(key, label.alias("item"), F.row_number().over(whole.orderBy(*order)).alias("rank"),
+                          F.count(F.lit(1)).over(whole).alias("n"))  # one pass over the items for rank and total
+    return ranked.where(F.col("rank") <= n).select(
         F.lit(section).alias("section"), F.col(key).cast("bigint").alias("repo_id"),
         F.col("rank").cast("bigint").alias("rank"), "item",
         F.greatest(F.col("n") - n, F.lit(0)).cast("bigint").alias("overflow"))
