@@ -54,7 +54,7 @@ def ascii_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def word_counts(texts: DataFrame, limit: int = 300_000) -> DataFrame:
+def word_counts(texts: DataFrame, limit: int = 200_000) -> DataFrame:
     """(word, c) over all texts (one binary column): counted per task in tables of ``limit`` words, then summed."""
     def counted(batches):
         counts: Counter = Counter()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import hashing
-from .common import commonest, hash_sample, saved, word_counts
+from .common import commonest, hash_sample, saved, short_batches, word_counts
 
 MIN_LENGTH, MAX_SEEN = 14, 200
 RUN = re.compile(r"[A-Za-z0-9_+/=\-]{%d,}" % MIN_LENGTH)
@@ -172,11 +172,15 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return nodes
 
 
+def columns(tree: list[tuple]) -> tuple[np.ndarray, ...]:
+    return tuple(np.array(c) for c in zip(*tree))
+
+
 def votes(forest: list[list[tuple]], x: np.ndarray) -> np.ndarray:
     """Mean share of label 1 over the trees."""
     total = np.zeros(len(x))
     for tree in forest:
-        f, t, a, b, p = (np.array(c) for c in zip(*tree))
+        f, t, a, b, p = tree if isinstance(tree, tuple) else columns(tree)
         at = np.zeros(len(x), int)
         for _ in range(DEPTH):
             inner = f[at] >= 0
@@ -201,7 +205,7 @@ def train(x: np.ndarray, y: np.ndarray, spark) -> list[list[tuple]]:
 
 
 def described(docs: DataFrame, text: str, path: str, shared, also_labels: bool) -> DataFrame:
-    """``docs`` with ``found``: start, end, features and, for training, the sure label of every candidate."""
+    """``docs`` with ``found``: start, end, features and label of the candidates, for training those with a sure label."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("x", pa.list_(pa.float64())), ("label", pa.int32())]))
 
     @arrow_udf("array<struct<start: int, end: int, x: array<double>, label: int>>")
@@ -226,6 +230,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     A table ``findings`` (x: array<double> as ``features`` makes it, label: int) replaces the built-in labels.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     docs = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(path).cast("string").alias("p"))
     shared = spark.sparkContext.broadcast(statistics(docs.select(F.col("t").cast("binary"))))
     if findings is None:
@@ -233,24 +238,21 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     rows = saved(findings.select("x", "label", F.xxhash64("x").alias("h")).groupBy("h", "label").agg(F.first("x").alias("x")))
     sample = [r for y in (0, 1) for r in hash_sample(rows.where(F.col("label") == y), "h", TRAIN_ROWS).collect()]
     x, y = np.array([r.x for r in sample], float).reshape(-1, N_FEATURES), np.array([r.label for r in sample], float)
-    forest = spark.sparkContext.broadcast(train(x, y, spark) if 0 < y.sum() < len(y) else None)
+    forest = spark.sparkContext.broadcast([columns(t) for t in train(x, y, spark)] if 0 < y.sum() < len(y) else None)
 
     def kept(batches):
         for batch in batches:
-            lists = batch.column("found").to_pylist()
-            flat = [c for rows in lists for c in rows]
-            x = np.array([c["x"] for c in flat], float).reshape(-1, N_FEATURES)
-            p = votes(forest.value, x) if forest.value and len(x) else np.ones(len(x))
-            at, out = 0, []
-            for rows in lists:
-                mine = p[at:at + len(rows)]
-                at += len(rows)
-                good = [f"{c['start']}:{c['end']}" for c, v in zip(rows, mine) if v >= keep]
-                out.append((len(rows), len(good), ",".join(good), float(mine.max()) if len(rows) else None))
+            out = []
+            for t, p in zip(batch.column("t").to_pylist(), batch.column("p").to_pylist()):
+                spans = candidates(t or "")
+                x = np.array([features(t, p or "", a, b, *shared.value) for a, b in spans], float).reshape(-1, N_FEATURES)
+                score = votes(forest.value, x) if forest.value and spans else np.ones(len(spans))
+                good = [f"{a}:{b}" for (a, b), v in zip(spans, score) if v >= keep]
+                out.append((len(spans), len(good), ",".join(good), float(score.max()) if spans else None))
             cols = zip(*out) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("d"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.float64())))],
                                              ["d", "n_candidates", "n_secrets", "findings", "top_score"])
 
     kind = docs.schema["d"].dataType.simpleString()
-    return described(docs, "t", "p", shared, False).select("d", "found").mapInArrow(
+    return docs.mapInArrow(
         kept, f"d {kind}, n_candidates long, n_secrets long, findings string, top_score double").withColumnRenamed("d", doc_id)
