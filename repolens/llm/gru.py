@@ -50,7 +50,11 @@ def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    y = x * x.dtype.type(0.5)  # by the hyperbolic tangent, which doesn't overflow
+    np.tanh(y, out=y)
+    y *= 0.5
+    y += 0.5
+    return y
 
 
 def lanes(documents: list[np.ndarray], count: int) -> list[list[int]]:
