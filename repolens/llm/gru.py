@@ -16,7 +16,6 @@ WORDS, CLASS, HIDDEN = 2048, 64, 32
 CLASSES = WORDS // CLASS + 1  # the last one holds all other words
 END, OTHER = WORDS - 1, WORDS
 WINDOW, LANES, SCORE_LANES = 24, 64, 256
-PIECE = 1024  # longer documents are trained on in pieces of so many words, which keeps lanes even; they are scored whole
 SHAPES = {"embed": (WORDS + 1, HIDDEN), "w": (HIDDEN, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
           "class_w": (HIDDEN, CLASSES), "class_b": (CLASSES,), "word_w": (WORDS, HIDDEN), "word_b": (WORDS,)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -67,20 +66,33 @@ def lanes(documents: list[np.ndarray], count: int) -> list[list[int]]:
     return [held for _, _, held in sorted(heap, key=lambda x: -x[0])]
 
 
+class Stream:
+    """Lanes of documents behind each other, cut into windows; held in arrays of the tokens' size, whatever the longest lane."""
+
+    def __init__(self, documents: list[np.ndarray], dealt: list[list[int]]):
+        self.sizes = [len(documents[d]) for held in dealt for d in held]
+        self.lengths = np.array([sum(len(documents[d]) for d in held) for held in dealt])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.targets = np.concatenate([documents[d] for held in dealt for d in held] + [np.zeros(0, np.int32)])
+        self.reset = np.zeros(len(self.targets), bool)
+        firsts = np.cumsum([0, *self.sizes])[:-1]
+        self.reset[firsts[firsts < len(self.targets)]] = True
+        self.inputs = np.roll(self.targets, 1)
+        self.inputs[self.reset] = END
+
+    def window(self, t0: int, t1: int):
+        """(inputs, targets, reset, valid) of the lanes that go on, longest first; (lanes, time)."""
+        n = int(np.searchsorted(-self.lengths, -t0, "left"))
+        at = np.arange(t0, t1)
+        valid = at[None] < self.lengths[:n, None]
+        at = np.where(valid, self.starts[:n, None] + at[None], 0)
+        return np.where(valid, self.inputs[at], END), np.where(valid, self.targets[at], END), valid & self.reset[at], valid
+
+
 def streams(documents: list[np.ndarray], dealt: list[list[int]]):
     """(inputs, targets, reset, lengths): lanes of documents behind each other; a document begins from the end mark and a zero state."""
-    lengths = np.array([sum(len(documents[d]) for d in held) for held in dealt])
-    targets = np.full((len(dealt), int(lengths.max(initial=0))), END, np.int32)
-    inputs, reset = targets.copy(), np.zeros(targets.shape, bool)
-    for i, held in enumerate(dealt):
-        at = 0
-        for d in held:
-            ids = documents[d]
-            targets[i, at:at + len(ids)] = ids
-            inputs[i, at + 1:at + len(ids)] = ids[:-1]
-            reset[i, at] = True
-            at += len(ids)
-    return inputs, targets, reset, lengths
+    stream = Stream(documents, dealt)
+    return *stream.window(0, int(stream.lengths.max(initial=0)))[:3], stream.lengths
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -207,18 +219,15 @@ class Trainer:
         """One pass; mean loss of a token."""
         if not documents:
             return 0.0
-        pieces = [d[a:a + PIECE] for d in documents for a in range(0, len(d), PIECE)]
-        inputs, targets, reset, lengths = (x.T if x.ndim == 2 else x for x in streams(pieces, lanes(pieces, LANES)))
-        h, lost = np.zeros((inputs.shape[1], HIDDEN), np.float32), 0.0
-        for t in range(0, len(inputs), WINDOW):
-            n = int(np.searchsorted(-lengths, -t, "left"))  # lanes that go on; longest first
-            weight = np.arange(t, min(t + WINDOW, len(inputs)))[:, None] < lengths[None, :n]
-            at = np.s_[t:t + WINDOW, :n]
-            g, h, loss = gradients(self.p, inputs[at], targets[at], reset[at], weight, h[:n])
+        stream = Stream(documents, lanes(documents, LANES))
+        longest, h, lost = int(stream.lengths.max()), np.zeros((len(stream.lengths), HIDDEN), np.float32), 0.0
+        for t in range(0, longest, WINDOW):
+            inputs, targets, reset, weight = (x.T for x in stream.window(t, min(t + WINDOW, longest)))
+            g, h, loss = gradients(self.p, inputs, targets, reset, weight, h[:inputs.shape[1]])
             lost += loss
             self.apply(g, max(1, weight.sum()))
-        self.tokens += int(lengths.sum())
-        return lost / lengths.sum()
+        self.tokens += int(stream.lengths.sum())
+        return lost / stream.lengths.sum()
 
     def apply(self, g, n) -> None:
         self.step += 1

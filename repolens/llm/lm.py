@@ -2,8 +2,8 @@
 
 1. Words of all training documents are counted (tasks count, Spark sums).
 2. The model (``gru``) starts on one bounded sample of ``SAMPLE_DOCS`` training
-   documents, then every partition goes on from there over its own training documents
-   (a hash share ``SHARE`` of them) and the weights are averaged, by tokens.
+   documents, then every partition goes on from there over all its training documents,
+   state carried through each, and the weights are averaged, by tokens.
 3. Every document is scored whole, state carried through all its windows. Words
    beyond the model's own have the probability of their class times their
    share of it by counts, ``(c + 0.1) / Z``, so probabilities of all words sum to one.
@@ -31,7 +31,7 @@ from .common import ascii_words, commonest, hash_sample, saved, word_counts
 ADDED = 0.1
 LOCAL_WORDS = 200_000
 SAMPLE_DOCS, SAMPLE_TOKENS, EPOCHS, RATE = 1500, 500_000, 3, 0.01
-SHARE, SHARE_RATE, GROUP = 1 / 16, 0.002, 500
+PASS_RATE, GROUP = 0.002, 500
 CHUNKS = 64
 SCORED = ("n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>")
 
@@ -85,7 +85,7 @@ def trained(train: DataFrame, vocabulary: Vocabulary, key: Column) -> dict[str,
     begin = spark.sparkContext.broadcast(start)
 
     def more(batches):
-        trainer = gru.Trainer(gru.unpacked(begin.value.copy()), SHARE_RATE)
+        trainer = gru.Trainer(gru.unpacked(begin.value.copy()), PASS_RATE)
         held: list[np.ndarray] = []
         for batch in batches:
             for text in batch.column("t").to_pylist():
@@ -109,8 +109,7 @@ def trained(train: DataFrame, vocabulary: Vocabulary, key: Column) -> dict[str,
         for i, (n, total) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([(total / n).tobytes()], pa.binary())], ["chunk", "mean"])
 
-    share = train.where(F.pmod(F.xxhash64(key, "t"), F.lit(1 << 20)) < int(SHARE * (1 << 20)))
-    means = share.mapInArrow(more, "chunk int, tokens long, part binary").repartition("chunk").mapInArrow(summed, "chunk int, mean binary")
+    means = train.mapInArrow(more, "chunk int, tokens long, part binary").repartition("chunk").mapInArrow(summed, "chunk int, mean binary")
     parts = {r.chunk: np.frombuffer(r.mean) for r in means.collect()}  # CHUNKS rows of a fixed size
     return gru.unpacked(np.concatenate([parts[i] for i in range(CHUNKS)]) if parts else start)
 

@@ -96,3 +96,20 @@ def test_edge_rows(spark):
     none = lm.score(docs, F.lit(True)).collect()
     assert {(r.n_known, r.train_tokens) for r in none} == {(0, 0)} and all(np.isfinite(r.score) for r in none)
     assert lm.score(edge_docs(spark, []), F.col("doc_id") % 5 == 0).count() == 0
+
+
+def test_every_training_document_moves_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 1)  # the start sees hardly any
+    words = [b"own%d" % i for i in range(40)]
+    train = spark.createDataFrame([(i, w + b" and " + w) for i, w in enumerate(words)], "d long, t binary").repartition(2)
+    vocabulary = lm.Vocabulary([(b"and", 40), *((w, 2) for w in words)], 120, 41, 40)
+    before, after = gru.started(vocabulary.starts)["embed"], lm.trained(train, vocabulary, F.col("d"))["embed"]
+    seen = [vocabulary.number[w] for w in words]  # only a step over a word as an input moves its row
+    assert (before[seen] != after[seen]).any(1).all()
+
+
+def test_training_carries_the_state_through_a_long_document():
+    rng = np.random.default_rng(2)
+    p = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in gru.started(np.ones(gru.WORDS + 1)).items()}
+    docs = [rng.integers(0, gru.WORDS + 1, n).astype(np.int32) for n in (1024 * 3 + 5, 7)]
+    assert abs(gru.Trainer(p, 0.0).learn(docs) + gru.score(p, docs).sum() / sum(map(len, docs))) < 1e-5
