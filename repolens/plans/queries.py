@@ -636,19 +636,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY token, sec ORDER BY ts, event_id
 JOIN slide d ON d.token = l.token AND d.sec = l.sec""")
 def q_sliding_window_stream(spark, sf_dir):
     """J3 as a stateful stream over all requests (availableNow replay of the events file)."""
-    return STR.run_available_now(STR.sliding_window_stream(STR.request_stream(spark, sf_dir), GATE_WINDOW_S, GATE_LIMIT))
+    return STR.replayed(spark, sf_dir, lambda log: STR.sliding_window_stream(log, GATE_WINDOW_S, GATE_LIMIT))
 
 
 @register("ttl_cache_stream", lambda: "WITH RECURSIVE " + OQ.cache_sql() + "\nSELECT event_id, key, hit FROM cache_replay")
 def q_ttl_cache_stream(spark, sf_dir):
-    return STR.run_available_now(STR.ttl_cache_stream(RLOG.cache_lookups(STR.request_stream(spark, sf_dir))))
+    return STR.replayed(spark, sf_dir, lambda log: STR.ttl_cache_stream(RLOG.cache_lookups(log)))
 
 
 @register("fixed_window_stream", lambda: "WITH " + OQ.fixed_window_sql(FW_RPM, FW_RPD)
           + "\nSELECT event_id, model, allowed, reason, retry_after_ms FROM fixed_window")
 def q_fixed_window_stream(spark, sf_dir):
     limits = {m: (FW_RPM, FW_RPD) for m, _, _, _ in RLOG.MODEL_LIMITS}
-    return STR.run_available_now(STR.fixed_window_stream(STR.request_stream(spark, sf_dir), limits, (None, FW_RPM, FW_RPD)))
+    return STR.replayed(spark, sf_dir, lambda log: STR.fixed_window_stream(log, limits, (None, FW_RPM, FW_RPD)))
 
 
 @register("minute_usage_stream", lambda: f"""WITH {RLOG.request_log_cte()},
@@ -657,7 +657,7 @@ SELECT minute, model, count(*) AS requests FROM m
 WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM request_log) GROUP BY minute, model""")
 def q_minute_usage_stream(spark, sf_dir):
     """Windows that the watermark, one minute behind the last request, has closed."""
-    got = STR.run_available_now(STR.minute_usage_stream(STR.request_stream(spark, sf_dir, "1 minute")))
+    got = STR.replayed(spark, sf_dir, STR.minute_usage_stream, "1 minute")
     return got.select(F.col("window.start").alias("minute"), "model", "requests")
 
 

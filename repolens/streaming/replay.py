@@ -15,7 +15,8 @@ sequential replay of the rows that are not late.
 * J2: tumbling one-minute windows per model with a watermark;
 * A7: gate decisions appended as audit events, partitioned by date.
 
-``max_files`` bounds a micro-batch. J1 has one key a model, which is the operator's
+``max_files`` bounds a micro-batch. The registered replays (``replayed``) feed a whole table in
+the order of event time, whatever its files, and fail if Spark dropped a row as late. J1 has one key a model, which is the operator's
 own meaning: a model's requests are decided one after the other.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,24 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_fil
     return reader.parquet(path)
 
 
+def ranged_by_time(spark: SparkSession, sf_dir: str, name: str = "events") -> str:
+    """A folder under the shared checkpoint folder that holds the table in ranges of ``ts``, a file each, their times of
+    modification in the same order, which is the order in which a file stream reads them."""
+    folder = f"{ensure_checkpoint_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    table = read_table(spark, sf_dir, name)
+    table.repartitionByRange(max(1, table.rdd.getNumPartitions()), "ts").write.parquet(path := table_path(folder, name))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    first = fs.getFileStatus(at).getModificationTime() // 1000 * 1000 - 1000 * len(files)
+    for i, file in enumerate(files):
+        fs.setTimes(file, first + 1000 * i, -1)
+    times = [fs.getFileStatus(file).getModificationTime() for file in files]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise RuntimeError(f"{path}: the store doesn't keep times of modification, so a stream can't read the ranges in order")
+    return folder
+
+
 def request_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 hour", max_files: int = MAX_FILES) -> DataFrame:
     return RL.derive_request_log(event_stream(spark, sf_dir, max_files=max_files)).withWatermark("ts", watermark)
 
@@ -215,12 +235,28 @@ def append_audit_events(events: DataFrame, path: str, checkpoint: str):
             .option("path", path).option("checkpointLocation", checkpoint))
 
 
-def run_available_now(df: DataFrame) -> DataFrame:
-    """Drive a streaming query to its end (``availableNow``) into Parquet in the shared checkpoint folder; read it back."""
+def run_available_now(df: DataFrame, whole: bool = False) -> DataFrame:
+    """Drive a streaming query to its end (``availableNow``) into Parquet in the shared checkpoint folder; read it back.
+
+    ``whole``: fail if the watermark dropped rows."""
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = df.schema
     query = (df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
              .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
-    query.awaitTermination()
+    dropped: dict[int, int] = {}
+    ended = False
+    while not ended:  # Spark keeps the progress of the last batches only
+        ended = query.awaitTermination(1)
+        for p in query.recentProgress:
+            dropped[p.batchId] = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+    if whole and (late := sum(dropped.values())):
+        raise RuntimeError(f"the watermark dropped {late} rows as late; the replay is not whole")
     return spark.read.schema(schema).parquet(f"{folder}/rows")
+
+
+def replayed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], watermark: str = "1 hour",
+             max_files: int = MAX_FILES) -> DataFrame:
+    """``build`` of the stream of all requests of a table, in the order of event time."""
+    stream = request_stream(spark, ranged_by_time(spark, sf_dir), watermark, max_files)
+    return run_available_now(build(stream), whole=True)

@@ -97,3 +97,27 @@ def test_minute_usage_stream_counts_closed_windows(spark):
     last = log.agg(F.max("ts_ms")).first()[0] - 60_000
     closed = log.where((F.col("ts_ms") - F.col("ts_ms") % 60_000 + 60_000) <= last)
     assert got.agg(F.sum("requests")).first()[0] == closed.count() > 0
+
+
+def test_replays_of_files_in_any_order_are_whole(spark, tmp_path, monkeypatch):
+    """Files that each span the whole period, a file a batch."""
+    import pyarrow.parquet as pq
+    import pytest
+
+    from repolens.plans import queries as Q
+
+    table = pq.read_table(f"{SMALL}/events.parquet").sort_by("ts")
+    (tmp_path / "events.parquet").mkdir()
+    for i in range(6):
+        pq.write_table(table.take(list(range(5 - i, table.num_rows, 6))), tmp_path / "events.parquet" / f"part-{i}.parquet")
+    folder, replayed = str(tmp_path), ST.replayed
+    with pytest.raises(RuntimeError, match="dropped"):
+        ST.run_available_now(ST.sliding_window_stream(ST.request_stream(spark, folder, max_files=1)), whole=True)
+    monkeypatch.setattr(ST, "replayed", lambda *a, **k: replayed(*a, **k, max_files=1))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(2**27))  # a split a file, so several ranges
+    try:
+        for query in (Q.q_sliding_window_stream, Q.q_ttl_cache_stream, Q.q_fixed_window_stream, Q.q_minute_usage_stream):
+            got, want = query(spark, folder), query(spark, SMALL)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
