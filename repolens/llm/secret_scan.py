@@ -2,8 +2,8 @@
 
 Candidates are runs of ``MIN_LENGTH`` or more characters of ``[A-Za-z0-9_+/=-]``
 that hold a digit, two capitals, or stand behind an assignment. Each gets
-features: length and character classes, the mean log probability of its
-character transitions, the share of it that dictionary words cover, the path of its text, and its
+features, over the whole of it: length and character classes, the mean log probability of its
+character transitions and the least mean of a piece of ``PIECE`` of them, the share of it that dictionary words cover, the path of its text, and its
 neighbouring words. Transitions and dictionary come from all texts. The forest is trained
 from labelled findings, at most ``TRAIN_ROWS`` of each label in hash order, one
 tree a Spark task on its own bootstrap, and findings scored under ``KEEP`` are removed.
@@ -33,7 +33,7 @@ from pyspark.sql.functions import arrow_udf
 from . import hashing
 from .common import commonest, hash_sample, saved, short_batches, word_counts
 
-MIN_LENGTH, MAX_SEEN = 14, 200
+MIN_LENGTH, PIECE = 14, 32
 RUN = re.compile(r"[A-Za-z0-9_+/=\-]{%d,}" % MIN_LENGTH)
 #: Names that secrets are assigned to, and words of examples.
 KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "auth", "credential", "bearer")
@@ -73,7 +73,7 @@ def around(text: str, a: int, b: int) -> tuple[str, list[str], list[str]]:
 
 def features(text: str, path: str, a: int, b: int, transitions: np.ndarray, dictionary: dict[bytes, int]) -> list[float]:
     s = text[a:b]
-    raw, n = s.encode()[:MAX_SEEN], b - a
+    raw, n = s.encode(), b - a
     codes = np.frombuffer(raw, np.uint8).astype(np.int64)
     lower = raw.lower()
     covered, i = 0, 0
@@ -85,6 +85,8 @@ def features(text: str, path: str, a: int, b: int, transitions: np.ndarray, dict
                 break
         else:
             i += 1
+    steps = transitions[codes[:-1] * 256 + codes[1:]]
+    sums, piece = np.append(0.0, np.cumsum(steps)), min(PIECE, len(steps))
     before, left, right = around(text, a, b)
     counts = np.bincount(codes, minlength=256)
     share = counts[counts > 0] / len(codes)
@@ -92,7 +94,7 @@ def features(text: str, path: str, a: int, b: int, transitions: np.ndarray, dict
     tail = before.rstrip()
     out = [
         np.log(n), digits, upper, lows, sum(c in "abcdef0123456789" for c in s) / n, -(share * np.log2(share)).sum(), len(share) / len(codes),
-        float(transitions[codes[:-1] * 256 + codes[1:]].mean()), float(transitions[codes[:-1] * 256 + codes[1:]].min()), covered / len(lower),
+        float(steps.mean()), float(steps.min()), float((sums[piece:] - sums[:-piece]).min() / piece), covered / len(lower),
         sum(x.isdigit() != y.isdigit() for x, y in zip(s, s[1:])) / n, float(s[:1].isupper()), float(tail.endswith("=")), float(tail.endswith(":")),
         float(before[-1:] in ("'", '"')), float(before[-1:].isspace()), float(text[b:b + 1].isspace() or b == len(text)),
         float(any(w in KEY_WORDS or w.endswith(("key", "token", "secret")) for w in left)), float(any(w in EXAMPLE_WORDS for w in left + right)),
@@ -103,7 +105,7 @@ def features(text: str, path: str, a: int, b: int, transitions: np.ndarray, dict
     return out + [float(i == place) for i in range(N_PATHS)] + [float(i == near) for i in range(N_NEIGHBOURS)]
 
 
-N_FEATURES = 22 + N_PATHS + N_NEIGHBOURS
+N_FEATURES = 23 + N_PATHS + N_NEIGHBOURS
 
 
 def labelled(text: str, a: int, b: int) -> int | None:

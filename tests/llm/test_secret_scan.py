@@ -52,3 +52,16 @@ def test_own_labelled_findings(spark):
     many = [([v + i * 1e-9 for v in x], y) for x, y in rows for i in range(20)]
     out = secret_scan.scan(docs, findings=spark.createDataFrame(many, "x array<double>, label int")).collect()
     assert {r.doc_id: r.n_secrets for r in out} == {1: 1, 2: 0}
+
+
+def test_features_read_the_whole_candidate():
+    rng = np.random.default_rng(1)
+    table, words = rng.normal(-4, 1, secret_scan.CELLS), {b"path": 0, b"word": 1}
+    head, key = "path/word/" * 20, "".join(rng.choice(list("ABCDEFxyz0189"), 40))  # the same first 200 bytes
+    plain, mixed = (np.array(secret_scan.features(t, "", 0, 240, table, words)) for t in (head + "path/word/" * 4, head + key))
+    entropy, distinct, mean, least, piece, cover = range(5, 11)
+    assert len(plain) == secret_scan.N_FEATURES and plain[cover] == 0.8 and abs(mixed[cover] - 160 / 240) < 1e-9
+    assert mixed[entropy] > plain[entropy] and mixed[distinct] > plain[distinct]
+    steps = [table[a * 256 + b] for a, b in zip((head + key).encode(), (head + key).encode()[1:])]
+    assert abs(mixed[mean] - np.mean(steps)) < 1e-9 and mixed[least] == min(steps)
+    assert abs(mixed[piece] - min(np.mean(steps[i:i + 32]) for i in range(len(steps) - 31))) < 1e-9
