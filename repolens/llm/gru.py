@@ -124,31 +124,30 @@ def score(p, documents: list[np.ndarray]) -> np.ndarray:
     if not documents:
         return np.zeros(0)
     dealt = lanes(documents, SCORE_LANES)
-    inputs, targets, reset, lengths = streams(documents, dealt)
+    stream = Stream(documents, dealt)
     table = p["embed"] @ p["w"] + p["b"]
-    out = np.zeros(targets.shape, np.float32)
+    out = np.zeros(len(stream.targets), np.float32)
     h = np.zeros((len(dealt), HIDDEN), np.float32)
-    for t0 in range(0, targets.shape[1], WINDOW):
-        n = int(np.searchsorted(-lengths, -t0, "left"))  # lanes that go on; longest first
-        t1 = min(t0 + WINDOW, targets.shape[1])
+    longest = int(stream.lengths.max())
+    for t0 in range(0, longest, WINDOW):
+        t1 = min(t0 + WINDOW, longest)
+        inputs, targets, reset, valid = stream.window(t0, t1)
+        n = len(inputs)
         h = h[:n]
         states = np.empty((t1 - t0, n, HIDDEN), np.float32)
-        for t in range(t0, t1):
-            if (zero := reset[:n, t]).any():
+        for t in range(t1 - t0):
+            if (zero := reset[:, t]).any():
                 h[zero] = 0
-            x, g = table[inputs[:n, t]], h @ p["u"]
+            x, g = table[inputs[:, t]], h @ p["u"]
             zr = sigmoid(x[:, :2 * HIDDEN] + g[:, :2 * HIDDEN])
             new = np.tanh(x[:, 2 * HIDDEN:] + zr[:, HIDDEN:] * g[:, 2 * HIDDEN:])
             h = new + zr[:, :HIDDEN] * (h - new)
-            states[t - t0] = h
-        logs = log_probabilities(p, states.reshape(-1, HIDDEN), targets[:n, t0:t1].T.ravel())
-        out[:n, t0:t1] = logs.reshape(t1 - t0, n).T
+            states[t] = h
+        logs = log_probabilities(p, states.reshape(-1, HIDDEN), targets.T.ravel()).reshape(t1 - t0, n).T
+        out[(stream.starts[:n, None] + np.arange(t0, t1)[None])[valid]] = logs[valid]
     total = np.zeros(len(documents))
-    for i, held in enumerate(dealt):
-        at = 0
-        for d in held:
-            total[d] = out[i, at:at + len(documents[d])].sum(dtype=float)
-            at += len(documents[d])
+    for d, at, size in zip((d for held in dealt for d in held), np.cumsum([0, *stream.sizes]), stream.sizes):
+        total[d] = out[at:at + size].sum(dtype=float)
     return total
 
 
