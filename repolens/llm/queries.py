@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, lm, mixing, mtree, pii, quality, secret_scan, sharding
+from . import chat, decontamination, jaccard, lm, mixing, mtree, pii, quality, ranking, secret_scan, sharding
 from .common import read, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,30 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents that the forest keeps; a document's source stands for its path."""
     return secret_scan.scan(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for every benchmark item."""
+    return ranking.search(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+ORACLE["op11_ranked_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark
+), totals AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d
+), item_terms AS (SELECT i, item_id, t, count(*) AS times FROM b, unnest(w) AS u(t) GROUP BY ALL
+), tf AS (SELECT r, doc_id, len(w)::BIGINT AS n, t, count(*) AS tf FROM d, unnest(w) AS u(t) SEMI JOIN item_terms USING (t) GROUP BY ALL
+), df AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, totals GROUP BY t, docs
+), scored AS (
+  SELECT i, item_id, r, doc_id,
+    sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM tf JOIN item_terms USING (t) JOIN df USING (t), totals GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
