@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, lm, mixing, mtree, pii, quality, ranking, secret_scan, sharding
+from . import chat, decontamination, jaccard, lm, mixing, mtree, pii, quality, ranking, secret_scan, sharding, trie, warc
 from .common import read, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,60 @@ WITH d AS (
 SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r))::INT AS rank, doc_id, score
 FROM scored WHERE score > 0 QUALIFY rank <= 20
 """
+
+
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as web archives and read back by byte ranges."""
+    back = warc.archived(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op12_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    return trie.build(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+_CRC_32 = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda k: 0::UBIGINT)),
+    lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END))"""
+
+ORACLE["op13_conversation_trie"] = rf"""
+WITH turns AS (
+  SELECT conv_id AS c, turn AS t, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT c, id, len(regexp_extract_all(text, '[^ 	-]+'))::BIGINT AS words, row_number() OVER (PARTITION BY c ORDER BY t NULLS FIRST, id) AS n FROM turns
+), convs AS (SELECT c, c - c % 20 AS donor, xor({_CRC_32}, 4294967295::UBIGINT) % 4 AS h FROM (SELECT DISTINCT c FROM turns)
+), rebuilt AS (
+  SELECT v.c, o.id, o.words, o.n AS place FROM convs v JOIN own o ON o.c = v.donor AND o.n <= v.h
+  UNION ALL SELECT v.c, o.id, o.words, o.n + 1000000000 FROM convs v JOIN own o ON o.c = v.c AND o.n > v.h
+), listed AS (SELECT c, list(id ORDER BY place) AS ids, list(words ORDER BY place) AS words FROM rebuilt GROUP BY c
+), whole AS (SELECT c, coalesce(ids, []) AS ids, coalesce(words, []) AS words FROM convs LEFT JOIN listed USING (c)
+), prefixes AS (
+  SELECT c, d, len(ids) AS size, array_to_string(ids[1:d], ' ') AS key, array_to_string(ids[1:d - 1], ' ') AS up, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words
+  FROM whole, unnest(range(0, len(ids) + 1)) AS u(d)
+), nodes AS (
+  SELECT key, d, min(up) AS up, min(c) AS conv_id, count(*) AS n, min(words) AS words,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = d), '')) AS ends
+  FROM prefixes GROUP BY key, d
+), children AS (SELECT up AS key, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), pairs AS (SELECT DISTINCT a.key, a.d, b.key AS low, b.d AS low_d FROM prefixes a JOIN prefixes b ON a.c = b.c AND a.d <= b.d
+), sums AS (
+  SELECT p.key, p.d, count(*) FILTER (k.n IS NULL) AS leaves, sum((x.n - 1) * x.words)::BIGINT AS saved
+  FROM pairs p JOIN nodes x ON x.key = p.low AND x.d = p.low_d LEFT JOIN children k ON k.key = p.low AND k.d = p.low_d GROUP BY p.key, p.d
+)
+SELECT v.conv_id, v.d AS depth, CASE WHEN v.d > 0 THEN u.conv_id END AS parent_conv_id, v.n AS n_convs, coalesce(k.n, 0) AS n_children,
+       s.leaves AS n_leaves, s.saved AS saved_tokens, v.ends AS ends_sha256
+FROM nodes v JOIN sums s ON s.key = v.key AND s.d = v.d LEFT JOIN nodes u ON u.key = v.up AND u.d = v.d - 1 LEFT JOIN children k ON k.key = v.key AND k.d = v.d
+"""
