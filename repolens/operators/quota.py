@@ -7,13 +7,19 @@ order with the same decisions:
 * J1 fixed-window quota and J4 daily quota have closed forms over running
   counts, computed on per-minute / per-second counts (bounded by the time
   span, not by the number of requests);
-* J3 sliding window, J9 TTL cache and J5 registrations are sequential per
-  key. Requests are first pre-aggregated per (key, second) - map-side, so a
-  hot key is flattened before the shuffle - and only those per-second rows
-  are folded in order: hash-partitioned by key, sorted within partitions
-  (external, spillable sort) and streamed through ``mapInPandas`` with only
-  the current key's small state in memory (J9 by millisecond; J5 per IP over
-  (day, machine) first attempts).
+* J3 sliding window and J9 TTL cache are sequential per key. Requests are first
+  pre-aggregated per (key, second) - map-side, so a hot key is flattened before
+  the shuffle - and a key is cut into sessions at gaps that provably reset its
+  state (a whole window, a whole time to live). Sessions are folded in parallel:
+  hash-partitioned, sorted within partitions (external, spillable sort) and
+  streamed through ``mapInPandas`` with only one session's small state in
+  memory (J9 by millisecond);
+* J5 registrations couple machines and IPs, so no key splits them. A grant holds
+  iff no earlier grant names its machine and fewer than the limit its IP and day.
+  Bounds from below and above are recomputed from each other until they meet
+  (more grants before allow fewer after), all by aggregates and joins;
+* J7 reads the log twice, narrowly, and keeps the authorised rows in the
+  checkpoint folder; what follows reads those.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repolens.session import checkpointed
 from repolens.sources import request_log as RL
 
 # ---------------------------------------------------------------------------
@@ -159,25 +166,23 @@ def quota_usage(log: DataFrame, limits: DataFrame, now_ms: int | None = None, de
 
 SLIDE_SCHEMA = T.StructType([
     T.StructField("token", T.StringType()), T.StructField("sec", T.LongType()),
-    T.StructField("admitted", T.LongType()), T.StructField("retry_after", T.LongType()),
-    T.StructField("day_before", T.LongType())])
+    T.StructField("admitted", T.LongType()), T.StructField("retry_after", T.LongType())])
 
 
 def _slide_stream(window_s: int, limit: int):
-    """Fold over (token, sec, n) rows sorted by (token, sec), streamed batch by batch.
+    """Fold over (token, session, sec, n) rows sorted by (token, session, sec), streamed batch by batch.
 
-    State is only the current token's admitted seconds inside the window and
-    its count for the current UTC day, so memory does not grow with a key's
-    number of rows.
+    State is only the current session's admitted seconds inside the window, so
+    memory does not grow with a key's number of rows.
     """
     def run(batches):
-        tok, win_s, win_c, head, total, day, day_total = None, [], [], 0, 0, None, 0
+        key, win_s, win_c, head, total = None, [], [], 0, 0
         for pdf in batches:
-            toks, secs, ns = pdf["token"].tolist(), pdf["sec"].tolist(), pdf["n"].tolist()
-            adm_out, retry_out, day_out = [], [], []
-            for t, s, n in zip(toks, secs, ns):
-                if t != tok:
-                    tok, win_s, win_c, head, total, day, day_total = t, [], [], 0, 0, None, 0
+            toks, secs = pdf["token"].tolist(), pdf["sec"].tolist()
+            adm_out, retry_out = [], []
+            for t, b, s, n in zip(toks, pdf["session"].tolist(), secs, pdf["n"].tolist()):
+                if (t, b) != key:
+                    key, win_s, win_c, head, total = (t, b), [], [], 0, 0
                 while head < len(win_s) and win_s[head] <= s - window_s:
                     total -= win_c[head]
                     head += 1
@@ -188,41 +193,45 @@ def _slide_stream(window_s: int, limit: int):
                     win_s.append(s)
                     win_c.append(adm)
                     total += adm
-                retry = max(1, win_s[head] + window_s - s) if n > adm and head < len(win_s) else None
-                d = s // 86400
-                if d != day:
-                    day, day_total = d, 0
                 adm_out.append(adm)
-                retry_out.append(retry)
-                day_out.append(day_total)
-                day_total += adm
+                retry_out.append(max(1, win_s[head] + window_s - s) if n > adm and head < len(win_s) else None)
             yield pd.DataFrame({"token": toks, "sec": secs, "admitted": adm_out,
-                                "retry_after": pd.array(retry_out, dtype="Int64"), "day_before": day_out})
+                                "retry_after": pd.array(retry_out, dtype="Int64")})
     return run
 
 
-def ordered_fold(df: DataFrame, key: str, order: list[str], fn, schema: T.StructType) -> DataFrame:
+def with_sessions(df: DataFrame, key: str, at: str, gap: int) -> DataFrame:
+    """``df`` with ``session``, where a key's current stretch without a gap of ``gap`` or more began."""
+    w = Window.partitionBy(key).orderBy(at)
+    began = F.when(F.coalesce(F.col(at) - F.lag(at).over(w) >= gap, F.lit(True)), F.col(at))
+    return df.withColumn("_began", began).withColumn("session", F.max("_began").over(w)).drop("_began")
+
+
+def ordered_fold(df: DataFrame, key: list[str], order: list[str], fn, schema: T.StructType) -> DataFrame:
     """Run a per-key sequential fold: hash-partition by key, sort by (key, order), stream the partitions."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(key, *order).mapInPandas(fn, schema)
+    return df.repartition(n, *key).sortWithinPartitions(*key, *order).mapInPandas(fn, schema)
 
 
 def sliding_and_daily(reqs: DataFrame, window_s: int = SLIDING_WINDOW_SECONDS,
-                      limit: int = SLIDING_MAX_REQUESTS, daily: int = DAILY_TOKEN_LIMIT) -> DataFrame:
+                      limit: int = SLIDING_MAX_REQUESTS, daily: int = DAILY_TOKEN_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
     """J3 + J4 for requests that reached the limiter (columns token, sec, ts, ts_ms, event_id).
 
-    Returns per request: ``slide_ok``, ``slide_retry``, ``daily_ok``, ``daily_retry``.
+    Returns per request: ``slide_ok``, ``slide_retry``, ``daily_ok``, ``daily_retry``, and the columns ``keep``.
     """
-    per_sec = reqs.groupBy("token", "sec").agg(F.count(F.lit(1)).alias("n"))
-    folded = ordered_fold(per_sec, "token", ["sec"], _slide_stream(window_s, limit), SLIDE_SCHEMA)
+    per_sec = with_sessions(reqs.groupBy("token", "sec").agg(F.count(F.lit(1)).alias("n")), "token", "sec", window_s)
+    folded = ordered_fold(per_sec, ["token", "session"], ["sec"], _slide_stream(window_s, limit), SLIDE_SCHEMA)
+    before = Window.partitionBy("token", "day").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
+    folded = folded.withColumn("day", F.expr("sec div 86400")).withColumn(
+        "day_before", F.coalesce(F.sum("admitted").over(before), F.lit(0))).drop("day")
     rank = F.row_number().over(Window.partitionBy("token", "sec").orderBy("ts", "event_id"))
-    j = reqs.select("event_id", "token", "sec", "ts_ms", rank.alias("r")).join(folded, ["token", "sec"])
+    j = reqs.select(*dict.fromkeys(("event_id", "token", "sec", "ts_ms", *keep)), rank.alias("r")).join(folded, ["token", "sec"])
     slide_ok = F.col("r") <= F.col("admitted")
     daily_rank = F.col("day_before") + F.col("r")
     daily_ok = slide_ok & (daily_rank <= daily)
     next_midnight = F.col("ts_ms") - F.col("ts_ms") % DAY_MS + DAY_MS
     daily_retry = F.greatest(F.lit(DAILY_RETRY_MIN_SECONDS), F.ceil((next_midnight - F.col("ts_ms")) / 1000))
-    return j.select("event_id", slide_ok.alias("slide_ok"),
+    return j.select("event_id", *(c for c in keep if c != "event_id"), slide_ok.alias("slide_ok"),
                     F.when(~slide_ok, F.col("retry_after")).alias("slide_retry"),
                     daily_ok.alias("daily_ok"),
                     F.when(slide_ok & ~daily_ok, daily_retry).cast("bigint").alias("daily_retry"))
@@ -230,10 +239,11 @@ def sliding_and_daily(reqs: DataFrame, window_s: int = SLIDING_WINDOW_SECONDS,
 
 # ---- J6 + J7: token binding and the request gate -------------------------------
 
-def gate_stages(log: DataFrame, tokens: DataFrame, *, min_version: str = MIN_VERSION,
-                window_s: int = SLIDING_WINDOW_SECONDS, limit: int = SLIDING_MAX_REQUESTS,
-                daily: int = DAILY_TOKEN_LIMIT) -> DataFrame:
-    """Per request: pre-auth status, auth verdict (J6) and quota verdicts."""
+GATE_COLUMNS = ("event_id", "ts", "ts_ms", "sec", "machine_id", "body_bytes", "body_json_ok", "model", "provider")
+
+
+def gate_checks(log: DataFrame, min_version: str = MIN_VERSION) -> DataFrame:
+    """The checks that need one request alone (J8, J10, formats), on a batch or a stream, with the columns that later gates read."""
     bearer = F.col("auth_header").startswith("Bearer ")
     token = F.when(bearer, F.substr(F.col("auth_header"), F.lit(8)))
     sig_reason = clock_skew_reason(F.col("client_ts"), F.col("signature"), F.col("sec"), F.col("sig_ok"))
@@ -245,26 +255,53 @@ def gate_stages(log: DataFrame, tokens: DataFrame, *, min_version: str = MIN_VER
     pre_reason = (F.when(pre == 404, F.lit("not_found")).when(pre == 403, F.lit("browser"))
                   .when(pre == 401, F.coalesce(F.when(~bearer, F.lit("no_bearer")), sig_reason))
                   .when(pre == 426, F.lit("outdated_client")))
-    base = log.select("*", token.alias("bearer_token"), pre.alias("pre_status"), pre_reason.alias("pre_reason"))
-    fmt = (F.when(~token_format_ok(F.col("bearer_token")), F.lit("invalid_token_format"))
+    fmt = (F.when(~token_format_ok(token), F.lit("invalid_token_format"))
            .when(~machine_format_ok(F.col("machine_id")), F.lit("invalid_machine_format")))
-    base = base.select("*", fmt.alias("fmt_reason"))
-    base = base.join(tokens.withColumnRenamed("token", "bearer_token"), "bearer_token", "left")
-    # An unbound token binds to the first machine that reaches the state check
+    base = log.select(*GATE_COLUMNS, token.alias("bearer_token"), pre.alias("pre_status"), pre_reason.alias("pre_reason"), fmt.alias("fmt_reason"))
+    # rows that no token state can decide are dealt by their number, so they don't meet under one key
     reach = F.col("pre_status").isNull() & F.col("fmt_reason").isNull()
-    binding = (base.where(reach & (F.col("state") == "unbound"))
-               .groupBy("bearer_token").agg(F.min_by("machine_id", F.struct("ts", "event_id")).alias("bound")))
-    base = base.join(binding, "bearer_token", "left")
-    effective = F.when(F.col("state") == "unbound", F.col("bound")).otherwise(F.col("state"))
+    return base.withColumn("reach", reach).withColumn(
+        "key", F.when(F.col("reach"), F.col("bearer_token")).otherwise(F.concat(F.lit("-"), (F.col("event_id") % 1024).cast("string"))))
+
+
+def gate_stages(log: DataFrame, tokens: DataFrame, *, min_version: str = MIN_VERSION,
+                window_s: int = SLIDING_WINDOW_SECONDS, limit: int = SLIDING_MAX_REQUESTS,
+                daily: int = DAILY_TOKEN_LIMIT) -> DataFrame:
+    """Per request: pre-auth status, auth verdict (J6) and quota verdicts."""
+    base = gate_checks(log, min_version)
+    # An unbound token binds to the first machine that reaches the state check
+    first = base.where("reach").groupBy("key").agg(F.min_by("machine_id", F.struct("ts", "event_id")).alias("first"))
+    states = tokens.select(F.col("token").alias("key"), "state").join(first, "key", "left").select(
+        "key", "state", F.when(F.col("state") == "unbound", F.col("first")).otherwise(F.col("state")).alias("bound"))
     auth_reason = (F.when(F.col("fmt_reason").isNotNull(), F.col("fmt_reason"))
                    .when(F.col("state").isNull(), F.lit("token_not_found"))
                    .when(F.col("state") == "any", F.lit(None))
-                   .when(effective != F.col("machine_id"), F.lit("machine_mismatch")))
-    base = base.select("*", auth_reason.alias("auth_reason"))
-    limited = base.where(F.col("pre_status").isNull() & F.col("auth_reason").isNull()) \
-        .select("event_id", F.col("bearer_token").alias("token"), "sec", "ts", "ts_ms")
-    quota = sliding_and_daily(limited, window_s, limit, daily)
-    return base.join(quota, "event_id", "left")
+                   .when(F.col("bound") != F.col("machine_id"), F.lit("machine_mismatch")))
+    authed = checkpointed(base.join(states, "key", "left").withColumn("auth_reason", auth_reason).drop("key", "state", "bound", "reach", "fmt_reason"))
+    passed = F.col("pre_status").isNull() & F.col("auth_reason").isNull()
+    quota = sliding_and_daily(authed.where(passed).withColumn("token", F.col("bearer_token")), window_s, limit, daily, tuple(authed.columns))
+    return quota.unionByName(authed.where(~passed), allowMissingColumns=True)
+
+
+def gate_status(gated: DataFrame, *, max_body: int = MAX_BODY_BYTES, allowed: list[str] | None = None,
+                configured_providers=("groq",)) -> DataFrame:
+    """J7's decision from the verdicts of all gates, on a batch or a stream."""
+    model_ok = (F.col("model") != "") & F.col("model").isin(*(allowed or allowed_models()))
+    decided = [(F.col("pre_status").isNotNull(), F.col("pre_status"), F.col("pre_reason")),
+               (F.col("auth_reason").isNotNull(), F.lit(401), F.col("auth_reason")),
+               (~F.col("slide_ok"), F.lit(429), F.lit("rate_limited")),
+               (~F.col("daily_ok"), F.lit(429), F.lit("daily_limit")),
+               (F.col("body_bytes") > max_body, F.lit(413), F.lit("body_too_large")),
+               (~F.col("body_json_ok"), F.lit(400), F.lit("invalid_json")),
+               (~model_ok, F.lit(400), F.lit("model_not_allowed")),
+               (~F.col("provider").isin(*SUPPORTED_PROVIDERS), F.lit(400), F.lit("unsupported_provider")),
+               (~F.col("provider").isin(*configured_providers), F.lit(503), F.lit("provider_not_configured"))]
+    status, reason = F.lit(200), F.lit("forwarded")
+    for failed, code, why in reversed(decided):
+        status, reason = F.when(failed, code).otherwise(status), F.when(failed, why).otherwise(reason)
+    retry = F.when(~F.col("slide_ok"), F.col("slide_retry")).when(~F.col("daily_ok"), F.col("daily_retry"))
+    return gated.select("event_id", status.cast("int").alias("status"), reason.alias("reason"),
+                        F.when(status == 429, retry).cast("bigint").alias("retry_after"))
 
 
 def request_gate(log: DataFrame, tokens: DataFrame, *, min_version: str = MIN_VERSION,
@@ -276,33 +313,8 @@ def request_gate(log: DataFrame, tokens: DataFrame, *, min_version: str = MIN_VE
     Quotas are consumed by requests that pass the route/agent/bearer/version/
     signature/auth gates, before the body-size, JSON and model checks.
     """
-    allowed = allowed or allowed_models()
     g = gate_stages(log, tokens, min_version=min_version, window_s=window_s, limit=limit, daily=daily)
-    model_ok = (F.col("model") != "") & F.col("model").isin(*allowed)
-    provider_known = F.col("provider").isin(*SUPPORTED_PROVIDERS)
-    status = (F.when(F.col("pre_status").isNotNull(), F.col("pre_status"))
-              .when(F.col("auth_reason").isNotNull(), F.lit(401))
-              .when(~F.col("slide_ok"), F.lit(429))
-              .when(~F.col("daily_ok"), F.lit(429))
-              .when(F.col("body_bytes") > max_body, F.lit(413))
-              .when(~F.col("body_json_ok"), F.lit(400))
-              .when(~model_ok, F.lit(400))
-              .when(~provider_known, F.lit(400))
-              .when(~F.col("provider").isin(*configured_providers), F.lit(503))
-              .otherwise(F.lit(200)))
-    reason = (F.when(F.col("pre_status").isNotNull(), F.col("pre_reason"))
-              .when(F.col("auth_reason").isNotNull(), F.col("auth_reason"))
-              .when(~F.col("slide_ok"), F.lit("rate_limited"))
-              .when(~F.col("daily_ok"), F.lit("daily_limit"))
-              .when(F.col("body_bytes") > max_body, F.lit("body_too_large"))
-              .when(~F.col("body_json_ok"), F.lit("invalid_json"))
-              .when(~model_ok, F.lit("model_not_allowed"))
-              .when(~provider_known, F.lit("unsupported_provider"))
-              .when(~F.col("provider").isin(*configured_providers), F.lit("provider_not_configured"))
-              .otherwise(F.lit("forwarded")))
-    retry = F.when(~F.col("slide_ok"), F.col("slide_retry")).when(~F.col("daily_ok"), F.col("daily_retry"))
-    return g.select("event_id", status.cast("int").alias("status"), reason.alias("reason"),
-                    F.when(status == 429, retry).cast("bigint").alias("retry_after"))
+    return gate_status(g, max_body=max_body, allowed=allowed, configured_providers=configured_providers)
 
 
 # ---- J9: TTL cache replay -----------------------------------------------------------
@@ -316,11 +328,11 @@ def _cache_stream(ttl_ms: int):
     def run(batches):
         key, created, ver = None, None, None
         for pdf in batches:
-            keys, times, vers = pdf["key"].tolist(), pdf["ts_ms"].tolist(), pdf["version"].tolist()
+            keys, times = pdf["key"].tolist(), pdf["ts_ms"].tolist()
             out = []
-            for k, t, v in zip(keys, times, vers):
-                if k != key:
-                    key, created, ver = k, None, None
+            for k, b, t, v in zip(keys, pdf["session"].tolist(), times, pdf["version"].tolist()):
+                if (k, b) != key:
+                    key, created, ver = (k, b), None, None
                 hit = created is not None and v == ver and t - created <= ttl_ms
                 if not hit:
                     created, ver = t, v
@@ -334,10 +346,11 @@ def ttl_cache_replay(lookups: DataFrame, ttl_ms: int = CACHE_TTL_MS) -> DataFram
 
     Lookups of one key in one millisecond share the first one's version; after
     it the entry exists with age 0, so only that first lookup can miss. The
-    fold runs over those per-millisecond rows.
+    fold runs over those per-millisecond rows, in sessions: after a gap longer than
+    the time to live the entry is stale whatever came before.
     """
     per_ms = lookups.groupBy("key", "ts_ms").agg(F.min_by("version", F.struct("ts", "event_id")).alias("version"))
-    folded = ordered_fold(per_ms, "key", ["ts_ms"], _cache_stream(ttl_ms), CACHE_SCHEMA)
+    folded = ordered_fold(with_sessions(per_ms, "key", "ts_ms", ttl_ms + 1), ["key", "session"], ["ts_ms"], _cache_stream(ttl_ms), CACHE_SCHEMA)
     rank = F.row_number().over(Window.partitionBy("key", "ts_ms").orderBy("ts", "event_id"))
     j = lookups.select("event_id", "key", "ts_ms", rank.alias("r")).join(folded, ["key", "ts_ms"])
     return j.select("event_id", "key", F.when(F.col("r") == 1, F.col("first_hit")).otherwise(F.lit(True)).alias("hit"))
@@ -345,52 +358,53 @@ def ttl_cache_replay(lookups: DataFrame, ttl_ms: int = CACHE_TTL_MS) -> DataFram
 
 # ---- J5: registrations per IP and day -------------------------------------------------
 
-REG_SCHEMA = T.StructType([
-    T.StructField("ip", T.StringType()), T.StructField("day", T.LongType()),
-    T.StructField("machine_id", T.StringType()), T.StructField("outcome", T.StringType()),
-    T.StructField("first_event", T.LongType())])
+def _allowed_by(firsts: DataFrame, given: str, per_day: int) -> DataFrame:
+    """Attempts that the grants in column ``given`` leave room for: none before of the machine, too few before of the IP and day."""
+    granted = firsts.where(given)
+    place = F.row_number().over(Window.partitionBy("ip", "day").orderBy("f"))
+    full = granted.select("ip", "day", "f", "used", place.alias("n")).where(F.col("n") <= per_day).where(
+        F.col("n") == per_day - F.col("used")).select("ip", "day", F.col("f").alias("full"))
+    own = granted.groupBy("machine_id").agg(F.min("f").alias("own"))
+    fits = (F.col("used") < per_day) & F.coalesce(F.col("f") <= F.col("full"), F.lit(True)) & F.coalesce(F.col("f") <= F.col("own"), F.lit(True))
+    return firsts.join(full, ["ip", "day"], "left").join(own, "machine_id", "left").withColumn("fits", fits).drop("full", "own")
 
 
-def _registration_stream(per_day: int):
-    """Fold over first attempts sorted by (ip, time, event); state is one IP's machines and the day's grants."""
-    def run(batches):
-        ip, known, day, granted = None, set(), None, 0
-        for pdf in batches:
-            out = []
-            for i, d, m in zip(pdf["ip"].tolist(), pdf["day"].tolist(), pdf["machine_id"].tolist()):
-                if i != ip:
-                    ip, known, day = i, set(), None
-                if d != day:
-                    day, granted = d, 0
-                if m in known:
-                    out.append("known")
-                elif granted < per_day:
-                    granted += 1
-                    known.add(m)
-                    out.append("granted")
-                else:
-                    out.append("denied")
-            yield pdf[["ip", "day", "machine_id"]].assign(outcome=out, first_event=pdf["first_event"])
-    return run
+def registration_grants(firsts: DataFrame, per_day: int = REGISTRATIONS_PER_IP_DAY) -> DataFrame:
+    """The granted ones of first attempts (ip, day, machine_id, f = (ts, event_id), used = grants of that IP and day before).
 
+    Grants are bounded from above (``high``) and below (``low``). What ``high`` leaves room for is
+    surely granted, what ``low`` leaves no room for surely isn't. The earliest open attempt
+    settles in every round, in practice whole logs in a few.
+    """
+    rows = firsts.withColumns({"high": F.lit(True), "low": F.lit(False)})
+    while True:
+        rows = _allowed_by(rows, "high", per_day).drop("low").withColumnRenamed("fits", "low")
+        rows = checkpointed(_allowed_by(rows, "low", per_day).drop("high").withColumnRenamed("fits", "high"))
+        if rows.where(F.col("high") != F.col("low")).isEmpty():
+            return rows.where("low").drop("high", "low")
 
-def registration_limit(attempts: DataFrame, per_day: int = REGISTRATIONS_PER_IP_DAY) -> DataFrame:
-    """Known machine -> 200; else at most ``per_day`` new machines per IP and UTC day -> 201 / 429.
 
-    Exact when a machine always registers from one IP (the state couples
-    machine and IP). The fold runs per IP over (day, machine) first attempts.
-    """
-    a = attempts.select("event_id", "ts", "ip", "machine_id", "user_agent",
-                        F.expr("unix_millis(ts) div 86400000").alias("day"))
-    valid = a.where(~is_browser(F.col("user_agent")) & machine_format_ok(F.col("machine_id")))
-    firsts = valid.groupBy("ip", "day", "machine_id").agg(F.min(F.struct("ts", "event_id")).alias("f")) \
-        .select("ip", "day", "machine_id", F.col("f.ts").alias("first_ts"), F.col("f.event_id").alias("first_event"))
-    folded = ordered_fold(firsts, "ip", ["first_ts", "first_event"], _registration_stream(per_day), REG_SCHEMA)
-    j = a.join(folded, ["ip", "day", "machine_id"], "left")
-    status = (F.when(is_browser(F.col("user_agent")), F.lit(403))
-              .when(~machine_format_ok(F.col("machine_id")), F.lit(400))
-              .when(F.col("outcome") == "known", F.lit(200))
-              .when(F.col("outcome") == "granted",
-                    F.when(F.col("event_id") == F.col("first_event"), F.lit(201)).otherwise(F.lit(200)))
-              .otherwise(F.lit(429)))
-    return j.select("event_id", "ip", "machine_id", status.cast("int").alias("status"))
+def first_attempts(valid: DataFrame) -> DataFrame:
+    """The first attempt of each (ip, day, machine): only that one can be granted, since a day's grants never fall."""
+    return valid.groupBy("ip", "day", "machine_id").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+
+
+def registration_attempts(attempts: DataFrame) -> DataFrame:
+    fine = F.coalesce(machine_format_ok(F.col("machine_id")), F.lit(False))
+    refused = F.when(is_browser(F.col("user_agent")), F.lit(403)).when(~fine, F.lit(400))
+    return attempts.select("event_id", "ts", F.coalesce("ip", F.lit("unknown")).alias("ip"), "machine_id", F.expr("unix_millis(ts) div 86400000").alias("day"), refused.alias("refused"))
+
+
+def registration_status(attempts: DataFrame, grants: DataFrame) -> DataFrame:
+    """Status of every attempt by its machine's grant (machine_id, f)."""
+    at = F.struct("ts", "event_id")
+    status = F.coalesce("refused", F.when(at == F.col("f"), F.lit(201)).when(at > F.col("f"), F.lit(200)).otherwise(F.lit(429)))
+    return attempts.join(grants.select("machine_id", "f"), "machine_id", "left").select(
+        "event_id", "ip", "machine_id", status.cast("int").alias("status"))
+
+
+def registration_limit(attempts: DataFrame, per_day: int = REGISTRATIONS_PER_IP_DAY) -> DataFrame:
+    """Known machine -> 200; else at most ``per_day`` new machines per IP and UTC day -> 201 / 429. A machine may use any IPs."""
+    a = registration_attempts(attempts)
+    firsts = first_attempts(a.where("refused is null")).withColumn("used", F.lit(0))
+    return registration_status(a, registration_grants(firsts, per_day))

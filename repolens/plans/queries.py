@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from repolens.operators import files as FF
 from repolens.oracle import fragments as O
-from repolens.plans.registry import register
+from repolens.plans.registry import ORACLE, register
 
 # --------------------------------------------------------------------------- files
 
@@ -342,26 +342,25 @@ def q_quota_usage(spark, sf_dir):
     return QU.quota_usage(log, limits)
 
 
-@register("registration_limit", lambda: f"""WITH RECURSIVE {RLOG.request_log_cte()},
+_REGISTRATIONS = f"""WITH RECURSIVE {RLOG.request_log_cte()},
 a AS (SELECT event_id, ts, ip, machine_id, ts_ms // 86400000 AS day,
              user_agent LIKE '%Mozilla/%' OR user_agent LIKE '%Chrome/%' OR user_agent LIKE '%Safari/%' OR user_agent LIKE '%Firefox/%' AS browser,
              regexp_full_match(machine_id, '[0-9a-f]{{64}}') AS fine FROM request_log),
-firsts AS (SELECT ip, day, machine_id, arg_min(event_id, {{'t': ts, 'e': event_id}}) AS first_event, min({{'t': ts, 'e': event_id}}) AS f
-           FROM a WHERE fine AND NOT browser GROUP BY ip, day, machine_id),
-o AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY f) AS rn FROM firsts),
+firsts AS (SELECT ip, day, machine_id, min({{'t': ts, 'e': event_id}}) AS f FROM a WHERE fine AND NOT browser GROUP BY ip, day, machine_id),
+o AS (SELECT *, row_number() OVER (ORDER BY f) AS rn, dense_rank() OVER (ORDER BY machine_id) AS m, dense_rank() OVER (ORDER BY ip, day) AS g FROM firsts),
 fold AS (
-  SELECT ip, rn, day, machine_id, first_event, 'granted' AS outcome, [machine_id] AS known, 1 AS grants FROM o WHERE rn = 1
+  SELECT rn, TRUE AS ok, [m] AS known, [g] AS used FROM o WHERE rn = 1
   UNION ALL
-  SELECT ip, rn, day, machine_id, first_event,
-         CASE WHEN old THEN 'known' WHEN used < 3 THEN 'granted' ELSE 'denied' END,
-         CASE WHEN NOT old AND used < 3 THEN list_append(known, machine_id) ELSE known END,
-         CASE WHEN NOT old AND used < 3 THEN used + 1 ELSE used END
-  FROM (SELECT o.ip, o.rn, o.day, o.machine_id, o.first_event, p.known, list_contains(p.known, o.machine_id) AS old,
-               CASE WHEN o.day = p.day THEN p.grants ELSE 0 END AS used
-        FROM fold p JOIN o ON o.ip = p.ip AND o.rn = p.rn + 1))
-SELECT a.event_id, a.ip, a.machine_id, CAST(CASE WHEN browser THEN 403 WHEN NOT fine THEN 400 WHEN outcome = 'known' THEN 200
-  WHEN outcome = 'granted' THEN CASE WHEN a.event_id = first_event THEN 201 ELSE 200 END ELSE 429 END AS INTEGER) AS status
-FROM a LEFT JOIN fold d ON d.ip = a.ip AND d.day = a.day AND d.machine_id = a.machine_id""")
+  SELECT rn, ok, CASE WHEN ok THEN list_append(known, m) ELSE known END, CASE WHEN ok THEN list_append(used, g) ELSE used END
+  FROM (SELECT o.rn, o.m, o.g, p.known, p.used, NOT list_contains(p.known, o.m) AND len(list_filter(p.used, lambda x: x = o.g)) < 3 AS ok
+        FROM fold p JOIN o ON o.rn = p.rn + 1)),
+grants AS (SELECT machine_id, f FROM o JOIN fold USING (rn) WHERE ok)
+SELECT a.event_id, a.ip, a.machine_id, CAST(CASE WHEN browser THEN 403 WHEN NOT fine THEN 400
+  WHEN {{'t': ts, 'e': event_id}} = f THEN 201 WHEN {{'t': ts, 'e': event_id}} > f THEN 200 ELSE 429 END AS INTEGER) AS status
+FROM a LEFT JOIN grants USING (machine_id)"""
+
+
+@register("registration_limit", lambda: _REGISTRATIONS)
 def q_registration_limit(spark, sf_dir):
     """Every request of the log as a registration attempt of its machine."""
     return QU.registration_limit(RLOG.request_log(spark, sf_dir))
@@ -625,6 +624,7 @@ def q_report_markdown(spark, sf_dir):
     return RP.report_markdown(RP.for_mode(_report(spark, sf_dir), "codebase"))
 
 # --------------------------------------------------------------------------- streaming twins
+from repolens.streaming import gate as GATE  # noqa: E402
 from repolens.streaming import replay as STR  # noqa: E402
 
 
@@ -651,16 +651,41 @@ def q_fixed_window_stream(spark, sf_dir):
     return STR.replayed(spark, sf_dir, lambda log: STR.fixed_window_stream(log, limits, (None, FW_RPM, FW_RPD)))
 
 
-@register("minute_usage_stream", lambda: f"""WITH {RLOG.request_log_cte()},
-m AS (SELECT date_trunc('minute', ts) AS minute, model FROM request_log)
-SELECT minute, model, count(*) AS requests FROM m
-WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM request_log) GROUP BY minute, model""")
+@register("minute_usage_stream", lambda: f"""WITH {RLOG.request_log_cte()}
+SELECT date_trunc('minute', ts) AS minute, model, count(*) AS requests FROM request_log GROUP BY ALL""")
 def q_minute_usage_stream(spark, sf_dir):
-    """Windows that the watermark, one minute behind the last request, has closed."""
-    got = STR.replayed(spark, sf_dir, STR.minute_usage_stream, "1 minute")
+    """All one-minute windows, the ones still open at the end among them."""
+    got = STR.replayed(spark, sf_dir, STR.minute_usage_stream, "1 minute", run=STR.run_updates, key=["window", "model"])
     return got.select(F.col("window.start").alias("minute"), "model", "requests")
 
 
+@register("registration_stream", lambda: _REGISTRATIONS)
+def q_registration_stream(spark, sf_dir):
+    """J5 as a stream over all requests, in micro-batches of the time ranges."""
+    return STR.replayed(spark, sf_dir, lambda log: log, run=STR.run_registrations)
+
+
+def _gate_replayed(spark, sf_dir, build):
+    tokens = RLOG.token_states(spark, sf_dir)
+    return STR.replayed(spark, sf_dir, lambda log: build(log, tokens, window_s=GATE_WINDOW_S, limit=GATE_LIMIT, daily=GATE_DAILY), provider=GATE.ROCKSDB)
+
+
+@register("request_gate_stream", lambda: ORACLE["request_gate"])
+def q_request_gate_stream(spark, sf_dir):
+    """J7 as a stream with all token states in the state store."""
+    return _gate_replayed(spark, sf_dir, GATE.request_gate_stream)
+
+
+@register("token_quota_stream", lambda: "WITH RECURSIVE " + OQ.gate_ctes(GATE_WINDOW_S, GATE_LIMIT, GATE_DAILY) + """
+SELECT g.event_id, g.bearer_token AS token, auth_reason, slide_ok, CAST(slide_retry AS BIGINT) AS slide_retry, daily_ok,
+       CAST(daily_retry AS BIGINT) AS daily_retry
+FROM g4 g LEFT JOIN quota q ON q.event_id = g.event_id WHERE pre_status IS NULL""")
+def q_token_quota_stream(spark, sf_dir):
+    """J6, J3 and J4 as a stream: verdicts of the requests that pass the checks before them."""
+    return _gate_replayed(spark, sf_dir, GATE.gate_stages_stream).where("pre_status is null").select(
+        "event_id", F.col("bearer_token").alias("token"), "auth_reason", "slide_ok", "slide_retry", "daily_ok", "daily_retry")
+
+
 @register("append_audit_events")
 def q_append_audit_events(spark, sf_dir):
     """Gate decisions as audit records (the streaming sink is ``STR.append_audit_events``)."""

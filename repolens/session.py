@@ -65,3 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+def checkpointed(df):
+    """``df`` computed once and kept in the shared checkpoint folder, so that lost executors don't recompute it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -89,7 +89,7 @@ def derive_request_log(ev: DataFrame) -> DataFrame:
     return ev.select(
         "event_id", ts.alias("ts"), ts_ms.alias("ts_ms"), sec.alias("sec"), "user_id", "event_type",
         token.alias("token"), machine.alias("machine_id"),
-        F.concat(F.lit("ip-"), (u % 20).cast("string")).alias("ip"),
+        F.concat(F.lit("ip-"), (F.when(e % 11 == 0, e).otherwise(u) % 20).cast("string")).alias("ip"),
         F.when(e % 53 == 0, F.lit("GET")).otherwise(F.lit("POST")).alias("method"),
         F.lit("/v1/compute").alias("route"),
         F.when(e % 41 == 0, F.lit(BROWSER_AGENT)).otherwise(F.lit(CLI_AGENT)).alias("user_agent"),
@@ -140,7 +140,7 @@ def request_log_cte() -> str:
     CASE WHEN event_id % 89 = 0 THEN 'not-a-machine'
          WHEN event_id % 97 = 0 THEN sha256('other-' || CAST(user_id AS VARCHAR))
          ELSE sha256('machine-' || CAST(user_id AS VARCHAR)) END AS machine_id,
-    'ip-' || CAST(user_id % 20 AS VARCHAR) AS ip,
+    'ip-' || CAST(CASE WHEN event_id % 11 = 0 THEN event_id ELSE user_id END % 20 AS VARCHAR) AS ip,
     CASE WHEN event_id % 53 = 0 THEN 'GET' ELSE 'POST' END AS method, '/v1/compute' AS route,
     CASE WHEN event_id % 41 = 0 THEN '{BROWSER_AGENT}' ELSE '{CLI_AGENT}' END AS user_agent,
     CASE WHEN event_id % 59 = 0 THEN '' ELSE 'Bearer ' || {tok} END AS auth_header,

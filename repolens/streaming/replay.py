@@ -1,4 +1,4 @@
-"""Structured Streaming twins of the request-log operators.
+"""Structured Streaming twins of the request-log operators (J1, J2, J3, J5, J9, A7); the gate's are in ``gate``.
 
 The request log arrives as a file stream over the table's folder of part files;
 the derivation of header fields is the same function as in batch. Per-key
@@ -12,10 +12,13 @@ sequential replay of the rows that are not late.
 * J3: state = admitted seconds still inside the window, kept for one window;
 * J9: state = (created, version) of the cache entry, kept for its time to live;
 * J1: state = (minute start, count, day start, count) per model, kept to the day's end;
-* J2: tumbling one-minute windows per model with a watermark;
+* J2: tumbling one-minute windows per model with a watermark, in update mode: every micro-batch
+  writes the new counts of the windows it touched, and the last count of a window is its result, closed or not;
+* J5: repeated deliveries leave by ``dropDuplicatesWithinWatermark``; machine and IP couple attempts, so
+  a micro-batch is decided as a log is, after the grants of earlier ones, which are a table;
 * A7: gate decisions appended as audit events, partitioned by date.
 
-``max_files`` bounds a micro-batch. The registered replays (``replayed``) feed a whole table in
+``max_files`` or ``MAX_BYTES`` bounds a micro-batch. The registered replays (``replayed``) feed a whole table in
 the order of event time, whatever its files, and fail if Spark dropped a row as late. J1 has one key a model, which is the operator's
 own meaning: a model's requests are decided one after the other.
 """
@@ -33,18 +36,19 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from repolens.operators import quota as QU
-from repolens.session import ensure_checkpoint_dir
+from repolens.session import checkpointed, ensure_checkpoint_dir
 from repolens.sources import request_log as RL
 from repolens.sources.tables import read_table, table_path
 
-MAX_FILES = 64
+MAX_BYTES = 256 << 20
 
 
-def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_files: int = MAX_FILES) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_files: int | None = None) -> DataFrame:
     """A file stream over one table: a folder of part files, or a single file."""
     schema = read_table(spark, sf_dir, name).schema
     path = table_path(sf_dir, name)
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    bound = ("maxFilesPerTrigger", max_files) if max_files else ("maxBytesPerTrigger", MAX_BYTES)
+    reader = spark.readStream.schema(schema).option(*bound)
     jvm = spark._jvm
     file = jvm.org.apache.hadoop.fs.Path(path)
     if file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).isFile():  # streams read folders
@@ -70,7 +74,7 @@ def ranged_by_time(spark: SparkSession, sf_dir: str, name: str = "events") -> st
     return folder
 
 
-def request_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 hour", max_files: int = MAX_FILES) -> DataFrame:
+def request_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 hour", max_files: int | None = None) -> DataFrame:
     return RL.derive_request_log(event_stream(spark, sf_dir, max_files=max_files)).withWatermark("ts", watermark)
 
 
@@ -210,13 +214,56 @@ def fixed_window_stream(requests: DataFrame, limits: dict[str, tuple[int, int]]
         _fixed_state_fn(limits, default), FW_OUT, FW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+# ---- J5: registrations --------------------------------------------------------------------
+
+def run_registrations(requests: DataFrame, per_day: int = QU.REGISTRATIONS_PER_IP_DAY, whole: bool = False) -> DataFrame:
+    """J5 over a stream of attempts with a watermark, driven to its end: the status of every attempt.
+
+    A micro-batch writes its grants and rows to folders of its own number and reads the grants of earlier numbers, so it can be tried again."""
+    spark = requests.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    grants = "ip string, day long, machine_id string, f struct<ts: timestamp, event_id: long>, used int, batch long"
+
+    def decide(rows: DataFrame, batch: int) -> None:
+        session = rows.sparkSession
+        attempts = checkpointed(QU.registration_attempts(rows))
+        known = session.read.schema(grants).parquet(f"{folder}/grants/part=*").where(F.col("batch") < batch) if batch else session.createDataFrame([], grants)
+        used = known.groupBy("ip", "day").agg(F.count("*").cast("int").alias("used"))
+        fresh = attempts.where("refused is null").join(known.select("machine_id"), "machine_id", "left_anti")
+        firsts = QU.first_attempts(fresh).join(used, ["ip", "day"], "left").withColumn("used", F.coalesce("used", F.lit(0)))
+        new = QU.registration_grants(firsts, per_day).withColumn("batch", F.lit(batch).cast("long")).select("ip", "day", "machine_id", "f", "used", "batch")
+        new.write.mode("overwrite").parquet(f"{folder}/grants/part={batch}")
+        new = session.read.schema(grants).parquet(f"{folder}/grants/part={batch}")
+        QU.registration_status(attempts, known.unionByName(new)).write.mode("overwrite").parquet(f"{folder}/rows/part={batch}")
+
+    once = requests.dropDuplicatesWithinWatermark(["event_id"])
+    _drive(once.writeStream.foreachBatch(decide).option("checkpointLocation", f"{folder}/checkpoint"), whole)
+    return spark.read.schema("event_id long, ip string, machine_id string, status int").parquet(f"{folder}/rows/part=*")
+
+
 # ---- J2 + A7 --------------------------------------------------------------------------------
 
 def minute_usage_stream(requests: DataFrame) -> DataFrame:
-    """J2 streaming: requests per model and one-minute window (closed windows in append mode)."""
+    """J2 streaming: requests per model and one-minute window (closed windows in append mode, touched ones in update mode)."""
     return requests.groupBy(F.window("ts", "1 minute"), "model").agg(F.count(F.lit(1)).alias("requests"))
 
 
+def run_updates(df: DataFrame, key: list[str], whole: bool = False) -> DataFrame:
+    """Drive an aggregation to its end in update mode: the last row of every key, windows still open among them.
+
+    Each micro-batch replaces its own folder, so a batch that is tried again counts once."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def upsert(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/part={batch}")
+
+    _drive(df.writeStream.foreachBatch(upsert).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint"), whole)
+    values = [c for c in df.columns if c not in key]
+    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(f"{folder}/rows/part=*")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*key, "last.*")
+
+
 def audit_events(decisions: DataFrame) -> DataFrame:
     """Gate decisions as audit records (time, session, action, model, outcome, duration, detail)."""
     action = (F.when(F.col("status") == 200, F.lit("api_call")).when(F.col("status") == 429, F.lit("rate_limit_hit"))
@@ -235,15 +282,9 @@ def append_audit_events(events: DataFrame, path: str, checkpoint: str):
             .option("path", path).option("checkpointLocation", checkpoint))
 
 
-def run_available_now(df: DataFrame, whole: bool = False) -> DataFrame:
-    """Drive a streaming query to its end (``availableNow``) into Parquet in the shared checkpoint folder; read it back.
-
-    ``whole``: fail if the watermark dropped rows."""
-    spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = df.schema
-    query = (df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
-             .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+def _drive(writer, whole: bool) -> None:
+    """Run a streaming query to its end. ``whole``: fail if the watermark dropped rows."""
+    query = writer.trigger(availableNow=True).start()
     dropped: dict[int, int] = {}
     ended = False
     while not ended:  # Spark keeps the progress of the last batches only
@@ -252,11 +293,28 @@ def run_available_now(df: DataFrame, whole: bool = False) -> DataFrame:
             dropped[p.batchId] = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
     if whole and (late := sum(dropped.values())):
         raise RuntimeError(f"the watermark dropped {late} rows as late; the replay is not whole")
+
+
+def run_available_now(df: DataFrame, whole: bool = False, provider: str | None = None) -> DataFrame:
+    """Drive a streaming query to its end (``availableNow``) into Parquet in the shared checkpoint folder; read it back.
+
+    ``whole``: fail if the watermark dropped rows. ``provider``: the state store's, if the query needs another than the session's."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema, store = df.schema, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    if provider:
+        spark.conf.set(store, provider)
+    try:
+        _drive(df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
+               .option("checkpointLocation", f"{folder}/checkpoint"), whole)
+    finally:
+        spark.conf.set(store, before)
     return spark.read.schema(schema).parquet(f"{folder}/rows")
 
 
 def replayed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], watermark: str = "1 hour",
-             max_files: int = MAX_FILES) -> DataFrame:
+             max_files: int | None = None, run: Callable[..., DataFrame] = run_available_now, **options) -> DataFrame:
     """``build`` of the stream of all requests of a table, in the order of event time."""
     stream = request_stream(spark, ranged_by_time(spark, sf_dir), watermark, max_files)
-    return run_available_now(build(stream), whole=True)
+    return run(build(stream), whole=True, **options)

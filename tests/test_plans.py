@@ -51,3 +51,18 @@ def test_all_text_reaches_the_corpus(spark):
 
     free = {path for _, _, path, _, append in corpus.slot_rows() if not append}
     assert free <= {"package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "requirements.txt", "pyproject.toml", "go.mod", "Cargo.toml"}
+
+
+def test_request_gate_reads_the_log_twice(spark, monkeypatch):
+    from repolens.operators import quota as QU
+    from repolens.sources import request_log as RL
+
+    plans = []
+    whole = QU.checkpointed
+    monkeypatch.setattr(QU, "checkpointed", lambda df: plans.append(_plan(df)) or whole(df))
+    log, tokens = RL.request_log(spark, SMALL), spark.createDataFrame([("t", "any")], "token string, state string")
+    final = _plan(QU.request_gate(log, tokens))
+    assert plans[0].count("FileScan parquet") == 2 and "FileScan" not in final
+    assert final.count("Exchange hashpartitioning") <= 6
+    for name in ("user_agent", "auth_header", "signature", "client_ts"):
+        assert name not in final

@@ -79,6 +79,65 @@ def test_registrations_match_sequential_replay(spark, log):
     assert got == expect
 
 
+def sequential(rows, per_day):
+    known, used, out = set(), defaultdict(int), {}
+    for ts, eid, ip, machine in sorted(rows, key=lambda r: r[:2]):
+        key = (ip or "unknown", ts.date())
+        if machine in known:
+            out[eid] = 200
+        elif used[key] >= per_day:
+            out[eid] = 429
+        else:
+            used[key] += 1
+            known.add(machine)
+            out[eid] = 201
+    return out
+
+
+@pytest.mark.parametrize("per_day", [0, 1, 3])
+def test_registrations_of_machines_that_move(spark, per_day):
+    """Machines on many IPs: a grant on one IP changes what others have left, in long chains."""
+    import datetime as dt
+    import hashlib
+    import random
+
+    rng = random.Random(per_day)
+    start = dt.datetime(2024, 3, 1)
+    machines = [hashlib.sha256(bytes([i])).hexdigest() for i in range(60)]
+    rows = [(start + dt.timedelta(minutes=rng.randrange(6000)), i, rng.choice(["a", "b", "c", "d", None]), rng.choice(machines)) for i in range(500)]
+    rows += [(start + dt.timedelta(minutes=10 * i), 1000 + i, f"x{i % 2}", machines[(i + 1) // 2]) for i in range(60)]  # each hands on to the next
+    log = spark.createDataFrame([(*r, "cli") for r in rows], "ts timestamp, event_id long, ip string, machine_id string, user_agent string")
+    got = {r.event_id: r.status for r in QU.registration_limit(log, per_day).collect()}
+    assert got == sequential(rows, per_day)
+
+
+@pytest.mark.parametrize("window, limit", [(5, 2), (60, 3), (1, 1)])
+def test_a_hot_token_is_folded_in_sessions(spark, window, limit):
+    """One key with nearly all rows: its sessions lie in several partitions and give the sequential result."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(7)
+    start, at, rows = dt.datetime(2024, 3, 1), 0, []
+    for i in range(1500):
+        at += rng.choice([0, 0, 1, 1, 2, window, 3 * window, 7200 if i % 200 == 0 else 1])
+        rows.append(("hot" if i % 20 else "cold", i, start + dt.timedelta(seconds=at)))
+    reqs = spark.createDataFrame(rows, "token string, event_id long, ts timestamp").selectExpr("*", "unix_seconds(ts) sec", "unix_millis(ts) ts_ms")
+    got = {r.event_id: (r.slide_ok, r.slide_retry) for r in QU.sliding_and_daily(reqs, window, limit, 10**9).collect()}
+    kept, expect = defaultdict(list), {}
+    for token, eid, ts in sorted(rows, key=lambda r: (r[2], r[1])):
+        s = int(ts.replace(tzinfo=dt.timezone.utc).timestamp())
+        now = kept[token] = [x for x in kept[token] if x > s - window]
+        if len(now) < limit:
+            now.append(s)
+            expect[eid] = (True, None)
+        else:
+            expect[eid] = (False, max(1, now[0] + window - s))
+    assert got == expect
+    sessions = QU.with_sessions(reqs.groupBy("token", "sec").count(), "token", "sec", window)
+    assert sessions.where("token = 'hot'").select("session").distinct().count() > 50
+
+
 def test_fixed_window_matches_sequential_replay(spark, log):
     limits = RL.model_limits(spark, [(m, lbl, 1, 5) for m, lbl, _, _ in RL.MODEL_LIMITS])
     got = {r["event_id"]: (r["allowed"], r["reason"], r["retry_after_ms"])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from repolens.operators import quota as QU
 from repolens.sources import request_log as RL
+from repolens.streaming import gate as GA
 from repolens.streaming import replay as ST
 
 from .conftest import SMALL
@@ -91,12 +92,59 @@ def test_audit_sink_appends_by_date(spark, tmp_path):
     assert out.select("date").distinct().count() == log.select(F.to_date("ts")).distinct().count()
 
 
-def test_minute_usage_stream_counts_closed_windows(spark):
-    got = ST.run_available_now(ST.minute_usage_stream(ST.request_stream(spark, SMALL, "1 minute")))
-    log = RL.request_log(spark, SMALL)
-    last = log.agg(F.max("ts_ms")).first()[0] - 60_000
-    closed = log.where((F.col("ts_ms") - F.col("ts_ms") % 60_000 + 60_000) <= last)
-    assert got.agg(F.sum("requests")).first()[0] == closed.count() > 0
+def test_minute_usage_stream_counts_all_windows(spark, tmp_path):
+    folder = parts(tmp_path, late=False)
+    got = ST.run_updates(ST.minute_usage_stream(ST.request_stream(spark, folder, "1 minute", max_files=1)), ["window", "model"])
+    minute = F.date_trunc("minute", "ts").alias("minute")
+    want = RL.request_log(spark, SMALL).groupBy(minute, "model").agg(F.count("*").alias("requests"))
+    found = sorted((r.window.start, r.model, r.requests) for r in got.collect())
+    assert found == sorted((r.minute, r.model, r.requests) for r in want.collect())
+
+
+def test_gate_stream_of_many_batches_equals_batch_without_late_rows(spark, tmp_path):
+    """Four micro-batches: bindings, windows and daily counts go on from batch to batch; the late row of the last one is dropped."""
+    folder = parts(tmp_path, late=True)
+    tokens = RL.token_states(spark, SMALL).where("token not like '%7'")
+    limits = {"window_s": 21600, "limit": 2, "daily": 3}
+    stream = GA.request_gate_stream(ST.request_stream(spark, folder, max_files=1), tokens, **limits)
+    got = ST.run_available_now(stream, provider=GA.ROCKSDB)
+    want = QU.request_gate(RL.request_log(spark, SMALL), tokens, **limits)
+    columns = ["event_id", "status", "reason", "retry_after"]
+    found = sorted(map(str, got.select(columns).collect()))
+    assert found == sorted(map(str, want.select(columns).collect()))
+    assert {"rate_limited", "machine_mismatch", "token_not_found", "forwarded"} <= {r.reason for r in got.collect()}
+
+
+def test_gate_state_is_forgotten_but_bindings_stay(spark, tmp_path):
+    """A token is bound by its first machine; days later its window and counts are gone, its binding isn't."""
+    import datetime as dt
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    schema = pq.read_schema(f"{SMALL}/events.parquet")
+    at = [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 0, 0, 30), dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 9)]
+    (tmp_path / "events.parquet").mkdir()
+    import os
+    for i, t in enumerate(at):
+        row = {"event_id": 97 * 1009 if i == 3 else 1009 + 100 * i, "ts": t, "user_id": 3, "event_type": "view"}
+        pq.write_table(pa.Table.from_pylist([{n: row.get(n) for n in schema.names}], schema), tmp_path / "events.parquet" / f"part-{i}.parquet")
+        os.utime(tmp_path / "events.parquet" / f"part-{i}.parquet", (1_700_000_000 + 100 * i,) * 2)
+    tokens = spark.createDataFrame([("ptai_" + "3".zfill(20), "unbound")], "token string, state string")
+    stream = GA.gate_stages_stream(ST.request_stream(spark, str(tmp_path), max_files=1), tokens, window_s=60, limit=1, daily=5)
+    got = [(r.auth_reason, r.slide_ok, r.slide_retry) for r in ST.run_available_now(stream, provider=GA.ROCKSDB).orderBy("ts").collect()]
+    assert got == [(None, True, None), (None, False, 30), (None, True, None), ("machine_mismatch", None, None)]
+
+
+def test_registration_stream_of_many_batches_equals_batch(spark, tmp_path):
+    folder = parts(tmp_path, late=False)
+    requests = ST.request_stream(spark, folder, max_files=1)
+    got = ST.run_registrations(requests, per_day=1)
+    want = QU.registration_limit(RL.request_log(spark, SMALL), 1)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(got.columns).collect()), key=str)
+    assert {r.status for r in got.collect()} == {200, 201, 400, 403, 429}
+    again = requests.unionByName(ST.request_stream(spark, folder, max_files=1))  # every request delivered twice
+    assert ST.run_registrations(again, per_day=1).count() == got.count()
 
 
 def test_replays_of_files_in_any_order_are_whole(spark, tmp_path, monkeypatch):
