@@ -19,6 +19,7 @@ from pyspark.sql.functions import arrow_udf
 
 from repolens.functions.text import js_trim
 from repolens.operators import normalise as NO
+from repolens.sources.corpus import FILES_PER_REPO
 from repolens.sources.tables import read_table
 
 # ---------------------------------------------------------------------------
@@ -93,11 +94,14 @@ def analysis_requests(profile: DataFrame, summaries: DataFrame, patterns: DataFr
 
 def reasoning_requests(profile: DataFrame, summaries: DataFrame, analysis_json: DataFrame,
                        rule_text: DataFrame) -> DataFrame:
-    """H4: summary + analysis JSON (or a sentinel) + rule findings text + context notes."""
+    """H4: summary + analysis JSON (or a sentinel) + rule findings text + context notes, a request for every scan with an analysis (or one without).
+
+    ``analysis_json`` has (repo_id, scan_id, analysis_json, project_context)."""
     df = (profile.select("repo_id", "project_type", "has_typescript", "test_file_count")
           .join(summaries, "repo_id").join(rule_text, "repo_id").join(analysis_json, "repo_id", "left"))
     notes = F.array_compact(F.array(
         F.concat(F.lit("PROJECT TYPE: "), F.col("project_type")),
+        F.concat(F.lit("PROJECT CONTEXT: "), F.nullif("project_context", F.lit(""))),
         F.when(F.col("test_file_count") > 0,
                F.concat(F.lit("NOTE: "), F.col("test_file_count").cast("string"), F.lit(" test files exist.")))
          .otherwise(F.lit("NOTE: no test files and no test framework detected.")),
@@ -108,7 +112,7 @@ def reasoning_requests(profile: DataFrame, summaries: DataFrame, analysis_json:
                          F.lit(""), F.lit("PROJECT SUMMARY:"), F.col("summary"),
                          F.lit(""), F.lit("DEEP ANALYSIS:"), F.coalesce("analysis_json", F.lit(NO_ANALYSIS)),
                          F.lit(""), F.lit("RULE ENGINE FINDINGS:"), F.col("rule_text"))
-    return df.select("repo_id", F.lit("reasoning").alias("kind"), F.lit(REASONING_MODEL).alias("model"),
+    return df.select("repo_id", "scan_id", F.lit("reasoning").alias("kind"), F.lit(REASONING_MODEL).alias("model"),
                      cache_key("reasoning", REASONING_MODEL, F.col("summary")).alias("cache_key"),
                      prompt.alias("prompt"))
 
@@ -163,8 +167,8 @@ def _vtype(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.variant_get(v, path, "variant"))
 
 
-def scan_ai_responses(responses: DataFrame) -> DataFrame:
-    """A3: take ``choices[0].message.content``; reject no choices, blank, non-JSON, JSON null.
+def scan_ai_responses(responses: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """A3: take ``choices[0].message.content``; reject no choices, blank, non-JSON, JSON null, and those of no repository in ``repos`` (if given).
 
     Returns every response with ``content`` and ``reject_reason`` (NULL when accepted).
     """
@@ -179,7 +183,10 @@ def scan_ai_responses(responses: DataFrame) -> DataFrame:
               .when(js_trim(F.coalesce(content, F.lit(""))) == "", F.lit("empty_content"))
               .when(parsed.isNull(), F.lit("non_json"))
               .when(F.schema_of_variant(parsed) == "VOID", F.lit("null_json")))
-    return responses.select("repo_id", "kind", content.alias("content"), reason.alias("reject_reason"))
+    if repos is not None:
+        responses = responses.join(repos.select("repo_id", F.lit(True).alias("held")), "repo_id", "left")
+        reason = F.coalesce(reason, F.when(F.col("held").isNull(), F.lit("unknown_repository")))
+    return responses.select("repo_id", "scan_id", "kind", content.alias("content"), reason.alias("reject_reason"))
 
 
 # ---- H7-H11: normalisers ------------------------------------------------------------
@@ -187,11 +194,11 @@ def scan_ai_responses(responses: DataFrame) -> DataFrame:
 def _normaliser(kind: str):
     """A column function from a response's JSON text to its record: one parse, Arrow batches (``operators/normalise.py``)."""
     def normalised(content: Column) -> Column:
-        record, arrow = NO.KINDS[kind]
+        arrow = NO.KINDS[kind][1]
 
         @arrow_udf(NO.ddl(arrow))
         def parsed(contents: pa.Array) -> pa.Array:
-            return pa.array([None if c is None else record(NO.paired(c)) for c in contents.to_pylist()], arrow)
+            return pa.array([NO.record(kind, c) for c in contents.to_pylist()], arrow)
 
         return parsed(content)
     return normalised
@@ -268,7 +275,7 @@ def merge_suggestions(findings: Column, suggestions: Column) -> Column:
         with_idx = F.transform(sug, lambda s, i: F.struct((i + 1).alias("idx"), s.alias("s")))
         kept = F.filter(with_idx, lambda x: F.array_contains(state["kept"], x["idx"]))
         ai = F.transform(kept, lambda x: F.struct(
-            F.concat(F.lit("AI_"), F.lpad(x["idx"].cast("string"), 3, "0")).alias("id"),
+            F.concat(F.lit("AI_"), F.when(x["idx"] < 1000, F.lpad(x["idx"].cast("string"), 3, "0")).otherwise(x["idx"].cast("string"))).alias("id"),
             source(x["s"]["category"], "ai").alias("source"), x["s"]["category"].alias("category"),
             x["s"]["current"].alias("current"), x["s"]["suggested"].alias("suggested"), x["s"]["reason"].alias("reason"),
             x["s"]["benefit"].alias("benefit"), x["s"]["tradeoffs"].alias("tradeoffs"),
@@ -297,7 +304,6 @@ def score_delta(reasoning: Column) -> Column:
 # ---- recorded responses derived from the driver's conversations -----------------------
 
 KINDS = ("analysis", "reasoning", "security", "deployment")
-SCAN_STEP = 1_000_000_000
 CATEGORIES = ["Testing", "CI/CD", "Performance", " backend framework ", "Observability", "Security", "Build Tool",
               "Developer Experience"]
 PRIORITIES = ["high", "medium", "low", "urgent"]
@@ -313,13 +319,15 @@ def _pick(values, idx: Column) -> Column:
 
 
 def derive_ai_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded responses ``(repo_id, kind, response)``: every assistant turn of conversation ``repo_id``.
+    """Recorded responses ``(repo_id, scan_id, kind, response)``: every assistant turn of every conversation.
 
-    The four kinds follow each other; turns beyond the first eight are responses of a further
-    scan, of repository ``conv_id + SCAN_STEP * (turn div 8)``. Field values are whole turn
+    Conversations are dealt in turn to the repositories of the corpus. The four kinds follow each other; each
+    eight turns of a conversation are a scan of its repository, ``scan_id = conv_id-(turn div 8)``. Field values are whole turn
     texts and their words; types vary on purpose (strings where numbers are
     expected, nulls, non-object list items) and some envelopes carry no choices, blank or non-JSON content.
     """
+    last = read_table(spark, sf_dir, "documents", ["doc_id"]).agg(F.max("doc_id")).first()[0]
+    repos = 1 + (last or 0) // FILES_PER_REPO
     conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     turns = conv.where(F.col("role") == "assistant")
     c, t, k4 = F.col("conv_id"), F.col("text"), F.expr("(turn div 2) % 4")
@@ -329,7 +337,7 @@ def derive_ai_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     analysis = F.concat(
         F.lit('{"frameworks": ['), _js(w(0)), F.lit(", "), _js(w(1)), F.lit('], "patterns": ['), _js(w(2)),
         F.lit(', 5, null], "concerns": '), F.when(c % 2 == 0, F.concat(F.lit("["), _js(w(3)), F.lit("]")))
-        .otherwise(F.lit('"none"')), F.lit(', "projectType": '), F.when(c % 3 == 0, F.lit("7")).otherwise(_js(w(4))),
+        .otherwise(F.lit('"none"')), F.when(c % 3 == 1, F.concat(F.lit(', "projectContext": '), _js(w(5)))).otherwise(F.lit("")), F.lit(', "projectType": '), F.when(c % 3 == 0, F.lit("7")).otherwise(_js(w(4))),
         F.lit(', "summary": '), _js(t), F.lit("}"))
 
     def sugg(k, cur, sug):
@@ -369,18 +377,19 @@ def derive_ai_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     envelope = F.when(key % 19 == 0, F.lit('{"choices": []}')).otherwise(
         F.concat(F.lit('{"choices": [{"message": {"content": '), _js(content), F.lit("}}]}")))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (k4 + 1).cast("int"))
-    return turns.select((c + SCAN_STEP * F.expr("turn div 8")).alias("repo_id"), kind.alias("kind"), envelope.alias("response"))
+    scan = F.concat_ws("-", c.cast("string"), F.expr("turn div 8").cast("string"))
+    return turns.select(F.pmod(c, F.lit(repos)).alias("repo_id"), scan.alias("scan_id"), kind.alias("kind"), envelope.alias("response"))
 
 
 def accepted(responses: DataFrame, kind: str) -> DataFrame:
-    """(repo_id, content): accepted responses of a kind."""
+    """(repo_id, scan_id, content): accepted responses of a kind."""
     scanned = scan_ai_responses(responses.where(F.col("kind") == kind))
-    return scanned.where(F.col("reject_reason").isNull()).select("repo_id", "content")
+    return scanned.where(F.col("reject_reason").isNull()).select("repo_id", "scan_id", "content")
 
 
 def merged_suggestions(rule_results: DataFrame, responses: DataFrame) -> DataFrame:
-    """H12 per repository: rule findings joined with the normalised reasoning response."""
-    ai = accepted(responses, "reasoning").select("repo_id", normalize_reasoning(F.col("content")).alias("r"))
-    j = rule_results.select("repo_id", "findings").join(ai, "repo_id", "left")
-    return j.select("repo_id", merge_suggestions(F.col("findings"), F.col("r.suggestions")).alias("merged"))
-
+    """H12 per repository and scan (null where a repository has none): rule findings joined with the scan's normalised reasoning response."""
+    ai = accepted(responses, "reasoning").select("repo_id", "scan_id", normalize_reasoning(F.col("content")).alias("r"))
+    scans = responses.select("repo_id", "scan_id").distinct().join(ai, ["repo_id", "scan_id"], "left")
+    j = rule_results.select("repo_id", "findings").join(scans, "repo_id", "left")
+    return j.select("repo_id", "scan_id", merge_suggestions(F.col("findings"), F.col("r.suggestions")).alias("merged"))

@@ -115,7 +115,7 @@ def report_parts(files_by_ext: DataFrame, audit: DataFrame, advisories: DataFram
 
 def repo_report(profile: DataFrame, parts: DataFrame, rule_results: DataFrame, merged: DataFrame, ai: dict[str, DataFrame],
                 analyzed_at: str) -> DataFrame:
-    """One nested record per repository with every section; ``ai`` has (repo_id, reasoning / security / deployment).
+    """One nested record per repository and scan with every section; ``merged`` has a row for each, ``ai`` (repo_id, scan_id, reasoning / security / deployment).
 
     ``for_mode`` (I2) takes the sections of a mode from it.
     """
@@ -134,9 +134,9 @@ def repo_report(profile: DataFrame, parts: DataFrame, rule_results: DataFrame, m
         F.struct(*[c.alias(n) for n, c in arch.items()]).alias("architecture"))
     base = base.join(rule_results.select("repo_id", F.struct("findings", "total_findings", "critical_count", "warning_count",
                                                                "info_count").alias("rules")), "repo_id", "left")
-    base = base.join(merged.select("repo_id", "merged"), "repo_id", "left")
+    base = base.join(merged.select("repo_id", "scan_id", "merged"), "repo_id", "left")
     for name in ("reasoning", "security", "deployment"):
-        base = base.join(ai[name].select("repo_id", name), "repo_id", "left")
+        base = base.join(ai[name].select("repo_id", "scan_id", name), ["repo_id", "scan_id"], "left")
     return base
 
 
@@ -154,9 +154,9 @@ def all_modes(report: DataFrame) -> DataFrame:
 
 
 def report_json(report: DataFrame) -> DataFrame:
-    """A5: the report document as JSON text (one per repository)."""
-    keys = [c for c in ("repo_id", "mode") if c in report.columns]
-    return report.select(*keys, F.to_json(F.struct(*[c for c in report.columns])).alias("report_json"))
+    """A5: the report document as indented JSON text (one per repository and scan)."""
+    keys = [c for c in ("repo_id", "scan_id", "mode") if c in report.columns]
+    return report.select(*keys, F.to_json(F.struct(*[c for c in report.columns]), {"pretty": "true"}).alias("report_json"))
 
 
 def write_report_json(report: DataFrame, path: str, buckets: int = 64) -> None:
@@ -262,7 +262,7 @@ def report_markdown(report: DataFrame) -> DataFrame:
                  detected, counts, vuln, secret, complexity, scores, merged, summary,
                  _ai_section("Security", "security", "findings", FINDING_LINES, FINDING_TEXTS),
                  _ai_section("Deployment", "deployment", "recommendations", RECOMMENDATION_LINES, RECOMMENDATION_TEXTS), "---", REPORT_FOOTER)
-    return report.select("repo_id", doc.alias("markdown"))
+    return report.select("repo_id", "scan_id", doc.alias("markdown"))
 
 
 def write_report_markdown(md: DataFrame, path: str, buckets: int = 64) -> None:

@@ -139,7 +139,7 @@ def q_repo_health(spark, sf_dir):
 from repolens.functions import text as TX  # noqa: E402
 from repolens.operators import secrets as SC  # noqa: E402
 from repolens.oracle import security_sql as OSEC  # noqa: E402
-from repolens.sources.corpus import repo_files  # noqa: E402
+from repolens.sources.corpus import repo_files, repo_ids  # noqa: E402
 from repolens.sources.tables import read_table  # noqa: E402
 
 
@@ -161,12 +161,16 @@ def q_scan_pages(spark, sf_dir):
     return SC.line_findings(lines).withColumnRenamed("line_no", "line").drop("pattern_ord")
 
 
-@register("scrub_conversations", lambda: f"""SELECT conv_id, turn, {TX.sql_scrub('text')} AS scrubbed,
-  {TX.sql_scrub('text')} <> text AS changed FROM conversations""")
+# Two of three turns quote a credential: a key or a header of the text's own digest.
+_QUOTED = """text || CASE turn % 3 WHEN 0 THEN ' (key sk-' || md5(text) || ')' WHEN 1 THEN ' Authorization: Bearer ' || md5(text) ELSE '' END"""
+
+
+@register("scrub_conversations", lambda: f"""WITH c AS (SELECT conv_id, turn, {_QUOTED} AS said FROM conversations)
+SELECT conv_id, turn, {TX.sql_scrub('said')} AS scrubbed, {TX.sql_scrub('said')} <> said AS changed FROM c""")
 def q_scrub_conversations(spark, sf_dir):
-    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
-    scrubbed = TX.scrub_secrets(F.col("text"))
-    return conv.select("conv_id", "turn", scrubbed.alias("scrubbed"), (scrubbed != F.col("text")).alias("changed"))
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"]).withColumn("said", F.expr(_QUOTED))
+    scrubbed = TX.scrub_secrets(F.col("said"))
+    return conv.select("conv_id", "turn", scrubbed.alias("scrubbed"), (scrubbed != F.col("said")).alias("changed"))
 
 
 TOKEN_VALUE = r'token = "([0-9a-f]{40})"'
@@ -429,8 +433,8 @@ def _responses(spark, sf_dir):
 @register("reasoning_requests")
 def q_reasoning_requests(spark, sf_dir):
     prof, summ = _summaries(spark, sf_dir)
-    analysis = AI.accepted(_responses(spark, sf_dir), "analysis").select(
-        "repo_id", F.to_json(AI.normalize_analysis(F.col("content"))).alias("analysis_json"))
+    analysis = AI.accepted(_responses(spark, sf_dir), "analysis").select("repo_id", "scan_id", AI.normalize_analysis(F.col("content")).alias("a"))
+    analysis = analysis.select("repo_id", "scan_id", F.to_json("a").alias("analysis_json"), F.col("a.projectContext").alias("project_context"))
     text = RU.findings_text(RU.rule_results(prof))
     return AI.reasoning_requests(prof, summ, analysis, text)
 
@@ -467,68 +471,68 @@ def q_deployment_requests(spark, sf_dir):
 
 @register("scan_ai_responses")
 def q_scan_ai_responses(spark, sf_dir):
-    return AI.scan_ai_responses(_responses(spark, sf_dir))
+    return AI.scan_ai_responses(_responses(spark, sf_dir), repo_ids(spark, sf_dir))
 
 
 @register("normalize_analysis")
 def q_normalize_analysis(spark, sf_dir):
-    a = AI.accepted(_responses(spark, sf_dir), "analysis").select("repo_id", AI.normalize_analysis(F.col("content")).alias("a"))
+    a = AI.accepted(_responses(spark, sf_dir), "analysis").select("repo_id", "scan_id", AI.normalize_analysis(F.col("content")).alias("a"))
     lists = [F.array_join(f"a.{k}", ", ").alias(k) for k in NO.ANALYSIS_LISTS]
-    return a.select("repo_id", *lists, *[F.col(f"a.{k}").alias(k) for k in NO.ANALYSIS_TEXTS])
+    return a.select("repo_id", "scan_id", *lists, *[F.col(f"a.{k}").alias(k) for k in NO.ANALYSIS_TEXTS])
 
 
 @register("normalize_suggestions")
 def q_normalize_suggestions(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
-    return r.select("repo_id", F.posexplode("r.suggestions").alias("pos", "s")).select("repo_id", "pos", "s.*")
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", "scan_id", AI.normalize_reasoning(F.col("content")).alias("r"))
+    return r.select("repo_id", "scan_id", F.posexplode("r.suggestions").alias("pos", "s")).select("repo_id", "scan_id", "pos", "s.*")
 
 
 @register("normalize_scores")
 def q_normalize_scores(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
-    return r.select("repo_id", *[F.col(f"r.scores.{side}.{d}").alias(f"{side}_{d}")
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", "scan_id", AI.normalize_reasoning(F.col("content")).alias("r"))
+    return r.select("repo_id", "scan_id", *[F.col(f"r.scores.{side}.{d}").alias(f"{side}_{d}")
                                  for side in ("current", "optimized") for d in AI.SCORE_DIMENSIONS])
 
 
 @register("normalize_security")
 def q_normalize_security(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "security").select("repo_id", AI.normalize_security(F.col("content")).alias("s"))
-    return r.select("repo_id", F.col("s.score").alias("score"), F.array_join("s.strengths", ", ").alias("strengths"),
+    r = AI.accepted(_responses(spark, sf_dir), "security").select("repo_id", "scan_id", AI.normalize_security(F.col("content")).alias("s"))
+    return r.select("repo_id", "scan_id", F.col("s.score").alias("score"), F.array_join("s.strengths", ", ").alias("strengths"),
                     F.col("s.summary").alias("summary"), F.posexplode_outer("s.findings").alias("pos", "f")) \
-        .select("repo_id", "score", "strengths", "summary", "pos", "f.*")
+        .select("repo_id", "scan_id", "score", "strengths", "summary", "pos", "f.*")
 
 
 @register("normalize_deployment")
 def q_normalize_deployment(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "deployment").select("repo_id", AI.normalize_deployment(F.col("content")).alias("d"))
-    return r.select("repo_id", F.col("d.score").alias("score"), F.array_join("d.strengths", ", ").alias("strengths"),
+    r = AI.accepted(_responses(spark, sf_dir), "deployment").select("repo_id", "scan_id", AI.normalize_deployment(F.col("content")).alias("d"))
+    return r.select("repo_id", "scan_id", F.col("d.score").alias("score"), F.array_join("d.strengths", ", ").alias("strengths"),
                     F.col("d.summary").alias("summary"), F.posexplode_outer("d.recommendations").alias("pos", "f")) \
-        .select("repo_id", "score", "strengths", "summary", "pos", "f.*")
+        .select("repo_id", "scan_id", "score", "strengths", "summary", "pos", "f.*")
 
 
 @register("ai_severity_counts")
 def q_ai_severity_counts(spark, sf_dir):
     resp = _responses(spark, sf_dir)
-    sec = AI.accepted(resp, "security").select("repo_id", AI.normalize_security(F.col("content")).alias("s"))
-    dep = AI.accepted(resp, "deployment").select("repo_id", AI.normalize_deployment(F.col("content")).alias("d"))
-    return (sec.select("repo_id", *AI.severity_counts(F.col("s.findings"), "severity", AI.SECURITY_SEVERITIES))
-            .join(dep.select("repo_id", *AI.severity_counts(F.col("d.recommendations"), "priority", AI.DEPLOY_PRIORITIES)),
-                  "repo_id", "full"))
+    sec = AI.accepted(resp, "security").select("repo_id", "scan_id", AI.normalize_security(F.col("content")).alias("s"))
+    dep = AI.accepted(resp, "deployment").select("repo_id", "scan_id", AI.normalize_deployment(F.col("content")).alias("d"))
+    return (sec.select("repo_id", "scan_id", *AI.severity_counts(F.col("s.findings"), "severity", AI.SECURITY_SEVERITIES))
+            .join(dep.select("repo_id", "scan_id", *AI.severity_counts(F.col("d.recommendations"), "priority", AI.DEPLOY_PRIORITIES)),
+                  ["repo_id", "scan_id"], "full"))
 
 
 @register("merge_suggestions")
 def q_merge_suggestions(spark, sf_dir):
     res = RU.rule_results(repo_profile(spark, sf_dir))
     m = AI.merged_suggestions(res, _responses(spark, sf_dir))
-    return m.select("repo_id", F.posexplode("merged").alias("pos", "m")).select(
-        "repo_id", (F.col("pos") + 1).alias("rank"), "m.id", "m.source", "m.category", "m.current", "m.suggested",
+    return m.select("repo_id", "scan_id", F.posexplode("merged").alias("pos", "m")).select(
+        "repo_id", "scan_id", (F.col("pos") + 1).alias("rank"), "m.id", "m.source", "m.category", "m.current", "m.suggested",
         "m.priority", "m.effort")
 
 
 @register("score_delta")
 def q_score_delta(spark, sf_dir):
-    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", AI.normalize_reasoning(F.col("content")).alias("r"))
-    return r.select("repo_id", F.explode(AI.score_delta(F.col("r"))).alias("d")).select("repo_id", "d.*")
+    r = AI.accepted(_responses(spark, sf_dir), "reasoning").select("repo_id", "scan_id", AI.normalize_reasoning(F.col("content")).alias("r"))
+    return r.select("repo_id", "scan_id", F.explode(AI.score_delta(F.col("r"))).alias("d")).select("repo_id", "scan_id", "d.*")
 
 # --------------------------------------------------------------------------- reports
 from repolens.operators import report as RP  # noqa: E402
@@ -601,10 +605,9 @@ def _report(spark, sf_dir):
     parts = RP.report_parts(FF.files_by_extension_map(facts), AU.audit_rollup(audit), AU.audit_advisories(audit), SC.scan_secrets(files),
                             SC.files_scanned(files), CX.high_complexity_files(facts, 10))
     res = RU.rule_results(prof)
-    ai = {k: AI.accepted(responses, k).select("repo_id", f(F.col("content")).alias(k)) for k, f in (
+    ai = {k: AI.accepted(responses, k).select("repo_id", "scan_id", f(F.col("content")).alias(k)) for k, f in (
         ("reasoning", AI.normalize_reasoning), ("security", AI.normalize_security), ("deployment", AI.normalize_deployment))}
-    merged = res.select("repo_id", "findings").join(ai["reasoning"], "repo_id", "left").select(
-        "repo_id", AI.merge_suggestions(F.col("findings"), F.col("reasoning.suggestions")).alias("merged"))
+    merged = AI.merged_suggestions(res, responses)
     return RP.repo_report(prof, parts, res, merged, ai, REPORT_TIME)
 
 

@@ -226,8 +226,9 @@ def test_blank_and_repeated_keys(spark):
 
     configure(spark)
     env = lambda content: json.dumps({"choices": [{"message": {"content": content}}]})
-    rows = [(1, "analysis", env("\n\n")), (2, "analysis", env('{"summary": "a", "summary": "b"}')), (3, "analysis", env(" \t")), (4, "analysis", env("x"))]
-    out = AI.scan_ai_responses(spark.createDataFrame(rows, "repo_id long, kind string, response string"))
+    rows = [(1, "1-0", "analysis", env("\n\n")), (2, "2-0", "analysis", env('{"summary": "a", "summary": "b"}')), (3, "3-0", "analysis", env(" \t")),
+            (4, "4-0", "analysis", env("x"))]
+    out = AI.scan_ai_responses(spark.createDataFrame(rows, "repo_id long, scan_id string, kind string, response string"))
     assert [r.reject_reason for r in out.orderBy("repo_id").collect()] == ["empty_content", None, "empty_content", "non_json"]
     parsed = out.where("repo_id = 2").select(AI.normalize_analysis(F.col("content")).alias("a")).first().a
     assert parsed.summary == "b"
@@ -262,12 +263,6 @@ def test_ai_models(spark):
     assert row.model == "moonshotai/kimi-k2-instruct" and row.cache_key.startswith("deployment:moonshotai/kimi-k2-instruct:")
 
 
-def test_register_rule(spark):
-    import inspect
-
-    assert callable(RU.register_rule) and inspect.signature(RU.register_rule).parameters
-
-
 def test_merge_suggestions(spark):
 
     prof = PR.repo_profile(FF.file_facts(files_df(spark, {1: {"package.json": pkg()}})))
@@ -299,3 +294,125 @@ def test_architecture_patterns(spark):
     assert a[1] == ["Serverless", "JAMstack"]
     assert a[2] == ["CLI Tool"]
     assert a[3] == ["Monorepo", "Clean Architecture"]
+
+
+@pytest.mark.parametrize("value,score", [
+    ('"0x' + "f" * 400 + '"', 10.0), ("9" * 400, 10.0), ("-" + "9" * 400, 0.0), ("9" * 5000, 10.0), ('"-' + "9" * 400 + '"', 0.0), ("1e999", 10.0)])
+def test_scores_beyond_the_largest_double(spark, value, score):
+    df = spark.createDataFrame([(f'{{"score": {value}}}',)], "c string")
+    assert df.select(AI.normalize_security(F.col("c")).alias("s")).first().s.score == score
+
+
+def test_a_response_nested_too_deep_is_no_record(spark):
+    deep = '{"score": ' + "[" * 200_000 + "]" * 200_000 + "}"
+    df = spark.createDataFrame([(deep,), ('{"score": 3}',)], "c string")
+    assert [r.s and r.s.score for r in df.select(AI.normalize_security(F.col("c")).alias("s")).collect()] == [None, 3.0]
+
+
+def test_ids_of_more_than_a_thousand_suggestions(spark):
+    content = json.dumps({"suggestions": [{"category": f"c{i}", "current": f"a{i}", "suggested": "b"} for i in range(1001)]})
+    none = "array<struct<rule_id:string,category:string,severity:string,current:string,suggested:string,reason:string,benefit:string,effort:string," \
+           "priority:string,tags:array<string>,evidence:array<string>>>"
+    df = spark.createDataFrame([(content,)], "c string").select(F.expr(f"cast(array() as {none})").alias("f"), AI.normalize_reasoning(F.col("c")).alias("r"))
+    ids = [m.id for m in df.select(AI.merge_suggestions(F.col("f"), F.col("r.suggestions")).alias("m")).first().m]
+    assert len(set(ids)) == 1001 and {"AI_001", "AI_100", "AI_1000", "AI_1001"} <= set(ids)
+
+
+def test_every_scan_is_merged_and_unknown_repositories_are_rejected(spark):
+    prof = PR.repo_profile(FF.file_facts(files_df(spark, {1: {"package.json": pkg()}, 2: {"go.mod": "module x"}})))
+    env = lambda c: json.dumps({"choices": [{"message": {"content": json.dumps({"suggestions": [{"category": c}]})}}]})
+    rows = [(1, "7-0", "reasoning", env("Perf")), (1, "7-1", "reasoning", env("Cache")), (1, "9-0", "security", env("x")), (5, "3-0", "reasoning", env("Lost"))]
+    responses = spark.createDataFrame(rows, "repo_id long, scan_id string, kind string, response string")
+    rules = RU.rule_results(prof)
+    merged = {(r.repo_id, r.scan_id): [m.category for m in r.merged if m.id.startswith("AI_")] for r in AI.merged_suggestions(rules, responses).collect()}
+    assert merged == {(1, "7-0"): ["Perf"], (1, "7-1"): ["Cache"], (1, "9-0"): [], (2, None): []}
+    rejected = AI.scan_ai_responses(responses, prof.select("repo_id")).where("reject_reason is not null").collect()
+    assert [(r.repo_id, r.reject_reason) for r in rejected] == [(5, "unknown_repository")]
+
+
+def test_reasoning_request_takes_the_project_context(spark):
+    prof = PR.repo_profile(FF.file_facts(files_df(spark, {i: {"package.json": pkg()} for i in (1, 2, 3)})))
+    analysis = spark.createDataFrame([(1, "1-0", "{}", "A shop."), (2, "2-0", "{}", "")], "repo_id long, scan_id string, analysis_json string, project_context string")
+    got = AI.reasoning_requests(prof, AI.project_summary(prof), analysis, RU.findings_text(RU.rule_results(prof)))
+    prompts = {r.repo_id: r.prompt for r in got.collect()}
+    assert "- PROJECT CONTEXT: A shop.\n" in prompts[1] and all("PROJECT CONTEXT" not in prompts[i] for i in (2, 3))
+    assert AI.NO_ANALYSIS in prompts[3] and AI.NO_ANALYSIS not in prompts[1]
+
+
+def fired(spark, repos):
+    rows = RU.rule_results(PR.repo_profile(FF.file_facts(files_df(spark, repos)))).collect()
+    return {r.repo_id: {f.rule_id: f for f in r.findings} for r in rows}
+
+
+def test_rules_on_both_sides_of_their_bounds(spark):
+    components = lambda n: {f"src/c{i}.jsx": "export default function App() { return <div/>; }" for i in range(n)}
+    modules, plain = {"src/a.module.css": ".a{}"}, {"src/a.css": ".a{}"}
+    dev = lambda n: {f"d{i}": "1" for i in range(n)}
+    scripts = lambda n: {f"src/f{i}.js": "let a = 1" for i in range(n)}
+    got = fired(spark, {
+        1: {"package.json": pkg({"express": "1"}), "tsconfig.json": "{}"}, 2: {"package.json": pkg({"express": "1"})},
+        3: {"package.json": pkg({"react": "1"}), **modules, **components(101)}, 4: {"package.json": pkg({"react": "1"}), **modules, **components(100)},
+        5: {"package.json": pkg({"react": "1"}), **plain, **components(51)}, 6: {"package.json": pkg({"react": "1"}), **plain, **components(50)},
+        7: {"package.json": pkg(dev=dev(21)), "package-lock.json": "{}"}, 8: {"package.json": pkg(dev=dev(20)), "package-lock.json": "{}"},
+        9: {"package.json": pkg(), **scripts(50)}, 10: {"package.json": pkg(), **scripts(49)}, 11: {"package.json": pkg(), "tsconfig.json": "{}", **scripts(60)}})
+    for rule, on, off in (("BACKEND_002", [1], [2]), ("STYLING_001", [3], [4]), ("STYLING_002", [5], [6]), ("PKG_001", [7], [8]), ("LANG_001", [9], [10, 11])):
+        assert [i for i in on + off if rule in got[i]] == on, rule
+    assert "101 components" in got[3]["STYLING_001"].reason and "Components detected: 101" in got[3]["STYLING_001"].evidence
+    assert "Package manager detected: npm" in got[7]["PKG_001"].evidence and "51 files" in got[9]["LANG_001"].reason
+    assert "Primary language detected: JavaScript/TypeScript" in got[9]["LANG_001"].evidence
+
+
+def test_java_and_specialised_projects(spark):
+    p = profile_of(spark, {
+        1: {"pom.xml": "<artifactId>spring-boot-starter-web</artifactId><artifactId>hibernate-core</artifactId>"},
+        2: {"pom.xml": "<project/>", "package.json": pkg({"react": "1"})},
+        3: {"package.json": pkg(engines={"vscode": "^1.80.0"})}, 4: {"package.json": pkg(), "action.yml": "name: x"},
+        5: {"package.json": pkg(), "action.yaml": "name: x"}, 6: {"package.json": pkg(), "manifest.json": '{"manifest_version": 3}'},
+        7: {"package.json": pkg(), "manifest.json": '{"manifest_version": "3"}'}, 8: {"package.json": pkg(), "manifest.json": "{"},
+        9: {"package.json": pkg(engines={"node": "18"})}})
+    assert p[1]["language"] == "Java" and p[1]["project_type"] == "Java Application" and p[1]["databases"] and p[1]["backend"]
+    assert p[2]["language"] == "Java" and not [b for b in p[2]["backend"] if "Spring" in b]
+    assert [p[i]["project_type"] for i in range(3, 10)] == [
+        "VS Code Extension", "GitHub Action", "GitHub Action", "Browser Extension", "Node.js Application", "Node.js Application", "Node.js Application"]
+
+
+def test_duplication_bands(spark):
+    from repolens.operators import complexity as CX
+
+    body = lambda lines: "\n".join(["x = 1"] * lines)
+    sizes = {1: [50 * i for i in range(1, 11)], 2: [100] * 10, 3: [100, 100, 100, *[200 + 40 * i for i in range(7)]]}
+    files = files_df(spark, {r: {f"src/f{i}.py": body(n) for i, n in enumerate(x)} for r, x in sizes.items()})
+    bands = {r.repo_id: r.duplication_risk for r in CX.repo_complexity(FF.file_facts(files)).collect()}
+    assert bands[1] == "low" and bands[2] == "high" and bands[3] == "medium"
+
+
+def test_usage_at_80_and_100_percent(spark):
+    import datetime as dt
+
+    from repolens.sources import request_log as RL
+
+    t = dt.datetime(2024, 1, 1, 0, 0, 10)
+    rows = [(i, t, m) for i, m in enumerate(["a"] * 7 + ["b"] * 8 + ["c"] * 12)]
+    log = spark.createDataFrame(rows, "event_id long, ts timestamp, model string").withColumn("ts_ms", F.unix_millis("ts"))
+    limits = RL.model_limits(spark, [(m, m, 10, 20) for m in "abc"])
+    got = {r.model: (r.minute_used, r.minute_status, r.day_status) for r in QU.quota_usage(log, limits).collect()}
+    assert got == {"a": (7, "ok", "ok"), "b": (8, "warning", "ok"), "c": (10, "limit", "ok")}
+
+
+def test_scrubbing_replaces_keys(spark):
+    key = "sk-" + "a1" * 12
+    text = f"key {key} end"
+    df = spark.createDataFrame([(text,), ("clean text",)], "t string").select("t", X.scrub_secrets(F.col("t")).alias("s"))
+    got = [(r.t != r.s, r.s) for r in df.collect()]
+    assert got[0] == (True, "key [API_KEY_REDACTED] end") and got[1] == (False, "clean text")
+
+
+def test_a_registered_rule_fires_after_the_built_in_ones(spark):
+    own = RU.Rule("OWN_001", "Own", "info", "a", "b", "low", "low", ["x"], "file_count >= 2", "%d files", "none", reason_arg="file_count")
+    before = list(RU.RULES)
+    RU.register_rule(own)
+    try:
+        got = fired(spark, {1: {"package.json": pkg(), "a.js": ""}, 2: {"a.js": ""}})
+    finally:
+        RU.RULES[:] = before
+    assert got[1]["OWN_001"].reason == "2 files" and "OWN_001" not in got[2] and list(got[1])[-1] == "OWN_001"

@@ -27,7 +27,7 @@ def test_every_section_is_there(report):
 
 
 def test_modes_hold_their_ai_sections(report):
-    rows = {(r.repo_id, r.mode): json.loads(r.report_json) for r in RP.report_json(RP.all_modes(report)).collect()}
+    rows = {((r.repo_id, r.scan_id), r.mode): json.loads(r.report_json) for r in RP.report_json(RP.all_modes(report)).collect()}
     assert {m for _, m in rows} == set(RP.MODES)
     assert any("security" in doc for doc in rows.values())
     for (repo, mode), doc in rows.items():
@@ -38,9 +38,9 @@ def test_modes_hold_their_ai_sections(report):
 
 
 def test_markdown_follows_the_report(report):
-    docs = {r.repo_id: json.loads(r.report_json) for r in RP.report_json(RP.for_mode(report, "codebase")).collect()}
+    docs = {(r.repo_id, r.scan_id): json.loads(r.report_json) for r in RP.report_json(RP.for_mode(report, "codebase")).collect()}
     for r in RP.report_markdown(RP.for_mode(report, "codebase")).collect():
-        doc, text = docs[r.repo_id], r.markdown
+        doc, text = docs[r.repo_id, r.scan_id], r.markdown
         assert f"> Generated at {doc['analyzed_at']}" in text and f"| Files | {doc['stats']['file_count']} |" in text
         found = doc["stats"]["secrets"]["findings"]
         assert ("## Secrets Found" in text) == bool(found)
