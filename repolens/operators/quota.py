@@ -284,8 +284,8 @@ def gate_stages(log: DataFrame, tokens: DataFrame, *, min_version: str = MIN_VER
 
 
 def gate_status(gated: DataFrame, *, max_body: int = MAX_BODY_BYTES, allowed: list[str] | None = None,
-                configured_providers=("groq",)) -> DataFrame:
-    """J7's decision from the verdicts of all gates, on a batch or a stream."""
+                configured_providers=("groq",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """J7's decision from the verdicts of all gates, on a batch or a stream, beside the columns ``keep``."""
     model_ok = (F.col("model") != "") & F.col("model").isin(*(allowed or allowed_models()))
     decided = [(F.col("pre_status").isNotNull(), F.col("pre_status"), F.col("pre_reason")),
                (F.col("auth_reason").isNotNull(), F.lit(401), F.col("auth_reason")),
@@ -300,7 +300,7 @@ def gate_status(gated: DataFrame, *, max_body: int = MAX_BODY_BYTES, allowed: li
     for failed, code, why in reversed(decided):
         status, reason = F.when(failed, code).otherwise(status), F.when(failed, why).otherwise(reason)
     retry = F.when(~F.col("slide_ok"), F.col("slide_retry")).when(~F.col("daily_ok"), F.col("daily_retry"))
-    return gated.select("event_id", status.cast("int").alias("status"), reason.alias("reason"),
+    return gated.select("event_id", *keep, status.cast("int").alias("status"), reason.alias("reason"),
                         F.when(status == 429, retry).cast("bigint").alias("retry_after"))
 
 

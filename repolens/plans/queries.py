@@ -535,6 +535,7 @@ def q_score_delta(spark, sf_dir):
     return r.select("repo_id", "scan_id", F.explode(AI.score_delta(F.col("r"))).alias("d")).select("repo_id", "scan_id", "d.*")
 
 # --------------------------------------------------------------------------- reports
+from repolens.operators import audit_log as AL  # noqa: E402
 from repolens.operators import report as RP  # noqa: E402
 
 
@@ -689,10 +690,37 @@ def q_token_quota_stream(spark, sf_dir):
         "event_id", F.col("bearer_token").alias("token"), "auth_reason", "slide_ok", "slide_retry", "daily_ok", "daily_retry")
 
 
-@register("append_audit_events")
+_RECORD = "SELECT {ts} AS ts, substr(sha256(coalesce({token}, '')), 1, 16) AS session_id, {action} AS action, {model} AS model, " \
+          "{outcome} AS outcome, CAST({duration} AS BIGINT) AS duration_ms, {detail} AS detail, CAST({ts} AS DATE) AS date"
+_CALL_SQL = f"""
+{_RECORD.format(ts="ts", token="token", action="'analysis_start'", model="model", outcome="'success'", duration="NULL", detail="NULL")} FROM calls
+UNION ALL {_RECORD.format(ts="answered", token="token", action="CASE WHEN event_type <> 'error' THEN 'analysis_complete' ELSE 'analysis_failed' END", model="model",
+                          outcome="CASE WHEN event_type <> 'error' THEN 'success' ELSE 'failure' END", duration="ms",
+                          detail="CASE WHEN event_type = 'error' THEN 'upstream error' END")} FROM calls WHERE event_id % 29 <> 0 AND ms <= 3600000"""
+_CALL_CTE = """calls AS (SELECT *, ts + to_milliseconds(ms) AS answered FROM (
+  SELECT *, CASE WHEN event_id % 31 = 0 THEN 9000000 ELSE event_id * 7919 % 90000 END AS ms FROM request_log WHERE model <> ''))"""
+
+
+@register("append_audit_events", lambda: "WITH RECURSIVE " + OQ.gate_ctes(GATE_WINDOW_S, GATE_LIMIT, GATE_DAILY) + ",\nlookups AS"
+          + OQ.cache_sql().split("lookups AS", 1)[1] + f""", {_CALL_CTE},
+decided AS (SELECT r.ts, r.model, g.status, g.reason, CASE WHEN starts_with(auth_header, 'Bearer ') THEN substr(auth_header, 8) END AS token
+            FROM gate g JOIN request_log r USING (event_id)),
+looked AS (SELECT r.ts, r.token, c.key, c.hit FROM cache_replay c JOIN request_log r USING (event_id))
+{_RECORD.format(ts="ts", token="token", action="CASE status WHEN 200 THEN 'api_call' WHEN 429 THEN 'rate_limit_hit' ELSE 'api_error' END", model="model",
+                outcome="CASE status WHEN 200 THEN 'success' WHEN 429 THEN 'warning' ELSE 'failure' END", duration="NULL", detail="reason")} FROM decided
+UNION ALL {_RECORD.format(ts="ts", token="token", action="CASE WHEN hit THEN 'cache_hit' ELSE 'cache_miss' END", model="NULL", outcome="'success'", duration="NULL",
+                          detail="key")} FROM looked
+UNION ALL {_CALL_SQL}""")
 def q_append_audit_events(spark, sf_dir):
-    """Gate decisions as audit records (the streaming sink is ``STR.append_audit_events``)."""
+    """Gate decisions, cache lookups and model calls as audit records (the streaming sink is ``STR.append_audit_events``)."""
     log = RLOG.request_log(spark, sf_dir)
-    gate = QU.request_gate(log, RLOG.token_states(spark, sf_dir), window_s=GATE_WINDOW_S, limit=GATE_LIMIT,
-                           daily=GATE_DAILY)
-    return STR.audit_events(gate.join(log.select("event_id", "ts", "token", "model"), "event_id"))
+    stages = QU.gate_stages(log, RLOG.token_states(spark, sf_dir), window_s=GATE_WINDOW_S, limit=GATE_LIMIT, daily=GATE_DAILY)
+    gate = QU.gate_status(stages, keep=("ts", "bearer_token", "model")).withColumnRenamed("bearer_token", "token")
+    looked = QU.ttl_cache_replay(RLOG.cache_lookups(log)).join(log.select("event_id", "ts", "token"), "event_id")
+    return AL.gate_records(gate).unionByName(AL.cache_records(looked)).unionByName(AL.call_records(RLOG.model_calls(log), RLOG.model_answers(log)))
+
+
+@register("model_call_stream", lambda: f"WITH {RLOG.request_log_cte()}, {_CALL_CTE}{_CALL_SQL}")
+def q_model_call_stream(spark, sf_dir):
+    """A7 as a stream: starts of model calls, and ends with their durations."""
+    return STR.run_available_now(STR.model_call_stream(spark, STR.ranged_by_time(spark, sf_dir)), whole=True)

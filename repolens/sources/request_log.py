@@ -124,6 +124,21 @@ def cache_lookups(log: DataFrame) -> DataFrame:
     return log.select("event_id", "ts", "ts_ms", key.alias("key"), version.alias("version"))
 
 
+def model_calls(log: DataFrame) -> DataFrame:
+    """Calls of a model: every request whose model is named."""
+    return log.where(F.col("model") != "").select(F.col("event_id").alias("call_id"), "ts", "token", "model")
+
+
+def model_answers(log: DataFrame) -> DataFrame:
+    """Answers to calls, up to 90 seconds later: some never come, some come after hours, some are errors."""
+    e = F.col("event_id")
+    ms = F.when(e % 31 == 0, F.lit(9_000_000)).otherwise(e * 7919 % 90_000)
+    ok = F.col("event_type") != "error"
+    return log.where((F.col("model") != "") & (e % 29 != 0)).select(
+        e.alias("answer_to"), F.timestamp_micros(F.unix_micros("ts") + ms * 1000).alias("answered"), ok.alias("ok"),
+        F.when(~ok, "upstream error").alias("error"))
+
+
 # ---- DuckDB spelling ----------------------------------------------------------
 
 def _sql_case(col: str, mapping: dict, default: str) -> str:

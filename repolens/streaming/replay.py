@@ -16,7 +16,7 @@ sequential replay of the rows that are not late.
   writes the new counts of the windows it touched, and the last count of a window is its result, closed or not;
 * J5: repeated deliveries leave by ``dropDuplicatesWithinWatermark``; machine and IP couple attempts, so
   a micro-batch is decided as a log is, after the grants of earlier ones, which are a table;
-* A7: gate decisions appended as audit events, partitioned by date.
+* A7: audit records appended as JSON, partitioned by date; the start and the end of a model call meet by a stream-stream interval join.
 
 ``max_files`` or ``MAX_BYTES`` bounds a micro-batch. The registered replays (``replayed``) feed a whole table in
 the order of event time, whatever its files, and fail if Spark dropped a row as late. J1 has one key a model, which is the operator's
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from repolens.operators import audit_log as AL
 from repolens.operators import quota as QU
 from repolens.session import checkpointed, ensure_checkpoint_dir
 from repolens.sources import request_log as RL
@@ -264,16 +265,11 @@ def run_updates(df: DataFrame, key: list[str], whole: bool = False) -> DataFrame
     return rows.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*key, "last.*")
 
 
-def audit_events(decisions: DataFrame) -> DataFrame:
-    """Gate decisions as audit records (time, session, action, model, outcome, duration, detail)."""
-    action = (F.when(F.col("status") == 200, F.lit("api_call")).when(F.col("status") == 429, F.lit("rate_limit_hit"))
-              .otherwise(F.lit("api_error")))
-    outcome = (F.when(F.col("status") == 200, F.lit("success")).when(F.col("status") == 429, F.lit("warning"))
-               .otherwise(F.lit("failure")))
-    return decisions.select(
-        F.col("ts"), F.substring(F.sha2(F.coalesce("token", F.lit("")), 256), 1, 16).alias("session_id"),
-        action.alias("action"), "model", outcome.alias("outcome"), F.lit(None).cast("bigint").alias("duration_ms"),
-        F.col("reason").alias("detail"), F.to_date("ts").alias("date"))
+def model_call_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 hour", max_files: int | None = None) -> DataFrame:
+    """A7 streaming: starts and ends of model calls; the answers are a stream of their own with its own watermark."""
+    calls = RL.model_calls(request_stream(spark, sf_dir, watermark, max_files))
+    answers = RL.model_answers(RL.derive_request_log(event_stream(spark, sf_dir, max_files=max_files)))
+    return AL.call_records(calls, answers.withWatermark("answered", watermark))
 
 
 def append_audit_events(events: DataFrame, path: str, checkpoint: str):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from repolens.operators import audit_log as AL
 from repolens.operators import quota as QU
 from repolens.sources import request_log as RL
 from repolens.streaming import gate as GA
@@ -84,7 +85,7 @@ def test_audit_sink_appends_by_date(spark, tmp_path):
     stream = ST.request_stream(spark, parts(tmp_path, late=False), max_files=2)
     decided = stream.select("ts", "token", "model", F.when(F.col("sig_ok"), 200).otherwise(401).alias("status"),
                             F.when(F.col("sig_ok"), "forwarded").otherwise("invalid_signature").alias("reason"))
-    query = ST.append_audit_events(ST.audit_events(decided), str(tmp_path / "audit"), str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    query = ST.append_audit_events(AL.gate_records(decided), str(tmp_path / "audit"), str(tmp_path / "ckpt")).trigger(availableNow=True).start()
     query.awaitTermination()
     out = spark.read.json(str(tmp_path / "audit"))
     log = RL.request_log(spark, SMALL)
@@ -136,6 +137,16 @@ def test_gate_state_is_forgotten_but_bindings_stay(spark, tmp_path):
     assert got == [(None, True, None), (None, False, 30), (None, True, None), ("machine_mismatch", None, None)]
 
 
+def test_model_calls_meet_their_answers_over_many_batches(spark, tmp_path):
+    folder = parts(tmp_path, late=False)
+    got = ST.run_available_now(ST.model_call_stream(spark, folder, max_files=1), whole=True)
+    log = RL.request_log(spark, SMALL)
+    want = AL.call_records(RL.model_calls(log), RL.model_answers(log))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    ends = got.where("duration_ms is not null")
+    assert {r.action for r in ends.collect()} == {"analysis_complete", "analysis_failed"} and ends.agg(F.max("duration_ms")).first()[0] < 90_000
+
+
 def test_registration_stream_of_many_batches_equals_batch(spark, tmp_path):
     folder = parts(tmp_path, late=False)
     requests = ST.request_stream(spark, folder, max_files=1)
