@@ -1,10 +1,13 @@
 """Scores of whole documents under a gated recurrent language model learnt from the table.
 
 1. Words of all training documents are counted (tasks count, Spark sums).
-2. The model (``gru``) starts on one bounded sample of ``SAMPLE_DOCS`` training
-   documents, then every partition goes on from there over all its training documents,
-   state carried through each, and the weights are averaged, by tokens.
-3. Every document is scored whole, state carried through all its windows. Words
+2. Every document is encoded once, as 16-bit numbers of the model's words, into the checkpoint folder.
+3. The model (``gru``) starts on one bounded sample of ``SAMPLE_DOCS`` training
+   documents, ended after ``SAMPLE_TOKENS`` tokens. Then all training documents are dealt by a hash of
+   id and words to parts of about ``PART_TOKENS`` tokens, whatever the table's files. Every part
+   goes on from there over all its documents, state carried through each, lanes kept full from document to document,
+   and the weights are averaged, by tokens.
+4. Every document is scored whole, state carried through all its windows. Words
    beyond the model's own have the probability of their class times their
    share of it by counts, ``(c + 0.1) / Z``, so probabilities of all words sum to one.
 
@@ -20,6 +23,8 @@ counts are 0. Further columns are ignored.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,9 +36,10 @@ from .common import ascii_words, commonest, hash_sample, saved, word_counts
 ADDED = 0.1
 LOCAL_WORDS = 200_000
 SAMPLE_DOCS, SAMPLE_TOKENS, EPOCHS, RATE = 1500, 500_000, 3, 0.01
-PASS_RATE, GROUP = 0.002, 500
+PASS_RATE, PASS_LANES, PART_TOKENS = 0.004, 256, 4_000_000
+GROUP, GROUP_TOKENS = 2000, 1_000_000  # documents and tokens that a task feeds or scores at a time
 CHUNKS = 64
-SCORED = ("n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>")
+ENCODED = "n_tokens long, n_known long, base double, far double, ids binary, words array<binary>, times array<int>"
 
 
 class Vocabulary:
@@ -51,8 +57,7 @@ class Vocabulary:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Places among the commonest words, -1 for others."""
-        get = self.number.get
-        return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         """The model's numbers, with the end mark."""
@@ -61,41 +66,86 @@ class Vocabulary:
         return ids
 
 
-def trained(train: DataFrame, vocabulary: Vocabulary, key: Column) -> dict[str, np.ndarray]:
-    """Weights: a start on the bounded sample, then the mean of every partition's own steps."""
+def groups(ids: list[bytes]):
+    """Encoded documents in groups of bounded numbers of documents and tokens (a longer document alone)."""
+    held, size = [], 0
+    for x in ids:
+        if held and (len(held) >= GROUP or size + len(x) > 2 * GROUP_TOKENS):
+            yield held
+            held, size = [], 0
+        held.append(np.frombuffer(x, np.int16).astype(np.int32))
+        size += len(x)
+    if held:
+        yield held
+
+
+def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(row, d, held_out, ENCODED), saved: counts, base score and model numbers of every text ``t``; words that the tasks don't know."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    known_end = int(vocabulary.ends > 0)
+
+    def coded(batches):
+        v = shared.value
+        base_end = np.log10((v.ends + ADDED) / v.whole)
+        log_count = np.log10(v.counts + ADDED) if len(v.counts) else np.zeros(1)
+        log_whole, log_other = np.log10(v.whole), np.log10(v.other)
+        for batch in batches:
+            ids, sums, rest = [], [], []
+            for text in batch.column("t"):
+                words = ascii_words(text.as_py())
+                at = v.numbers(words)
+                ids.append(v.ids(at).astype(np.int16).tobytes())
+                here = at[at >= 0]
+                far = here[here >= gru.END]
+                sums.append((len(words) + 1, len(here) + known_end, log_count[here].sum() - len(here) * log_whole + base_end,
+                             log_count[far].sum() - len(far) * log_other))
+                missing = {}
+                if len(here) < len(words):
+                    for i in np.flatnonzero(at < 0).tolist():
+                        missing[words[i]] = missing.get(words[i], 0) + 1
+                rest.append(missing)
+            n, known, base, far = zip(*sums) if sums else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("d"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                pa.array(far, pa.float64()), pa.array(ids, pa.binary()), pa.array([list(m) for m in rest], pa.list_(pa.binary())),
+                pa.array([list(m.values()) for m in rest], pa.list_(pa.int32()))],
+                ["d", "held_out", "n_tokens", "n_known", "base", "far", "ids", "words", "times"])
+
+    kind = rows.schema["d"].dataType.simpleString()
+    return saved(rows.mapInArrow(coded, f"d {kind}, held_out boolean, {ENCODED}").withColumn("row", F.monotonically_increasing_id()))
+
+
+def trained(train: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """Weights from encoded documents (d, ids): a start on the bounded sample, then the mean of every part's own steps."""
     spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast(vocabulary.starts)
 
     def first(batches):
         documents, tokens = [], 0
         for batch in batches:
-            for text in batch.column("t").to_pylist():
+            for x in batch.column("ids").to_pylist():
                 if tokens < SAMPLE_TOKENS:
-                    documents.append(shared.value.ids(shared.value.numbers(ascii_words(text))))
+                    documents.append(np.frombuffer(x, np.int16).astype(np.int32))
                     tokens += len(documents[-1])
-        trainer = gru.Trainer(gru.started(shared.value.starts), RATE)
+        trainer = gru.Trainer(gru.started(shared.value), RATE)
         for _ in range(EPOCHS):
             trainer.learn(documents)
             trainer.rate /= 2
-        yield pa.RecordBatch.from_arrays([pa.array([gru.packed(trainer.p).tobytes()], pa.binary())], ["weights"])
+        yield pa.RecordBatch.from_arrays([pa.array([trainer.flat.tobytes()], pa.binary())], ["weights"])
 
-    sample = hash_sample(train.withColumn("h", F.xxhash64(key, "t")), "h", SAMPLE_DOCS).coalesce(1)
-    rows = sample.mapInArrow(first, "weights binary").collect()
+    train = train.withColumn("h", F.xxhash64("d", "ids"))
+    rows = hash_sample(train, "h", SAMPLE_DOCS).coalesce(1).mapInArrow(first, "weights binary").collect()
     start = np.frombuffer(rows[0].weights, np.float32) if rows else gru.packed(gru.started(vocabulary.starts))
     begin = spark.sparkContext.broadcast(start)
 
     def more(batches):
-        trainer = gru.Trainer(gru.unpacked(begin.value.copy()), PASS_RATE)
-        held: list[np.ndarray] = []
+        trainer = gru.Trainer(gru.unpacked(begin.value.copy()), PASS_RATE, PASS_LANES)
         for batch in batches:
-            for text in batch.column("t").to_pylist():
-                held.append(shared.value.ids(shared.value.numbers(ascii_words(text))))
-                if len(held) >= GROUP:
-                    trainer.learn(held)
-                    held = []
-        trainer.learn(held)
+            for documents in groups(batch.column("ids").to_pylist()):
+                trainer.feed(documents)
+        trainer.feed([], True)
         if trainer.tokens:
-            for i, part in enumerate(np.array_split(gru.packed(trainer.p).astype(float) * trainer.tokens, CHUNKS)):
+            for i, part in enumerate(np.array_split(trainer.flat.astype(float) * trainer.tokens, CHUNKS)):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([trainer.tokens], pa.int64()), pa.array([part.tobytes()], pa.binary())],
                                                  ["chunk", "tokens", "part"])
 
@@ -109,7 +159,8 @@ def trained(train: DataFrame, vocabulary: Vocabulary, key: Column) -> dict[str,
         for i, (n, total) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([(total / n).tobytes()], pa.binary())], ["chunk", "mean"])
 
-    means = train.mapInArrow(more, "chunk int, tokens long, part binary").repartition("chunk").mapInArrow(summed, "chunk int, mean binary")
+    dealt = train.repartition(max(1, -(-vocabulary.tokens // PART_TOKENS)), "h").sortWithinPartitions("h")
+    means = dealt.select("ids").mapInArrow(more, "chunk int, tokens long, part binary").repartition("chunk").mapInArrow(summed, "chunk int, mean binary")
     parts = {r.chunk: np.frombuffer(r.mean) for r in means.collect()}  # CHUNKS rows of a fixed size
     return gru.unpacked(np.concatenate([parts[i] for i in range(CHUNKS)]) if parts else start)
 
@@ -118,45 +169,22 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("d"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("binary").alias("t"))
-    train = rows.where(~F.col("held_out")).select("d", "t")
+    train = rows.where(~F.col("held_out"))
     counts = saved(word_counts(train.select("t")))
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = commonest(counts, LOCAL_WORDS)
     vocabulary = Vocabulary(top, tokens, types, train.count())
-    weights = trained(train, vocabulary, F.col("d"))
-    shared, model = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(gru.packed(weights))
-    known_end = int(vocabulary.ends > 0)
+    parts = encoded(rows, vocabulary)
+    weights = trained(parts.where(~F.col("held_out")).select("d", "ids"), vocabulary)
+    model = spark.sparkContext.broadcast(gru.packed(weights))
 
     def scored(batches):
-        p, v = gru.unpacked(model.value), shared.value
-        base_end = np.log10((v.ends + ADDED) / v.whole)
-        log_count = np.log10(v.counts + ADDED) if len(v.counts) else np.zeros(1)
-        log_whole, log_other = np.log10(v.whole), np.log10(v.other)
+        p = gru.unpacked(model.value)
         for batch in batches:
-            ids, sums, rest = [], [], []
-            for t in batch.column("t").to_pylist():
-                words = ascii_words(t)
-                at = v.numbers(words)
-                ids.append(v.ids(at))
-                here = at[at >= 0]
-                far = here[here >= gru.END]
-                sums.append((len(words) + 1, len(here) + known_end, log_count[here].sum() - len(here) * log_whole + base_end,
-                             log_count[far].sum() - len(far) * log_other))
-                missing = {}
-                if len(here) < len(words):
-                    for i in np.flatnonzero(at < 0).tolist():
-                        missing[words[i]] = missing.get(words[i], 0) + 1
-                rest.append(missing)
-            model_score = gru.score(p, ids) / np.log(10)
-            n, known, base, far = zip(*sums) if sums else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([
-                batch.column("d"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                pa.array(model_score + np.array(far), pa.float64()), pa.array([list(m) for m in rest], pa.list_(pa.binary())),
-                pa.array([list(m.values()) for m in rest], pa.list_(pa.int32()))],
-                ["d", "held_out", "n_tokens", "n_known", "base", "score", "words", "times"])
+            sums = [gru.score(p, documents) for documents in groups(batch.column("ids").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(sums) / np.log(10) if sums else [], pa.float64())],
+                                             ["row", "log"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    parts = saved(rows.mapInArrow(scored, f"d {kind}, held_out boolean, {SCORED}").withColumn("row", F.monotonically_increasing_id()))
     rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
     found = rare.join(counts.where(F.lit(True)).withColumnRenamed("word", "words"), "words", "left")
     c = F.coalesce("c", F.lit(0))
@@ -165,7 +193,8 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
         F.sum(F.log10((c + ADDED) / F.lit(float(vocabulary.whole))) * F.col("times")).alias("b"),
         F.sum(F.log10((c + ADDED) / F.lit(float(vocabulary.other))) * F.col("times")).alias("s"))
     zero = F.lit(0)
-    return parts.drop("words", "times").join(sums, "row", "left").select(
+    by_model = parts.select("row", "ids").mapInArrow(scored, "row long, log double")
+    return parts.drop("words", "times", "ids").join(by_model, "row").join(sums, "row", "left").select(
         F.col("d").alias(doc_id), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", zero)).alias("n_known"),
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("s", zero)).alias("score"))
+        (F.col("log") + F.col("far") + F.coalesce("s", zero)).alias("score"))

@@ -49,7 +49,7 @@ def test_gradients():
     docs = [np.append(rng.integers(0, gru.WORDS + 1, n), gru.END).astype(np.int32) for n in (4, 8, 2)]
     inputs, targets, reset, lengths = gru.streams(docs, gru.lanes(docs, 2))
     weight = (np.arange(inputs.shape[1])[None] < lengths[:, None]).T
-    at = lambda q: gru.gradients(q, inputs.T, targets.T, reset.T, weight, np.zeros((2, gru.HIDDEN)))
+    at = lambda q: gru.gradients(q, inputs.T, targets.T, reset.T, weight, np.zeros((gru.HIDDEN, 2)))
     g = at(p)[0]
     for k in gru.SHAPES:
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
@@ -101,9 +101,9 @@ def test_edge_rows(spark):
 def test_every_training_document_moves_the_weights(spark, monkeypatch):
     monkeypatch.setattr(lm, "SAMPLE_DOCS", 1)  # the start sees hardly any
     words = [b"own%d" % i for i in range(40)]
-    train = spark.createDataFrame([(i, w + b" and " + w) for i, w in enumerate(words)], "d long, t binary").repartition(2)
+    train = spark.createDataFrame([(i, w + b" and " + w, False) for i, w in enumerate(words)], "d long, t binary, held_out boolean").repartition(2)
     vocabulary = lm.Vocabulary([(b"and", 40), *((w, 2) for w in words)], 120, 41, 40)
-    before, after = gru.started(vocabulary.starts)["embed"], lm.trained(train, vocabulary, F.col("d"))["embed"]
+    before, after = gru.started(vocabulary.starts)["embed"], lm.trained(lm.encoded(train, vocabulary).select("d", "ids"), vocabulary)["embed"]
     seen = [vocabulary.number[w] for w in words]  # only a step over a word as an input moves its row
     assert (before[seen] != after[seen]).any(1).all()
 
@@ -115,6 +115,24 @@ def test_training_carries_the_state_through_a_long_document():
     assert abs(gru.Trainer(p, 0.0).learn(docs) * sum(map(len, docs)) + gru.score(p, docs).sum()) < 0.02
 
 
+def test_scores_do_not_depend_on_the_files(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PART_TOKENS", 20_000)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    scores = lambda df: {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") % 10 == 0).collect()}
+    whole, dealt = scores(docs.coalesce(1)), scores(docs.repartition(7, F.rand(1)))
+    assert all(abs(s - dealt[d]) < 1e-6 * abs(s) for d, s in whole.items())
+
+
+def test_lanes_go_on_across_calls():
+    rng = np.random.default_rng(4)
+    p = {k: v + rng.normal(0, 1 if k in ("class_w", "word_w") else 0.3, v.shape).astype(np.float32) for k, v in gru.started(np.ones(gru.WORDS + 1)).items()}
+    docs = [rng.integers(0, gru.WORDS + 1, n).astype(np.int32) for n in (700, 90, 1, 33, 64, 250, 12, 12, 400)]
+    trainer = gru.Trainer(p, 0.0, 3)
+    lost = [trainer.feed(docs[a:a + 2])[0] for a in range(0, len(docs), 2)] + [trainer.feed([], True)[0]]
+    assert trainer.tokens == sum(map(len, docs)) and trainer.feed([], True) == (0.0, 0)
+    assert abs(sum(lost) + gru.score(p, docs).sum()) < 0.05  # each document begins anew and is seen whole
+
+
 def test_memory_of_scoring_follows_the_tokens():
     import tracemalloc
 
