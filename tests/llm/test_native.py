@@ -1,9 +1,11 @@
 """Sharding and mixing: laws, reproducibility, edge rows and no Python in the plan."""
 
 import math
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from repolens.llm import mixing, queries, sharding
@@ -32,6 +34,34 @@ def test_permutation_of_every_size(spark, n):
     assert len(rows) == n
 
 
+def plain_position(x, n, seed=20240501):
+    """The permutation in plain Python: rounds on the two digits of a number in base b, again while it lies outside."""
+    def h(i, v):
+        out = 42
+        for packed in (struct.pack("<q", seed), struct.pack("<i", i), struct.pack("<q", v)):
+            out = xxhash.xxh64_intdigest(packed, out)
+        return out - 2**64 if out >= 2**63 else out
+
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    while True:
+        left, right = divmod(x, b)
+        for i in range(1, sharding.ROUNDS + 1):
+            if i % 2:
+                left = (left + h(i, right) % a) % a
+            else:
+                right = (right + h(i, left) % b) % b
+        x = left * b + right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 150, 1000])
+def test_positions_against_a_plain_permutation(spark, n):
+    for r in placed(spark.range(n).toDF("doc_id"), 8):
+        assert r.position == plain_position(r.row_no, n) and (r["shard"], r.slot) == (r.position % 8, r.position // 8)
+
+
 def test_reproducible_whatever_the_partitions(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     one = {r.doc_id: r.position for r in placed(docs)}
