@@ -7,7 +7,7 @@ shuffle, so the aggregations below move a handful of integers per file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.functions import paths as P
@@ -16,8 +16,8 @@ from repolens.operators.stack import MANIFESTS
 from repolens.sources.corpus import repo_files
 
 
-def file_facts(files: DataFrame) -> DataFrame:
-    """One row per file: walk flags plus the content measures (no content)."""
+def file_facts(files: DataFrame, **more: Column) -> DataFrame:
+    """One row per file: walk flags plus the content measures (no content), and the columns ``more`` of the input."""
     path, content = F.col("path"), F.col("content")
     ext = P.extension(path)
     df = files.select(
@@ -29,6 +29,7 @@ def file_facts(files: DataFrame) -> DataFrame:
         P.is_test_complexity(path).alias("is_test_cx"),
         P.is_css_module_candidate(path).alias("css_module"),
         content,
+        *[c.alias(n) for n, c in more.items()],
     )
     ext = F.col("ext")
     readable = (F.col("kept") & P.is_code_ext(ext) & content.isNotNull()
@@ -44,6 +45,7 @@ def file_facts(files: DataFrame) -> DataFrame:
         F.when(readable, X.route_count(content)).alias("routes"),
         F.when(readable, (X.decision_count(content) + 1)).alias("complexity"),
         F.when(readable, X.function_count(content)).alias("functions"),
+        *more,
     )
 
 

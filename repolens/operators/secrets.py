@@ -56,27 +56,28 @@ def line_findings(lines: DataFrame, text_col: str = "line") -> DataFrame:
             .select(*cols, "h.type", "h.severity", "h.match", F.col("h.ord").alias("pattern_ord")))
 
 
+def is_scanned() -> Column:
+    """Files that the secret scan reads: walked, no test by either predicate, read and not over the size cap."""
+    path = F.col("path")
+    return (P.is_kept(path) & ~P.is_test_walk(path) & ~P.is_test_complexity(path)
+            & F.col("content").isNotNull() & (F.col("size") <= P.MAX_FILE_SIZE))
+
+
 def scan_secrets(files: DataFrame) -> DataFrame:
     """C6 over the walked files: ``(repo_id, path, line, type, severity, match)``.
 
     Test files (either test predicate), files over the size cap and unreadable
     files are skipped, as are comment lines and scanner-definition lines.
     """
-    path, content = F.col("path"), F.col("content")
-    scanned = files.where(P.is_kept(path) & ~P.is_test_walk(path) & ~P.is_test_complexity(path)
-                          & content.isNotNull() & (F.col("size") <= P.MAX_FILE_SIZE)
-                          & content.rlike(ANY_PATTERN))
-    lines = scanned.select("repo_id", "path", F.posexplode(F.split(content, "\n")).alias("pos", "line"))
+    scanned = files.where(is_scanned() & F.col("content").rlike(ANY_PATTERN))
+    lines = scanned.select("repo_id", "path", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
     lines = lines.select("repo_id", "path", (F.col("pos") + 1).cast("int").alias("line_no"), "line")
     return line_findings(lines).withColumnRenamed("line_no", "line")
 
 
 def files_scanned(files: DataFrame) -> DataFrame:
     """Per repository, how many files the secret scan read."""
-    path = F.col("path")
-    ok = (P.is_kept(path) & ~P.is_test_walk(path) & ~P.is_test_complexity(path)
-          & F.col("content").isNotNull() & (F.col("size") <= P.MAX_FILE_SIZE))
-    return files.groupBy("repo_id").agg(F.count_if(ok).cast("bigint").alias("files_scanned"))
+    return files.groupBy("repo_id").agg(F.count_if(is_scanned()).cast("bigint").alias("files_scanned"))
 
 
 # ---------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from repolens.operators import files as FF
@@ -234,6 +236,52 @@ FROM audit_base WHERE format = 'v6' OR l_returnflag IN ('R', 'N')""")
 def q_audit_advisories(spark, sf_dir):
     return AU.audit_advisories(AU.parse_audit(AU.derive_audit_reports(spark, sf_dir)))
 
+# --------------------------------------------------------------------------- long form and quarantine
+from repolens.operators import catalog as CAT  # noqa: E402
+from repolens.session import checkpointed, ensure_checkpoint_dir  # noqa: E402
+from repolens.sources import quarantine as QN  # noqa: E402
+
+
+def _sql_rows(rows) -> str:
+    cell = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, (bool, int)) else TX.sql_str(v)
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
+# An order stands for a repository, its parts for dependencies: two of three parts have a name of the catalogue.
+_NAMES = [r[3] for r in CAT.node_catalog_rows()]
+_DETECT_SQL = f"""catalog(ord, facet, label, dependency, dev_only, suppressed_by) AS (VALUES {_sql_rows(CAT.node_catalog_rows())}),
+hits AS (SELECT DISTINCT d.repo_id, c.facet, c.ord, c.label, c.suppressed_by FROM deps d JOIN catalog c USING (dependency) WHERE d.dev OR NOT c.dev_only)
+SELECT repo_id, facet, ord, label FROM hits h
+WHERE NOT EXISTS (SELECT 1 FROM deps d WHERE d.repo_id = h.repo_id AND d.dependency = h.suppressed_by)"""
+
+
+@register("dependency_stack", lambda: f"""WITH deps AS (
+  SELECT l_orderkey AS repo_id, l_returnflag = 'R' AS dev,
+    CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE ([{', '.join(TX.sql_str(n) for n in _NAMES)}])[p_partkey % {len(_NAMES)} + 1] END AS dependency
+  FROM lineitem JOIN part ON p_partkey = l_partkey), {_DETECT_SQL}""")
+def q_dependency_stack(spark, sf_dir):
+    """D1-D8 over a dependency inventory (``lineitem`` x ``part``) with the catalogue as a table."""
+    lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_returnflag"])
+    parts = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
+    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(
+        F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("p_partkey") % len(_NAMES) + 1).cast("int")))
+    deps = lines.join(parts, F.col("p_partkey") == F.col("l_partkey")).select(
+        F.col("l_orderkey").alias("repo_id"), name.alias("dependency"), (F.col("l_returnflag") == "R").alias("dev"))
+    return CAT.detect(deps, CAT.node_catalog(spark))
+
+
+@register("quarantine_audits", lambda: f"""SELECT CASE WHEN l_orderkey % {AU.BROKEN_EVERY} = 0 THEN 'rejected' ELSE 'accepted' END AS sink,
+  CASE WHEN l_orderkey % {AU.BROKEN_EVERY} = 0 THEN 'unparsable' END AS reject_reason, count(DISTINCT l_orderkey) AS reports
+FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
+def q_quarantine_audits(spark, sf_dir):
+    """A2: audit reports written to an accepted and a rejected sink, read back."""
+    reports = AU.derive_audit_reports(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/quarantine-{uuid.uuid4().hex}"
+    QN.quarantine(reports, F.when(F.try_parse_json("audit_json").isNull(), F.lit("unparsable")), path)
+    sinks = [QN.read(spark, path, s, reports.schema).select(F.lit(s).alias("sink"), "reject_reason") for s in (QN.ACCEPTED, QN.REJECTED)]
+    return sinks[0].unionByName(sinks[1]).groupBy("sink", "reject_reason").agg(F.count("*").alias("reports"))
+
+
 # --------------------------------------------------------------------------- request log replay
 from repolens.operators import quota as QU  # noqa: E402
 from repolens.oracle import quota_sql as OQ  # noqa: E402
@@ -372,6 +420,7 @@ def q_registration_limit(spark, sf_dir):
 # --------------------------------------------------------------------------- AI batch tables
 from repolens.operators import ai as AI  # noqa: E402
 from repolens.operators import normalise as NO  # noqa: E402
+from repolens.operators import store as STORE  # noqa: E402
 
 
 def _summary_sql() -> str:
@@ -427,7 +476,8 @@ def q_analysis_requests(spark, sf_dir):
 
 
 def _responses(spark, sf_dir):
-    return AI.derive_ai_responses(spark, sf_dir)
+    """The recorded responses, written once as a recorded table would be."""
+    return checkpointed(AI.derive_ai_responses(spark, sf_dir))
 
 
 @register("reasoning_requests")
@@ -441,16 +491,15 @@ def q_reasoning_requests(spark, sf_dir):
 
 @register("security_requests")
 def q_security_requests(spark, sf_dir):
-    files = repo_files(spark, sf_dir)
-    prof, summ = _summaries(spark, sf_dir)
+    store = STORE.persist(repo_files(spark, sf_dir))
+    summ = AI.project_summary(store.profile)
     # the audit runs only where a root package-lock.json exists (A2)
-    with_lock = ST.repo_markers(FF.corpus_facts(spark, sf_dir)).where(F.col(ST.marker_col("package-lock.json"))) \
-        .select("repo_id")
+    with_lock = ST.repo_markers(store.files).where(F.col(ST.marker_col("package-lock.json"))).select("repo_id")
     audit = AU.audit_rollup(AU.parse_audit(AU.derive_audit_reports(spark, sf_dir))).join(with_lock, "repo_id", "left_semi")
-    secrets = SC.scan_secrets(files).groupBy("repo_id").agg(F.count(F.lit(1)).alias("secret_findings"))
-    top = CX.high_complexity_files(FF.file_facts(files), 5).groupBy("repo_id").agg(
+    secrets = store.secrets.groupBy("repo_id").agg(F.count(F.lit(1)).alias("secret_findings"))
+    top = CX.high_complexity_files(store.files, 5).groupBy("repo_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("top_files"))
-    return AI.security_requests(prof, summ, audit, secrets, top, SC.is_non_http(F.col("project_type")))
+    return AI.security_requests(store.profile, summ, audit, secrets, top, SC.is_non_http(F.col("project_type")))
 
 
 @register("deployment_requests", lambda: f"""WITH {OP.profile_ctes()}, {_summary_sql()}
@@ -598,14 +647,13 @@ REPORT_TIME = "2024-01-31T00:00:00.000Z"  # after the last event of the tables
 
 def _report(spark, sf_dir):
     """The whole report of every repository, before its mode is applied."""
-    files = repo_files(spark, sf_dir)
-    facts, responses = FF.file_facts(files), _responses(spark, sf_dir)
-    prof = repo_profile(spark, sf_dir)
+    store, responses = STORE.persist(repo_files(spark, sf_dir)), _responses(spark, sf_dir)
+    facts, prof = store.files, store.profile
     with_lock = ST.repo_markers(facts).where(F.col(ST.marker_col("package-lock.json"))).select("repo_id")
     audit = AU.parse_audit(AU.derive_audit_reports(spark, sf_dir)).join(with_lock, "repo_id", "left_semi")
-    parts = RP.report_parts(FF.files_by_extension_map(facts), AU.audit_rollup(audit), AU.audit_advisories(audit), SC.scan_secrets(files),
-                            SC.files_scanned(files), CX.high_complexity_files(facts, 10))
-    res = RU.rule_results(prof)
+    parts = RP.report_parts(FF.files_by_extension_map(facts), AU.audit_rollup(audit), AU.audit_advisories(audit), store.secrets,
+                            store.scanned(), CX.high_complexity_files(facts, 10))
+    res = checkpointed(RU.rule_results(prof))
     ai = {k: AI.accepted(responses, k).select("repo_id", "scan_id", f(F.col("content")).alias(k)) for k, f in (
         ("reasoning", AI.normalize_reasoning), ("security", AI.normalize_security), ("deployment", AI.normalize_deployment))}
     merged = AI.merged_suggestions(res, responses)

@@ -66,3 +66,25 @@ def test_request_gate_reads_the_log_twice(spark, monkeypatch):
     assert final.count("Exchange hashpartitioning") <= 6
     for name in ("user_agent", "auth_header", "signature", "client_ts"):
         assert name not in final
+
+
+def test_reports_read_the_documents_twice_and_the_profile_without_an_exchange(spark, monkeypatch):
+    from repolens.operators import store as STORE
+    from repolens.plans import queries as Q
+    from repolens.session import configure
+
+    plans, whole = [], STORE.checkpointed
+    monkeypatch.setattr(STORE, "checkpointed", lambda df: plans.append(_plan(df)) or whole(df))
+    report = _plan(Q._report(configure(spark), SMALL))
+    scans = lambda plan: [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "documents.parquet" in ln]
+    assert [len(scans(p)) for p in plans] == [1, 1] and not scans(report)
+    assert len(report) < 100_000 and "Bucketed: true" in report
+
+    store = STORE.persist(Q.repo_files(spark, SMALL), buckets=4)
+    own = store.profile.select("repo_id", "file_count")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = _plan(own.join(store.profile.select("repo_id", "project_type"), "repo_id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in joined and "SortMergeJoin" in joined
