@@ -8,7 +8,8 @@ check digit, octets, marks, neighbours) score a segment for its type, and a
 dynamic program over token positions chooses boundaries and types jointly;
 text outside segments scores zero. It is trained here, by gradient steps on the
 conditional likelihood, on a bounded sample of stretches whose labels are the base
-patterns, also in other spellings (``SAMPLE`` stretches in hash order). Spans that it adds never
+patterns, also in other spellings (``SAMPLE`` stretches in hash order, none of more than ``SAMPLE_SEGMENTS`` candidates; the
+found field is applied to stretches of any length). Spans that it adds never
 replace a base span.
 
 Null texts are empty; very long texts are scanned whole, in time linear in
@@ -167,7 +168,7 @@ def stretches(text: str) -> list[list[tuple[int, int, int, list[int]]]]:
             if not after or not after[0]:
                 continue
             s = m.start()
-            while s and text[s - 1] in LOCAL and m.start() - s < 64:
+            while s and text[s - 1] in LOCAL:
                 s -= 1
             if s < m.start() and (text[m.start():m.end()].strip() == "@" or re.search(r"\bdot\b", after[0], re.I) or "(" in m[0] or "[" in m[0] or "{" in m[0]):
                 found.append((s, after.end(), 0, email_features(text, s, after.end(), m.span())))

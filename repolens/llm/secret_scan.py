@@ -14,7 +14,7 @@ names are not; other candidates have no label and are left to the forest. Which
 label came from is no feature.
 
 Null and empty texts have no candidates; very long texts are scanned whole; equal texts
-of one path get equal findings; a null path is its own path; repeated rows get a row
+of one path get equal findings; a null path counts as the empty one; repeated rows get a row
 each; without findings of both labels all candidates are kept (score 1). An empty table gives an empty result; further columns are ignored.
 """
 
@@ -23,6 +23,8 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "a
 EXAMPLE_WORDS = ("example", "sample", "dummy", "test", "placeholder", "changeme", "xxxx", "todo")
 #: Formats of well-known keys, for labels only.
 FORMATS = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk)[-_](?:live_|test_)?[A-Za-z0-9]{20,}|gsk_[A-Za-z0-9]{20,}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abpr]-[A-Za-z0-9-]{10,}")
-DICTIONARY = 20_000
+DICTIONARY, LONGEST = 20_000, 24  # words, and bytes of a word at most
 TRAIN_ROWS, TREES, DEPTH, LEAF = 8000, 40, 10, 4
 KEEP = 0.5
 N_PATHS, N_NEIGHBOURS = 4, 8
@@ -65,10 +67,28 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+NEIGHBOUR = re.compile(r"[^\W\d]+")
+
+
+@lru_cache(maxsize=2)
+def word_places(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the words of a text, found once for all its candidates."""
+    spans = [m.span() for m in NEIGHBOUR.finditer(text)]
+    return [a for a, _ in spans], [b for _, b in spans]
+
+
 def around(text: str, a: int, b: int) -> tuple[str, list[str], list[str]]:
-    """The line's part before the candidate, and the two words before and behind it."""
-    before, after = text[max(0, a - 80):a], text[b:b + 80]
-    return before, re.findall(r"[^\W\d]+", before.lower())[-2:], re.findall(r"[^\W\d]+", after.lower())[:2]
+    """What stands right before the candidate (its end, from the last character that isn't blank on), and the two whole words
+    before and behind it, however long or far away."""
+    k = a
+    if k and text[k - 1] in "\"'":
+        k -= 1
+    while k and text[k - 1].isspace():
+        k -= 1
+    starts, ends = word_places(text)
+    n, m = bisect_left(starts, a), bisect_right(ends, b)
+    left = [text[starts[i]:min(ends[i], a)].lower() for i in range(max(0, n - 2), n)]
+    return text[max(0, k - 1):a], left, [text[max(starts[i], b):ends[i]].lower() for i in range(m, min(m + 2, len(ends)))]
 
 
 def features(text: str, path: str, a: int, b: int, transitions: np.ndarray, dictionary: dict[bytes, int]) -> list[float]:
@@ -78,7 +98,7 @@ def features(text: str, path: str, a: int, b: int, transitions: np.ndarray, dict
     lower = raw.lower()
     covered, i = 0, 0
     while i < len(lower):  # greedy cover by dictionary words of four letters or more
-        for size in range(min(12, len(lower) - i), 3, -1):
+        for size in range(min(LONGEST, len(lower) - i), 3, -1):
             if lower[i:i + size] in dictionary:
                 covered += size
                 i += size

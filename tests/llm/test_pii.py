@@ -89,3 +89,9 @@ def test_edge_rows(spark):
     out = pii.find(docs).collect()
     assert len(out) == docs.count() and all(r.spans == "" for r in out)
     assert pii.find(edge_docs(spark, [])).count() == 0
+
+
+def test_long_local_parts_are_not_cut():
+    name = "a" * 200
+    found = pii.stretches(f"write to {name} [at] example [dot] org now")
+    assert [(c[0], c[2]) for s in found for c in s] == [(9, 0)]

@@ -65,3 +65,18 @@ def test_features_read_the_whole_candidate():
     steps = [table[a * 256 + b] for a, b in zip((head + key).encode(), (head + key).encode()[1:])]
     assert abs(mixed[mean] - np.mean(steps)) < 1e-9 and mixed[least] == min(steps)
     assert abs(mixed[piece] - min(np.mean(steps[i:i + 32]) for i in range(len(steps) - 31))) < 1e-9
+
+
+def test_neighbours_are_whole_words_however_long():
+    long = "x" * 300
+    text = f"first {long} {' ' * 200}= 'KEY' {long}yz second third"
+    a = text.index("KEY")
+    before, left, right = secret_scan.around(text, a, a + 3)
+    assert before == "= '" and left == ["first", long] and right == [long + "yz", "second"]
+    assert secret_scan.around("KEY", 0, 3) == ("", [], [])
+
+
+def test_cover_takes_long_dictionary_words():
+    table = np.full(secret_scan.CELLS, -4.0)
+    word = "internationalization"
+    assert secret_scan.features(word, "", 0, 20, table, {word.encode(): 0})[10] == 1.0
