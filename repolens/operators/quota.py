@@ -245,19 +245,22 @@ GATE_COLUMNS = ("event_id", "ts", "ts_ms", "sec", "machine_id", "body_bytes", "b
 def gate_checks(log: DataFrame, min_version: str = MIN_VERSION) -> DataFrame:
     """The checks that need one request alone (J8, J10, formats), on a batch or a stream, with the columns that later gates read."""
     bearer = F.col("auth_header").startswith("Bearer ")
-    token = F.when(bearer, F.substr(F.col("auth_header"), F.lit(8)))
-    sig_reason = clock_skew_reason(F.col("client_ts"), F.col("signature"), F.col("sec"), F.col("sig_ok"))
-    pre = (F.when((F.col("method") != "POST") | (F.col("route") != "/v1/compute"), F.lit(404))
-           .when(is_browser(F.col("user_agent")), F.lit(403))
-           .when(~bearer, F.lit(401))
-           .when(~version_at_least(F.col("version"), min_version), F.lit(426))
-           .when(sig_reason.isNotNull(), F.lit(401)))
-    pre_reason = (F.when(pre == 404, F.lit("not_found")).when(pre == 403, F.lit("browser"))
-                  .when(pre == 401, F.coalesce(F.when(~bearer, F.lit("no_bearer")), sig_reason))
-                  .when(pre == 426, F.lit("outdated_client")))
-    fmt = (F.when(~token_format_ok(token), F.lit("invalid_token_format"))
-           .when(~machine_format_ok(F.col("machine_id")), F.lit("invalid_machine_format")))
-    base = log.select(*GATE_COLUMNS, token.alias("bearer_token"), pre.alias("pre_status"), pre_reason.alias("pre_reason"), fmt.alias("fmt_reason"))
+    # in steps: what a step refers to more than once is computed once, in the step before
+    rows = log.select(
+        *GATE_COLUMNS, F.when(bearer, F.substr(F.col("auth_header"), F.lit(8))).alias("bearer_token"),
+        ((F.col("method") != "POST") | (F.col("route") != "/v1/compute")).alias("elsewhere"), is_browser(F.col("user_agent")).alias("browser"),
+        version_at_least(F.col("version"), min_version).alias("new_enough"),
+        clock_skew_reason(F.col("client_ts"), F.col("signature"), F.col("sec"), F.col("sig_ok")).alias("sig_reason"),
+        machine_format_ok(F.col("machine_id")).alias("machine_ok"))
+    no_bearer = F.col("bearer_token").isNull()
+    failed = [(F.col("elsewhere"), 404, F.lit("not_found")), (F.col("browser"), 403, F.lit("browser")), (no_bearer, 401, F.lit("no_bearer")),
+              (~F.col("new_enough"), 426, F.lit("outdated_client")), (F.col("sig_reason").isNotNull(), 401, F.col("sig_reason"))]
+    pre, pre_reason = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for gate, status, reason in reversed(failed):
+        pre, pre_reason = F.when(gate, F.lit(status)).otherwise(pre), F.when(gate, reason).otherwise(pre_reason)
+    fmt = (F.when(~token_format_ok(F.col("bearer_token")), F.lit("invalid_token_format"))
+           .when(~F.col("machine_ok"), F.lit("invalid_machine_format")))
+    base = rows.select(*GATE_COLUMNS, "bearer_token", pre.alias("pre_status"), pre_reason.alias("pre_reason"), fmt.alias("fmt_reason"))
     # rows that no token state can decide are dealt by their number, so they don't meet under one key
     reach = F.col("pre_status").isNull() & F.col("fmt_reason").isNull()
     return base.withColumn("reach", reach).withColumn(
