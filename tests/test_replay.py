@@ -111,6 +111,31 @@ def test_registrations_of_machines_that_move(spark, per_day):
     assert got == sequential(rows, per_day)
 
 
+@pytest.mark.parametrize("ahead", [1, 8])
+def test_registrations_of_many_days_settle_in_a_few_rounds(spark, monkeypatch, ahead):
+    """Machines that try every day: a round settles several days, and attempts after the last place aren't carried along."""
+    import datetime as dt
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    start = dt.datetime(2024, 3, 1)
+    machines = [hashlib.sha256(bytes([i // 256, i % 256])).hexdigest() for i in range(400)]
+    rows = [(start + dt.timedelta(days=d, seconds=rng.randrange(86400)), 400 * d + m, f"i{m % 2}", machines[m]) for d in range(25) for m in range(400)]
+    log = spark.createDataFrame([(*r, "cli") for r in rows], "ts timestamp, event_id long, ip string, machine_id string, user_agent string")
+    firsts = QU.first_attempts(QU.registration_attempts(log)).withColumn("used", F.lit(0))
+    sizes, kept = [], QU.checkpointed
+
+    def counted(df):
+        sizes.append(df)
+        return kept(df)
+    monkeypatch.setattr(QU, "checkpointed", counted)
+    grants = QU.registration_grants(firsts, 2, ahead)
+    granted = {r.f.event_id for r in grants.collect()}
+    assert granted == {e for e, status in sequential(rows, 2).items() if status == 201}
+    assert len(sizes) <= (40 if ahead == 1 else 16)
+
+
 @pytest.mark.parametrize("window, limit", [(5, 2), (60, 3), (1, 1)])
 def test_a_hot_token_is_folded_in_sessions(spark, window, limit):
     """One key with nearly all rows: its sessions lie in several partitions and give the sequential result."""
