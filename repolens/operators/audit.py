@@ -30,50 +30,48 @@ V6_EVERY, BOTH_EVERY, BROKEN_EVERY = 5, 7, 11
 ADVISORY_URL = "https://advisories.example/"
 
 
-def _json_str(c):
-    """JSON string literal of ``c``: backslash and quote escaped; control characters via ``to_json``."""
-    cheap = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')),
-                     F.lit('"'))
-    full = F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
-    return F.when(c.rlike("[\\x00-\\x1f]"), full).otherwise(cheap)
+def _json_text(c):
+    """``c`` as it stands between the quotes of a JSON string."""
+    quoted = F.to_json(F.array(c))
+    return F.when(c.isNotNull(), F.substr(quoted, F.lit(3), F.length(quoted) - 4))
 
 
-def derive_audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON report per order; entry ``k`` is the k-th line item by (line number, part, flag).
+def derive_audit_reports(spark: SparkSession, sf_dir: str, audited: DataFrame | None = None) -> DataFrame:
+    """One JSON report per order (of ``audited`` by ``repo_id``, if given); entry ``k`` is the k-th line item by (line number, part, flag).
 
     Each entry's JSON is built per line item with plain column expressions;
     the per-order list that is then concatenated is bounded by one order's
     line items.
     """
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"])
-    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
+    # names are escaped once a part, not once a line item; of a concatenation the escaped text is that of its parts
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"]).select("p_partkey", _json_text(F.col("p_name")).alias("name"))
+    if audited is not None:
+        li = li.join(audited.select(F.col("repo_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     j = li.join(part, li.l_partkey == part.p_partkey)
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
     j = j.select("*", F.row_number().over(w).alias("k"))
-    pos = F.col("k").cast("string")
-    sev = F.element_at(F.array(*[F.lit(s) for s in SEVERITY_BY_LINE]), (F.col("l_linenumber") % 6 + 1).cast("int"))
-    title = F.concat(F.lit("Advisory for "), F.col("p_name"))
-    url = F.concat(F.lit(ADVISORY_URL), F.col("l_partkey").cast("string"))
-    via = (F.when(F.col("l_returnflag") == "R",
-                  F.concat(F.lit("["), F.to_json(F.struct(title.alias("title"), url.alias("url"))), F.lit("]")))
-           .when(F.col("l_returnflag") == "A",
-                 F.concat(F.lit("["), _json_str(F.concat(F.lit("dep-"), F.col("l_partkey").cast("string"))), F.lit("]")))
+    pos, rid, name = F.col("k").cast("string"), F.col("l_orderkey"), F.col("name")
+    broken, both, old = rid % BROKEN_EVERY == 0, rid % BOTH_EVERY == 0, rid % V6_EVERY == 0
+    sev = F.element_at(F.array(*[F.lit(None if s is None else f'"severity":"{s}"') for s in SEVERITY_BY_LINE]), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    title = F.concat(F.lit('"title":"Advisory for '), name, F.lit('"'))
+    url = F.concat(F.lit(f'"url":"{ADVISORY_URL}'), F.col("l_partkey").cast("string"), F.lit('"'))
+    via = (F.when(F.col("l_returnflag") == "R", F.concat(F.lit("[{"), title, F.lit(","), url, F.lit("}]")))
+           .when(F.col("l_returnflag") == "A", F.concat(F.lit('["dep-'), F.col("l_partkey").cast("string"), F.lit('"]')))
            .otherwise(F.lit('["dep", {"severity": "low"}]')))
-    sev_part = F.when(sev.isNull(), F.lit("")).otherwise(F.concat(F.lit('"severity": '), _json_str(sev), F.lit(", ")))
-    v7 = F.concat(_json_str(F.concat(F.col("p_name"), F.lit("#"), pos)), F.lit(": {"), sev_part, F.lit('"via": '),
-                  via, F.lit("}"))
-    v6 = F.concat(_json_str(pos), F.lit(": "), F.to_json(F.struct(
-        F.col("p_name").alias("module_name"), sev.alias("severity"), title.alias("title"), url.alias("url"))))
-    per_order = j.groupBy(F.col("l_orderkey").alias("repo_id")).agg(
-        F.array_sort(F.collect_list(F.struct("k", v7.alias("v7"), v6.alias("v6")))).alias("e"))
-    v7_doc = F.concat(F.lit('"vulnerabilities": {'), F.array_join(F.col("e.v7"), ", "), F.lit("}"))
-    v6_doc = F.concat(F.lit('"advisories": {'), F.array_join(F.col("e.v6"), ", "), F.lit("}"))
-    rid = F.col("repo_id")
-    doc = (F.when(rid % BROKEN_EVERY == 0, F.lit("npm ERR! audit endpoint returned an error"))
-           .when(rid % BOTH_EVERY == 0, F.concat(F.lit("{"), v6_doc, F.lit(", "), v7_doc, F.lit("}")))
-           .when(rid % V6_EVERY == 0, F.concat(F.lit("{"), v6_doc, F.lit("}")))
+    v7 = F.concat(F.lit('"'), name, F.lit("#"), pos, F.lit('": {'), F.concat_ws(", ", F.replace(sev, F.lit(":"), F.lit(": ")), F.concat(F.lit('"via": '), via)), F.lit("}"))
+    v6 = F.concat(F.lit('"'), pos, F.lit('": {'), F.concat_ws(",", F.concat(F.lit('"module_name":"'), name, F.lit('"')), sev, title, url), F.lit("}"))
+    # a row has the JSON of its order's formats only; the document is part of the aggregate, so a filter on it doesn't build it again
+    v7 = F.when(broken, F.lit(None)).when(both, v7).when(old, F.lit(None)).otherwise(v7)
+    v6 = F.when(broken, F.lit(None)).when(both | old, v6)
+    e = F.array_sort(F.collect_list(F.struct("k", v7.alias("v7"), v6.alias("v6"))))
+    v7_doc = F.concat(F.lit('"vulnerabilities": {'), F.array_join(e["v7"], ", "), F.lit("}"))
+    v6_doc = F.concat(F.lit('"advisories": {'), F.array_join(e["v6"], ", "), F.lit("}"))
+    doc = (F.when(broken, F.lit("npm ERR! audit endpoint returned an error"))
+           .when(both, F.concat(F.lit("{"), v6_doc, F.lit(", "), v7_doc, F.lit("}")))
+           .when(old, F.concat(F.lit("{"), v6_doc, F.lit("}")))
            .otherwise(F.concat(F.lit("{"), v7_doc, F.lit("}"))))
-    return per_order.select("repo_id", doc.alias("audit_json"))
+    return j.groupBy("l_orderkey").agg(doc.alias("audit_json")).withColumnRenamed("l_orderkey", "repo_id")
 
 
 def parse_audit(reports: DataFrame) -> DataFrame:
@@ -82,34 +80,29 @@ def parse_audit(reports: DataFrame) -> DataFrame:
     return ok.select("repo_id", F.from_json("audit_json", AUDIT_SCHEMA).alias("a"))
 
 
-ENTRY_TYPE = "array<struct<name:string,severity:string,has_advisory:boolean,title:string,url:string>>"
+ENTRY_TYPE = "array<struct<name:string,severity:string,title:string,url:string,via:array<variant>>>"
 
 
 def _entries(parsed: DataFrame) -> DataFrame:
-    """One row per package entry of whichever format wins (v7 over v6), exploded once."""
-    def sev_of(v):
-        return F.coalesce(F.nullif(v, F.lit("")), F.lit(DEFAULT_SEVERITY))
-
-    def v7_entry(e):
-        adv = F.get(F.filter(F.coalesce(e["value"]["via"], F.array().cast("array<variant>")),
-                             lambda x: F.schema_of_variant(x).startswith("OBJECT")), 0)
-        return F.struct(e["key"].alias("name"), sev_of(e["value"]["severity"]).alias("severity"),
-                        adv.isNotNull().alias("has_advisory"),
-                        F.coalesce(F.nullif(F.try_variant_get(adv, "$.title", "string"), F.lit("")), e["key"]).alias("title"),
-                        F.coalesce(F.nullif(F.try_variant_get(adv, "$.url", "string"), F.lit("")), F.lit("")).alias("url"))
-
-    def v6_entry(a):
-        return F.struct(F.coalesce(F.nullif(a["module_name"], F.lit("")), F.lit("")).alias("name"),
-                        sev_of(a["severity"]).alias("severity"), F.lit(True).alias("has_advisory"),
-                        F.coalesce(F.nullif(a["title"], F.lit("")), F.lit("")).alias("title"),
-                        F.coalesce(F.nullif(a["url"], F.lit("")), F.lit("")).alias("url"))
+    """One row per package entry of whichever format wins (v7 over v6), exploded once; what a step refers to more than once is a column of the step before."""
     v7, v6 = F.col("a.vulnerabilities"), F.col("a.advisories")
-    entries = (F.when(v7.isNotNull(), F.transform(F.map_entries(v7), v7_entry))
-               .when(v6.isNotNull(), F.transform(F.map_values(v6), v6_entry))
+    entries = (F.when(v7.isNotNull(), F.transform(F.map_entries(v7), lambda e: F.struct(
+                   e["key"].alias("name"), e["value"]["severity"].alias("severity"), F.lit(None).cast("string").alias("title"),
+                   F.lit(None).cast("string").alias("url"), e["value"]["via"].alias("via"))))
+               .when(v6.isNotNull(), F.transform(F.map_values(v6), lambda a: F.struct(
+                   F.coalesce(a["module_name"], F.lit("")).alias("name"), a["severity"].alias("severity"), a["title"].alias("title"), a["url"].alias("url"),
+                   F.lit(None).cast("array<variant>").alias("via"))))
                .otherwise(F.array().cast(ENTRY_TYPE)))
     fmt = F.when(v7.isNotNull(), F.lit("v7")).when(v6.isNotNull(), F.lit("v6"))
-    return parsed.select("repo_id", fmt.alias("format"), F.posexplode(entries).alias("pos", "e")) \
-        .select("repo_id", "format", "pos", "e.*")
+    e = parsed.select("repo_id", fmt.alias("format"), F.posexplode(entries).alias("pos", "e")).select("repo_id", "format", "pos", "e.*")
+    adv = F.get(F.filter(F.coalesce("via", F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x).startswith("OBJECT")), 0)
+    e = e.select("repo_id", "format", "pos", "name", "severity", "title", "url", F.when(F.col("format") == "v7", adv).alias("adv"))
+    new = F.col("format") == "v7"
+    e = e.select("repo_id", "format", "pos", "name", "severity", (~new | F.col("adv").isNotNull()).alias("has_advisory"),
+                 *[F.when(new, F.try_variant_get("adv", f"$.{c}", "string")).otherwise(F.col(c)).alias(c) for c in ("title", "url")])
+    return e.select("repo_id", "format", "pos", "name", F.coalesce(F.nullif("severity", F.lit("")), F.lit(DEFAULT_SEVERITY)).alias("severity"), "has_advisory",
+                    F.coalesce(F.nullif("title", F.lit("")), F.when(new, F.col("name")).otherwise(F.lit(""))).alias("title"),
+                    F.coalesce(F.nullif("url", F.lit("")), F.lit("")).alias("url"))
 
 
 def audit_rollup(parsed: DataFrame) -> DataFrame:
