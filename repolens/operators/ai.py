@@ -32,6 +32,7 @@ LEVELS, SCORE_DIMENSIONS = NO.LEVELS, NO.SCORE_DIMENSIONS
 SECURITY_SEVERITIES, DEPLOY_PRIORITIES = NO.SECURITY_SEVERITIES, NO.DEPLOY_PRIORITIES
 PRIORITY_ORDER = {"high": 0, "medium": 1, "low": 2}
 NO_ANALYSIS = "No analysis available."
+SLICE = 128
 # ---------------------------------------------------------------------------
 
 
@@ -191,14 +192,19 @@ def scan_ai_responses(responses: DataFrame, repos: DataFrame | None = None) -> D
 
 # ---- H7-H11: normalisers ------------------------------------------------------------
 
+def records(kind: str, contents: pa.Array) -> pa.Array:
+    """The records of a batch, of which a slice at a time is in Python objects."""
+    arrow = NO.KINDS[kind][1]
+    parts = [pa.array([NO.record(kind, c) for c in contents.slice(i, SLICE).to_pylist()], arrow) for i in range(0, len(contents), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+
 def _normaliser(kind: str):
     """A column function from a response's JSON text to its record: one parse, Arrow batches (``operators/normalise.py``)."""
     def normalised(content: Column) -> Column:
-        arrow = NO.KINDS[kind][1]
-
-        @arrow_udf(NO.ddl(arrow))
+        @arrow_udf(NO.ddl(NO.KINDS[kind][1]))
         def parsed(contents: pa.Array) -> pa.Array:
-            return pa.array([NO.record(kind, c) for c in contents.to_pylist()], arrow)
+            return records(kind, contents)
 
         return parsed(content)
     return normalised

@@ -61,3 +61,54 @@ def test_sinks_write_every_report(spark, report, tmp_path):
     RP.write_report_markdown(RP.report_markdown(RP.for_mode(report, "stack")), str(tmp_path / "md"))
     lines = spark.read.text(str(tmp_path / "md"))
     assert lines.where("value like '<!-- repo %'").count() == n
+
+
+def test_audits_of_given_repositories_and_odd_names(spark, tmp_path):
+    """Reports of the audited repositories alone; names keep their characters through the JSON text."""
+    import json
+
+    from repolens.operators import audit as AU
+
+    names = ['plain', 'quo"te', 'back\\slash', 'line\nend', 'umlaut \u00e4 \u2028', None]
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(order, part, line, "RAN"[(order + line) % 3]) for order in range(1, 30) for line, part in enumerate(range(6))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = {r.repo_id: r.audit_json for r in AU.derive_audit_reports(spark, str(tmp_path)).collect()}
+    assert len(whole) == 29
+    for order, text in whole.items():
+        if order % AU.BROKEN_EVERY:
+            report = json.loads(text)
+            if "vulnerabilities" in report:
+                assert list(report["vulnerabilities"]) == [f"{n}#{k}" for k, n in enumerate(names, 1) if n is not None]
+                assert report["vulnerabilities"]["plain#1"]["severity"] == "critical"
+            if "advisories" in report:
+                assert [a.get("module_name") for a in report["advisories"].values()] == names
+    audited = spark.createDataFrame([(3,), (5,), (7,), (22,), (400,)], "repo_id long")
+    some = {r.repo_id: r.audit_json for r in AU.derive_audit_reports(spark, str(tmp_path), audited).collect()}
+    assert some == {k: whole[k] for k in (3, 5, 7, 22)}
+    plan = AU.derive_audit_reports(spark, str(tmp_path), audited)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("Window")  # before anything is derived
+
+
+def test_responses_are_turned_into_records_slice_by_slice():
+    import pyarrow as pa
+
+    from repolens.operators import ai as AI
+
+    class Batch:
+        def __init__(self, texts):
+            self.texts, self.asked = texts, []
+
+        def __len__(self):
+            return len(self.texts)
+
+        def slice(self, at, n):
+            self.asked.append(n)
+            return self.texts.slice(at, n)
+
+    texts = pa.array([None if i % 7 == 0 else '{"summary": "s%d", "score": %d}' % (i, i % 10) for i in range(1000)])
+    batch = Batch(texts)
+    got = AI.records("security", batch)
+    assert max(batch.asked) <= 128 and len(got) == 1000
+    assert got.to_pylist() == pa.array([AI.NO.record("security", t) for t in texts.to_pylist()], got.type).to_pylist()
+    assert len(AI.records("reasoning", pa.array([], pa.string()))) == 0
