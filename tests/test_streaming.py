@@ -180,3 +180,23 @@ def test_replays_of_files_in_any_order_are_whole(spark, tmp_path, monkeypatch):
             assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_days_of_a_model_are_counted_apart(spark, tmp_path):
+    """A row of the day before, late but within the watermark, doesn't reset the count of the new day."""
+    import datetime as dt
+    import os
+
+    day = dt.datetime(2024, 3, 2)
+    batches = [[(1, day + dt.timedelta(minutes=10)), (2, day - dt.timedelta(minutes=20))],
+               [(3, day - dt.timedelta(minutes=5)), (4, day + dt.timedelta(minutes=20))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(e, t, "m") for e, t in rows], "event_id long, ts timestamp, model string").coalesce(1).write.parquet(f"{tmp_path}/w{i}")
+        part = next(f for f in os.listdir(f"{tmp_path}/w{i}") if f.startswith("part-"))
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        os.link(f"{tmp_path}/w{i}/{part}", f"{tmp_path}/in/{i}.parquet")
+        os.utime(f"{tmp_path}/in/{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema("event_id long, ts timestamp, model string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    log = stream.selectExpr("*", "unix_millis(ts) ts_ms").withWatermark("ts", "1 day")
+    got = {r.event_id: (r.allowed, r.reason) for r in ST.run_available_now(ST.fixed_window_stream(log, {"m": (5, 1)})).collect()}
+    assert got == {1: (True, None), 2: (True, None), 3: (False, "rpd"), 4: (False, "rpd")}
