@@ -98,7 +98,7 @@ class Space:
 
     def __call__(self, name: str, kind, *shape: int) -> np.ndarray:
         n = int(np.prod(shape))
-        if len(self.held.get((name, kind), ())) < n:
+        if (name, kind) not in self.held or len(self.held[name, kind]) < n:
             self.held[name, kind] = np.empty(n, kind)
         return self.held[name, kind][:n].reshape(shape)
 
