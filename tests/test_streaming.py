@@ -137,6 +137,72 @@ def test_gate_state_is_forgotten_but_bindings_stay(spark, tmp_path):
     assert got == [(None, True, None), (None, False, 30), (None, True, None), ("machine_mismatch", None, None)]
 
 
+class Handle:
+    """A map state and timers in memory, for one bucket."""
+
+    def __init__(self):
+        self.map, self.timers, self.calls = {}, set(), []
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        self.calls.append(("get", key[0]))
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.calls.append(("put", key[0]))
+        self.map[key] = value
+
+    def iterator(self):
+        self.calls.append(("all", None))
+        return iter(list(self.map.items()))
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        assert at not in self.timers
+        self.timers.add(at)
+
+
+def test_a_call_of_the_gate_decides_many_tokens_with_one_read_and_one_write_each():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    day, hour = 19_700 * 86400, 3600
+    gate, handle = GA.TokenGate(60, 1, 5), Handle()
+    gate.init(handle)
+    gate.handleInitialState((7,), pd.DataFrame({"token": ["a", "b", "c"], "state": ["unbound", "any", "m"]}), None)
+    handle.calls.clear()
+    plan = [(None, day), ("a", day + hour), ("b", day + hour), ("b", day + hour + 1), ("c", day + 25 * hour), ("c", day + 26 * hour), ("x", day + 26 * hour)]
+    rows = pd.DataFrame({n: [None] * len(plan) for n in GA.NAMES}).assign(
+        event_id=range(len(plan)), bearer_token=[t for t, _ in plan], reach=[t is not None for t, _ in plan], machine_id=["m"] * len(plan),
+        sec=[s for _, s in plan], ts_ms=[s * 1000 for _, s in plan], ts=[pd.Timestamp(s, unit="s") for _, s in plan])
+    (out,) = gate.handleInputRows((7,), iter([rows.iloc[3:], rows.iloc[:3]]), None)
+    assert [None if pd.isna(v) else bool(v) for v in out["slide_ok"]] == [None, True, True, False, True, True, None]
+    assert out["auth_reason"].tolist()[-1] == "token_not_found" and out["slide_retry"].tolist()[3] == 59
+    assert sorted(handle.calls) == [("get", t) for t in "abcx"] + [("put", t) for t in "abc"]
+    ends = [(day + n * 86400) * 1000 + 60_000 for n in (1, 2)]
+    assert handle.timers == set(ends) and handle.map["a",][0] == "m"
+
+    handle.calls.clear()
+    for at in ends:  # the watermark is past the first day alone, though both timers are called
+        list(gate.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda: ends[0]), SimpleNamespace(getExpiryTimeInMs=lambda: at)))
+    assert sorted(handle.calls) == [("all", None), ("put", "a"), ("put", "b")]
+    assert handle.map["a",] == ("m", [], [], [], []) and handle.map["c",][3:] == ([19_701], [2])
+
+
+def test_gate_stream_of_tokens_in_one_bucket_equals_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(GA, "BUCKETS", 1)
+    limits = {"window_s": 21600, "limit": 2, "daily": 3}
+    tokens = RL.token_states(spark, SMALL)
+    got = ST.run_available_now(GA.request_gate_stream(ST.request_stream(spark, parts(tmp_path, late=False), max_files=1), tokens, **limits), provider=GA.ROCKSDB)
+    want = QU.request_gate(RL.request_log(spark, SMALL), tokens, **limits)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) != []
+
+
 def test_model_calls_meet_their_answers_over_many_batches(spark, tmp_path):
     folder = parts(tmp_path, late=False)
     got = ST.run_available_now(ST.model_call_stream(spark, folder, max_files=1), whole=True)
