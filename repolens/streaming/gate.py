@@ -141,3 +141,9 @@ def request_gate_stream(requests: DataFrame, tokens: DataFrame, *, max_body: int
                         configured_providers=("groq",), **limits) -> DataFrame:
     """J7 streaming: the status of every request as it arrives."""
     return QU.gate_status(gate_stages_stream(requests, tokens, **limits), max_body=max_body, allowed=allowed, configured_providers=configured_providers)
+
+
+def token_quota_stream(requests: DataFrame, tokens: DataFrame, **limits) -> DataFrame:
+    """J6, J3 and J4 streaming: verdicts of the requests that pass the checks before them."""
+    return gate_stages_stream(requests, tokens, **limits).where("pre_status is null").select(
+        "event_id", F.col("bearer_token").alias("token"), "auth_reason", "slide_ok", "slide_retry", "daily_ok", "daily_retry")

@@ -203,6 +203,18 @@ def test_gate_stream_of_tokens_in_one_bucket_equals_batch(spark, tmp_path, monke
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) != []
 
 
+def test_token_quota_stream_writes_the_verdicts_alone(spark, tmp_path):
+    """The rows that fail the checks before, and the columns of later gates, leave within the stream."""
+    limits = {"window_s": 21600, "limit": 2, "daily": 3}
+    tokens = RL.token_states(spark, SMALL)
+    stream = GA.token_quota_stream(ST.request_stream(spark, parts(tmp_path, late=False), max_files=2), tokens, **limits)
+    columns = ["event_id", "token", "auth_reason", "slide_ok", "slide_retry", "daily_ok", "daily_retry"]
+    assert stream.isStreaming and stream.columns == columns
+    want = QU.gate_stages(RL.request_log(spark, SMALL), tokens, **limits).where("pre_status is null").withColumnRenamed("bearer_token", "token")
+    got = ST.run_available_now(stream, whole=True, provider=GA.ROCKSDB)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(columns).collect())) != []
+
+
 def test_model_calls_meet_their_answers_over_many_batches(spark, tmp_path):
     folder = parts(tmp_path, late=False)
     got = ST.run_available_now(ST.model_call_stream(spark, folder, max_files=1), whole=True)
